@@ -31,16 +31,22 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows as (k, ord, text), dealt out by k.
+    """Rows as (k, ord, text): (k, ord) names a text.
 
     k is the id, NO_ID for null.  ord numbers the different texts that share an
-    id, so (k, ord) names a text; rows that repeat id and text have equal names.
-    The exchange underneath is the same wherever this frame is used, so Spark
-    moves the texts once for a whole query.
+    id, so rows that repeat id and text have equal names.  It is 0 throughout
+    when ids are unique, which a shuffle of id and text hash alone finds out; the
+    texts move only if some id has several.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text_col).cast("string").alias("text"))
-    by_id = Window.partitionBy("k").orderBy(F.xxhash64("text"))
-    return rows.repartition("k").withColumn("ord", F.dense_rank().over(by_id) - 1)
+    hashed = rows.select("k", F.xxhash64("text").alias("h"))
+    several = hashed.groupBy("k").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("k")
+    if several.isEmpty():
+        return rows.withColumn("ord", F.lit(0).cast("long"))
+    order = Window.partitionBy("k").orderBy("h")
+    names = hashed.join(several, "k", "left_semi").distinct().withColumn("ord", F.row_number().over(order) - 1)
+    rows = rows.withColumn("h", F.xxhash64("text")).join(names, ["k", "h"], "left")
+    return rows.select("k", F.coalesce("ord", F.lit(0)).cast("long").alias("ord"), "text")
 
 
 def id_of(k) -> F.Column:

@@ -13,7 +13,8 @@ minimizer travel as one path piece, about one row for nine words.
   single edges, read again from the source text at its coordinates and compared
   there by two independent hashes.
 
-Every join is on hashes with a pre-aggregated side, and the texts move once.
+Every join is on hashes with a pre-aggregated side, and the texts move once, when
+spans are cut out of them.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlake.llm import tokens
-from postlake.llm.common import id_of, keyed
+from postlake.llm.common import id_of, keyed, written
 
 _ORD = 40  # a place is ord << 40 | word position
 _OCC = "m long, u long, k long, at long, n long"
@@ -130,13 +131,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], names=list(types))
 
 
-def repeated_spans(rows: DataFrame, window: int, k: int) -> DataFrame:
-    """(k, at, n): n words from place at repeat words that start earlier."""
-    texts = rows.select("k", "ord", "text")
+def repeated_spans(texts: DataFrame, dealt: DataFrame, window: int, k: int) -> DataFrame:
+    """(k, at, n): n words from place at repeat words that start earlier.
+
+    dealt: the texts dealt out by k, which the caller joins by k as well.  The
+    occurrences of repeated minimizers are written once, as four paths read them.
+    """
     occ = texts.mapInArrow(_occurrences(window, k), _OCC)
     place = F.struct("k", "at")
     live = occ.groupBy("m").agg(F.min(place).alias("f"), F.count("*").alias("c"), F.min("u").alias("lo"), F.max("u").alias("hi")).where("c > 1")
-    met = occ.join(live.select("m", "f", (F.col("lo") != F.col("hi")).alias("branch")), "m")
+    met = written(occ.join(live.select("m", "f", (F.col("lo") != F.col("hi")).alias("branch")), "m"))
     later = (F.col("k") != F.col("f.k")) | (F.col("at") != F.col("f.at"))
     piece = ("k", "at", (F.col("n") + (window - 1)).alias("n"))
     whole = met.where(~F.col("branch") & later).select(*piece)
@@ -144,7 +148,7 @@ def repeated_spans(rows: DataFrame, window: int, k: int) -> DataFrame:
     firsts = forks.groupBy("m", "u").agg(F.min(place).alias("f"), F.min("n").alias("n"), F.count("*").alias("c"))
     copies = forks.join(firsts.where("c > 1").select("m", "u", "f"), ["m", "u"]).where(later).select(*piece)
     opened = firsts.groupBy(F.col("f.k").alias("k")).agg(F.collect_list(F.struct(F.col("f.at").alias("at"), "n")).alias("places"))
-    edges = texts.join(opened.hint("shuffle_hash"), "k").mapInArrow(_edges(window), _EDGE)
+    edges = dealt.join(opened.hint("shuffle_hash"), "k").mapInArrow(_edges(window), _EDGE)
     known = edges.groupBy("w1", "w2").agg(F.min(place).alias("f"), F.count("*").alias("c")).where("c > 1")
     single = edges.join(known.select("w1", "w2", "f"), ["w1", "w2"]).where(later).select("k", "at", F.lit(window).cast("long").alias("n"))
     return whole.unionByName(copies).unionByName(single)
@@ -165,7 +169,8 @@ def drop_repeated_spans(docs: DataFrame, window: int = 20, k: int = 5, id_col: s
     """
     if not 0 < k < window:
         raise ValueError("k must be positive and smaller than window")
-    rows = keyed(docs, id_col, text_col)
-    cuts = repeated_spans(rows, window, k).groupBy("k").agg(F.collect_set(F.struct("at", "n")).alias("places"))
-    kept = rows.join(cuts.hint("shuffle_hash"), "k", "left").select("k", "ord", "text", "places").mapInArrow(_keep, _KEPT)
+    texts = keyed(docs, id_col, text_col).select("k", "ord", "text")
+    dealt = texts.repartition("k")
+    cuts = repeated_spans(texts, dealt, window, k).groupBy("k").agg(F.collect_set(F.struct("at", "n")).alias("places"))
+    kept = dealt.join(cuts.hint("shuffle_hash"), "k", "left").select("k", "ord", "text", "places").mapInArrow(_keep, _KEPT)
     return kept.select(id_of(F.col("k")).alias(id_col), "kept_text", "n_words", "n_removed", "spans")
