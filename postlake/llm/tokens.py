@@ -32,14 +32,14 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Alphabet:
-    """Which bytes belong to words, and the value of each byte for hashing."""
+    """Which bytes belong to words, and whether A-Z count as a-z."""
 
     def __init__(self, words: np.ndarray, fold_case: bool):
         self.is_word = words
-        values = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _GOLD)
+        self.fold = None
         if fold_case:
-            values[65:91] = values[97:123]
-        self.values = np.where(words, values, np.uint64(0))
+            self.fold = np.arange(256, dtype=np.uint8)
+            self.fold[65:91] += 32
 
 
 def _spaces() -> np.ndarray:
@@ -75,6 +75,11 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         lo = hi
 
 
+def strings(text: pa.Array) -> pa.Array:
+    """The column with nulls as empty strings."""
+    return text.fill_null("") if text.null_count else text
+
+
 def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n + 1 row offsets; null rows are empty."""
     if text.null_count:
@@ -131,24 +136,33 @@ def _next_gap(data: np.ndarray, at: int, alphabet: Alphabet, end: int) -> int:
 
 
 def _scan(data: np.ndarray, row_starts: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    inside = alphabet.is_word[data]
-    before = np.empty_like(inside)
-    before[1:] = inside[:-1]
-    before[:1] = False
-    before[row_starts] = False
-    starts = np.flatnonzero(inside & ~before)
-    if not len(starts):
-        return starts, starts, np.zeros(0, np.uint64)
-    lengths = np.add.reduceat(inside.view(np.uint8), starts, dtype=np.int64)
-    exponents = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data)))) if starts[0] == 0 else None
-    if exponents is None:
-        data, starts = data[starts[0] :], starts - (skip := starts[0])
-        exponents = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
-    else:
-        skip = 0
-    terms = alphabet.values[data] * powers(int(_BASE), int(exponents.max()) + 1)[exponents]
-    hashes = mix(np.add.reduceat(terms, starts) + lengths.astype(np.uint64) * _GOLD)
-    return starts + skip, starts + skip + lengths, hashes
+    inside = np.zeros(len(data) + 2, dtype=bool)
+    inside[1:-1] = alphabet.is_word[data]
+    edge = inside[1:] != inside[:-1]  # edge[i]: a word starts or ends before byte i
+    begins, stops = edge[:-1] & inside[1:-1], edge[1:] & inside[1:-1]
+    row_starts = row_starts[row_starts < len(data)]
+    begins[row_starts] = inside[row_starts + 1]
+    stops[row_starts[row_starts > 0] - 1] = inside[row_starts[row_starts > 0]]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    return starts, ends, _hash_words(data, starts, ends - starts, alphabet)
+
+
+_MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=np.uint64)
+
+
+def _hash_words(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, alphabet: Alphabet) -> np.ndarray:
+    """Hash each word eight bytes at a time."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = alphabet.fold[data] if alphabet.fold is not None else data
+    eights = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    out = mix(lengths.astype(np.uint64) * _GOLD + (eights[starts] & _MASKS[np.minimum(lengths, 8)]))
+    longer, at = np.flatnonzero(lengths > 8), 8
+    while len(longer):
+        rest = np.minimum(lengths[longer] - at, 8)
+        out[longer] = mix(out[longer] * _BASE + (eights[starts[longer] + at] & _MASKS[rest]) + np.uint64(1))
+        at += 8
+        longer = longer[lengths[longer] > at]
+    return out
 
 
 _Q = 0xA0761D6478BD642F
