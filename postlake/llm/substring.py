@@ -77,51 +77,54 @@ def _occurrences(window: int, k: int):
     return run
 
 
-def _rows(batches: Iterator[pa.RecordBatch]):
-    for batch in batches:
-        for part in tokens.slices(batch):
-            texts, ords, ks, lists = (part.column(x) for x in ("text", "ord", "k", "places"))
-            for i in range(len(texts)):
-                places = lists[i].values
-                if places is None or not len(places):
-                    at = number = np.zeros(0, np.int64)
-                else:
-                    at, number = np.asarray(places.field("at")), np.asarray(places.field("n"))
-                    mine = at >> _ORD == ords[i].as_py()
-                    at, number = at[mine] & ((1 << _ORD) - 1), number[mine]
-                yield part.slice(i, 1), texts[i].as_py(), ords[i].as_py(), ks[i].as_py(), at, number
+def _places(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, word position and number of the listed places that belong to the texts of a slice."""
+    lists = part.column("places")
+    row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths().fill_null(0)))
+    flat = lists.flatten()
+    if not len(flat):
+        return (np.zeros(0, np.int64),) * 3
+    at, number = np.asarray(flat.field("at")), np.asarray(flat.field("n"))
+    mine = at >> _ORD == np.asarray(part.column("ord"))[row]
+    return row[mine], at[mine] & ((1 << _ORD) - 1), number[mine]
 
 
 def _edges(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, _, order, k, at, number in _rows(batches):
-            if not len(at):
-                continue
-            words = tokens.Words(row.column("text"), tokens.SPACED).hashes
-            starts = np.unique(np.repeat(at - np.append(0, np.cumsum(number)[:-1]), number) + np.arange(number.sum()))
-            yield pa.RecordBatch.from_arrays([_signed(tokens.Spans(words)(starts, window)), _signed(tokens.Spans(words, salt=0x5EED)(starts, window)), pa.array(np.full(len(starts), k)), pa.array(starts + (order << _ORD))], names=["w1", "w2", "k", "at"])
+        for batch in batches:
+            for part in tokens.slices(batch):
+                row, at, number = _places(part)
+                words = tokens.Words(part.column("text"), tokens.SPACED)
+                starts = words.first[row] + at
+                starts = np.unique(np.repeat(starts - np.append(0, np.cumsum(number)[:-1]), number) + np.arange(number.sum()))
+                row = np.searchsorted(words.first, starts, side="right") - 1
+                k, order = np.asarray(part.column("k"))[row], np.asarray(part.column("ord"))[row]
+                w1, w2 = tokens.Spans(words.hashes)(starts, window), tokens.Spans(words.hashes, salt=0x5EED)(starts, window)
+                yield pa.RecordBatch.from_arrays([_signed(w1), _signed(w2), pa.array(k), pa.array(starts - words.first[row] + (order << _ORD))], names=["w1", "w2", "k", "at"])
 
     return run
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out: list[tuple] = []
-    size = 0
-    for _, text, _, k, at, length in _rows(batches):
-        words = tokens.bytes_split(text)
-        covered = np.zeros(len(words) + 1, np.int64)
-        np.add.at(covered, at, 1)
-        np.add.at(covered, at + length, -1)
-        gone = np.cumsum(covered)[:-1] > 0
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
-        spans = [{"start": int(s), "length": int(e - s)} for s, e in zip(edge[::2], edge[1::2], strict=True)]
-        kept = b" ".join(compress(words, ~gone) if spans else words).decode()
-        out.append((k, kept, len(words), int(gone.sum()), spans))
-        size += len(kept)
-        if size > tokens.SLICE_BYTES or len(out) > 5000:
+    for batch in batches:
+        for part in tokens.slices(batch):
+            row, at, length = _places(part)
+            bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
+            out = []
+            for i, (k, text) in enumerate(zip(part.column("k").to_pylist(), part.column("text").to_pylist(), strict=True)):
+                words = tokens.bytes_split(text)
+                mine = slice(bounds[i], bounds[i + 1])
+                if mine.start == mine.stop:
+                    out.append((k, b" ".join(words).decode(), len(words), 0, []))
+                    continue
+                covered = np.zeros(len(words) + 1, np.int64)
+                np.add.at(covered, at[mine], 1)
+                np.add.at(covered, at[mine] + length[mine], -1)
+                gone = np.cumsum(covered)[:-1] > 0
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
+                spans = [{"start": int(s), "length": int(e - s)} for s, e in zip(edge[::2], edge[1::2], strict=True)]
+                out.append((k, b" ".join(compress(words, ~gone)).decode(), len(words), int(gone.sum()), spans))
             yield _batch(out)
-            out, size = [], 0
-    yield _batch(out)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -140,6 +143,7 @@ def repeated_spans(texts: DataFrame, dealt: DataFrame, window: int, k: int) -> D
     occ = texts.mapInArrow(_occurrences(window, k), _OCC)
     place = F.struct("k", "at")
     live = occ.groupBy("m").agg(F.min(place).alias("f"), F.count("*").alias("c"), F.min("u").alias("lo"), F.max("u").alias("hi")).where("c > 1")
+    live = written(live)  # a plain side lets Spark split a minimizer that a great many documents share
     met = written(occ.join(live.select("m", "f", (F.col("lo") != F.col("hi")).alias("branch")), "m"))
     later = (F.col("k") != F.col("f.k")) | (F.col("at") != F.col("f.at"))
     piece = ("k", "at", (F.col("n") + (window - 1)).alias("n"))
