@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlake.llm.decontam import benchmark_hits
 from postlake.llm.jaccard import jaccard_components
+from postlake.llm.mixing import mix_sources
+from postlake.llm.sharding import shard_documents
 from postlake.llm.substring import drop_repeated_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,8 +29,24 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mix_sources(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = shard_documents(_table(spark, sf_dir, "documents"))
+    return shards.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13, per_cent=5)
+    items = F.sha2(F.array_join("items", ","), 256)
+    return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op3_jaccard_join": op3_jaccard_join}
+    return {"op1_substring_dedup": op1_substring_dedup, "op3_jaccard_join": op3_jaccard_join, "op4_source_mixing": op4_source_mixing, "op5_sharding": op5_sharding, "op8_decontamination": op8_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
