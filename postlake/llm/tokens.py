@@ -144,13 +144,13 @@ def _scan(data: np.ndarray, row_starts: np.ndarray, alphabet: Alphabet) -> tuple
     begins[row_starts] = inside[row_starts + 1]
     stops[row_starts[row_starts > 0] - 1] = inside[row_starts[row_starts > 0]]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    return starts, ends, _hash_words(data, starts, ends - starts, alphabet)
+    return starts, ends, hash_words(data, starts, ends - starts, alphabet)
 
 
 _MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=np.uint64)
 
 
-def _hash_words(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, alphabet: Alphabet) -> np.ndarray:
+def hash_words(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, alphabet: Alphabet) -> np.ndarray:
     """Hash each word eight bytes at a time."""
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = alphabet.fold[data] if alphabet.fold is not None else data
