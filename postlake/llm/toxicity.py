@@ -1,7 +1,7 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
 Words and their beginnings get log-odds between toxic and clean documents with an
-informative Dirichlet prior; units whose z-score is small count as neutral.  Over
+informative Dirichlet prior; units that chance could explain count as neutral.  Over
 a whole text, every word has a score (its longest known unit's, or a small drift
 below zero) and the maximal scoring segments are found in one linear scan.  A
 segment's score is judged by the extreme-value law of such maxima: in n clean
@@ -112,20 +112,27 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(np.full(len(some), label, np.int32)), pa.array(n)], names=["unit", "toxic", "n"])
 
 
-def log_odds(counts: DataFrame, toxic: int, clean: int, strength: float = 100.0, least: float = 1.0) -> DataFrame:
-    """(unit, odds, z): log-odds of document frequencies under a Dirichlet prior with the pooled shares."""
-    prior = F.lit(least) + F.lit(strength) * (F.col("t") + F.col("c")) / F.lit(toxic + clean)
-    part = lambda n, total: F.log((F.col(n) + F.col("a")) / (F.lit(float(total) + strength + 2 * least) - F.col(n) - F.col("a")))
-    out = counts.withColumn("a", F.lit(least / 2) + (prior - least) * 0.01)
-    out = out.withColumn("odds", part("t", toxic) - part("c", clean))
-    return out.withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("t") + F.col("a")) + 1 / (F.col("c") + F.col("a"))))
+def log_odds(counts: DataFrame, toxic: int, clean: int, strength: float = 100.0) -> DataFrame:
+    """Add odds and gain to (unit, t, c), the toxic and clean documents that hold a unit.
+
+    odds: log-odds of document frequencies, under a Dirichlet prior that weighs
+    ``strength`` documents and has the pooled shares.  gain: n KL(t / n || share
+    of toxic documents); chance alone reaches a gain of g with a probability of at
+    most exp(-g).
+    """
+    n, base = F.col("t") + F.col("c"), toxic / (toxic + clean)
+    prior = F.lit(strength) * n / F.lit(float(toxic + clean))
+    part = lambda c, total: F.log((F.col(c) + prior) / (F.lit(total + strength) - F.col(c) - prior + 1))
+    term = lambda c, share: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / n / F.lit(share))).otherwise(0.0)
+    return counts.withColumn("odds", part("t", toxic) - part("c", clean)).withColumn("gain", term("t", base) + term("c", 1 - base))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_units: int = 200_000, least_odds: float = 0.7, least_z: float = 2.0, least_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_units: int = 200_000, least_odds: float = 2.5, least_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit to at most ``max_rows`` labelled documents, those with the smallest hashes of their ids.
 
-    The model keeps at most ``max_units`` units, those with the largest z-scores;
-    both bounds are small enough to broadcast.  Without both classes the model
+    A unit of ``least_docs`` documents or more enters the model if its gain is
+    beyond what the best of all units would reach by chance, and at most
+    ``max_units`` with the largest gains; both bounds are small enough to broadcast.  Without both classes the model
     knows no unit and scores every text alike.
     """
     one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("k")).agg(F.max(label_col).cast("int").alias("toxic"))
@@ -140,8 +147,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_units: i
         return Model(empty.units, empty.odds, bias=0.0 if not rest else float(np.log((toxic + 0.5) / (clean + 0.5))))
     each = train.mapInArrow(_counted, "unit long, toxic int, n long")
     counts = each.groupBy("unit").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
-    known = log_odds(counts.where(F.col("t") + F.col("c") >= least_docs), toxic, clean)
-    known = known.where((F.abs("z") >= least_z) & (F.abs("odds") >= least_odds)).orderBy(F.abs("z").desc(), "unit").limit(max_units).select("unit", "odds").toPandas()
+    tested = counts.where(F.col("t") + F.col("c") >= least_docs)
+    chance = float(np.log(max(tested.count(), 1))) + 1
+    known = log_odds(tested, toxic, clean).where((F.col("gain") >= chance) & (F.abs("odds") >= least_odds))
+    known = known.orderBy(F.col("gain").desc(), "unit").limit(max_units).select("unit", "odds").toPandas()
     units = known["unit"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(units)
     return calibrated(Model(units[order], known["odds"].to_numpy(float)[order]), train)
