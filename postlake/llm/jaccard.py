@@ -34,7 +34,8 @@ from postlake.llm.common import NO_ID, components, id_of, written
 _BAND = 1.6
 _SLACK = 1.1
 _WORDS = 16  # 64-bit words of a bitmap
-_BLOCK = 1024  # members compared with each other at once
+_SMALL = 32  # members of a tile whose pairs a plain join compares
+_BLOCK = 1024  # members of a larger tile compared with each other at once
 _SEEN = 200_000  # sets remembered by a task, to send copies once
 #: Up to this many ids (16 bytes each) are broadcast; beyond, the texts are shuffled to them.
 _BROADCAST_IDS = 500_000
@@ -58,70 +59,100 @@ class Bands:
         self.apart = np.array([most_apart(hi - 1, percent) for hi in lows[1:]])
         self.parts = np.where(self.apart == 0, 1, np.ceil(self.apart * _SLACK).astype(np.int64) + 1)
 
-    def of(self, size: int) -> range:
-        """The bands a set of this size enters: those of all sets it may be linked with as the larger one."""
-        least = -(-size * self.percent // 100)
-        lo, hi = np.searchsorted(self.lows, [least, size], side="right") - 1
-        return range(int(lo), int(hi) + 1)
+    def of(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last band a set enters: those of all sets it may be linked with as the larger one."""
+        least = -(-sizes * self.percent // 100)
+        return tuple(np.searchsorted(self.lows, x, side="right") - 1 for x in (least, sizes))
 
 
-def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Sorted distinct n-word shingles; fewer words make one shingle."""
-    if not len(hashes):
-        return hashes
-    size = min(n, len(hashes))
-    return np.unique(tokens.Spans(hashes)(np.arange(len(hashes) - size + 1), size))
+class Sets:
+    """The sorted distinct n-word shingles of each row of a slice; fewer words make one shingle.
+
+    ``members[first[i] : first[i + 1]]`` is the set of row i, ``names[i]`` a 64-bit
+    hash of it (the sum of its mixed members, mixed again), 0 for an empty set.
+    """
+
+    def __init__(self, text: pa.Array, n: int):
+        words = tokens.Words(text, tokens.SPACED_FOLDED)
+        counts = words.counts
+        size = np.minimum(counts, n)
+        number = np.where(counts > 0, counts - size + 1, 0)
+        row = np.repeat(np.arange(len(counts)), number)
+        starts = np.arange(number.sum()) - np.repeat(np.append(0, np.cumsum(number)[:-1]), number) + words.first[row]
+        grams = tokens.Spans(words.hashes)(starts, size[row])
+        order = np.lexsort((grams, row))
+        grams, row = grams[order], row[order]
+        if len(grams):
+            new = np.append(True, (grams[1:] != grams[:-1]) | (row[1:] != row[:-1]))
+            grams, row = grams[new], row[new]
+        self.members, self.row = grams, row
+        self.first = np.searchsorted(row, np.arange(len(counts) + 1))
+        self.sizes = np.diff(self.first)
+        self.mixed = tokens.mix(grams)
+        some = np.flatnonzero(self.sizes)
+        names = np.zeros(len(counts), np.uint64)
+        if len(some):
+            names[some] = tokens.mix(np.add.reduceat(self.mixed, self.first[some]) + self.sizes[some].astype(np.uint64))
+        self.names = names.view(np.int64)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.members[self.first[i] : self.first[i + 1]]
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int):
     for batch in batches:
         for part in tokens.slices(batch):
-            words = tokens.Words(part.column("text"), tokens.SPACED_FOLDED)
-            yield part, [shingles(words.hashes[a:b], n) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+            yield part, Sets(part.column("text"), n)
 
 
-def _signature(sets: list[np.ndarray]) -> np.ndarray:
-    """A 64-bit hash of each set, from the sum of its mixed members; 0 for none."""
-    return np.array([tokens.mix(tokens.mix(x).sum(keepdims=True) + np.uint64(len(x)))[0] if len(x) else 0 for x in sets], dtype=np.uint64).view(np.int64)
-
-
-def _signed(sets: int):
+def _named(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, found in _sets(batches, sets):
-            yield pa.RecordBatch.from_arrays([part.column("k"), pa.array([len(x) for x in found], pa.int64()), pa.array(_signature(found))], names=["k", "n", "c"])
+        for part, sets in _sets(batches, n):
+            yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(sets.sizes), pa.array(sets.names)], names=["k", "n", "c"])
 
     return run
 
 
-def tiles(members: np.ndarray, band: int, parts: int, apart: int) -> np.ndarray:
-    """Keys of the parts of a set that its partners in this band may share."""
-    part = ((members >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    sums = np.zeros(parts, np.uint64)
-    np.add.at(sums, part.astype(np.int64), tokens.mix(members))
-    held = np.bincount(part.astype(np.int64), minlength=parts) > 0
-    if parts - held.sum() < parts - apart:  # some equal part holds a shingle, so empty ones can stay away
-        which = np.flatnonzero(held)
-    else:
-        which = np.arange(parts)
-    return tokens.mix(sums[which] + tokens.mix(which.astype(np.uint64) + (np.uint64(band + 1) << np.uint64(40))))
+def _key(sums, parts, bands):
+    return tokens.mix(sums + tokens.mix(np.asarray(parts).astype(np.uint64) + ((np.asarray(bands).astype(np.uint64) + np.uint64(1)) << np.uint64(40))))
+
+
+def tiles(sets: Sets, wanted: np.ndarray, bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, rows) of the tiles of the wanted rows: a key for each part of each band that partners may share.
+
+    Members are sorted and parts are ranges of hashes, so a part is a run of a set.
+    Of H + 1 or more equal parts one holds a shingle as long as fewer parts than
+    that are empty; then empty parts need no tile.
+    """
+    low, high = bands.of(np.maximum(sets.sizes, 1))
+    for step in range(int((high - low).max(initial=0)) + 1):
+        band = low + step
+        mine = wanted & (band <= high) & (sets.sizes > 0)
+        take = mine[sets.row]
+        members, row = sets.members[take], sets.row[take]
+        if not len(members):
+            continue
+        part = ((members >> np.uint64(32)) * bands.parts[band[row]].astype(np.uint64)) >> np.uint64(32)
+        cut = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (row[1:] != row[:-1])))
+        held, owner = part[cut], row[cut]
+        yield _key(np.add.reduceat(sets.mixed[take], cut), held, band[owner]), owner
+        filled = np.bincount(owner, minlength=len(mine))
+        for i in np.flatnonzero(mine & (bands.parts[band] - filled >= bands.parts[band] - bands.apart[band])):
+            empty = np.setdiff1d(np.arange(bands.parts[band[i]]), held[owner == i].astype(np.int64))
+            yield _key(np.zeros(len(empty), np.uint64), empty, np.full(len(empty), band[i])), np.full(len(empty), i)
 
 
 def _tiled(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
-        for _, found in _sets(batches, n):
-            keys, names, sizes = [], [], []
-            for members, name in zip(found, _signature(found).tolist(), strict=True):
-                if not len(members) or name in seen:
-                    continue
+        for _, sets in _sets(batches, n):
+            wanted = np.zeros(len(sets.names), bool)
+            for i, name in enumerate(sets.names.tolist()):
+                wanted[i] = name not in seen
                 if len(seen) < _SEEN:
                     seen.add(name)
-                own = np.concatenate([tiles(members, b, int(bands.parts[b]), int(bands.apart[b])) for b in bands.of(len(members))])
-                keys.append(own)
-                names.append(np.full(len(own), name))
-                sizes.append(np.full(len(own), len(members)))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(sizes))], names=["key", "c", "n"])
+            for keys, rows in tiles(sets, wanted, bands):
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sets.names[rows])], names=["key", "c"])
 
     return run
 
@@ -134,9 +165,10 @@ def bitmap(members: np.ndarray) -> np.ndarray:
 
 def _arrays(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, found in _sets(batches, n):
+        for part, sets in _sets(batches, n):
+            each = [sets[i] for i in range(len(sets.names))]
             yield pa.RecordBatch.from_arrays(
-                [part.column("k"), pa.array(_signature(found)), pa.array([len(x) for x in found], pa.int64()), pa.array([bitmap(x).view(np.int64).tolist() for x in found], pa.list_(pa.int64())), pa.array([x.tobytes() for x in found], pa.binary())],
+                [part.column("k"), pa.array(sets.names), pa.array(sets.sizes), pa.array([bitmap(x).view(np.int64).tolist() for x in each], pa.list_(pa.int64())), pa.array([x.tobytes() for x in each], pa.binary())],
                 names=["k", "c", "n", "bits", "members"],
             )
 
@@ -197,15 +229,22 @@ def _across(percent: int):
 
 
 def cross_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one tile that are not in one component yet; a tile's members meet in blocks of about _BLOCK."""
-    named = members.join(labels, members["c"] == labels["node"], "left").select("key", "c", F.coalesce("comp", "c").alias("comp"))
+    """Pairs of one tile that are not in one component yet and that the bitmaps allow, but for its leader's pairs.
+
+    Leaders have been compared with all their members before.  A tile of up to
+    _SMALL others is joined with itself; a larger one meets in blocks of about _BLOCK.
+    """
+    named = members.where("c <> leader").join(labels, F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("comp", "c").alias("comp"))
     open_tiles = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-    held = named.join(open_tiles.select("key", "m"), "key").join(sets.select("c", "n", "bits"), "c")
-    blocks = F.ceil(F.col("m") / _BLOCK).cast("int")
-    held = held.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("c"), "blocks"))
-    met = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = written(named.join(open_tiles.select("key", "m"), "key").join(sets.select("c", "n", "bits"), "c"))
+    small = held.where(F.col("m") <= _SMALL)
+    one = small.select("key", F.col("c").alias("a"), *[F.col(x).alias(f"{x}_a") for x in ("comp", "n", "bits")])
+    two = small.select("key", F.col("c").alias("b"), *[F.col(x).alias(f"{x}_b") for x in ("comp", "n", "bits")])
+    near = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _may_overlap(percent)).select("a", "b")
+    large = held.where(F.col("m") > _SMALL).withColumn("blocks", F.ceil(F.col("m") / _BLOCK).cast("int")).withColumn("block", F.pmod(F.hash("c"), "blocks"))
+    met = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("key", "c", "comp", "n", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return met.groupBy("key", "i", "j").applyInPandas(_across(percent), "a long, b long").distinct()
+    return near.unionByName(met.groupBy("key", "i", "j").applyInPandas(_across(percent), "a long, b long")).distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,7 +261,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     columns are not read.  Sets are named by 64-bit hashes.
     """
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text_col).cast("string").alias("text"))
-    rows = written(texts.mapInArrow(_signed(n), "k long, n long, c long"))
+    rows = written(texts.mapInArrow(_named(n), "k long, n long, c long"))
     classes = rows.where("n > 0").groupBy("c").agg(F.min("k").alias("first"), F.count("*").alias("copies"))
     members = _members(texts, n, percent)
     leaders = members.where("c <> leader").select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct()
@@ -241,7 +280,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
 def _members(texts: DataFrame, n: int, percent: int) -> DataFrame:
     """(key, leader, c) of the tiles that hold several different sets."""
-    tiled = texts.mapInArrow(_tiled(n, percent), "key long, c long, n long").select("key", "c")
+    tiled = texts.mapInArrow(_tiled(n, percent), "key long, c long")
     shared = tiled.groupBy("key").agg(F.min("c").alias("leader"), F.max("c").alias("last")).where("leader <> last")
     return written(tiled.join(shared.select("key", "leader"), "key").select("key", "leader", "c").distinct())
 
