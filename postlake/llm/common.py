@@ -22,6 +22,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def batch_texts(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python in smaller Arrow batches than the default of 10,000 rows, unless the session sets a number itself."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlake.llm import tokens
-from postlake.llm.common import id_of, keyed, written
+from postlake.llm.common import batch_texts, id_of, keyed, written
 
 #: Terms looked up in one pass (8 bytes each, sent to every task); more take more passes.
 TERMS_A_PASS = 1_000_000
@@ -189,6 +189,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, per_
     Rows that repeat a document id are documents of their own.
     Other columns are not read.  Texts and items are read whole.
     """
+    batch_texts(docs.sparkSession)
     texts = keyed(docs, id_col, text_col)
     found = written(phrases(benchmark, window, item_id, text_col))
     candidates = phrase_candidates(texts, found)

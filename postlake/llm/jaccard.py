@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlake.llm import tokens
-from postlake.llm.common import NO_ID, components, id_of, written
+from postlake.llm.common import NO_ID, batch_texts, components, id_of, written
 
 _BAND = 1.6
 _SLACK = 1.1
@@ -260,6 +260,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     Rows that repeat an id are documents of their own under that id.  Other
     columns are not read.  Sets are named by 64-bit hashes.
     """
+    batch_texts(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text_col).cast("string").alias("text"))
     rows = written(texts.mapInArrow(_named(n), "k long, n long, c long"))
     classes = rows.where("n > 0").groupBy("c").agg(F.min("k").alias("first"), F.count("*").alias("copies"))

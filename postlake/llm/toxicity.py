@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlake.llm import tokens
-from postlake.llm.common import NO_ID, id_of
+from postlake.llm.common import NO_ID, batch_texts, id_of
 
 #: Lengths in bytes of the word beginnings that are units besides whole words.
 PREFIXES = (6, 5, 4)
@@ -220,6 +220,7 @@ def toxic_passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     Null and empty texts have no words, no passages and the score of no evidence.
     Null and repeated ids are rows like others; other columns are not read.
     """
+    batch_texts(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
