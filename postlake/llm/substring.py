@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlake.llm import tokens
-from postlake.llm.common import id_of, keyed, written
+from postlake.llm.common import batch_texts, id_of, keyed, written
 
 _ORD = 40  # a place is ord << 40 | word position
 _OCC = "m long, u long, k long, at long, n long"
@@ -149,7 +149,7 @@ def repeated_spans(texts: DataFrame, dealt: DataFrame, window: int, k: int) -> D
     piece = ("k", "at", (F.col("n") + (window - 1)).alias("n"))
     whole = met.where(~F.col("branch") & later).select(*piece)
     forks = met.where("branch").select("m", "u", "k", "at", "n")
-    firsts = forks.groupBy("m", "u").agg(F.min(place).alias("f"), F.min("n").alias("n"), F.count("*").alias("c"))
+    firsts = written(forks.groupBy("m", "u").agg(F.min(place).alias("f"), F.min("n").alias("n"), F.count("*").alias("c")))
     copies = forks.join(firsts.where("c > 1").select("m", "u", "f"), ["m", "u"]).where(later).select(*piece)
     opened = firsts.groupBy(F.col("f.k").alias("k")).agg(F.collect_list(F.struct(F.col("f.at").alias("at"), "n")).alias("places"))
     edges = dealt.join(opened.hint("shuffle_hash"), "k").mapInArrow(_edges(window), _EDGE)
@@ -173,6 +173,7 @@ def drop_repeated_spans(docs: DataFrame, window: int = 20, k: int = 5, id_col: s
     """
     if not 0 < k < window:
         raise ValueError("k must be positive and smaller than window")
+    batch_texts(docs.sparkSession)
     texts = keyed(docs, id_col, text_col).select("k", "ord", "text")
     dealt = texts.repartition("k")
     cuts = repeated_spans(texts, dealt, window, k).groupBy("k").agg(F.collect_set(F.struct("at", "n")).alias("places"))
