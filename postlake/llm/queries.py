@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlake.llm.ann import nearest
 from postlake.llm.decontam import benchmark_hits
 from postlake.llm.jaccard import jaccard_components
 from postlake.llm.mixing import mix_sources
 from postlake.llm.sharding import shard_documents
 from postlake.llm.substring import drop_repeated_spans
+from postlake.llm.toxicity import fit, toxic_passages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +27,17 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans"))
 
 
+def held_out(remainder: int, of: int) -> F.Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % of == remainder, F.lit(False))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = toxic_passages(documents, fit(documents, labels.where(~held_out(0, 5))))
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
+    return scored.select("doc_id", held_out(0, 5).alias("held_out"), "score", predicted.alias("predicted"), "n_words", F.size("passages").cast("long").alias("n_passages"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -45,8 +58,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = _table(spark, sf_dir, "embeddings")
+    return nearest(embeddings, embeddings.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op3_jaccard_join": op3_jaccard_join, "op4_source_mixing": op4_source_mixing, "op5_sharding": op5_sharding, "op8_decontamination": op8_decontamination}
+    own = (op1_substring_dedup, op2_toxicity, op3_jaccard_join, op4_source_mixing, op5_sharding, op8_decontamination, op10_nearest_neighbours)
+    return {query.__name__: query for query in own}
 
 
 def oracle_sql() -> dict[str, str]:
