@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlake.llm import langid, license, linedup
 from postlake.llm.ann import nearest
 from postlake.llm.decontam import benchmark_hits
 from postlake.llm.jaccard import jaccard_components
+from postlake.llm.license import scan_licenses
+from postlake.llm.linedup import drop_template_lines
 from postlake.llm.mixing import mix_sources
 from postlake.llm.sharding import shard_documents
 from postlake.llm.substring import drop_repeated_spans
@@ -52,21 +55,37 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    found = langid.detect_languages(documents, langid.fit(documents.where(~held_out(2, 4))))
+    return found.select("doc_id", held_out(2, 4).alias("held_out"), "lang_pred", "score")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_template_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13, per_cent=5)
     items = F.sha2(F.array_join("items", ","), 256)
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "digest", "license", F.array_join("licenses", ",").alias("licenses"), "n_license_lines")
+
+
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     embeddings = _table(spark, sf_dir, "embeddings")
     return nearest(embeddings, embeddings.where(F.col("vec_id") % 20 == 0), k=20)
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_substring_dedup, op2_toxicity, op3_jaccard_join, op4_source_mixing, op5_sharding, op8_decontamination, op10_nearest_neighbours)
+    own = (op1_substring_dedup, op2_toxicity, op3_jaccard_join, op4_source_mixing, op5_sharding, op6_language_id, op7_line_dedup, op8_decontamination, op9_license_scan, op10_nearest_neighbours)
     return {query.__name__: query for query in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": linedup.ORACLE_SQL, "op9_license_scan": license.oracle_sql()}
