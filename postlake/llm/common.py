@@ -78,3 +78,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if stepped.where("comp < old").isEmpty():
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+#: Up to this many rows (k, h) are broadcast to be left out; beyond, the texts are shuffled to them.
+FEW_ROWS = 500_000
+
+
+def with_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows as (_row, k, h): all columns in a struct, the id as in keyed() and the hash of the text."""
+    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
+    return row.select("_row", F.coalesce(F.col("_row").getField(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.xxhash64(F.col("_row").getField(text_col).cast("string")).alias("h"))
+
+
+def without(named: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows (_row, k, h) whose (k, h) is not in a written frame."""
+    return named.join(F.broadcast(gone) if gone.count() <= FEW_ROWS else gone, ["k", "h"], "left_anti").select("_row", "k", "h")

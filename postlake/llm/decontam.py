@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlake.llm import tokens
-from postlake.llm.common import batch_texts, id_of, keyed, written
+from postlake.llm.common import batch_texts, id_of, keyed, with_names, without, written
 
 #: Terms looked up in one pass (8 bytes each, sent to every task); more take more passes.
 TERMS_A_PASS = 1_000_000
-_FOUND = "k long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,length:long>>"
+_FOUND = "k long, h long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,length:long>>"
 
 
 def _phrases(window: int):
@@ -172,7 +172,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
                 hits[i], items[i] = hit.sum(), sorted(names)
                 spans[i] = [{"start": int(s), "length": int(e - s)} for s, e in zip(edge[::2], edge[1::2], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(words.counts), pa.array(hits), pa.array(items, pa.list_(pa.string())), pa.array(spans, span)], names=["k", "n_words", "n_hit", "items", "spans"])
+            yield pa.RecordBatch.from_arrays([part.column("k"), part.column("h"), pa.array(words.counts), pa.array(hits), pa.array(items, pa.list_(pa.string())), pa.array(spans, span)], names=["k", "h", "n_words", "n_hit", "items", "spans"])
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, per_cent: int = 5, id_col: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -189,16 +189,27 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, per_
     Rows that repeat a document id are documents of their own.
     Other columns are not read.  Texts and items are read whole.
     """
+    out = _hits(docs, benchmark, window, per_cent, id_col, item_id, text_col)
+    return out.select(id_of(F.col("k")).alias(id_col), "n_words", "n_hit", "items", "spans", "contaminated")
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, per_cent: int, id_col: str, item_id: str, text_col: str) -> DataFrame:
+    """What benchmark_hits returns, with k and h (the hash of the text) for the id."""
     batch_texts(docs.sparkSession)
     texts = keyed(docs, id_col, text_col)
     found = written(phrases(benchmark, window, item_id, text_col))
     candidates = phrase_candidates(texts, found)
-    place = "places array<struct<ord:long,start:long,terms:array<long>,items:array<string>>>"
+    place = "array<struct<ord:long,start:long,terms:array<long>,items:array<string>>>"
     if candidates is None:
-        met = texts.select("k", "ord", "text", F.lit(None).cast(place.split(" ", 1)[1]).alias("places"))
+        met = texts.withColumn("places", F.lit(None).cast(place))
     else:
         listed = candidates.join(found, "w").groupBy("k").agg(F.collect_list(F.struct("ord", "start", "terms", "items")).alias("places"))
-        met = texts.select("k", "ord", "text").join(listed.hint("shuffle_hash"), "k", "left").select("k", "ord", "text", "places")
-    out = met.mapInArrow(_verify, _FOUND)
-    contaminated = (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * per_cent)
-    return out.select(id_of(F.col("k")).alias(id_col), "n_words", "n_hit", "items", "spans", contaminated.alias("contaminated"))
+        met = texts.join(listed.hint("shuffle_hash"), "k", "left")
+    out = met.select("k", F.xxhash64("text").alias("h"), "ord", "text", "places").mapInArrow(_verify, _FOUND)
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * per_cent))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, per_cent: int = 5, id_col: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
+    """The documents with all their columns, without those that benchmark_hits finds contaminated."""
+    gone = written(_hits(docs, benchmark, window, per_cent, id_col, item_id, text_col).where("contaminated").select("k", "h").distinct())
+    return without(with_names(docs, id_col, text_col), gone).select("_row.*")

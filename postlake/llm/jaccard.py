@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlake.llm import tokens
-from postlake.llm.common import NO_ID, batch_texts, components, id_of, written
+from postlake.llm.common import NO_ID, batch_texts, components, id_of, with_names, without, written
 
 _BAND = 1.6
 _SLACK = 1.1
@@ -108,7 +108,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int):
 def _named(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, n):
-            yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(sets.sizes), pa.array(sets.names)], names=["k", "n", "c"])
+            yield pa.RecordBatch.from_arrays([part.column("k"), part.column("h"), pa.array(sets.sizes), pa.array(sets.names)], names=["k", "h", "n", "c"])
 
     return run
 
@@ -260,9 +260,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     Rows that repeat an id are documents of their own under that id.  Other
     columns are not read.  Sets are named by 64-bit hashes.
     """
+    out = _components_of(docs, n, percent, id_col, text_col)
+    return out.select(id_of(F.col("k")).alias(id_col), F.col("n").alias("n_shingles"), id_of(F.col("component")).alias("component_id"), F.col("copies").alias("n_copies"))
+
+
+def _components_of(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(k, h, n, component, copies) of each row; h is the hash of the text."""
     batch_texts(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text_col).cast("string").alias("text"))
-    rows = written(texts.mapInArrow(_named(n), "k long, n long, c long"))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
+    rows = written(texts.mapInArrow(_named(n), "k long, h long, n long, c long"))
     classes = rows.where("n > 0").groupBy("c").agg(F.min("k").alias("first"), F.count("*").alias("copies"))
     members = _members(texts, n, percent)
     leaders = members.where("c <> leader").select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct()
@@ -275,8 +282,26 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     joined = classes.join(labels, classes["c"] == labels["node"], "left").select("c", "first", "copies", F.coalesce("comp", "c").alias("comp"))
     lowest = joined.groupBy("comp").agg(F.min("first").alias("component"))
     found = joined.join(lowest, "comp").select("c", "component", "copies")
-    out = rows.where("n > 0").join(found, "c").select("k", "n", "component", "copies").unionByName(rows.where("n = 0").select("k", "n", F.col("k").alias("component"), F.lit(1).cast("long").alias("copies")))
-    return out.select(id_of(F.col("k")).alias(id_col), F.col("n").alias("n_shingles"), id_of(F.col("component")).alias("component_id"), F.col("copies").alias("n_copies"))
+    alone = rows.where("n = 0").select("k", "h", "n", F.col("k").alias("component"), F.lit(1).cast("long").alias("copies"))
+    return rows.where("n > 0").join(found, "c").select("k", "h", "n", "component", "copies").unionByName(alone)
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with all their columns, but only one of each component of jaccard_components.
+
+    The one with the smallest id stays, of several texts under that id the one with
+    the smallest hash, of repeated rows any.  Documents without words all stay.
+    """
+    rows = written(_components_of(docs, n, percent, id_col, text_col)).where("n > 0")
+    stay = rows.where("k = component").groupBy("component").agg(F.min("h").alias("h"), F.count("*").alias("rows"))
+    stay = written(stay.select(F.col("component").alias("k"), "h", "rows"))
+    gone = written(rows.select("k", "h").distinct().join(stay, ["k", "h"], "left_anti"))
+    kept = without(with_names(docs, id_col, text_col), gone)
+    repeated = stay.where("rows > 1").select("k", "h")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, ["k", "h"], "left_semi").dropDuplicates(["k", "h"])
+        kept = kept.join(repeated, ["k", "h"], "left_anti").select("_row", "k", "h").unionByName(once.select("_row", "k", "h"))
+    return kept.select("_row.*")
 
 
 def _members(texts: DataFrame, n: int, percent: int) -> DataFrame:

@@ -84,7 +84,9 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = (op1_substring_dedup, op2_toxicity, op3_jaccard_join, op4_source_mixing, op5_sharding, op6_language_id, op7_line_dedup, op8_decontamination, op9_license_scan, op10_nearest_neighbours)
-    return {query.__name__: query for query in own}
+    import corpus_pipeline  # which imports operators of this subpackage
+
+    return {query.__name__: query for query in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

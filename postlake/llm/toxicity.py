@@ -241,3 +241,26 @@ def toxic_passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _SCORED)
     score = 1 / (1 + F.exp(-(F.lit(model.bias) + F.lit(model.slope) * F.log1p("evidence"))))
     return rows.select(id_of(F.col("k")).alias(id_col), "n_words", score.alias("score"), "evidence", "passages")
+
+
+def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents with all their columns, without those whose score (see toxic_passages) is ``limit`` or more.
+
+    Rows pass through one by one, so nothing is shuffled.
+    """
+    batch_texts(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            for part in tokens.slices(batch, text_col):
+                words, units = unit_hashes(part.column(text_col).cast(pa.string()))
+                scores = word_scores(units, model)
+                keep = np.full(part.num_rows, model.probability(0.0) < limit)
+                for i in np.unique(np.searchsorted(words.first, np.flatnonzero(scores > 0), side="right") - 1).tolist():
+                    own = scores[words.first[i] : words.first[i + 1]]
+                    keep[i] = model.probability(beyond_chance(np.array([s for _, _, s in segments(own)]), len(own), model)) < limit
+                yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
