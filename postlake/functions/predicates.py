@@ -1,0 +1,135 @@
+"""Gates on postings, as columns: relevance, exclusion, remote work, locality."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from postlake.functions.text import any_of, col, escaped, first_match, keyword_pattern, scrubbed, token_pattern, whole_word
+from postlake.profile import NON_US_REGIONS, REMOTE_BODY_PHRASES, REMOTE_LOCATION_TOKENS, REMOTE_NEGATIONS, US_MARKERS, Excludes, Vocabulary
+
+#: Characters of a description in which domain and skill terms count together.
+HEAD = 1200
+
+
+def _has(text: Column, terms) -> Column:
+    return text.rlike(any_of(keyword_pattern(x) for x in terms)) if terms else F.lit(False)
+
+
+def _contains(text: Column, terms) -> Column:
+    return text.rlike(any_of(escaped(x.lower()) for x in terms)) if terms else F.lit(False)
+
+
+def _joined(title: Column, description: Column) -> Column:
+    return F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit(""))))
+
+
+def relevance_tier(title, description, vocabulary: Vocabulary) -> Column:
+    """CORE, EXTRA or DOMAIN+SKILL, the first that holds; null for irrelevant and excluded postings.
+
+    Text is lower-cased and scrubbed of boilerplate, except that title exclusions
+    read the title as it is.  Domain and skill must both be in the title or the
+    first HEAD characters of the description.
+    """
+    title, description = col(title), col(description)
+    text = scrubbed(_joined(title, description), vocabulary.boilerplate)
+    head = scrubbed(_joined(title, F.left(description, F.lit(HEAD))), vocabulary.boilerplate)
+    tiered = {x.lower() for x in (*vocabulary.core, *vocabulary.domain, *vocabulary.skill)}
+    extra = [x for x in vocabulary.extra if x.lower() not in tiered]
+    out = _contains(text, vocabulary.exclude) | _contains(F.lower(F.coalesce(title, F.lit(""))), vocabulary.exclude_title)
+    return F.when(out, None).when(_has(text, vocabulary.core), "CORE").when(_has(text, extra), "EXTRA").when(_has(head, vocabulary.domain) & _has(head, vocabulary.skill), "DOMAIN+SKILL")
+
+
+def is_relevant(title, description, vocabulary: Vocabulary) -> Column:
+    return relevance_tier(title, description, vocabulary).isNotNull()
+
+
+def core_anchor(title, description, vocabulary: Vocabulary) -> Column:
+    """The first core term, in the order of the list, that the posting holds; boilerplate is not scrubbed."""
+    return first_match(_joined(col(title), col(description)), vocabulary.core, keyword_pattern)
+
+
+def is_technical(title, pattern: str) -> Column:
+    return F.coalesce(col(title), F.lit("")).rlike("(?i)" + pattern)
+
+
+def exclude_reason(title, description, excludes: Excludes, boilerplate=(), allow_defense: Column | bool = False) -> Column:
+    """Why a posting is dropped, or null: role phrase, title token, defense terms, radar, non-clinical, in this order.
+
+    One strong defense term suffices, of weak ones it takes two; watched employers
+    are allowed them.  Without any defense term configured, radar is no reason.
+    """
+    title, low = F.lower(F.coalesce(col(title), F.lit(""))), _joined(col(title), col(description))
+    lowered = lambda terms: [x.lower() for x in terms]
+    phrase = first_match(low, lowered(excludes.role_phrases), whole_word)
+    token = first_match(title, lowered(excludes.title_tokens), whole_word)
+    out = F.when(phrase.isNotNull(), F.concat(F.lit("role: "), phrase)).when(token.isNotNull(), F.concat(F.lit("role-title: "), F.upper(token)))
+    if excludes.strong or excludes.weak:
+        text, open_ = scrubbed(low, boilerplate), ~F.lit(allow_defense) if isinstance(allow_defense, bool) else ~F.coalesce(allow_defense, F.lit(False))
+        strong = first_match(text, lowered(excludes.strong), token_pattern)
+        weak = F.array_compact(F.array(*[F.when(text.rlike(token_pattern(x)), x) for x in lowered(excludes.weak)])) if excludes.weak else F.array().cast("array<string>")
+        radar = text.contains("radar") & text.rlike(any_of(token_pattern(x) for x in excludes.radar_context))
+        out = out.when(open_ & strong.isNotNull(), F.concat(F.lit("defense: "), strong))
+        out = out.when(open_ & (F.size(weak) >= 2), F.concat(F.lit("defense: "), F.array_join(F.slice(weak, 1, 3), "+")))
+        out = out.when(open_ & radar, "defense: military radar")
+    other = first_match(low, lowered(excludes.nonclinical), whole_word)
+    return out.when(other.isNotNull(), F.concat(F.lit("non-clinical: "), other))
+
+
+def _remote_pattern(term: str) -> str:
+    return whole_word(term) if term == "wfh" else escaped(term)
+
+
+def remote_signal(location, description, hint=None) -> Column:
+    """What says that a posting is remote: a structured hint before all, then the location, then the body.
+
+    A negation anywhere vetoes text but not a hint.
+    """
+    place, body = F.lower(F.coalesce(col(location), F.lit(""))), F.lower(F.coalesce(col(description), F.lit("")))
+    no = F.concat(place, F.lit(" \n "), body).rlike(any_of(_remote_pattern(x) for x in REMOTE_NEGATIONS))
+    at, said = first_match(place, REMOTE_LOCATION_TOKENS, _remote_pattern), first_match(body, REMOTE_BODY_PHRASES, _remote_pattern)
+    text = F.when(no, None).when(at.isNotNull(), F.concat(F.lit("location:"), at)).when(said.isNotNull(), F.concat(F.lit("body:"), said))
+    return text if hint is None else F.when(F.coalesce(col(hint), F.lit("")) != "", F.concat(F.lit("hint:"), col(hint))).otherwise(text)
+
+
+def _region_pattern(term: str) -> str:
+    return whole_word(term) if term.isalpha() and len(term) <= 3 else escaped(term)
+
+
+def us_eligible(location) -> Column:
+    """False only for a location that names a region elsewhere and no marker of the US."""
+    place = F.lower(F.coalesce(col(location), F.lit("")))
+    return (place == "") | place.rlike(any_of(map(_region_pattern, US_MARKERS))) | ~place.rlike(any_of(map(_region_pattern, NON_US_REGIONS)))
+
+
+def locality_pattern(words, names) -> str:
+    """Local words match as words, names anywhere; without either, nothing is local."""
+    return any_of([whole_word(x.lower()) for x in words] + [escaped(x.lower()) for x in names])
+
+
+def geo_mode(location, description, local: str) -> Column:
+    """onsite if location or body is local, remote if a signal says so, else null."""
+    both = F.lower(F.concat_ws(" ", F.coalesce(col(location), F.lit("")), F.coalesce(col(description), F.lit(""))))
+    return F.when(both.rlike(local), "onsite").when(remote_signal(location, description).isNotNull(), "remote")
+
+
+def geo_bucket(location, remote_eligible, mode, local: str) -> Column:
+    """local by the location alone, remote by flag, mode or location, else relocation."""
+    remote = F.coalesce(col(remote_eligible), F.lit(False)) | (F.coalesce(col(mode), F.lit("")) == "remote") | remote_signal(location, F.lit("")).isNotNull()
+    return F.when(F.lower(F.coalesce(col(location), F.lit(""))).rlike(local), "local").when(remote, "remote").otherwise("relocation")
+
+
+def company_tokens(name, suffixes=("inc", "llc", "corp", "corporation", "co", "ltd", "company", "the")) -> Column:
+    return F.array_except(F.filter(F.split(F.lower(col(name)), "[^a-z0-9]+"), lambda x: x != ""), F.array(*map(F.lit, suffixes)))
+
+
+def same_company(a: Column, b: Column) -> Column:
+    """One token set within the other, both non-empty."""
+    return (F.size(a) > 0) & (F.size(b) > 0) & ((F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0))
+
+
+CLEARANCE = r"(?i)(?:active|current|hold|holds|possess|must have|requires?)\s+(?:an?\s+|the\s+)?(?:(?:active|current|secret|top|ts/sci|dod|us|u\.s\.)\s+)*(?:security\s+)?clearance"
+
+
+def needs_clearance(text) -> Column:
+    return F.coalesce(col(text), F.lit("")).rlike(CLEARANCE)

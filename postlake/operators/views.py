@@ -1,0 +1,89 @@
+"""Ranked and summarised views over postings and companies."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from postlake.functions.scoring import effective_mission, with_mission
+
+#: Dispositions that take a posting out of the ranking.
+OUT_OF_RANKING = ("applied", "interviewing", "offer", "rejected", "dismissed")
+
+
+def not_closed(status: str = "status") -> Column:
+    """Written so that it reaches the Parquet scan."""
+    return F.col(status).isNull() | (F.col(status) != "closed")
+
+
+def ranked(postings: DataFrame, companies: DataFrame, multi_division: Column, floor: float = 0.6, rank_by: str = "combined", min_mission: float | None = None, local: str | None = None, allow_modes: tuple[str, ...] = (), include_closed: bool = False, include_dispositioned: bool = False, track: str | None = None, limit: int | None = None) -> DataFrame:
+    """Postings with their company's mission, best first; ties by job_id.
+
+    With ``local``, a posting needs a local location, or one of ``allow_modes`` at a
+    watched company.  An unknown mission passes ``min_mission``.  A limit is part of
+    the order, so Spark keeps the best of each partition only.
+    """
+    rows = postings
+    if not include_closed:
+        rows = rows.where(not_closed())
+    if not include_dispositioned:
+        rows = rows.where(F.col("disposition").isNull() | ~F.col("disposition").isin(*OUT_OF_RANKING))
+    if track is not None:
+        rows = rows.where(F.array_contains("track", track))
+    rows = rows.join(companies, "company_id", "left")
+    if local is not None:
+        here = F.lower(F.coalesce("location", F.lit(""))).rlike(local)
+        rows = rows.where(here | (F.col("geo_mode").isin(*allow_modes) & F.coalesce(F.array_contains("tags", "watch"), F.lit(False))))
+    rows = rows.withColumn("mission", effective_mission("mission_score", multi_division, floor)).withColumn("combined", with_mission("fit", "mission"))
+    if min_mission is not None:
+        rows = rows.where(F.col("mission").isNull() | (F.col("mission") >= min_mission))
+    low = lambda c: F.coalesce(F.col(c), F.lit(-1.0)).desc()
+    rows = rows.orderBy(low(rank_by), low("combined"), low("fit"), low("mission"), "job_id")
+    return rows.limit(limit) if limit is not None else rows
+
+
+def numbered(rows: DataFrame, order: list[Column], by: list[str]) -> DataFrame:
+    """Ranks from 1 within groups."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def pipeline(postings: DataFrame) -> DataFrame:
+    return postings.where(F.col("disposition").isNotNull()).orderBy(F.desc_nulls_last("disposition_at"), "job_id")
+
+
+def open_counts(companies: DataFrame, postings: DataFrame) -> DataFrame:
+    counts = postings.where(not_closed()).groupBy("company_id").agg(F.count("*").alias("n_open"))
+    return companies.join(counts, "company_id", "left").withColumn("n_open", F.coalesce("n_open", F.lit(0)).cast("long"))
+
+
+def stats(postings: DataFrame, today: Column) -> DataFrame:
+    """All tiles in one pass."""
+    is_open = not_closed()
+    out = postings.agg(
+        F.count_if(is_open).alias("n_open"),
+        F.count_if(~is_open).alias("n_closed"),
+        F.count_if(is_open & (F.col("first_seen").cast("date") == today)).alias("new_today"),
+        F.count_if(is_open & F.col("posted_at").isNotNull()).alias("n_dated"),
+        F.count("disposition").alias("n_pipeline"),
+        F.count_if(F.col("disposition") == "saved").alias("n_saved"),
+    )
+    return out.withColumn("dated_percent", F.coalesce(F.round(100 * F.col("n_dated") / F.nullif(F.col("n_open"), F.lit(0)), 0), F.lit(0.0)))
+
+
+def funnel(rows: DataFrame, source: str, relevant: Column, kept: Column, new: Column) -> DataFrame:
+    return rows.groupBy(source).agg(F.count("*").alias("fetched"), F.count_if(relevant).alias("gate1"), F.count_if(relevant & kept).alias("kept"), F.count_if(relevant & kept & new).alias("n_new"))
+
+
+def diversified(rows: DataFrame, company: str, pos: str, n: int) -> DataFrame:
+    """n rows, round after round one of each company, companies in the order of their first row."""
+    by = Window.partitionBy(company)
+    turn = rows.withColumn("turn", F.row_number().over(by.orderBy(pos))).withColumn("first_pos", F.min(pos).over(by))
+    return turn.where(F.col("turn") <= n).orderBy("turn", "first_pos").limit(n)
+
+
+def digest(ranked_rows: DataFrame, title: str = "Ranked postings") -> DataFrame:
+    """Markdown lines (pos, line) of a ranked frame with rank, job_id, title, fit and age."""
+    line = F.format_string("%d. [%.2f] %s — %s (%s)", "rank", F.coalesce("fit", F.lit(0.0)), F.coalesce("title", F.lit("?")), "job_id", "age")
+    body = ranked_rows.select(F.col("rank").cast("long").alias("pos"), line.alias("line"))
+    head = ranked_rows.sparkSession.createDataFrame([(0, f"# {title}")], "pos long, line string")
+    return head.unionByName(body)
