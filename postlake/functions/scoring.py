@@ -68,14 +68,14 @@ def mean_error(rows: DataFrame, predicted: str, wanted: str) -> DataFrame:
     return rows.agg(F.avg(F.abs(F.col(predicted) - F.col(wanted))).alias("mae"), F.count("*").alias("n"))
 
 
-def rank_agreement(rows: DataFrame, group: list[str], predicted: str, wanted: str, key: str) -> DataFrame:
+def rank_agreement(rows: DataFrame, group: list[str], predicted: str, wanted: str, key: list[str]) -> DataFrame:
     """Kendall's agreement of two orders within groups: (concordant - discordant) / pairs, 1 for a single row.
 
-    Both orders fall, ties going to smaller keys.  The group is the join key, so
+    Both orders fall, ties going to the smaller of ``key``.  The group is the join key, so
     pairs arise within groups only; groups are meant to be small, as a set of
     anchors or the lines of an order is.
     """
-    order = lambda c: F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(c), key))
+    order = lambda c: F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(c), *key))
     placed = rows.select(*group, order(predicted).alias("p"), order(wanted).alias("w"))
     pairs = placed.alias("a").join(placed.alias("b"), [F.col(f"a.{g}") == F.col(f"b.{g}") for g in group]).where("a.p < b.p")
     signs = pairs.select(*[F.col(f"a.{g}").alias(g) for g in group], F.when(F.col("a.w") < F.col("b.w"), 1).otherwise(-1).alias("s"))
