@@ -205,9 +205,10 @@ def _may_overlap(percent: int) -> F.Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked: sizes and bitmaps first, then the sorted arrays."""
-    side = lambda s: sets.select(F.col("c").alias(s), *[F.col(x).alias(f"{x}_{s}") for x in ("n", "bits", "members")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_may_overlap(percent))
+    """The pairs (a, b) that are linked: sizes and bitmaps first, then the sorted arrays of what they leave."""
+    side = lambda s, *columns: sets.select(F.col("c").alias(s), *[F.col(x).alias(f"{x}_{s}") for x in columns])
+    maybe = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").where(_may_overlap(percent)).select("a", "b")
+    both = maybe.join(side("a", "members"), "a").join(side("b", "members"), "b")
     return both.select("a", "b", "members_a", "members_b").mapInArrow(_exact(percent), "a long, b long")
 
 
@@ -237,7 +238,8 @@ def cross_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     named = members.where("c <> leader").join(labels, F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("comp", "c").alias("comp"))
     open_tiles = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
     held = written(named.join(open_tiles.select("key", "m"), "key").join(sets.select("c", "n", "bits"), "c"))
-    small = held.where(F.col("m") <= _SMALL)
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # pairs cost more than their few bytes tell
+    small = held.where(F.col("m") <= _SMALL).repartition(parts, "key")
     one = small.select("key", F.col("c").alias("a"), *[F.col(x).alias(f"{x}_a") for x in ("comp", "n", "bits")])
     two = small.select("key", F.col("c").alias("b"), *[F.col(x).alias(f"{x}_b") for x in ("comp", "n", "bits")])
     near = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _may_overlap(percent)).select("a", "b")
@@ -272,13 +274,8 @@ def _components_of(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
     rows = written(texts.mapInArrow(_named(n), "k long, h long, n long, c long"))
     classes = rows.where("n > 0").groupBy("c").agg(F.min("k").alias("first"), F.count("*").alias("copies"))
     members = _members(texts, n, percent)
-    leaders = members.where("c <> leader").select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct()
     sets = written(_sets_of(texts, members, rows, n))
-    links = written(verified(leaders, sets, percent))
-    labels = components(links)
-    more = written(verified(cross_pairs(members, labels, sets, percent), sets, percent))
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    labels = _linked_labels(members, sets, percent)
     joined = classes.join(labels, classes["c"] == labels["node"], "left").select("c", "first", "copies", F.coalesce("comp", "c").alias("comp"))
     lowest = joined.groupBy("comp").agg(F.min("first").alias("component"))
     found = joined.join(lowest, "comp").select("c", "component", "copies")
@@ -286,6 +283,30 @@ def _components_of(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
     return rows.where("n > 0").join(found, "c").select("k", "h", "n", "component", "copies").unionByName(alone)
 
 
+def _linked_labels(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, comp) of all sets that are linked.
+
+    Each member is compared with its smallest leader, then with other leaders that
+    are in another component still, and then with others of its tiles that are.
+    """
+    pairs = written(members.where("c <> leader").select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct())
+    links = written(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent))
+    labels = components(links)
+    for step in (_apart(pairs, labels), None):
+        more = written(verified(cross_pairs(members, labels, sets, percent) if step is None else step, sets, percent))
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links)
+    return labels
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    side = lambda s: labels.select(F.col("node").alias(s), F.col("comp").alias(f"comp_{s}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
+
+
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with all their columns, but only one of each component of jaccard_components.
 
