@@ -14,7 +14,7 @@ from above.  What the bound leaves is decided on the sorted shingle arrays.
 
 No tile's pairs are listed.  First every member is compared with its tile's
 leader; only tiles that still hold several components afterwards are compared in
-blocks, and only pairs across components that the bitmaps allow come out.
+blocks, and only links that connect components come out.
 """
 
 from __future__ import annotations
@@ -212,41 +212,101 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "members_a", "members_b").mapInArrow(_exact(percent), "a long, b long")
 
 
+def common_counts(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Exact sizes of the intersections of all xs with all ys, sorted arrays both.
+
+    Only shingles that some x and some y hold count; a matrix product over
+    ``width`` of them at a time counts all pairs.
+    """
+    flat = [np.concatenate(side) for side in (xs, ys)]
+    rows = [np.repeat(np.arange(len(side)), [len(m) for m in side]) for side in (xs, ys)]
+    if xs is ys:
+        shared, count = np.unique(flat[0], return_counts=True)
+        shared = shared[count > 1]
+    else:
+        shared = np.intersect1d(*flat)
+    counts = np.zeros((len(xs), len(ys)), np.int64)
+    if xs is ys:
+        counts[np.arange(len(xs)), np.arange(len(xs))] = [len(x) for x in xs]
+    places = []
+    for members, row in zip(flat, rows, strict=True):
+        at = np.searchsorted(shared, members)
+        known = at < len(shared)
+        known[known] = shared[at[known]] == members[known]
+        order = np.argsort(at[known], kind="stable")
+        places.append((at[known][order], row[known][order]))
+    for lo in range(0, len(shared), width):
+        parts = []
+        for (at, row), side in zip(places, (xs, ys), strict=True):
+            some = slice(*np.searchsorted(at, [lo, lo + width]))
+            held = np.zeros((len(side), min(width, len(shared) - lo)), np.float32)
+            held[row[some], at[some] - lo] = 1
+            parts.append(held)
+        product = (parts[0] @ parts[1].T).astype(np.int64)
+        if xs is ys:
+            product[np.arange(len(xs)), np.arange(len(xs))] = 0
+        counts += product
+    return counts
+
+
 def _across(percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of a block pair that lie in different components and that the bitmaps allow."""
+        """Links between components within a block pair, as few as connect what is linked there."""
         lo, hi = group["i"].iloc[0], group["j"].iloc[0]
-        x, y = group[group["block"] == lo], group[group["block"] == hi]
+        x = group[group["block"] == lo].reset_index(drop=True)
+        y = x if lo == hi else group[group["block"] == hi].reset_index(drop=True)
         bx, by = (np.array(s["bits"].tolist(), np.int64).reshape(len(s), -1).view(np.uint64) for s in (x, y))
-        ny, cy, compy = (y[c].to_numpy() for c in ("n", "c", "comp"))
-        out = []
-        for bits, n, c, comp in zip(bx, x["n"], x["c"], x["comp"], strict=True):
-            most = np.minimum(n - np.bitwise_count(bits & ~by).sum(1, dtype=np.int64), ny - np.bitwise_count(by & ~bits).sum(1, dtype=np.int64))
-            ok = (compy != comp) & linked(most, n, ny, percent) & ((lo != hi) | (cy > c))
-            out.append(pd.DataFrame({"a": np.minimum(c, cy[ok]), "b": np.maximum(c, cy[ok])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}).astype("int64")
+        (nx, cx, compx), (ny, cy, compy) = ([s[c].to_numpy() for c in ("n", "c", "comp")] for s in (x, y))
+        allowed = np.zeros((len(x), len(y)), bool)
+        for i in range(len(x)):
+            most = np.minimum(nx[i] - np.bitwise_count(bx[i] & ~by).sum(1, dtype=np.int64), ny - np.bitwise_count(by & ~bx[i]).sum(1, dtype=np.int64))
+            allowed[i] = (compy != compx[i]) & linked(most, nx[i], ny, percent)
+        out, rows = [], np.flatnonzero(allowed.any(1))
+        if len(rows):
+            columns = rows if x is y else np.flatnonzero(allowed.any(0))
+            xs = [np.frombuffer(m, np.uint64) for m in x["members"].to_numpy()[rows]]
+            ys = xs if x is y else [np.frombuffer(m, np.uint64) for m in y["members"].to_numpy()[columns]]
+            met = allowed[np.ix_(rows, columns)] & linked(common_counts(xs, ys), nx[rows][:, None], ny[columns][None, :], percent)
+            label = {c: c for c in np.concatenate((compx, compy)).tolist()}
+
+            def root(c: int) -> int:
+                while label[c] != c:
+                    label[c] = c = label[label[c]]
+                return c
+
+            for i, row in zip(rows.tolist(), met, strict=True):
+                comps, first = np.unique(compy[columns[row]], return_index=True)
+                for comp, j in zip(comps.tolist(), columns[row][first].tolist(), strict=True):
+                    p, q = root(int(compx[i])), root(comp)
+                    if p != q:
+                        label[max(p, q)] = min(p, q)
+                        out.append((min(cx[i], cy[j]), max(cx[i], cy[j])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def cross_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one tile that are not in one component yet and that the bitmaps allow, but for its leader's pairs.
+def cross_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect components through a tile's members other than its leader.
 
     Leaders have been compared with all their members before.  A tile of up to
-    _SMALL others is joined with itself; a larger one meets in blocks of about _BLOCK.
+    _SMALL others is joined with itself.  A larger one meets in blocks of about
+    _BLOCK, each of which compares its own pairs and gives at most one link for
+    each component in it.
     """
     named = members.where("c <> leader").join(labels, F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("comp", "c").alias("comp"))
     open_tiles = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-    held = written(named.join(open_tiles.select("key", "m"), "key").join(sets.select("c", "n", "bits"), "c"))
+    held = written(named.join(open_tiles.select("key", "m"), "key"))
     parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # pairs cost more than their few bytes tell
-    small = held.where(F.col("m") <= _SMALL).repartition(parts, "key")
+    small = held.where(F.col("m") <= _SMALL).join(sets.select("c", "n", "bits"), "c").repartition(parts, "key")
     one = small.select("key", F.col("c").alias("a"), *[F.col(x).alias(f"{x}_a") for x in ("comp", "n", "bits")])
     two = small.select("key", F.col("c").alias("b"), *[F.col(x).alias(f"{x}_b") for x in ("comp", "n", "bits")])
-    near = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _may_overlap(percent)).select("a", "b")
+    near = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _may_overlap(percent)).select("a", "b").distinct()
     large = held.where(F.col("m") > _SMALL).withColumn("blocks", F.ceil(F.col("m") / _BLOCK).cast("int")).withColumn("block", F.pmod(F.hash("c"), "blocks"))
-    met = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("key", "c", "comp", "n", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return near.unionByName(met.groupBy("key", "i", "j").applyInPandas(_across(percent), "a long, b long")).distinct()
+    met = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, "c")
+    met = met.select("key", "c", "comp", "n", "bits", "members", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    blocks = met.groupBy("key", "i", "j").applyInPandas(_across(percent), "a long, b long")
+    return verified(near, sets, percent).unionByName(blocks)
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,8 +352,8 @@ def _linked_labels(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     pairs = written(members.where("c <> leader").select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct())
     links = written(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent))
     labels = components(links)
-    for step in (_apart(pairs, labels), None):
-        more = written(verified(cross_pairs(members, labels, sets, percent) if step is None else step, sets, percent))
+    for find in (lambda: verified(_apart(pairs, labels), sets, percent), lambda: cross_links(members, labels, sets, percent)):
+        more = written(find())
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links)
