@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.llm import langid, license, linedup
+from postlake.llm import langid, license, linedup, oracles
 from postlake.llm.ann import nearest
 from postlake.llm.decontam import benchmark_hits
 from postlake.llm.jaccard import jaccard_components
@@ -90,4 +90,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": linedup.ORACLE_SQL, "op9_license_scan": license.oracle_sql()}
+    return {"op1_substring_dedup": oracles.OP1, "op3_jaccard_join": oracles.OP3, "op8_decontamination": oracles.OP8, "op7_line_dedup": linedup.ORACLE_SQL, "op9_license_scan": license.oracle_sql()}
