@@ -327,7 +327,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
 
 def _components_of(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(k, h, n, component, copies) of each row; h is the hash of the text."""
+    """(k, h, n, comp, component, copies) of each row: h is the hash of the text, comp the component's own name."""
     batch_texts(docs.sparkSession)
     text = F.col(text_col).cast("string")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
@@ -338,9 +338,9 @@ def _components_of(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
     labels = _linked_labels(members, sets, percent)
     joined = classes.join(labels, classes["c"] == labels["node"], "left").select("c", "first", "copies", F.coalesce("comp", "c").alias("comp"))
     lowest = joined.groupBy("comp").agg(F.min("first").alias("component"))
-    found = joined.join(lowest, "comp").select("c", "component", "copies")
-    alone = rows.where("n = 0").select("k", "h", "n", F.col("k").alias("component"), F.lit(1).cast("long").alias("copies"))
-    return rows.where("n > 0").join(found, "c").select("k", "h", "n", "component", "copies").unionByName(alone)
+    found = joined.join(lowest, "comp").select("c", "comp", "component", "copies")
+    alone = rows.where("n = 0").select("k", "h", "n", F.lit(0).cast("long").alias("comp"), F.col("k").alias("component"), F.lit(1).cast("long").alias("copies"))
+    return rows.where("n > 0").join(found, "c").select("k", "h", "n", "comp", "component", "copies").unionByName(alone)
 
 
 def _linked_labels(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -374,11 +374,10 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     the smallest hash, of repeated rows any.  Documents without words all stay.
     """
     rows = written(_components_of(docs, n, percent, id_col, text_col)).where("n > 0")
-    stay = rows.where("k = component").groupBy("component").agg(F.min("h").alias("h"), F.count("*").alias("rows"))
-    stay = written(stay.select(F.col("component").alias("k"), "h", "rows"))
+    stay = written(rows.groupBy("comp").agg(F.min(F.struct("k", "h")).alias("s")).select("s.k", "s.h"))
     gone = written(rows.select("k", "h").distinct().join(stay, ["k", "h"], "left_anti"))
     kept = without(with_names(docs, id_col, text_col), gone)
-    repeated = stay.where("rows > 1").select("k", "h")
+    repeated = written(rows.groupBy("k", "h").agg(F.count("*").alias("rows")).where("rows > 1").join(stay, ["k", "h"], "left_semi").select("k", "h"))
     if not repeated.isEmpty():
         once = kept.join(repeated, ["k", "h"], "left_semi").dropDuplicates(["k", "h"])
         kept = kept.join(repeated, ["k", "h"], "left_anti").select("_row", "k", "h").unionByName(once.select("_row", "k", "h"))
