@@ -36,6 +36,7 @@ _SLACK = 1.1
 _WORDS = 16  # 64-bit words of a bitmap
 _SMALL = 32  # members of a tile whose pairs a plain join compares
 _BLOCK = 1024  # members of a larger tile compared with each other at once
+_MOST_BLOCKS = 16
 _SEEN = 200_000  # sets remembered by a task, to send copies once
 #: Up to this many ids (16 bytes each) are broadcast; beyond, the texts are shuffled to them.
 _BROADCAST_IDS = 500_000
@@ -302,13 +303,32 @@ def cross_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     one = small.select("key", F.col("c").alias("a"), *[F.col(x).alias(f"{x}_a") for x in ("comp", "n", "bits")])
     two = small.select("key", F.col("c").alias("b"), *[F.col(x).alias(f"{x}_b") for x in ("comp", "n", "bits")])
     near = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _may_overlap(percent)).select("a", "b").distinct()
-    large = held.where(F.col("m") > _SMALL).withColumn("blocks", F.ceil(F.col("m") / _BLOCK).cast("int")).withColumn("block", F.pmod(F.hash("c"), "blocks"))
+    large = _bunches(held.where(F.col("m") > _SMALL)).withColumn("blocks", F.ceil(F.col("m") / _BLOCK).cast("int")).withColumn("block", F.pmod(F.hash("c"), "blocks"))
     met = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, "c")
     met = met.select("key", "c", "comp", "n", "bits", "members", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     blocks = met.groupBy("key", "i", "j").applyInPandas(_across(percent), "a long, b long")
     return verified(near, sets, percent).unionByName(blocks)
 
 
+def _bunches(tiled: DataFrame) -> DataFrame:
+    """The rows (key, c, comp, m) of large tiles, with tiles that share members put together as one.
+
+    Sets that are alike share many tiles, and each would be sent to all of them.
+    Put together, a set is sent to _MOST_BLOCKS blocks at most; tiles that would
+    make a larger bunch stay as they are.
+    """
+    if tiled.isEmpty():
+        return tiled
+    first = tiled.groupBy("key").agg(F.min("c").alias("a"))
+    names = components(tiled.join(first, "key").select("a", F.col("c").alias("b")).distinct()).select(F.col("node").alias("c"), F.col("comp").alias("bunch"))
+    named = written(tiled.join(names, "c"))
+    once = named.select("bunch", "c", "comp").distinct()
+    sizes = written(once.groupBy("bunch").agg(F.count("*").alias("size")))
+    fits = F.col("size") <= _MOST_BLOCKS * _BLOCK
+    bunched = once.join(sizes, "bunch").where(fits).select(F.col("bunch").alias("key"), "c", "comp", F.col("size").alias("m"))
+    return bunched.unionByName(named.join(sizes, "bunch").where(~fits).select("key", "c", "comp", "m"))
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Link documents whose sets of n-word shingles have a Jaccard similarity of percent / 100 or more.
 
