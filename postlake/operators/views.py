@@ -87,3 +87,29 @@ def digest(ranked_rows: DataFrame, title: str = "Ranked postings") -> DataFrame:
     body = ranked_rows.select(F.col("rank").cast("long").alias("pos"), line.alias("line"))
     head = ranked_rows.sparkSession.createDataFrame([(0, f"# {title}")], "pos long, line string")
     return head.unionByName(body)
+
+
+def shown(rows: DataFrame, search: str = "", min_fit: float = 0.0, relocation: bool = False, age: str | None = None, watched_only: bool = False, verified_only: bool = False) -> DataFrame:
+    """The user's filters over ranked rows with bucket, us_ok, age, watched and verified.
+
+    Remote postings elsewhere than in the US never show; relocation only on demand.
+    age is new, fresh (up to 7 days) or stale (45 and more).
+    """
+    days = F.regexp_extract("age", r"^(\d+)d", 1).try_cast("int")
+    keep = (F.coalesce("fit", F.lit(0.0)) >= min_fit) & ~((F.col("bucket") == "remote") & ~F.col("us_ok"))
+    if search:
+        keep &= F.lower(F.concat_ws(" ", "title", "company", "location")).contains(search.lower())
+    if not relocation:
+        keep &= F.col("bucket") != "relocation"
+    if age is not None:
+        keep &= {"new": F.col("age") == "NEW", "fresh": (F.col("age") == "NEW") | (days <= 7), "stale": days >= 45}[age]
+    if watched_only:
+        keep &= F.col("watched")
+    if verified_only:
+        keep &= F.col("verified")
+    return rows.where(F.coalesce(keep, F.lit(False)))
+
+
+def write_digest(ranked_rows: DataFrame, path: str, title: str = "Ranked postings") -> None:
+    """The digest as one text file in rank order; it is as long as its ranking is cut."""
+    digest(ranked_rows, title).repartitionByRange(1, "pos").sortWithinPartitions("pos").select("line").write.mode("overwrite").text(path)
