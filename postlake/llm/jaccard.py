@@ -310,6 +310,45 @@ def cross_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     return verified(near, sets, percent).unionByName(blocks)
 
 
+def _counted(percent: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """(c, links) of each component's blocks in the group: copies of the sets that a set is linked with."""
+        out = [pd.DataFrame({"c": [], "links": []}).astype("int64")]
+        for _, rows in group.groupby("comp"):
+            lo, hi = rows["i"].iloc[0], rows["j"].iloc[0]
+            x = rows[rows["block"] == lo]
+            y = x if lo == hi else rows[rows["block"] == hi]
+            xs = [np.frombuffer(m, np.uint64) for m in x["members"]]
+            ys = xs if x is y else [np.frombuffer(m, np.uint64) for m in y["members"]]
+            met = linked(common_counts(xs, ys), x["n"].to_numpy()[:, None], y["n"].to_numpy()[None, :], percent)
+            if x is y:
+                np.fill_diagonal(met, False)
+            else:
+                out.append(pd.DataFrame({"c": y["c"], "links": met.T.astype(np.int64) @ x["copies"].to_numpy()}))
+            out.append(pd.DataFrame({"c": x["c"], "links": met.astype(np.int64) @ y["copies"].to_numpy()}))
+        return pd.concat(out).astype("int64")
+
+    return run
+
+
+def link_counts(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(c, links): for each set of a component with others, how many documents with other sets it is linked with.
+
+    classes: (c, comp, copies).  Links lie within components.  Small components
+    travel many in a group, those beyond _BLOCK sets as pairs of blocks; pairs are
+    counted where they meet and not listed.
+    """
+    sizes = classes.groupBy("comp").agg(F.count("*").alias("size")).where("size > 1")
+    rows = written(classes.join(sizes, "comp"))
+    groups = max(1, -(-rows.count() // _BLOCK))
+    blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("c"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.when(F.col("blocks") == 1, F.pmod(F.hash("comp"), F.lit(groups)).cast("long")).otherwise(F.col("comp"))
+    rows = rows.withColumn("key", key).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    met = rows.join(sets.select("c", "n", "members"), "c").select("key", "i", "j", "comp", "c", "copies", "block", "n", "members")
+    return met.groupBy("key", "i", "j").applyInPandas(_counted(percent), "c long, links long").groupBy("c").agg(F.sum("links").alias("links"))
+
+
 def _bunches(tiled: DataFrame) -> DataFrame:
     """The rows (key, c, comp, m) of large tiles, with tiles that share members put together as one.
 
@@ -336,18 +375,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     A text of fewer words is one shingle; null texts and texts without words have
     none and link with nothing, not even each other.  Returns one row per input
     row: the id, n_shingles, component_id (the smallest id reachable by links,
-    the row's own included) and n_copies (rows with the same set, 1 if none).
+    the row's own included), n_copies (rows with the same set, 1 if none) and
+    n_links (other rows that the row is linked with, copies included).
 
     A null id counts as smaller than every other and gives a null component_id.
     Rows that repeat an id are documents of their own under that id.  Other
     columns are not read.  Sets are named by 64-bit hashes.
     """
-    out = _components_of(docs, n, percent, id_col, text_col)
-    return out.select(id_of(F.col("k")).alias(id_col), F.col("n").alias("n_shingles"), id_of(F.col("component")).alias("component_id"), F.col("copies").alias("n_copies"))
+    out = _components_of(docs, n, percent, id_col, text_col, count_links=True)
+    return out.select(id_of(F.col("k")).alias(id_col), F.col("n").alias("n_shingles"), id_of(F.col("component")).alias("component_id"), F.col("copies").alias("n_copies"), F.col("links").alias("n_links"))
 
 
-def _components_of(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(k, h, n, comp, component, copies) of each row: h is the hash of the text, comp the component's own name."""
+def _components_of(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, count_links: bool = False) -> DataFrame:
+    """(k, h, n, comp, component, copies, links) of each row: h is the hash of the text, comp the component's own name."""
     batch_texts(docs.sparkSession)
     text = F.col(text_col).cast("string")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
@@ -357,10 +397,17 @@ def _components_of(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
     sets = written(_sets_of(texts, members, rows, n))
     labels = _linked_labels(members, sets, percent)
     joined = classes.join(labels, classes["c"] == labels["node"], "left").select("c", "first", "copies", F.coalesce("comp", "c").alias("comp"))
+    joined = written(joined) if count_links else joined
     lowest = joined.groupBy("comp").agg(F.min("first").alias("component"))
     found = joined.join(lowest, "comp").select("c", "comp", "component", "copies")
-    alone = rows.where("n = 0").select("k", "h", "n", F.lit(0).cast("long").alias("comp"), F.col("k").alias("component"), F.lit(1).cast("long").alias("copies"))
-    return rows.where("n > 0").join(found, "c").select("k", "h", "n", "comp", "component", "copies").unionByName(alone)
+    if count_links:
+        found = found.join(link_counts(joined.select("c", "comp", "copies"), sets, percent), "c", "left")
+    else:
+        found = found.withColumn("links", F.lit(0).cast("long"))
+    found = found.withColumn("links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    alone = rows.where("n = 0").select("k", "h", "n", zero.alias("comp"), F.col("k").alias("component"), one.alias("copies"), zero.alias("links"))
+    return rows.where("n > 0").join(found, "c").select("k", "h", "n", "comp", "component", "copies", "links").unionByName(alone)
 
 
 def _linked_labels(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

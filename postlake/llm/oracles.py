@@ -26,9 +26,10 @@ common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM each a JOIN e
 links AS (SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
 edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM docs UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+degrees AS (SELECT a, count(*) AS n_links FROM edges GROUP BY a),
 copies AS (SELECT m, count(*) AS n_copies FROM sets GROUP BY m)
-SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, r.component_id, coalesce(c.n_copies, 1)::BIGINT AS n_copies
-FROM docs d JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id LEFT JOIN sets s USING (doc_id) LEFT JOIN copies c USING (m)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, r.component_id, coalesce(c.n_copies, 1)::BIGINT AS n_copies, coalesce(g.n_links, 0)::BIGINT AS n_links
+FROM docs d JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id LEFT JOIN sets s USING (doc_id) LEFT JOIN copies c USING (m) LEFT JOIN degrees g ON g.a = d.doc_id
 """
 
 OP8 = rf"""

@@ -104,7 +104,7 @@ def brute_components(rows, n, percent):
     for key, text in rows:
         words = WORD.findall(folded(text))
         sets[key] = {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
-    parent = {k: k for k in sets}
+    parent, degree = {k: k for k in sets}, Counter()
 
     def root(k):
         while parent[k] != k:
@@ -118,7 +118,8 @@ def brute_components(rows, n, percent):
             if o and 100 * o >= percent * (len(sets[a]) + len(sets[b]) - o):
                 p, q = sorted((root(a), root(b)))
                 parent[q] = p
-    return {k: (len(sets[k]), root(k)) for k in sets}
+                degree.update((a, b))
+    return {k: (len(sets[k]), root(k), degree[k]) for k in sets}
 
 
 @pytest.mark.parametrize("small", [32, 2])
@@ -132,7 +133,7 @@ def test_jaccard_join(spark, monkeypatch, small):
         text[rng.integers(150)] = f"new{i}"
         rows.append((i, " ".join(text)))
     rows += [(100 + i, " ".join(rng.choice(WORDS, 9).tolist())) for i in range(12)] + [(200, "a b c"), (201, "A b C"), (202, ""), (203, "")]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
     assert got == brute_components(rows, 4, 85)
 
 
