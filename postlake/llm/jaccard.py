@@ -12,9 +12,8 @@ Within tiles, pairs are bounded by the bit counts of hashed bitmaps: bits set in
 one bitmap only belong to shingles of that set only, which bounds the overlap
 from above.  What the bound leaves is decided on the sorted shingle arrays.
 
-No tile's pairs are listed.  First every member is compared with its tile's
-leader; only tiles that still hold several components afterwards are compared in
-blocks, and only links that connect components come out.
+No tile's pairs are listed.  Tiles that share sets are compared together in blocks,
+and only as many links come out of a block as connect what is linked in it.
 """
 
 from __future__ import annotations
@@ -34,8 +33,7 @@ from postlake.llm.common import NO_ID, batch_texts, components, id_of, with_name
 _BAND = 1.6
 _SLACK = 1.1
 _WORDS = 16  # 64-bit words of a bitmap
-_SMALL = 32  # members of a tile whose pairs a plain join compares
-_BLOCK = 1024  # members of a larger tile compared with each other at once
+_BLOCK = 1024  # sets compared with each other at once
 _MOST_BLOCKS = 16
 _SEEN = 200_000  # sets remembered by a task, to send copies once
 #: Up to this many ids (16 bytes each) are broadcast; beyond, the texts are shuffled to them.
@@ -252,72 +250,81 @@ def common_counts(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 4096)
 
 def _across(percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Links between components within a block pair, as few as connect what is linked there."""
-        lo, hi = group["i"].iloc[0], group["j"].iloc[0]
-        x = group[group["block"] == lo].reset_index(drop=True)
-        y = x if lo == hi else group[group["block"] == hi].reset_index(drop=True)
-        bx, by = (np.array(s["bits"].tolist(), np.int64).reshape(len(s), -1).view(np.uint64) for s in (x, y))
-        (nx, cx, compx), (ny, cy, compy) = ([s[c].to_numpy() for c in ("n", "c", "comp")] for s in (x, y))
-        allowed = np.zeros((len(x), len(y)), bool)
-        for i in range(len(x)):
-            most = np.minimum(nx[i] - np.bitwise_count(bx[i] & ~by).sum(1, dtype=np.int64), ny - np.bitwise_count(by & ~bx[i]).sum(1, dtype=np.int64))
-            allowed[i] = (compy != compx[i]) & linked(most, nx[i], ny, percent)
-        out, rows = [], np.flatnonzero(allowed.any(1))
-        if len(rows):
-            columns = rows if x is y else np.flatnonzero(allowed.any(0))
-            xs = [np.frombuffer(m, np.uint64) for m in x["members"].to_numpy()[rows]]
-            ys = xs if x is y else [np.frombuffer(m, np.uint64) for m in y["members"].to_numpy()[columns]]
-            met = allowed[np.ix_(rows, columns)] & linked(common_counts(xs, ys), nx[rows][:, None], ny[columns][None, :], percent)
-            label = {c: c for c in np.concatenate((compx, compy)).tolist()}
-
-            def root(c: int) -> int:
-                while label[c] != c:
-                    label[c] = c = label[label[c]]
-                return c
-
-            for i, row in zip(rows.tolist(), met, strict=True):
-                comps, first = np.unique(compy[columns[row]], return_index=True)
-                for comp, j in zip(comps.tolist(), columns[row][first].tolist(), strict=True):
-                    p, q = root(int(compx[i])), root(comp)
-                    if p != q:
-                        label[max(p, q)] = min(p, q)
-                        out.append((min(cx[i], cy[j]), max(cx[i], cy[j])))
+        """Links between components within the blocks of each key, as few as connect what is linked there."""
+        out: list[tuple[int, int]] = []
+        for _, rows in group.groupby("key"):
+            lo, hi = rows["i"].iloc[0], rows["j"].iloc[0]
+            x = rows[rows["block"] == lo].reset_index(drop=True)
+            out += _connecting(x, x if lo == hi else rows[rows["block"] == hi].reset_index(drop=True), percent)
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def cross_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect components through a tile's members other than its leader.
-
-    Leaders have been compared with all their members before.  A tile of up to
-    _SMALL others is joined with itself.  A larger one meets in blocks of about
-    _BLOCK, each of which compares its own pairs and gives at most one link for
-    each component in it.
+def _connecting(x: pd.DataFrame, y: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    if not len(x) or not len(y):  # a block may have got no row
+        return []
+    bx, by = (np.array(s["bits"].tolist(), np.int64).reshape(len(s), -1).view(np.uint64) for s in (x, y))
+    (nx, cx, compx), (ny, cy, compy) = ([s[c].to_numpy() for c in ("n", "c", "comp")] for s in (x, y))
+    allowed = np.zeros((len(x), len(y)), bool)
+    for i in range(len(x)):
+        near = np.flatnonzero((compy != compx[i]) & linked(np.minimum(nx[i], ny), nx[i], ny, percent))
+        most = np.minimum(nx[i] - np.bitwise_count(bx[i] & ~by[near]).sum(1, dtype=np.int64), ny[near] - np.bitwise_count(by[near] & ~bx[i]).sum(1, dtype=np.int64))
+        allowed[i, near[linked(most, nx[i], ny[near], percent)]] = True
+    out, rows = [], np.flatnonzero(allowed.any(1))
+    if not len(rows):
+        return out
+    columns = rows if x is y else np.flatnonzero(allowed.any(0))
+    xs = [np.frombuffer(m, np.uint64) for m in x["members"].to_numpy()[rows]]
+    ys = xs if x is y else [np.frombuffer(m, np.uint64) for m in y["members"].to_numpy()[columns]]
+    met = allowed[np.ix_(rows, columns)] & linked(common_counts(xs, ys), nx[rows][:, None], ny[columns][None, :], percent)
+    label = {c: c for c in np.concatenate((compx, compy)).tolist()}
+
+    def root(c: int) -> int:
+        while label[c] != c:
+            label[c] = c = label[label[c]]
+        return c
+
+    for i, row in zip(rows.tolist(), met, strict=True):
+        comps, first = np.unique(compy[columns[row]], return_index=True)
+        for comp, j in zip(comps.tolist(), columns[row][first].tolist(), strict=True):
+            p, q = root(int(compx[i])), root(comp)
+            if p != q:
+                label[max(p, q)] = min(p, q)
+                out.append((min(cx[i], cy[j]), max(cx[i], cy[j])))
+    return out
+
+
+def _dealt(rows: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (key, c, m, ...) with their sets' columns, dealt out as (grp, key, i, j, block).
+
+    Keys of up to _BLOCK rows travel many in a group; the blocks of a larger key
+    meet pairwise, so each of its rows goes to as many groups as it has blocks.
     """
-    named = members.where("c <> leader").join(labels, F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("comp", "c").alias("comp"))
-    open_tiles = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-    held = written(named.join(open_tiles.select("key", "m"), "key"))
-    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # pairs cost more than their few bytes tell
-    small = held.where(F.col("m") <= _SMALL).join(sets.select("c", "n", "bits"), "c").repartition(parts, "key")
-    one = small.select("key", F.col("c").alias("a"), *[F.col(x).alias(f"{x}_a") for x in ("comp", "n", "bits")])
-    two = small.select("key", F.col("c").alias("b"), *[F.col(x).alias(f"{x}_b") for x in ("comp", "n", "bits")])
-    near = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _may_overlap(percent)).select("a", "b").distinct()
-    large = _bunches(held.where(F.col("m") > _SMALL)).withColumn("blocks", F.ceil(F.col("m") / _BLOCK).cast("int")).withColumn("block", F.pmod(F.hash("c"), "blocks"))
-    met = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, "c")
-    met = met.select("key", "c", "comp", "n", "bits", "members", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    blocks = met.groupBy("key", "i", "j").applyInPandas(_across(percent), "a long, b long")
-    return verified(near, sets, percent).unionByName(blocks)
+    groups = max(1, -(-rows.count() // _BLOCK))
+    rows = rows.withColumn("blocks", F.ceil(F.col("m") / _BLOCK).cast("int")).withColumn("block", F.pmod(F.hash("c"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    grp = F.when(F.col("blocks") == 1, F.pmod(F.hash("key"), F.lit(groups)).cast("long")).otherwise(F.col("key"))
+    rows = rows.withColumn("grp", grp).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("m", "blocks", "other")
+    return rows.join(sets.select("c", *columns), "c")
+
+
+def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect the components (comp) of sets with one key: (key, c, comp, m), m the rows of the key."""
+    met = _dealt(rows, sets, ["n", "bits", "members"])
+    return met.groupBy("grp", "i", "j").applyInPandas(_across(percent), "a long, b long")
 
 
 def _counted(percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """(c, links) of each component's blocks in the group: copies of the sets that a set is linked with."""
         out = [pd.DataFrame({"c": [], "links": []}).astype("int64")]
-        for _, rows in group.groupby("comp"):
+        for _, rows in group.groupby("key"):
             lo, hi = rows["i"].iloc[0], rows["j"].iloc[0]
             x = rows[rows["block"] == lo]
             y = x if lo == hi else rows[rows["block"] == hi]
+            if not len(x) or not len(y):
+                continue
             xs = [np.frombuffer(m, np.uint64) for m in x["members"]]
             ys = xs if x is y else [np.frombuffer(m, np.uint64) for m in y["members"]]
             met = linked(common_counts(xs, ys), x["n"].to_numpy()[:, None], y["n"].to_numpy()[None, :], percent)
@@ -338,34 +345,10 @@ def link_counts(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     travel many in a group, those beyond _BLOCK sets as pairs of blocks; pairs are
     counted where they meet and not listed.
     """
-    sizes = classes.groupBy("comp").agg(F.count("*").alias("size")).where("size > 1")
-    rows = written(classes.join(sizes, "comp"))
-    groups = max(1, -(-rows.count() // _BLOCK))
-    blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("c"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = F.when(F.col("blocks") == 1, F.pmod(F.hash("comp"), F.lit(groups)).cast("long")).otherwise(F.col("comp"))
-    rows = rows.withColumn("key", key).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    met = rows.join(sets.select("c", "n", "members"), "c").select("key", "i", "j", "comp", "c", "copies", "block", "n", "members")
-    return met.groupBy("key", "i", "j").applyInPandas(_counted(percent), "c long, links long").groupBy("c").agg(F.sum("links").alias("links"))
-
-
-def _bunches(tiled: DataFrame) -> DataFrame:
-    """The rows (key, c, comp, m) of large tiles, with tiles that share members put together as one.
-
-    Sets that are alike share many tiles, and each would be sent to all of them.
-    Put together, a set is sent to _MOST_BLOCKS blocks at most; tiles that would
-    make a larger bunch stay as they are.
-    """
-    if tiled.isEmpty():
-        return tiled
-    first = tiled.groupBy("key").agg(F.min("c").alias("a"))
-    names = components(tiled.join(first, "key").select("a", F.col("c").alias("b")).distinct()).select(F.col("node").alias("c"), F.col("comp").alias("bunch"))
-    named = written(tiled.join(names, "c"))
-    once = named.select("bunch", "c", "comp").distinct()
-    sizes = written(once.groupBy("bunch").agg(F.count("*").alias("size")))
-    fits = F.col("size") <= _MOST_BLOCKS * _BLOCK
-    bunched = once.join(sizes, "bunch").where(fits).select(F.col("bunch").alias("key"), "c", "comp", F.col("size").alias("m"))
-    return bunched.unionByName(named.join(sizes, "bunch").where(~fits).select("key", "c", "comp", "m"))
+    sizes = classes.groupBy("comp").agg(F.count("*").alias("m")).where("m > 1")
+    rows = written(classes.join(sizes, "comp").withColumnRenamed("comp", "key"))
+    met = _dealt(rows, sets, ["n", "members"])
+    return met.groupBy("grp", "i", "j").applyInPandas(_counted(percent), "c long, links long").groupBy("c").agg(F.sum("links").alias("links"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -413,25 +396,26 @@ def _components_of(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
 def _linked_labels(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, comp) of all sets that are linked.
 
-    Each member is compared with its smallest leader, then with other leaders that
-    are in another component still, and then with others of its tiles that are.
+    Tiles that share members are put together as a bunch: sets that are alike share
+    many tiles, and each set then travels to _MOST_BLOCKS blocks at most.  In a
+    bunch too large for that, each set is first compared with one leader, which
+    connects most, and then tiles that still hold several components compare theirs.
     """
-    pairs = written(members.where("c <> leader").select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct())
-    links = written(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent))
-    labels = components(links)
-    for find in (lambda: verified(_apart(pairs, labels), sets, percent), lambda: cross_links(members, labels, sets, percent)):
-        more = written(find())
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
-    return labels
-
-
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    side = lambda s: labels.select(F.col("node").alias(s), F.col("comp").alias(f"comp_{s}"))
-    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return both.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
+    names = components(members.where("c <> leader").select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct())
+    sizes = names.groupBy("comp").agg(F.count("*").alias("m"))
+    bunched = written(names.join(sizes, "comp").select(F.col("comp").alias("key"), F.col("node").alias("c"), "m"))
+    fits = F.col("m") <= _MOST_BLOCKS * _BLOCK
+    links = written(block_links(bunched.where(fits).withColumn("comp", F.col("c")), sets, percent))
+    rest = bunched.where(~fits).select("c")
+    if not rest.isEmpty():
+        tiled = written(members.join(rest, "c"))
+        stars = tiled.where("c <> leader").groupBy(F.col("c").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
+        links = written(links.unionByName(verified(stars, sets, percent)))
+        labels = components(links)
+        named = tiled.join(labels, F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("comp", "c").alias("comp"))
+        held = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+        links = links.unionByName(written(block_links(written(named.join(held.select("key", "m"), "key")), sets, percent)))
+    return components(links)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

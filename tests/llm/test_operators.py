@@ -122,11 +122,11 @@ def brute_components(rows, n, percent):
     return {k: (len(sets[k]), root(k), degree[k]) for k in sets}
 
 
-@pytest.mark.parametrize("small", [32, 2])
-def test_jaccard_join(spark, monkeypatch, small):
-    """Chains of near copies, so that components reach beyond direct links; with small = 2, large tiles meet in blocks."""
-    monkeypatch.setattr(jaccard, "_SMALL", small)
-    monkeypatch.setattr(jaccard, "_BLOCK", 4)
+@pytest.mark.parametrize(("block", "most"), [(1024, 16), (4, 16), (4, 1)])
+def test_jaccard_join(spark, monkeypatch, block, most):
+    """Chains of near copies, so that components reach beyond direct links; in one block, in several, and as a bunch too large for them."""
+    monkeypatch.setattr(jaccard, "_BLOCK", block)
+    monkeypatch.setattr(jaccard, "_MOST_BLOCKS", most)
     rows, text = [], [f"t{i}" for i in range(150)]
     for i in range(24):
         text = list(text)
