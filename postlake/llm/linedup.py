@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.common import NO_ID, id_of
+from postlake.llm.common import NO_ID, id_of, written
 
 FIELD = "<*>"
 _WORD = r"[^\x20\x09-\x0D]"
@@ -52,7 +52,7 @@ def drop_template_lines(docs: DataFrame, depth: int = 3, least_docs: int = 3, co
     dealt = texts.repartition("k")
     lines = texts.where("text is not null").select("k", "h", F.posexplode(masked_lines(F.col("text"))).alias("at", "line")).where("line <> ''")
     lines = lines.select("k", "h", "at", _leaf(F.col("line"), depth).alias("leaf"), F.xxhash64("line").alias("m"))
-    each = lines.groupBy("k", "h", "leaf", "m").agg(F.min("at").alias("at"))
+    each = written(lines.groupBy("k", "h", "leaf", "m").agg(F.array_distinct(F.collect_list("at")).alias("ats"))).withColumn("at", F.array_min("ats"))
     live = each.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") >= least_docs).select("leaf")
     kinds = each.join(live, "leaf").groupBy("leaf", "m").agg(F.count("*").alias("docs"), F.min(F.struct("k", "h", "at")).alias("one"))
     wanted = kinds.select(F.col("one.k").alias("k"), F.col("one.h").alias("h0"), F.col("one.at").alias("at"), "leaf", "m", "docs")
@@ -67,7 +67,7 @@ def drop_template_lines(docs: DataFrame, depth: int = 3, least_docs: int = 3, co
     templates = shaped.select("leaf", "m", template.alias("template"))
     told = each.join(templates, ["leaf", "m"]).groupBy("k", "h", "template").agg(F.min("at").alias("at"))
     recurring = told.groupBy("template").agg(F.count("*").alias("c"), F.min(F.struct("k", "h", "at")).alias("first")).where(F.col("c") >= least_docs)
-    gone = lines.join(templates, ["leaf", "m"]).join(recurring.select("template", "first"), "template")
+    gone = each.drop("at").join(templates, ["leaf", "m"]).join(recurring.select("template", "first"), "template").withColumn("at", F.explode("ats"))
     gone = gone.where(F.struct("k", "h", "at") != F.col("first")).groupBy("k").agg(F.collect_set(F.struct("h", "at")).alias("gone"))
     met = dealt.join(gone.hint("shuffle_hash"), "k", "left").withColumn("lines", F.split("text", "\n"))
     mine = F.transform(F.filter(F.coalesce("gone", F.array().cast("array<struct<h:bigint,at:int>>")), lambda x: x["h"] == F.col("h")), lambda x: x["at"])
