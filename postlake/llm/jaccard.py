@@ -253,24 +253,55 @@ def _across(percent: int):
         """Links between components within the blocks of each key, as few as connect what is linked there."""
         out: list[tuple[int, int]] = []
         for _, rows in group.groupby("key"):
-            lo, hi = rows["i"].iloc[0], rows["j"].iloc[0]
-            x = rows[rows["block"] == lo].reset_index(drop=True)
-            out += _connecting(x, x if lo == hi else rows[rows["block"] == hi].reset_index(drop=True), percent)
+            out += _connecting(*_sides(rows), percent)
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def _connecting(x: pd.DataFrame, y: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    if not len(x) or not len(y):  # a block may have got no row
-        return []
+def _allowed(x: pd.DataFrame, y: pd.DataFrame, percent: int) -> np.ndarray:
+    """Which pairs are in different components and may be linked by their sizes and bitmaps."""
     bx, by = (np.array(s["bits"].tolist(), np.int64).reshape(len(s), -1).view(np.uint64) for s in (x, y))
-    (nx, cx, compx), (ny, cy, compy) = ([s[c].to_numpy() for c in ("n", "c", "comp")] for s in (x, y))
+    (nx, compx), (ny, compy) = ([s[c].to_numpy() for c in ("n", "comp")] for s in (x, y))
     allowed = np.zeros((len(x), len(y)), bool)
     for i in range(len(x)):
         near = np.flatnonzero((compy != compx[i]) & linked(np.minimum(nx[i], ny), nx[i], ny, percent))
         most = np.minimum(nx[i] - np.bitwise_count(bx[i] & ~by[near]).sum(1, dtype=np.int64), ny[near] - np.bitwise_count(by[near] & ~bx[i]).sum(1, dtype=np.int64))
         allowed[i, near[linked(most, nx[i], ny[near], percent)]] = True
+    return allowed
+
+
+def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The two blocks of a key's rows, the same frame twice for a block with itself."""
+    lo, hi = rows["i"].iloc[0], rows["j"].iloc[0]
+    x = rows[rows["block"] == lo].reset_index(drop=True)
+    return x, x if lo == hi else rows[rows["block"] == hi].reset_index(drop=True)
+
+
+_MET = ["grp", "key", "i", "j", "block", "c", "comp"]
+
+
+def _possible(percent: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """The rows of a block pair that have a partner there by sizes and bitmaps."""
+        out = [group[_MET].iloc[:0]]
+        for _, rows in group.groupby("key"):
+            x, y = _sides(rows)
+            if len(x) and len(y):
+                allowed = _allowed(x, y, percent)
+                out.append(x[allowed.any(1)][_MET])
+                if x is not y:
+                    out.append(y[allowed.any(0)][_MET])
+        return pd.concat(out)
+
+    return run
+
+
+def _connecting(x: pd.DataFrame, y: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    if not len(x) or not len(y):  # a block may have got no row
+        return []
+    (nx, cx, compx), (ny, cy, compy) = ([s[c].to_numpy() for c in ("n", "c", "comp")] for s in (x, y))
+    allowed = _allowed(x, y, percent)
     out, rows = [], np.flatnonzero(allowed.any(1))
     if not len(rows):
         return out
@@ -310,8 +341,13 @@ def _dealt(rows: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect the components (comp) of sets with one key: (key, c, comp, m), m the rows of the key."""
-    met = _dealt(rows, sets, ["n", "bits", "members"])
+    """Links (a, b) that connect the components (comp) of sets with one key: (key, c, comp, m), m the rows of the key.
+
+    Bitmaps go to the blocks first; arrays follow only for sets that have a partner
+    there by the bound.
+    """
+    met = _dealt(rows, sets, ["n", "bits"]).groupBy("grp", "i", "j").applyInPandas(_possible(percent), "grp long, key long, i int, j int, block int, c long, comp long")
+    met = written(met).join(sets.select("c", "n", "bits", "members"), "c")
     return met.groupBy("grp", "i", "j").applyInPandas(_across(percent), "a long, b long")
 
 
