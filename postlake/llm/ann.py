@@ -6,9 +6,12 @@ adds up table entries (its inner products with the centroid and with the codeboo
 of each part) and ranks the best of each group of cells again by exact inner
 products of the original vectors, which are filed with their codes.
 
-How many cells a query must look into depends on the data: clustered vectors need
-a few, vectors without structure half of all.  So the number is measured on the
-training sample, as the least that holds the neighbours wanted there.
+How many cells a query must look into depends on the query and the data: among
+clustered vectors a few, among vectors without structure nearly all.  So each query
+skips only those cells that cannot hold a neighbour of it: no vector of a cell has
+an inner product beyond that of the centroid plus the length of the query times the
+cell's radius, and the k-th best vector of the training sample, which is part of the
+table, sets the least that counts.
 """
 
 from __future__ import annotations
@@ -32,11 +35,12 @@ MOST_CELLS = 4096
 
 @dataclass(frozen=True)
 class Index:
-    """centroids: cells x dim; books: parts x codes x (dim / parts); probes: cells a query looks into."""
+    """centroids: cells x dim; books: parts x codes x (dim / parts); known: sample vectors, by known_ids."""
 
     centroids: np.ndarray
     books: np.ndarray
-    probes: int = 1
+    known: np.ndarray
+    known_ids: np.ndarray
 
     def assign(self, vectors: np.ndarray) -> np.ndarray:
         return _nearest(vectors, self.centroids)
@@ -76,37 +80,49 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where(F.coalesce(fine, F.lit(False)))
 
 
-def train(vectors: DataFrame, count: int, sample: int = 20_000, k: int = 20, held: float = 0.96, parts: int = 16, codes: int = 256, rounds: int = 8, seed: int = 0) -> Index | None:
+def train(vectors: DataFrame, count: int, sample: int = 20_000, parts: int = 16, codes: int = 256, rounds: int = 8, seed: int = 0) -> Index | None:
     """Fit the index to at most ``sample`` vectors, those with the smallest hashes of their ids.
 
     There are about sqrt(count) cells, MOST_CELLS at most.  Vectors of another
     length than the sample's most frequent one are not indexed.
     """
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()["v"]
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
     if not len(rows):
         return None
-    dim = int(rows.map(len).mode()[0])
-    x = np.stack([np.asarray(v, np.float32) for v in rows if len(v) == dim])
+    dim = int(rows["v"].map(len).mode()[0])
+    rows = rows[rows["v"].map(len) == dim]
+    x = np.stack([np.asarray(v, np.float32) for v in rows["v"]])
     centroids = kmeans(x, min(MOST_CELLS, max(1, int(np.sqrt(count)))), rounds, seed)
     width = next(w for w in range(max(1, dim // parts), dim + 1) if dim % w == 0)
     rest = x - centroids[_nearest(x, centroids)]
     books = [kmeans(rest[:, i : i + width], codes, rounds, seed + 1) for i in range(0, dim, width)]
     most = max(len(b) for b in books)
     books = [np.concatenate([b, np.repeat(b[:1], most - len(b), 0)]) for b in books]
-    return Index(centroids, np.stack(books), probes_needed(x, centroids, k, held))
+    return Index(centroids, np.stack(books), x, rows["vec_id"].to_numpy())
 
 
-def probes_needed(x: np.ndarray, centroids: np.ndarray, k: int, held: float, queries: int = 256) -> int:
-    """The least number of cells that hold a share ``held`` of the k nearest sample vectors of sample queries."""
-    asked = np.linspace(0, len(x) - 1, min(queries, len(x))).astype(int)
-    near = x[asked] @ x.T
-    near[np.arange(len(asked)), asked] = -np.inf
-    best = np.argsort(-near, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
-    if not best.size:
-        return len(centroids)
-    place = np.argsort(np.argsort(-(x[asked] @ centroids.T), axis=1, kind="stable"), axis=1)
-    at = np.take_along_axis(place, _nearest(x, centroids)[best], axis=1)
-    return int(np.quantile(at, held, method="higher")) + 1
+def cells_needed(index: Index, size: np.ndarray, radius: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, probes: int | None = None) -> np.ndarray:
+    """queries x cells, true where a query must look: where one of its k best vectors may be.
+
+    With ``probes``, so many cells in order of inner product, and more until they
+    hold k vectors besides the query's own.
+    """
+    near = q.astype(np.float64) @ index.centroids.T.astype(np.float64)
+    if probes is not None:
+        order = np.argsort(-near, axis=1, kind="stable")
+        before = np.cumsum(size[order], axis=1) - size[order]
+        looks = np.zeros(near.shape, bool)
+        np.put_along_axis(looks, order, (np.arange(near.shape[1]) < probes) | (before < k + 1), axis=1)
+        return looks & (size > 0)
+    least = np.full((len(q), 1), -np.inf)
+    if len(index.known) >= k:
+        known = q @ index.known.T
+        known[ids[:, None] == index.known_ids] = -np.inf
+        least = np.partition(known, -k, axis=1)[:, [-k]].astype(np.float64)
+    length = np.linalg.norm(q.astype(np.float64), axis=1)[:, None]
+    reach = np.linalg.norm(index.centroids.astype(np.float64), axis=1) + radius
+    most = near + length * (radius + 1e-5 * reach.max(initial=0))  # the share allows for rounding
+    return ~(most < least) & (size > 0)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -122,22 +138,23 @@ def _indexed(sent):
                 x = _matrix(batch.column("v"))
                 cells = index.assign(x)
                 codes = index.encode(x, cells)
-                yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), batch.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column("v")], names=["cell", "vec_id", "code", "v"])
+                off = np.linalg.norm(x.astype(np.float64) - index.centroids[cells], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), batch.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column("v"), pa.array(off)], names=["cell", "vec_id", "code", "v", "off"])
 
     return run
 
 
-def _probes(sent, probes: int | None, groups: int):
+def _probes(sent, size: np.ndarray, radius: np.ndarray, k: int, probes: int | None, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each query and group, with the query's cells in that group."""
         index = sent.value
-        number = min(probes or index.probes, len(index.centroids))
         for batch in batches:
-            if batch.num_rows:
-                near = np.argsort(-(_matrix(batch.column("v")) @ index.centroids.T), axis=1, kind="stable")[:, :number]
-                lists = [(i, g, cells[cells % groups == g].tolist()) for i, cells in enumerate(near) for g in np.unique(cells % groups).tolist()]
+            for lo in range(0, batch.num_rows, 256):
+                some = batch.slice(lo, 256)
+                looks = cells_needed(index, size, radius, some.column("vec_id").to_numpy(), _matrix(some.column("v")), k, probes)
+                lists = [(i, g, cells[cells % groups == g].tolist()) for i, cells in enumerate(map(np.flatnonzero, looks)) for g in np.unique(cells % groups).tolist()]
                 row = pa.array([x[0] for x in lists], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in lists], pa.int32()), batch.column("vec_id").take(row), batch.column("v").take(row), pa.array([x[2] for x in lists], pa.list_(pa.int32()))], names=["grp", "query_id", "q", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in lists], pa.int32()), some.column("vec_id").take(row), some.column("v").take(row), pa.array([x[2] for x in lists], pa.list_(pa.int32()))], names=["grp", "query_id", "q", "cells"])
 
     return run
 
@@ -196,30 +213,34 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, probes: int | None
 
     Returns query_id, rank (from 1), vec_id and score, the inner product of the
     original vectors in double precision; ties go to smaller ids.  Each query
-    looks into ``probes`` cells (None: as many as the sample needs) and ranks
-    ``rerank`` vectors of each block exactly, so that even a dense bunch of vectors
-    which the codes cannot tell apart is ranked well.
+    looks into all cells that may hold a neighbour, or with ``probes`` into so many
+    and more until they hold k, and ranks ``rerank`` vectors of each block exactly,
+    so that even a dense bunch of vectors which the codes cannot tell apart is
+    ranked well.
 
     Vectors that are null or zero, or hold null or non-finite components, and rows
     with null ids take no part; nor do vectors of another length than most.  A
-    query finds all candidates if there are fewer than k in its cells.  Rows that
-    repeat an id count once, by their first vector in order of its components.
+    query has k rows, or all candidates if the table has fewer.  Rows that repeat
+    an id count once, by their first vector in order of its components.
     Other columns are not read.
     """
     spark = rows.sparkSession
     once = lambda df: usable(df, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v"))
     vectors = written(once(rows))
     count = vectors.count()
-    index = train(vectors, count, sample, k)
+    index = train(vectors, count, sample)
     if index is None:
         return vectors.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     sent, dim, groups = spark.sparkContext.broadcast(index), index.centroids.shape[1], min(-(-count // BLOCK), len(index.centroids))
     vectors = vectors.where(F.size("v") == dim)
     asked = once(queries).where(F.size("v") == dim)
-    filed = written(vectors.mapInArrow(_indexed(sent), "cell int, vec_id long, code binary, v array<float>").withColumn("grp", F.col("cell") % groups))
+    filed = written(vectors.mapInArrow(_indexed(sent), "cell int, vec_id long, code binary, v array<float>, off double").withColumn("grp", F.col("cell") % groups))
+    cells = filed.groupBy("cell").agg(F.count("*").alias("n"), F.max("off").alias("off")).toPandas()  # MOST_CELLS rows at most
+    size, radius = np.zeros(len(index.centroids), np.int64), np.zeros(len(index.centroids))
+    size[cells["cell"]], radius[cells["cell"]] = cells["n"], cells["off"]
     blocks = filed.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # MOST_CELLS rows at most
-    dealt = filed.join(F.broadcast(blocks), "grp").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
-    looks = asked.mapInArrow(_probes(sent, probes, groups), "grp int, query_id long, q array<float>, cells array<int>").join(F.broadcast(blocks), "grp")
+    dealt = filed.drop("off").join(F.broadcast(blocks), "grp").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
+    looks = asked.mapInArrow(_probes(sent, size, radius, k, probes, groups), "grp int, query_id long, q array<float>, cells array<int>").join(F.broadcast(blocks), "grp")
     looks = looks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     found = dealt.groupBy("grp", "block").cogroup(looks.groupBy("grp", "block")).applyInPandas(_scores(sent, k, max(k, rerank)), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

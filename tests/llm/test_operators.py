@@ -384,3 +384,20 @@ def test_nearest_neighbours(spark):
     few = ann.nearest(frame.where("vec_id < 3"), frame.where("vec_id < 3"), k=10).collect()
     assert Counter(r["query_id"] for r in few) == {0: 2, 1: 2, 2: 2}
     assert ann.nearest(frame.limit(0), frame.limit(0)).count() == 0
+
+
+def test_nearest_neighbours_of_single_vectors_among_copies(spark):
+    own = np.random.default_rng(3)
+    x = np.concatenate([np.repeat(own.normal(size=(40, 16)), 60, axis=0), own.normal(size=(60, 16))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    single = frame.where("vec_id >= 2400 OR vec_id % 60 = 0")
+    for probes in (None, 1):
+        got = defaultdict(list)
+        for r in ann.nearest(frame, single, k=20, probes=probes).collect():
+            got[r["query_id"]].append(r["score"])
+        assert set(got) == {*range(0, 2400, 60), *range(2400, 2460)} and {len(v) for v in got.values()} == {20}
+        wide = x.astype(float)
+        for q, found in got.items() if probes is None else ():
+            scores = np.delete(wide @ wide[q], q)
+            assert sum(s >= np.sort(scores)[-20] - 1e-6 for s in found) >= 18
