@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from postlake.llm.common import written
 
-#: Vectors that one task scores at once: a group of cells, or a block of a group.
+#: Vectors that one task scores at once (a group of cells, or a block of a group), and queries that it scores them for.
 BLOCK = 16384
 #: The most coarse centroids; they are sent to every task.
 MOST_CELLS = 4096
@@ -233,15 +233,18 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, probes: int | None
         return vectors.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     sent, dim, groups = spark.sparkContext.broadcast(index), index.centroids.shape[1], min(-(-count // BLOCK), len(index.centroids))
     vectors = vectors.where(F.size("v") == dim)
-    asked = once(queries).where(F.size("v") == dim)
+    asked = written(once(queries).where(F.size("v") == dim))
+    parts = max(1, -(-asked.count() // BLOCK))
     filed = written(vectors.mapInArrow(_indexed(sent), "cell int, vec_id long, code binary, v array<float>, off double").withColumn("grp", F.col("cell") % groups))
     cells = filed.groupBy("cell").agg(F.count("*").alias("n"), F.max("off").alias("off")).toPandas()  # MOST_CELLS rows at most
     size, radius = np.zeros(len(index.centroids), np.int64), np.zeros(len(index.centroids))
     size[cells["cell"]], radius[cells["cell"]] = cells["n"], cells["off"]
     blocks = filed.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # MOST_CELLS rows at most
     dealt = filed.drop("off").join(F.broadcast(blocks), "grp").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     looks = asked.mapInArrow(_probes(sent, size, radius, k, probes, groups), "grp int, query_id long, q array<float>, cells array<int>").join(F.broadcast(blocks), "grp")
     looks = looks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    found = dealt.groupBy("grp", "block").cogroup(looks.groupBy("grp", "block")).applyInPandas(_scores(sent, k, max(k, rerank)), "query_id long, vec_id long, score double")
+    looks = looks.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    found = dealt.groupBy("grp", "block", "part").cogroup(looks.groupBy("grp", "block", "part")).applyInPandas(_scores(sent, k, max(k, rerank)), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -401,3 +402,23 @@ def test_nearest_neighbours_of_single_vectors_among_copies(spark):
         for q, found in got.items() if probes is None else ():
             scores = np.delete(wide @ wide[q], q)
             assert sum(s >= np.sort(scores)[-20] - 1e-6 for s in found) >= 18
+
+
+def test_nearest_neighbours_in_blocks_of_vectors_and_queries(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(600, 8)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    wanted = sorted(ann.nearest(frame, frame, k=3).collect())
+    scores = ann._scores
+
+    def bounded(*given):
+        run = scores(*given)
+
+        def checked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            assert max(len(left), len(right)) <= 2 * 100
+            return run(left, right)
+
+        return checked
+
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    monkeypatch.setattr(ann, "_scores", bounded)
+    assert sorted(ann.nearest(frame, frame, k=3).collect()) == wanted and len(wanted) == 3 * 600
