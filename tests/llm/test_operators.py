@@ -422,3 +422,32 @@ def test_nearest_neighbours_in_blocks_of_vectors_and_queries(spark, monkeypatch)
     monkeypatch.setattr(ann, "BLOCK", 100)
     monkeypatch.setattr(ann, "_scores", bounded)
     assert sorted(ann.nearest(frame, frame, k=3).collect()) == wanted and len(wanted) == 3 * 600
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+
+def test_license_scan_of_whole_texts_and_runs(spark):
+    code = "import x\n" + "\n".join(f"# {line}" for line in MIT.split("\n")) + "\nprint(x)"
+    cut = MIT.replace("free of charge", "for a charge")
+    rows = [(1, f"MIT License\n\nCopyright (c) 2020 A\n\n{MIT}"), (2, code), (3, cut), (4, "a\nReleased under\nthe MIT License. b"), (5, "This is licensed under CC BY 4.0. Fine."), (6, "Released under the MIT"), (7, MIT.replace("\n", " "))]
+    frame = spark.createDataFrame([*rows, rows[1]], "doc_id long, text string")
+    wanted = {1: ("MIT", ["MIT"], 16), 2: (None, ["MIT"], 15), 3: (None, [], 0), 4: (None, ["MIT"], 2), 5: (None, ["CC-BY-4.0"], 1), 6: (None, [], 0), 7: ("MIT", ["MIT"], 1)}
+    found = [(r["doc_id"], (r["license"], list(r["licenses"]), r["n_license_lines"])) for r in scan_licenses(frame).collect()]
+    assert dict(found) == wanted and len(found) == 8
