@@ -8,12 +8,19 @@ by chance but a pigeonhole bound.  A part holds a few shingles, so a passage tha
 many documents share does not bring them together unless they are alike as a
 whole.
 
-Within tiles, pairs are bounded by the bit counts of hashed bitmaps: bits set in
-one bitmap only belong to shingles of that set only, which bounds the overlap
-from above.  What the bound leaves is decided on the sorted shingle arrays.
-
-No tile's pairs are listed.  Tiles that share sets are compared together in blocks,
-and only as many links come out of a block as connect what is linked in it.
+Linked sets share K - H tiles at least, so each set may leave out the K - H - 1
+tiles that most sets have (less its empty parts), all sets in one order of tiles:
+the rarest common tile of a linked pair is left to both.  That takes away what
+sets have in common by shared passages.
+
+Pairs are bounded by the bit counts of hashed bitmaps, about 8 to 16 bits a
+shingle: bits set in one bitmap only belong to shingles of that set only, which
+bounds the overlap from above.  What the bound leaves is decided on the sorted
+shingle arrays, first a pair a set, then what these links do not connect.
+
+The pairs of small tiles are listed once each.  Those of a large tile are not: its
+sets are compared with one leader, and what is still unconnected is compared in
+blocks, from which only as many links come as connect what is linked there.
 """
 
 from __future__ import annotations
@@ -24,17 +31,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlake.llm import tokens
 from postlake.llm.common import NO_ID, batch_texts, components, id_of, with_names, without, written
 
 _BAND = 1.6
-_SLACK = 1.1
-_WORDS = 16  # 64-bit words of a bitmap
+_SLACK = 1.3
+_BITS = 8  # of a bitmap for each shingle, at least
 _BLOCK = 1024  # sets compared with each other at once
-_MOST_BLOCKS = 16
+_LISTED = 64  # sets of a tile whose pairs are listed
+_BUCKET = 500_000  # tile entries that meet in a task at once
+_SALTED = 8  # sets of a slice with one tile from which on only the first goes to the tile's bucket
+_MOST_SPARE = (1 << 14) - 1
 _SEEN = 200_000  # sets remembered by a task, to send copies once
 #: Up to this many ids (16 bytes each) are broadcast; beyond, the texts are shuffled to them.
 _BROADCAST_IDS = 500_000
@@ -116,12 +126,13 @@ def _key(sums, parts, bands):
     return tokens.mix(sums + tokens.mix(np.asarray(parts).astype(np.uint64) + ((np.asarray(bands).astype(np.uint64) + np.uint64(1)) << np.uint64(40))))
 
 
-def tiles(sets: Sets, wanted: np.ndarray, bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(keys, rows) of the tiles of the wanted rows: a key for each part of each band that partners may share.
+def tiles(sets: Sets, wanted: np.ndarray, bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, rows, spare) of the tiles of the wanted rows: a key for each part of each band that partners may share.
 
     Members are sorted and parts are ranges of hashes, so a part is a run of a set.
     Of H + 1 or more equal parts one holds a shingle as long as fewer parts than
-    that are empty; then empty parts need no tile.
+    that are empty; then empty parts need no tile.  Linked sets share one tile more
+    than spare says, at least.
     """
     low, high = bands.of(np.maximum(sets.sizes, 1))
     for step in range(int((high - low).max(initial=0)) + 1):
@@ -134,14 +145,38 @@ def tiles(sets: Sets, wanted: np.ndarray, bands: Bands) -> Iterator[tuple[np.nda
         part = ((members >> np.uint64(32)) * bands.parts[band[row]].astype(np.uint64)) >> np.uint64(32)
         cut = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (row[1:] != row[:-1])))
         held, owner = part[cut], row[cut]
-        yield _key(np.add.reduceat(sets.mixed[take], cut), held, band[owner]), owner
         filled = np.bincount(owner, minlength=len(mine))
-        for i in np.flatnonzero(mine & (bands.parts[band] - filled >= bands.parts[band] - bands.apart[band])):
-            empty = np.setdiff1d(np.arange(bands.parts[band[i]]), held[owner == i].astype(np.int64))
-            yield _key(np.zeros(len(empty), np.uint64), empty, np.full(len(empty), band[i])), np.full(len(empty), i)
+        spare = np.maximum(filled - bands.apart[band] - 1, 0)
+        yield _key(np.add.reduceat(sets.mixed[take], cut), held, band[owner]), owner, spare[owner]
+        for i in np.flatnonzero(mine & (filled <= bands.apart[band])):
+            empty = np.setdiff1d(np.arange(bands.parts[band[i]]), held[slice(*np.searchsorted(owner, [i, i + 1]))].astype(np.int64))
+            yield _key(np.zeros(len(empty), np.uint64), empty, np.full(len(empty), band[i])), np.full(len(empty), i), np.zeros(len(empty), np.int64)
+
+
+def _binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of values, cut at the bounds."""
+    values = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _values(column: pa.ChunkedArray, kind) -> np.ndarray:
+    out = [np.zeros(0, kind)]
+    for chunk in column.cast(pa.large_binary()).chunks:
+        _, offsets, data = chunk.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
+        if offsets[-1] > offsets[0]:
+            out.append(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind))
+    return np.concatenate(out)
+
 
+def _packed(n: int, percent: int, buckets: int):
+    """The tiles of each slice, packed by bucket: keys, names of the sets, and spare * 4 + how.
+
+    Where many sets of a slice share a tile, the first goes to the tile's bucket
+    (how 2) and the others, known to be in a shared tile, to any (how 1): so a tile
+    that holds a great part of all sets burdens no bucket.
+    """
 
-def _tiled(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
         for _, sets in _sets(batches, n):
@@ -150,25 +185,63 @@ def _tiled(n: int, percent: int):
                 wanted[i] = name not in seen
                 if len(seen) < _SEEN:
                     seen.add(name)
-            for keys, rows in tiles(sets, wanted, bands):
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sets.names[rows])], names=["key", "c"])
+            found = list(tiles(sets, wanted, bands))
+            if not found:
+                continue
+            keys, rows, spare = map(np.concatenate, zip(*found, strict=True))
+            names, info = sets.names[rows], np.minimum(spare, _MOST_SPARE).astype(np.uint16) << np.uint16(2)
+            order = np.argsort(keys, kind="stable")
+            cut = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+            number = np.diff(np.append(cut, len(keys)))
+            many = np.repeat(number >= _SALTED, number)
+            info[order[many]] |= np.uint16(1)
+            info[order[cut[number >= _SALTED]]] ^= np.uint16(3)
+            salt = np.where(info & np.uint16(1), tokens.mix(names.view(np.uint64)), np.uint64(0))
+            bucket = ((keys ^ salt) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket = bucket[order]
+            bounds = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[bounds[:-1]]), *[_binaries(x[order], bounds) for x in (keys, names, info)]], names=["bucket", "keys", "names", "infos"])
 
     return run
 
 
+def _shared(table: pa.Table) -> pa.Table:
+    """(key, c, spare, sets) of the tiles of a bucket that several sets have; sets is the largest number for those shared within a slice."""
+    keys, names, info = _values(table.column("keys"), np.uint64), _values(table.column("names"), np.int64), _values(table.column("infos"), np.uint16)
+    order = np.lexsort((names, keys, info & np.uint16(1)))
+    keys, names, info = keys[order], names[order], info[order]
+    salted, known = (info & np.uint16(1)).astype(bool), (info & np.uint16(2)).astype(bool)
+    other = np.append(True, (keys[1:] != keys[:-1]) | (salted[1:] != salted[:-1]))[: len(keys)]
+    new = other | np.append(True, names[1:] != names[:-1])[: len(keys)]
+    tile = np.cumsum(other) - 1
+    sets = np.bincount(tile, weights=new).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
+    hot = np.bincount(tile, weights=known | salted) > 0 if len(keys) else np.zeros(0, bool)
+    sets = np.where(hot, np.iinfo(np.int32).max, sets)[tile]
+    keep = new & (sets > 1)
+    return pa.table({"key": keys[keep].view(np.int64), "c": names[keep], "spare": (info[keep] >> np.uint16(2)).astype(np.int32), "sets": sets[keep].astype(np.int32)})
+
+
 def bitmap(members: np.ndarray) -> np.ndarray:
-    bits = np.zeros(_WORDS * 64, np.uint8)
-    bits[(members & np.uint64(_WORDS * 64 - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.uint64)
+    """Bytes of a bitmap whose width is the power of two from _BITS bits a shingle up."""
+    width = 1 << max(6, (_BITS * len(members) - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[(members & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little")
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap as one of fewer bytes: as if made with that width."""
+    return np.bitwise_or.reduce(bits.reshape(-1, size), axis=0) if len(bits) > size else bits
 
 
 def _arrays(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in _sets(batches, n):
+        for _, sets in _sets(batches, n):
             each = [sets[i] for i in range(len(sets.names))]
             yield pa.RecordBatch.from_arrays(
-                [part.column("k"), pa.array(sets.names), pa.array(sets.sizes), pa.array([bitmap(x).view(np.int64).tolist() for x in each], pa.list_(pa.int64())), pa.array([x.tobytes() for x in each], pa.binary())],
-                names=["k", "c", "n", "bits", "members"],
+                [pa.array(sets.names), pa.array(sets.sizes), pa.array([bitmap(x).tobytes() for x in each], pa.binary()), pa.array([x.tobytes() for x in each], pa.binary())],
+                names=["c", "n", "bits", "members"],
             )
 
     return run
@@ -178,37 +251,49 @@ def linked(common, a, b, percent: int):
     return 100 * common >= percent * (a + b - common)
 
 
-def _exact(percent: int):
+def _filtered(keep):
+    """mapInArrow function: the pairs (a, b) of the rows for which keep(row values) holds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column("members_a"), batch.column("members_b")
-            keep = []
-            for i in range(batch.num_rows):
-                p, q = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                keep.append(bool(linked(int((q[at] == p).sum()), len(p), len(q), percent)))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
+            rows = zip(*(batch.column(i).to_pylist() for i in range(2, batch.num_columns)), strict=True)
+            mask = pa.array([bool(keep(*row)) for row in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
     return run
 
 
-def _may_overlap(percent: int) -> F.Column:
-    """Whether the bitmaps allow the pair to be linked."""
+def may_overlap(n_a: int, bits_a: bytes, n_b: int, bits_b: bytes, percent: int) -> bool:
+    """Whether sizes and bitmaps allow two sets to be linked."""
+    if not linked(min(n_a, n_b), n_a, n_b, percent):
+        return False
+    size = min(len(bits_a), len(bits_b))
+    p, q = (folded(np.frombuffer(x, np.uint8), size).view(np.uint64) for x in (bits_a, bits_b))
+    most = min(n_a - int(np.bitwise_count(p & ~q).sum()), n_b - int(np.bitwise_count(q & ~p).sum()))
+    return linked(most, n_a, n_b, percent)
+
+
+def overlap(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two sets, given as sorted arrays, are linked."""
+    p, q = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    return linked(int((q[at] == p).sum()), len(p), len(q), percent)
 
-    def only(p: str, q: str) -> F.Column:
-        bits = F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v))))
-        return F.aggregate(bits, F.lit(0), lambda s, x: s + x)
 
-    most = F.least(F.col("n_a") - only("bits_a", "bits_b"), F.col("n_b") - only("bits_b", "bits_a"))
-    return linked(most, F.col("n_a"), F.col("n_b"), percent)
+def _joined(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    for s in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("c").alias(s), *[F.col(x).alias(f"{x}_{s}") for x in columns]), s)
+    return pairs.select("a", "b", *[f"{x}_{s}" for s in ("a", "b") for x in columns])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked: sizes and bitmaps first, then the sorted arrays of what they leave."""
-    side = lambda s, *columns: sets.select(F.col("c").alias(s), *[F.col(x).alias(f"{x}_{s}") for x in columns])
-    maybe = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").where(_may_overlap(percent)).select("a", "b")
-    both = maybe.join(side("a", "members"), "a").join(side("b", "members"), "b")
-    return both.select("a", "b", "members_a", "members_b").mapInArrow(_exact(percent), "a long, b long")
+def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps allow to be linked."""
+    return _joined(pairs, sets, "n", "bits").mapInArrow(_filtered(lambda *row: may_overlap(*row, percent)), "a long, b long")
+
+
+def exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are linked by their sorted arrays."""
+    return _joined(pairs, sets, "members").mapInArrow(_filtered(lambda x, y: overlap(x, y, percent)), "a long, b long")
 
 
 def common_counts(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -261,7 +346,8 @@ def _across(percent: int):
 
 def _allowed(x: pd.DataFrame, y: pd.DataFrame, percent: int) -> np.ndarray:
     """Which pairs are in different components and may be linked by their sizes and bitmaps."""
-    bx, by = (np.array(s["bits"].tolist(), np.int64).reshape(len(s), -1).view(np.uint64) for s in (x, y))
+    size = min(map(len, pd.concat((x["bits"], y["bits"]))))
+    bx, by = (np.stack([folded(np.frombuffer(v, np.uint8), size) for v in s["bits"]]).view(np.uint64) for s in (x, y))
     (nx, compx), (ny, compy) = ([s[c].to_numpy() for c in ("n", "comp")] for s in (x, y))
     allowed = np.zeros((len(x), len(y)), bool)
     for i in range(len(x)):
@@ -300,29 +386,20 @@ def _possible(percent: int):
 def _connecting(x: pd.DataFrame, y: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     if not len(x) or not len(y):  # a block may have got no row
         return []
-    (nx, cx, compx), (ny, cy, compy) = ([s[c].to_numpy() for c in ("n", "c", "comp")] for s in (x, y))
-    allowed = _allowed(x, y, percent)
-    out, rows = [], np.flatnonzero(allowed.any(1))
-    if not len(rows):
-        return out
-    columns = rows if x is y else np.flatnonzero(allowed.any(0))
-    xs = [np.frombuffer(m, np.uint64) for m in x["members"].to_numpy()[rows]]
-    ys = xs if x is y else [np.frombuffer(m, np.uint64) for m in y["members"].to_numpy()[columns]]
-    met = allowed[np.ix_(rows, columns)] & linked(common_counts(xs, ys), nx[rows][:, None], ny[columns][None, :], percent)
-    label = {c: c for c in np.concatenate((compx, compy)).tolist()}
+    (cx, compx), (cy, compy) = ([s[c].tolist() for c in ("c", "comp")] for s in (x, y))
+    allowed, xs, ys = _allowed(x, y, percent), x["members"].tolist(), y["members"].tolist()
+    label, out = {c: c for c in compx + compy}, []
 
     def root(c: int) -> int:
         while label[c] != c:
             label[c] = c = label[label[c]]
         return c
 
-    for i, row in zip(rows.tolist(), met, strict=True):
-        comps, first = np.unique(compy[columns[row]], return_index=True)
-        for comp, j in zip(comps.tolist(), columns[row][first].tolist(), strict=True):
-            p, q = root(int(compx[i])), root(comp)
-            if p != q:
-                label[max(p, q)] = min(p, q)
-                out.append((min(cx[i], cy[j]), max(cx[i], cy[j])))
+    for i, j in np.argwhere(np.triu(allowed) if x is y else allowed).tolist():
+        p, q = root(compx[i]), root(compy[j])
+        if p != q and overlap(xs[i], ys[j], percent):
+            label[max(p, q)] = min(p, q)
+            out.append((min(cx[i], cy[j]), max(cx[i], cy[j])))
     return out
 
 
@@ -412,8 +489,8 @@ def _components_of(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
     rows = written(texts.mapInArrow(_named(n), "k long, h long, n long, c long"))
     classes = rows.where("n > 0").groupBy("c").agg(F.min("k").alias("first"), F.count("*").alias("copies"))
-    members = _members(texts, n, percent)
-    sets = written(_sets_of(texts, members, rows, n))
+    members = _members(texts, rows, n, percent)
+    sets = _sets_of(texts, members, rows, n)
     labels = _linked_labels(members, sets, percent)
     joined = classes.join(labels, classes["c"] == labels["node"], "left").select("c", "first", "copies", F.coalesce("comp", "c").alias("comp"))
     joined = written(joined) if count_links else joined
@@ -430,28 +507,31 @@ def _components_of(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
 
 
 def _linked_labels(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, comp) of all sets that are linked.
-
-    Tiles that share members are put together as a bunch: sets that are alike share
-    many tiles, and each set then travels to _MOST_BLOCKS blocks at most.  In a
-    bunch too large for that, each set is first compared with one leader, which
-    connects most, and then tiles that still hold several components compare theirs.
-    """
-    names = components(members.where("c <> leader").select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct())
-    sizes = names.groupBy("comp").agg(F.count("*").alias("m"))
-    bunched = written(names.join(sizes, "comp").select(F.col("comp").alias("key"), F.col("node").alias("c"), "m"))
-    fits = F.col("m") <= _MOST_BLOCKS * _BLOCK
-    links = written(block_links(bunched.where(fits).withColumn("comp", F.col("c")), sets, percent))
-    rest = bunched.where(~fits).select("c")
-    if not rest.isEmpty():
-        tiled = written(members.join(rest, "c"))
-        stars = tiled.where("c <> leader").groupBy(F.col("c").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
-        links = written(links.unionByName(verified(stars, sets, percent)))
+    """(node, comp) of all sets that are linked; members: (key, c, m, leader), m the sets of the tile and leader one of them."""
+    small = members.where(F.col("m") <= _LISTED)
+    pairs = small.select("key", F.col("c").alias("a")).join(small.select("key", F.col("c").alias("b")), "key").where("a < b").select("a", "b")
+    stars = members.where((F.col("m") > _LISTED) & (F.col("c") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("c").alias("b"))
+    maybe = written(bounded(pairs.unionByName(stars).distinct(), sets, percent))
+    one = maybe.groupBy("b").agg(F.min("a").alias("one"))
+    links = written(exact(one.select(F.col("one").alias("a"), "b"), sets, percent))
+    labels = components(links)
+    apart = _labelled(_labelled(maybe.join(one, "b").where("a <> one"), labels, "a"), labels, "b").where("comp_a <> comp_b").select("a", "b")
+    links = written(links.unionByName(exact(apart, sets, percent)))
+    labels = components(links)
+    large = members.where(F.col("m") > _LISTED).select("key", "c")
+    if not large.isEmpty():
+        named = written(_labelled(large, labels, "c").select("key", "c", F.col("comp_c").alias("comp")))
+        held = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("all")).where("lo <> hi")
+        held = held.groupBy("all", "m").agg(F.min("key").alias("key"))  # of tiles with the same sets one will do
+        links = written(links.unionByName(block_links(written(named.join(held.select("key", "m"), "key")), sets, percent)))
         labels = components(links)
-        named = tiled.join(labels, F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("comp", "c").alias("comp"))
-        held = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-        links = links.unionByName(written(block_links(written(named.join(held.select("key", "m"), "key")), sets, percent)))
-    return components(links)
+    return labels
+
+
+def _labelled(rows: DataFrame, labels: DataFrame, c: str) -> DataFrame:
+    """Rows with comp_<c>, the component of column c: its own name if it is linked with nothing."""
+    named = rows.join(labels.select(F.col("node").alias(c), F.col("comp").alias("_comp")), c, "left")
+    return named.withColumn(f"comp_{c}", F.coalesce("_comp", c)).drop("_comp")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -471,19 +551,25 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     return kept.select("_row.*")
 
 
-def _members(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(key, leader, c) of the tiles that hold several different sets."""
-    tiled = texts.mapInArrow(_tiled(n, percent), "key long, c long")
-    shared = tiled.groupBy("key").agg(F.min("c").alias("leader"), F.max("c").alias("last")).where("leader <> last")
-    return written(tiled.join(shared.select("key", "leader"), "key").select("key", "leader", "c").distinct())
+def _members(texts: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """(key, c, m, leader) of the tiles that m > 1 sets have in common, without those that a set may leave out."""
+    shingles = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = 1 + int(shingles * 1.5 * _SLACK * most_apart(100, percent) / 100) // _BUCKET
+    packed = texts.mapInArrow(_packed(n, percent, buckets), "bucket long, keys binary, names binary, infos binary")
+    found = packed.groupBy("bucket").applyInArrow(_shared, "key long, c long, spare int, sets int")
+    order = Window.partitionBy("c", "spare").orderBy(F.desc("sets"), F.desc("key"))
+    kept = written(found.withColumn("rank", F.dense_rank().over(order)).where("rank > spare").select("key", "c"))
+    sizes = kept.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("leader"), F.max("c").alias("last")).where("leader <> last").drop("last")
+    return written(kept.join(sizes, "key"))
 
 
 def _sets_of(texts: DataFrame, members: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     """Size, bitmap and sorted shingles of every set that is a member of a tile, from one document each."""
     needed = members.select("c").distinct()
-    bearers = written(rows.where("n > 0").join(needed, "c", "left_semi").groupBy("c").agg(F.min("k").alias("k")).select("k", "c"))
-    ids = bearers.select("k").distinct()
-    if bearers.count() <= _BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    read = texts.join(ids, "k", "left_semi").mapInArrow(_arrays(n), "k long, c long, n long, bits array<long>, members binary")
-    return read.join(bearers, ["k", "c"], "left_semi").drop("k").dropDuplicates(["c"])
+    bearers = written(rows.where("n > 0").join(needed, "c", "left_semi").groupBy("c").agg(F.min(F.struct("k", "h")).alias("one")).select("one.*"))
+    few = bearers.count()
+    read = texts.join(F.broadcast(bearers) if few <= _BROADCAST_IDS else bearers, ["k", "h"], "left_semi")
+    sets = read.mapInArrow(_arrays(n), "c long, n long, bits binary, members binary")
+    if rows.join(bearers, ["k", "h"], "left_semi").count() > few:  # some of these rows are repeated
+        sets = sets.dropDuplicates(["c"])
+    return written(sets)

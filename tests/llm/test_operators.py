@@ -123,11 +123,13 @@ def brute_components(rows, n, percent):
     return {k: (len(sets[k]), root(k), degree[k]) for k in sets}
 
 
-@pytest.mark.parametrize(("block", "most"), [(1024, 16), (4, 16), (4, 1)])
-def test_jaccard_join(spark, monkeypatch, block, most):
-    """Chains of near copies, so that components reach beyond direct links; in one block, in several, and as a bunch too large for them."""
+@pytest.mark.parametrize(("block", "listed", "salted"), [(1024, 64, 8), (4, 64, 2), (1024, 2, 2), (4, 2, 8)])
+def test_jaccard_join(spark, monkeypatch, block, listed, salted):
+    """Chains of near copies, so that components reach beyond direct links: by listed pairs, in one block and in several, from salted buckets and others."""
+    rng = np.random.default_rng(21)
     monkeypatch.setattr(jaccard, "_BLOCK", block)
-    monkeypatch.setattr(jaccard, "_MOST_BLOCKS", most)
+    monkeypatch.setattr(jaccard, "_LISTED", listed)
+    monkeypatch.setattr(jaccard, "_SALTED", salted)
     rows, text = [], [f"t{i}" for i in range(150)]
     for i in range(24):
         text = list(text)
@@ -152,15 +154,26 @@ def test_jaccard_edges(docs, none):
     assert jaccard.one_of_each(none).count() == 0
 
 
+def test_bitmaps_bound_the_overlap():
+    rng = np.random.default_rng(23)
+    for size in [1, 5, 64, 300]:
+        for kept in range(0, size + 1, max(1, size // 20)):
+            x = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+            y = np.unique(np.concatenate((x[:kept], rng.integers(0, 1 << 63, int(rng.integers(1, 2 * size + 1))).astype(np.uint64))))
+            given = [(len(v), jaccard.bitmap(v).tobytes()) for v in (x, y)]
+            wanted = bool(jaccard.linked(len(np.intersect1d(x, y)), len(x), len(y), 80))
+            assert jaccard.overlap(x.tobytes(), y.tobytes(), 80) == wanted and jaccard.may_overlap(*given[0], *given[1], 80) >= wanted
+
+
 def test_parts_of_linked_sets_meet():
-    """The pigeonhole bound: every linked pair shares a tile."""
-    bands = jaccard.Bands(85)
+    """The pigeonhole bound: every linked pair shares a tile, whatever tiles go as the most frequent ones."""
+    rng, bands = np.random.default_rng(22), jaccard.Bands(85)
 
     def keys(members):
         sets = jaccard.Sets.__new__(jaccard.Sets)
         sets.members, sets.mixed, sets.row = members, tokens.mix(members), np.zeros(len(members), np.int64)
         sets.first, sets.sizes = np.array([0, len(members)]), np.array([len(members)])
-        return {k for found, _ in jaccard.tiles(sets, np.array([True]), bands) for k in found.tolist()}
+        return {k for found, _, spare in jaccard.tiles(sets, np.array([True]), bands) for k in np.sort(found)[spare[0] :].tolist()}
 
     for size in [*range(1, 40), 100, 333]:
         x = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
