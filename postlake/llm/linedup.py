@@ -31,6 +31,46 @@ def _leaf(line, depth: int) -> F.Column:
     return F.xxhash64(F.size(words), F.array_join(F.slice(words, 1, depth), " "))
 
 
+#: Up to this many places of lines (16 bytes each) are broadcast; beyond, the texts are shuffled to them.
+FEW_PLACES = 1_000_000
+
+
+def _met(texts: DataFrame, places: DataFrame, number: int, how: str) -> DataFrame:
+    """Texts (k, h, text) with what a written frame has of their (k, h), number places in all."""
+    return texts.join(F.broadcast(places) if number <= FEW_PLACES else places, ["k", "h"], how)
+
+
+def _parsed(texts: DataFrame, depth: int) -> DataFrame:
+    """(k, h, leaf, m, at, ats) of the different masked lines of each text: m the line's hash, at the first of its places."""
+    lines = texts.where("text is not null").select("k", "h", F.posexplode(masked_lines(F.col("text"))).alias("at", "line")).where("line <> ''")
+    lines = lines.select("k", "h", "at", _leaf(F.col("line"), depth).alias("leaf"), F.xxhash64("line").alias("m"))
+    return lines.groupBy("k", "h", "leaf", "m").agg(F.collect_set("at").alias("ats"), F.min("at").alias("at"))
+
+
+def _templates(texts: DataFrame, each: DataFrame, depth: int, least_docs: int, constant: float) -> DataFrame:
+    """(leaf, m, template) of all masked lines of leaves with several documents.
+
+    Only lines of leaves that hold several different ones are read again, each from
+    one document.  The alone in its leaf is its own template, as the words of its
+    positions don't vary.
+    """
+    kinds = written(each.groupBy("leaf", "m").agg(F.count("*").alias("docs"), F.min(F.struct("k", "h", "at")).alias("one")))
+    varied = kinds.groupBy("leaf").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).where("lo <> hi").select("leaf")
+    wanted = written(kinds.join(varied, "leaf").groupBy("one.k", "one.h").agg(F.collect_list(F.struct(F.col("one.at").alias("at"), "leaf", "m", "docs")).alias("wanted")))
+    number = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0]
+    read = _met(texts, wanted, number, "inner").withColumn("lines", masked_lines(F.col("text")))
+    words = read.select("lines", F.explode("wanted").alias("x")).select("x.leaf", "x.m", "x.docs", F.split(F.col("lines")[F.col("x.at")], " ").alias("words"))
+    words = written(words.dropDuplicates(["leaf", "m"]))
+    plain = F.size(F.filter(F.slice("words", 1, depth), lambda w: w != FIELD))
+    placed = F.filter(F.transform(F.col("words"), lambda w, p: F.struct(w.alias("w"), p.alias("p"))), lambda x: (x["p"] >= depth) & (x["w"] != FIELD))
+    each_word = words.select("leaf", "m", "docs", F.explode(placed).alias("x")).select("leaf", "m", "docs", F.xxhash64("leaf", "x.p", "x.w").alias("g"))
+    constants = each_word.groupBy("g").agg(F.sum("docs").alias("d")).where(F.col("d") >= least_docs).select("g")
+    fixed = each_word.join(constants, "g").groupBy("leaf", "m").agg(F.count("*").alias("c"), F.bit_xor("g").alias("all"))
+    shaped = words.select("leaf", "m", plain.alias("plain"), F.size("words").alias("n")).join(fixed, ["leaf", "m"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    general = shaped.where((F.col("plain") + F.col("c")) / F.col("n") >= constant).select("leaf", "m", F.xxhash64("leaf", "c", F.coalesce("all", F.lit(0))).alias("template"))
+    return kinds.select("leaf", "m").join(general, ["leaf", "m"], "left").select("leaf", "m", F.coalesce("template", F.xxhash64("m", "leaf")).alias("template"))
+
+
 def drop_template_lines(docs: DataFrame, depth: int = 3, least_docs: int = 3, constant: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Drop lines whose template recurs in ``least_docs`` documents or more, except its first occurrence.
 
@@ -45,36 +85,24 @@ def drop_template_lines(docs: DataFrame, depth: int = 3, least_docs: int = 3, co
     has no lines and a null kept_text; an empty one has one empty line.  A null id
     counts as smaller than every other.  Rows that repeat id and text are one
     document, returned once for each row; different texts of one id are
-    documents of their own.  Other columns are not read.
+    documents of their own, in the order of their hashes.  A text of any length is
+    parsed whole.  Other columns are not read.
     """
     text = F.col(text_col).cast("string")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
-    dealt = texts.repartition("k")
-    lines = texts.where("text is not null").select("k", "h", F.posexplode(masked_lines(F.col("text"))).alias("at", "line")).where("line <> ''")
-    lines = lines.select("k", "h", "at", _leaf(F.col("line"), depth).alias("leaf"), F.xxhash64("line").alias("m"))
-    each = written(lines.groupBy("k", "h", "leaf", "m").agg(F.array_distinct(F.collect_list("at")).alias("ats"))).withColumn("at", F.array_min("ats"))
-    live = each.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") >= least_docs).select("leaf")
-    kinds = each.join(live, "leaf").groupBy("leaf", "m").agg(F.count("*").alias("docs"), F.min(F.struct("k", "h", "at")).alias("one"))
-    wanted = kinds.select(F.col("one.k").alias("k"), F.col("one.h").alias("h0"), F.col("one.at").alias("at"), "leaf", "m", "docs")
-    wanted = wanted.groupBy("k").agg(F.collect_list(F.struct("h0", "at", "leaf", "m", "docs")).alias("wanted"))
-    read = dealt.join(wanted.hint("shuffle_hash"), "k").withColumn("lines", masked_lines(F.col("text")))
-    read = read.select("lines", F.explode(F.filter("wanted", lambda x: x["h0"] == F.col("h"))).alias("x")).select(F.col("x.leaf").alias("leaf"), F.col("x.m").alias("m"), F.col("x.docs").alias("docs"), F.split(F.col("lines")[F.col("x.at")], " ").alias("words"))
-    words = read.dropDuplicates(["leaf", "m"]).select("leaf", "m", "docs", F.posexplode("words").alias("p", "word"))
-    constants = words.groupBy("leaf", "p", "word").agg(F.sum("docs").alias("d")).where((F.col("d") >= least_docs) | (F.col("p") < depth)).select("leaf", "p", "word", F.lit(True).alias("fixed"))
-    marked = words.join(constants, ["leaf", "p", "word"], "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)) & (F.col("word") != FIELD))
-    shaped = marked.groupBy("leaf", "m").agg(F.collect_list(F.struct("p", F.when(F.col("fixed"), F.col("word")).otherwise(FIELD).alias("w"))).alias("ws"), F.avg(F.col("fixed").cast("int")).alias("share"))
-    template = F.when(F.col("share") >= constant, F.xxhash64(F.transform(F.array_sort("ws"), lambda x: x["w"]))).otherwise(F.xxhash64("m", "leaf"))
-    templates = shaped.select("leaf", "m", template.alias("template"))
-    told = each.join(templates, ["leaf", "m"]).groupBy("k", "h", "template").agg(F.min("at").alias("at"))
-    recurring = told.groupBy("template").agg(F.count("*").alias("c"), F.min(F.struct("k", "h", "at")).alias("first")).where(F.col("c") >= least_docs)
-    gone = each.drop("at").join(templates, ["leaf", "m"]).join(recurring.select("template", "first"), "template").withColumn("at", F.explode("ats"))
-    gone = gone.where(F.struct("k", "h", "at") != F.col("first")).groupBy("k").agg(F.collect_set(F.struct("h", "at")).alias("gone"))
-    met = dealt.join(gone.hint("shuffle_hash"), "k", "left").withColumn("lines", F.split("text", "\n"))
-    mine = F.transform(F.filter(F.coalesce("gone", F.array().cast("array<struct<h:bigint,at:int>>")), lambda x: x["h"] == F.col("h")), lambda x: x["at"])
-    met = met.withColumn("mine", mine)
-    kept = F.filter("lines", lambda line, i: ~F.array_contains(F.col("mine"), i))
-    count = lambda c: F.when(F.col("text").isNull(), 0).otherwise(F.size(c)).cast("long")
-    return met.select(id_of(F.col("k")).alias(id_col), F.when(F.size("mine") > 0, F.array_join(kept, "\n")).otherwise(F.col("text")).alias("kept_text"), count("lines").alias("n_lines"), count("mine").alias("n_dropped"))
+    parsed = written(_parsed(texts, depth))
+    live = parsed.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") >= least_docs).select("leaf")
+    each = written(parsed.join(live, "leaf"))
+    told = written(each.join(_templates(texts, each, depth, least_docs, constant), ["leaf", "m"]).select("k", "h", "template", "at", "ats"))
+    documents = told.groupBy("template", "k", "h").agg(F.min("at").alias("at"))
+    recurring = documents.groupBy("template").agg(F.count("*").alias("c"), F.min(F.struct("k", "h", "at")).alias("first")).where(F.col("c") >= least_docs)
+    gone = told.drop("at").join(recurring.select("template", "first"), "template").withColumn("at", F.explode("ats"))
+    gone = written(gone.where(F.struct("k", "h", "at") != F.col("first")).groupBy("k", "h").agg(F.collect_set("at").alias("gone")))
+    number = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
+    met = _met(texts, gone, number, "left").withColumn("lines", F.split("text", "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
+    return met.select(id_of(F.col("k")).alias(id_col), kept.alias("kept_text"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 #: The same in DuckDB's SQL for table documents, with depth 3, 3 documents and half of the words.

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from postlake.llm import ann, jaccard, langid, mixing, sharding, tokens, toxicity
+from postlake.llm import ann, jaccard, langid, linedup, mixing, sharding, tokens, toxicity
 from postlake.llm.common import components
 from postlake.llm.decontam import benchmark_hits, drop_contaminated, near_matches
 from postlake.llm.license import scan_licenses
@@ -328,13 +328,26 @@ def test_network_gradients_and_pooling():
     assert langid.document_probabilities(net, text).sum(1).tolist() == pytest.approx([1, 0, 0, 1], abs=1e-4)
 
 
-def test_line_dedup(spark, docs, none):
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_line_dedup(spark, docs, none, monkeypatch, few):
+    """With broadcast places and with shuffled texts."""
+    monkeypatch.setattr(linedup, "FEW_PLACES", few)
     rows = [(1, "Report 17 of the day\nunique one here"), (2, "Report 18 of the day\nsomething else"), (3, "report\nReport 19 of the day"), (4, "Report of\n\nother"), (5, None), (6, "")]
     got = {r["doc_id"]: (r["kept_text"], r["n_lines"], r["n_dropped"]) for r in drop_template_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (rows[0][1], 2, 0), 2: ("something else", 2, 1), 3: ("report", 2, 1), 4: (rows[3][1], 3, 0), 5: (None, 0, 0), 6: ("", 1, 0)}
     names = [(i, f"From {n} to {m} by the evening mail") for i, (n, m) in enumerate([("Ann", "Bob"), ("Cid", "Dan"), ("Eve", "Fay"), ("Gus", "Hal")])]
     fields = {r["doc_id"]: r["n_dropped"] for r in drop_template_lines(spark.createDataFrame(names, "doc_id long, text string"), depth=1).collect()}
     assert fields == {0: 0, 1: 1, 2: 1, 3: 1}
+    long = "\n".join(["Report 20 of the day", *[f"line number {i} is mine" for i in range(5000)], *["a b\tc"] * 300])
+    rows += [(7, long), (7, long), (8, "Report 1 of the day"), (None, "Report 2 of the day\na b c\n"), (None, "Report 3 of the day"), (9, "Report 1 of the day\nReport 1 of the day\na b c")]
+    got = Counter((r["doc_id"], r["kept_text"], r["n_lines"], r["n_dropped"]) for r in drop_template_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    wanted = Counter({(1, "unique one here", 2, 1): 1, (2, "something else", 2, 1): 1, (3, "report", 2, 1): 1, (4, rows[3][1], 3, 0): 1, (5, None, 0, 0): 1, (6, "", 1, 0): 1, (8, "", 1, 1): 1, (9, "", 3, 3): 1})
+    kept = "\n".join(f"line number {i} is mine" for i in range(5000))
+    first, second = sorted((rows[-3][1], rows[-2][1]), key=lambda t: spark.range(1).select(F.xxhash64(F.lit(t))).first()[0])
+    lines = {rows[-3][1]: "a b c\n", rows[-2][1]: ""}
+    assert got[7, kept, 5301, 301] == 2
+    assert {k: v for k, v in got.items() if k[0] not in (7, None)} == dict(wanted)
+    assert got[None, first, first.count("\n") + 1, 0] == 1 and got[None, lines[second], second.count("\n") + 1, 1] == 1
     assert drop_template_lines(docs).count() == len(edge_rows()) and drop_template_lines(none).count() == 0
 
 
