@@ -11,6 +11,7 @@ beyond chance is summed and calibrated to a probability.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlake.llm import tokens
-from postlake.llm.common import NO_ID, batch_texts, id_of
+from postlake.llm.common import NO_ID, batch_texts, id_of, written
 
 #: Lengths in bytes of the word beginnings that are units besides whole words.
 PREFIXES = (6, 5, 4)
@@ -127,59 +128,79 @@ def log_odds(counts: DataFrame, toxic: int, clean: int, strength: float = 100.0)
     return counts.withColumn("odds", part("t", toxic) - part("c", clean)).withColumn("gain", term("t", base) + term("c", 1 - base))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_units: int = 200_000, least_odds: float = 2.5, least_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, least_odds: float = 2.5, least_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit to at most ``max_rows`` labelled documents, those with the smallest hashes of their ids.
 
     A unit of ``least_docs`` documents or more enters the model if its gain is
-    beyond what the best of all units would reach by chance, and at most
-    ``max_units`` with the largest gains; both bounds are small enough to broadcast.  Without both classes the model
-    knows no unit and scores every text alike.
+    beyond what the best of all units would reach by chance; the sample bounds
+    their number.  Of several texts with one id that with the smallest hash
+    counts, of several labels the largest; null ids and labels other than 0 and 1
+    do not.  Without both classes the model knows no unit and scores every text
+    alike.
     """
     one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("k")).agg(F.max(label_col).cast("int").alias("toxic"))
     chosen = one.orderBy(F.xxhash64("k"), "k").limit(max_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text"))
-    train = texts.join(F.broadcast(chosen), "k").select("k", "text", "toxic")
+    train = written(texts.join(F.broadcast(chosen), "k").groupBy("k", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     empty = Model(np.zeros(0, np.uint64), np.zeros(0))
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         rest = toxic + clean
         return Model(empty.units, empty.odds, bias=0.0 if not rest else float(np.log((toxic + 0.5) / (clean + 0.5))))
-    each = train.mapInArrow(_counted, "unit long, toxic int, n long")
+    each = train.select("text", "toxic").mapInArrow(_counted, "unit long, toxic int, n long")
     counts = each.groupBy("unit").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
-    tested = counts.where(F.col("t") + F.col("c") >= least_docs)
+    tested = written(counts.where(F.col("t") + F.col("c") >= least_docs))
     chance = float(np.log(max(tested.count(), 1))) + 1
-    known = log_odds(tested, toxic, clean).where((F.col("gain") >= chance) & (F.abs("odds") >= least_odds))
-    known = known.orderBy(F.col("gain").desc(), "unit").limit(max_units).select("unit", "odds").toPandas()
+    known = log_odds(tested, toxic, clean).where((F.col("gain") >= chance) & (F.abs("odds") >= least_odds)).select("unit", "odds").toPandas()
     units = known["unit"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(units)
     return calibrated(Model(units[order], known["odds"].to_numpy(float)[order]), train)
 
 
+def _each(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[int, np.ndarray, list]]:
+    """Label, word scores and segment scores of every training document."""
+    for batch in batches:
+        for part in tokens.slices(batch):
+            words, units = unit_hashes(part.column("text"))
+            scores = word_scores(units, model)
+            for label, a, b in zip(part.column("toxic").to_pylist(), words.first[:-1], words.first[1:], strict=True):
+                yield label, scores[a:b], [s for _, _, s in segments(scores[a:b])]
+
+
 def calibrated(model: Model, train: DataFrame) -> Model:
-    """Fit the extreme-value law to clean documents and the probability to all, from a few numbers of each training document."""
+    """Fit the extreme-value law to clean documents and the probability to all.
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tokens.slices(batch):
-                words, units = unit_hashes(part.column("text"))
-                scores = word_scores(units, model)
-                found = [sorted((s[2] for s in segments(scores[a:b])), reverse=True)[:50] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-                above = [int((scores[a:b] > 0).sum()) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(words.counts), pa.array(above, pa.int64()), pa.array(found, pa.list_(pa.float64()))], names=["toxic", "n", "above", "found"])
-
-    rows = train.mapInArrow(measure, "toxic int, n long, above long, found array<double>").toPandas()
-    clean = rows[rows["toxic"] == 0]
-    words, above = max(int(clean["n"].sum()), 1), int(clean["above"].sum())
-    rise = float(np.mean(model.odds[model.odds > 0])) if (model.odds > 0).any() else 1.0
-    share = (above + 1) / (words + 1)
-    decay = _root(lambda x: share * np.exp(x * rise) + (1 - share) * np.exp(-x * model.drift) - 1)
-    segments_seen = sum(len(x) for x in clean["found"])
-    rate = (segments_seen + 1) / words / np.exp(-decay * rise / 2)
-    model = Model(model.units, model.odds, model.drift, decay, rate)
-    evidence = np.array([beyond_chance(np.array(f), n, model) for f, n in zip(rows["found"], rows["n"], strict=True)])
-    slope, bias = _logistic(np.log1p(evidence), rows["toxic"].to_numpy(float))
-    return Model(model.units, model.odds, model.drift, decay, rate, slope, bias)
+    decay solves sum of p(s) exp(decay * s) = 1 over the scores s of clean words;
+    rate follows from how many segments of clean documents reach their median.
+    """
+
+    def law(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, found = Counter(), Counter()
+        for label, scores, segments_ in _each(batches, model):
+            if not label:
+                value, number = np.unique(scores, return_counts=True)
+                words.update(dict(zip(value.tolist(), number.tolist(), strict=True)))
+                found.update(round(s, 1) for s in segments_)
+        for kind, seen in enumerate((words, found)):
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(seen), pa.int32()), pa.array(list(seen), pa.float64()), pa.array(list(seen.values()), pa.int64())], names=["kind", "value", "n"])
+
+    rows = train.select("text", "toxic").mapInArrow(law, "kind int, value double, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")).orderBy("kind", "value").toPandas()
+    (value, number), (score, often) = [rows.loc[rows["kind"] == kind, ["value", "n"]].to_numpy(float).T for kind in (0, 1)]
+    positive, number = float(model.odds.max(initial=1.0)), np.append(number, [1.0, 1.0])  # one more word of the drift and of the best unit, so that there is a root
+    value = np.append(value, [-model.drift, positive])
+    decay = _root(lambda x: float((number * np.exp(np.minimum(x * value, 500))).sum() / number.sum()) - 1)
+    middle = float(score[np.searchsorted(np.cumsum(often), often.sum() / 2)]) if len(score) else 0.0
+    rate = (often[score >= middle].sum() + 1) / number.sum() * np.exp(decay * middle)
+    model = Model(model.units, model.odds, model.drift, decay, float(rate))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = [(label, beyond_chance(np.array(found), len(scores), model)) for label, scores, found in _each(batches, model)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.float64())], names=["toxic", "evidence"])
+
+    rows = train.select("text", "toxic").mapInArrow(weigh, "toxic int, evidence double").toPandas()
+    slope, bias = _logistic(np.log1p(rows["evidence"].to_numpy()), rows["toxic"].to_numpy(float))
+    return Model(model.units, model.odds, model.drift, decay, float(rate), slope, bias)
 
 
 def _root(f) -> float:
@@ -246,7 +267,9 @@ def toxic_passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
     """The documents with all their columns, without those whose score (see toxic_passages) is ``limit`` or more.
 
-    Rows pass through one by one, so nothing is shuffled.
+    Rows pass through one by one, so nothing is shuffled: null and empty texts get
+    the score of no evidence, repeated rows and null ids are rows like others, and
+    no other column is read.
     """
     batch_texts(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
