@@ -16,9 +16,14 @@ NO_ID = -(1 << 63)
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which all executors share.
 
-    Where that setting is absent (tests on one machine) a temporary folder serves.
+    Where that setting is absent a temporary folder serves a session on one machine;
+    on a cluster it would lose data, so there it is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "postlake-scratch")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = os.path.join(tempfile.gettempdir(), "postlake-scratch")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -122,15 +122,21 @@ def loss_and_gradients(net: Network, runs: np.ndarray, inside: np.ndarray, label
     return loss, [*dx, *dh_, dout, dbias]
 
 
-def train_network(samples: list[bytes], labels: list[str], size: int = 8, epochs: int = 3, batch: int = 256, rate: float = 0.02, seed: int = 0) -> Network:
-    """Fit by Adam on runs of up to SPAN bytes, each position of which should get the run's label."""
+def train_network(samples: list[bytes], labels: list[str], size: int = 8, epochs: int = 3, batch: int = 256, rate: float = 0.02, least_steps: int = 300, seed: int = 0) -> Network:
+    """Fit by Adam on runs of up to SPAN bytes, each position of which should get the run's label.
+
+    Small samples are gone through more often than ``epochs`` times, until there
+    were ``least_steps`` batches.
+    """
     langs = sorted(set(labels))
     net = new_network(langs, size, seed)
     runs, inside = _runs_of(samples)
     target = np.array([langs.index(x) for x in labels])
     first, second = ([np.zeros_like(w) for w in net.weights()] for _ in range(2))
     rng, step = np.random.default_rng(seed), 0
-    total = epochs * -(-len(samples) // batch)
+    batches = -(-len(samples) // batch)
+    epochs = max(epochs, -(-least_steps // batches))
+    total = epochs * batches
     for _ in range(epochs):
         order = rng.permutation(len(samples))
         for lo in range(0, len(order), batch):
