@@ -20,7 +20,8 @@ shingle arrays, first a pair a set, then what these links do not connect.
 
 The pairs of small tiles are listed once each.  Those of a large tile are not: its
 sets are compared with one leader, and what is still unconnected is compared in
-blocks, from which only as many links come as connect what is linked there.
+blocks, together with tiles that share many of its sets; only as many links come
+out of a block as connect what is linked there.
 """
 
 from __future__ import annotations
@@ -520,14 +521,31 @@ def _linked_labels(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     labels = components(links)
     large = members.where(F.col("m") > _LISTED).select("key", "c")
     if not large.isEmpty():
-        named = written(_labelled(large, labels, "c").select("key", "c", F.col("comp_c").alias("comp")))
-        held = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("all")).where("lo <> hi")
-        held = held.groupBy("all", "m").agg(F.min("key").alias("key"))  # of tiles with the same sets one will do
-        links = written(links.unionByName(block_links(written(named.join(held.select("key", "m"), "key")), sets, percent)))
+        links = written(links.unionByName(block_links(_unconnected(large, labels), sets, percent)))
         labels = components(links)
     return labels
 
 
+def _unconnected(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, c, comp, m) of large tiles that still hold several components.
+
+    Tiles that share sets are put together, as one key, where this sends fewer rows
+    to the blocks than the tiles by themselves: near copies of one text share many.
+    """
+    named = written(_labelled(large, labels, "c").select("key", "c", F.col("comp_c").alias("comp")))
+    held = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("c").alias("leader"), F.count("*").alias("m")).where("lo <> hi")
+    rows = written(named.join(held.select("key", "leader", "m"), "key"))
+    bunches = components(rows.where("c <> leader").select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct())
+    sent = lambda m: F.col(m) * F.ceil(F.col(m) / _BLOCK)
+    rows = written(rows.join(bunches.select(F.col("node").alias("c"), F.col("comp").alias("bunch")), "c"))
+    whole = rows.select("bunch", "c", "comp").distinct().groupBy("bunch").agg(F.count("*").alias("sets"))
+    apart = rows.groupBy("bunch").agg(F.sum(F.ceil(F.col("m") / _BLOCK)).alias("rows"))
+    together = written(whole.join(apart, "bunch").where(sent("sets") < F.col("rows")).select("bunch", "sets"))
+    alone = rows.join(together, "bunch", "left_anti").select("key", "c", "comp", "m")
+    joint = rows.select("bunch", "c", "comp").distinct().join(together, "bunch").select(F.col("bunch").alias("key"), "c", "comp", F.col("sets").alias("m"))
+    return written(alone.unionByName(joint))
+
+
 def _labelled(rows: DataFrame, labels: DataFrame, c: str) -> DataFrame:
     """Rows with comp_<c>, the component of column c: its own name if it is linked with nothing."""
     named = rows.join(labels.select(F.col("node").alias(c), F.col("comp").alias("_comp")), c, "left")
