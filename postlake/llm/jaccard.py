@@ -19,9 +19,9 @@ bounds the overlap from above.  What the bound leaves is decided on the sorted
 shingle arrays, first a pair a set, then what these links do not connect.
 
 The pairs of small tiles are listed once each.  Those of a large tile are not: its
-sets are compared with one leader, and what is still unconnected is compared in
-blocks, together with tiles that share many of its sets; only as many links come
-out of a block as connect what is linked there.
+sets are compared with one leader each, and what is still unconnected is compared
+in blocks, together with other tiles of the leader; only as many links come out of
+a block as connect what is linked there.
 """
 
 from __future__ import annotations
@@ -511,38 +511,46 @@ def _linked_labels(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     """(node, comp) of all sets that are linked; members: (key, c, m, leader), m the sets of the tile and leader one of them."""
     small = members.where(F.col("m") <= _LISTED)
     pairs = small.select("key", F.col("c").alias("a")).join(small.select("key", F.col("c").alias("b")), "key").where("a < b").select("a", "b")
-    stars = members.where((F.col("m") > _LISTED) & (F.col("c") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("c").alias("b"))
+    stars = members.where((F.col("m") > _LISTED) & (F.col("c") != F.col("leader"))).groupBy("leader", "c").agg(F.count("*").alias("often"))
+    stars = stars.groupBy("c").agg(F.max(F.struct("often", "leader"))["leader"].alias("a")).select("a", F.col("c").alias("b"))
     maybe = written(bounded(pairs.unionByName(stars).distinct(), sets, percent))
     one = maybe.groupBy("b").agg(F.min("a").alias("one"))
     links = written(exact(one.select(F.col("one").alias("a"), "b"), sets, percent))
     labels = components(links)
     apart = _labelled(_labelled(maybe.join(one, "b").where("a <> one"), labels, "a"), labels, "b").where("comp_a <> comp_b").select("a", "b")
-    links = written(links.unionByName(exact(apart, sets, percent)))
-    labels = components(links)
+    labels = _merged(labels, written(exact(apart, sets, percent)))
     large = members.where(F.col("m") > _LISTED).select("key", "c")
     if not large.isEmpty():
-        links = written(links.unionByName(block_links(_unconnected(large, labels), sets, percent)))
-        labels = components(links)
+        labels = _merged(labels, written(block_links(_unconnected(large, labels), sets, percent)))
     return labels
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, comp) after further links (a, b), which are few between two components at most."""
+    ends = _labelled(_labelled(links, labels, "a"), labels, "b").where("comp_a <> comp_b").select(F.least("comp_a", "comp_b").alias("a"), F.greatest("comp_a", "comp_b").alias("b"))
+    ends = written(ends.distinct())
+    if ends.isEmpty():
+        return labels
+    further = components(ends).select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
+    fresh = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(labels, "node", "left_anti")
+    nodes = labels.unionByName(fresh.withColumn("comp", F.col("node")))
+    return written(nodes.join(further, "comp", "left").select("node", F.coalesce("whole", "comp").alias("comp")))
+
+
 def _unconnected(large: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, c, comp, m) of large tiles that still hold several components.
 
-    Tiles that share sets are put together, as one key, where this sends fewer rows
+    Tiles with one leader are put together, as one key, where this sends fewer rows
     to the blocks than the tiles by themselves: near copies of one text share many.
     """
     named = written(_labelled(large, labels, "c").select("key", "c", F.col("comp_c").alias("comp")))
     held = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("c").alias("leader"), F.count("*").alias("m")).where("lo <> hi")
     rows = written(named.join(held.select("key", "leader", "m"), "key"))
-    bunches = components(rows.where("c <> leader").select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct())
-    sent = lambda m: F.col(m) * F.ceil(F.col(m) / _BLOCK)
-    rows = written(rows.join(bunches.select(F.col("node").alias("c"), F.col("comp").alias("bunch")), "c"))
-    whole = rows.select("bunch", "c", "comp").distinct().groupBy("bunch").agg(F.count("*").alias("sets"))
-    apart = rows.groupBy("bunch").agg(F.sum(F.ceil(F.col("m") / _BLOCK)).alias("rows"))
-    together = written(whole.join(apart, "bunch").where(sent("sets") < F.col("rows")).select("bunch", "sets"))
-    alone = rows.join(together, "bunch", "left_anti").select("key", "c", "comp", "m")
-    joint = rows.select("bunch", "c", "comp").distinct().join(together, "bunch").select(F.col("bunch").alias("key"), "c", "comp", F.col("sets").alias("m"))
+    each = rows.groupBy("leader", "c", "comp").agg(F.sum(F.ceil(F.col("m") / _BLOCK)).alias("alone"))
+    sets = each.groupBy("leader").agg(F.count("*").alias("sets"), F.sum("alone").alias("alone"))
+    together = written(sets.where(F.col("sets") * F.ceil(F.col("sets") / _BLOCK) < F.col("alone")).select("leader", "sets"))
+    alone = rows.join(together, "leader", "left_anti").select("key", "c", "comp", "m")
+    joint = each.join(together, "leader").select(F.col("leader").alias("key"), "c", "comp", F.col("sets").alias("m"))
     return written(alone.unionByName(joint))
 
 
