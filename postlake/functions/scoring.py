@@ -44,10 +44,12 @@ def effective_mission(mission, multi_division: Column, floor: float) -> Column:
 
 
 def reason_text(axes: dict[str, Column], gates: Column, reason) -> Column:
-    """[dom0.45 fun0.72 sta0.55 sen0.80 gate:a+b] reason"""
+    """[dom0.45 fun0.72 sta0.55 sen0.80 gate:a+b] reason; the plain reason if no axis is known."""
     numbers = F.concat_ws(" ", *[F.concat(F.lit(a[:3]), F.format_string("%.2f", F.coalesce(axes[a], F.lit(0.0)))) for a in AXES])
     failed = F.when(F.size(gates) > 0, F.concat(F.lit(" gate:"), F.array_join(gates, "+"))).otherwise("")
-    return F.trim(F.concat(F.lit("["), numbers, failed, F.lit("] "), F.coalesce(col(reason), F.lit(""))))
+    plain = F.coalesce(col(reason), F.lit(""))
+    known = F.coalesce(*[axes[a] for a in AXES]).isNotNull()
+    return F.when(known, F.trim(F.concat(F.lit("["), numbers, failed, F.lit("] "), plain))).otherwise(plain)
 
 
 _TAG = r"^\[dom(\d\.\d+) fun(\d\.\d+) sta(\d\.\d+) sen(\d\.\d+)(?: gate:([^\]]*))?\]"

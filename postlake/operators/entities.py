@@ -48,9 +48,16 @@ def boards_of(pages: DataFrame, url: str = "url") -> DataFrame:
     return found.groupBy(F.col("b.ats").alias("ats"), F.col("b.slug").alias("slug")).agg(F.countDistinct(url).alias("n_urls"))
 
 
+#: Platforms that answer for boards that do not exist as well: only postings prove a board there.
+ANSWERS_ALWAYS = ("jazzhr", "smartrecruiters", "paylocity", "rippling", "ultipro")
+
+
 def confirmed(probes: DataFrame) -> DataFrame:
-    """The best probe of each company (company, slug_pos, ats_pos, ats, slug, ok, n_jobs): slugs before platforms, only those that answered with postings."""
-    good = probes.where(F.col("ok") & (F.col("n_jobs") > 0))
+    """The best probe of each company (company, slug_pos, ats_pos, ats, slug, ok, n_jobs): slugs before platforms.
+
+    An answer confirms a board even without postings, but for ANSWERS_ALWAYS.
+    """
+    good = probes.where(F.col("ok") & (~F.col("ats").isin(*ANSWERS_ALWAYS) | (F.col("n_jobs") > 0)))
     return good.groupBy("company").agg(F.min(F.struct("slug_pos", "ats_pos", "ats", "slug", "n_jobs")).alias("s")).select("company", "s.ats", "s.slug", "s.n_jobs")
 
 

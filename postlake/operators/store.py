@@ -47,8 +47,8 @@ def merge_postings(stored: DataFrame, batch: DataFrame, key: str = "job_id", rel
     dispositions are not for batches to change.  ``relink`` lets a batch name the
     company of a row that has none.
     """
-    both = stored.alias("o").join(batch.alias("n"), key, "full_outer")
-    seen, known = F.col(f"n.{batch.columns[-1]}").isNotNull() if "status" not in batch.columns else F.col("n.status").isNotNull(), F.col("o.status").isNotNull()
+    both = stored.withColumn("_here", F.lit(True)).alias("o").join(batch.withColumn("_here", F.lit(True)).alias("n"), key, "full_outer")
+    seen, known = F.col("n._here").isNotNull(), F.col("o._here").isNotNull()
 
     def merged(c: str) -> Column:
         if c not in batch.columns:
@@ -103,21 +103,41 @@ def with_tag(companies: DataFrame, name: str, tag: str, add: bool = True) -> Dat
 
 
 def resolve(postings: DataFrame, refs: DataFrame, key: str = "job_id", url: str = "url") -> DataFrame:
-    """(ref, job_id, stage) of the first stage that finds anything: 1 the id itself, 2 the normalised URL, 3 part of an id.
+    """(ref, job_id, stage) of the first stage that finds anything: 1 the id itself, 2 part of an id, 3 the normalised URL.
 
-    Parts are looked up with one pass over the ids for the references that the
-    equi-joins left open; the references are a user's, so they are few.
+    Several rows for one ref mean that it is ambiguous.  Parts are found by
+    equi-joins too: a ref meets the ids that hold its rarest run of three
+    characters (of one, if it is shorter) and is compared with these.  Letters of
+    either case are equal in parts.
     """
-    exact = refs.join(postings.select(F.col(key).alias("ref"), F.col(key)), "ref").withColumn("stage", F.lit(1))
-    urls = postings.select(norm_url(url).alias("u"), key)
-    by_url = refs.withColumn("u", norm_url("ref")).join(urls, "u").select("ref", key, F.lit(2).alias("stage"))
-    found = exact.select("ref", key, "stage").unionByName(by_url)
-    open_ = refs.join(found.select("ref"), "ref", "left_anti")
-    part = open_.join(postings.select(key), F.lower(key).contains(F.lower("ref"))).select("ref", key, F.lit(3).alias("stage"))
-    every = found.unionByName(part)
+    refs = refs.select("ref").distinct()
+    exact = refs.join(postings.select(F.col(key).alias("ref"), F.col(key)), "ref").select("ref", key, F.lit(1).alias("stage"))
+    open_ = refs.join(exact.select("ref"), "ref", "left_anti")
+    part = _holding(open_.where("ref <> ''"), postings.select(key).where(F.col(key).isNotNull()), key)
+    left = open_.join(part.select("ref"), "ref", "left_anti")
+    by_url = left.withColumn("u", norm_url("ref")).where("u <> ''").join(postings.select(norm_url(url).alias("u"), key), "u").select("ref", key, F.lit(3).alias("stage"))
+    every = exact.unionByName(part).unionByName(by_url)
     return every.withColumn("first", F.min("stage").over(Window.partitionBy("ref"))).where("stage = first").drop("first")
 
 
+def _runs(text: Column, size: int) -> Column:
+    last = F.length(text) - size + 1
+    return F.array_distinct(F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>")))
+
+
+def _holding(refs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """(ref, key, stage 2) of the ids that hold a ref."""
+    found = None
+    for size, mine in ((3, refs.where("length(ref) >= 3")), (1, refs.where("length(ref) < 3"))):
+        runs = ids.select(key, F.explode(_runs(F.lower(key), size)).alias("run"))
+        number = runs.groupBy("run").agg(F.count("*").alias("n"))
+        asked = mine.select("ref", F.explode(_runs(F.lower("ref"), size)).alias("run")).join(number, "run", "left")
+        rarest = asked.groupBy("ref").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("s")).where("s.n > 0").select("ref", "s.run")
+        part = rarest.join(runs, "run").where(F.lower(key).contains(F.lower("ref"))).select("ref", key, F.lit(2).alias("stage"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def with_disposition(postings: DataFrame, decided: DataFrame, key: str = "job_id") -> DataFrame:
     """Apply decisions (job_id, disposition, note, at); unknown dispositions are refused when the plan runs."""
     known = F.col("n.disposition").isin(*DISPOSITIONS)

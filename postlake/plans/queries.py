@@ -204,22 +204,22 @@ def reason_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Events as two batches of observations of postings (one of each user and type), the second from mid-January on.
-_OBSERVED = "SELECT concat('gh_u', user_id, '_', event_type) AS job_id, event_id AS ordinal, CASE WHEN event_id % 4 > 0 THEN concat('t', event_id % 7) END AS title, CASE WHEN event_id % 3 > 0 THEN value END AS resume_fit_score, CASE WHEN event_id % 5 > 0 THEN ts END AS posted_at, ts AS first_seen, ts AS last_seen, CASE WHEN event_type = 'error' THEN 'closed' ELSE 'open' END AS status, ts >= TIMESTAMP '2024-01-16 00:00:00' AS late FROM events"
+_OBSERVED = "SELECT concat('gh_u', user_id, '_', event_type) AS job_id, event_id AS ordinal, CASE WHEN event_id % 4 > 0 THEN concat('t', event_id % 7) END AS title, CASE WHEN event_id % 3 > 0 THEN value END AS resume_fit_score, CASE WHEN event_id % 5 > 0 THEN ts END AS posted_at, ts AS first_seen, ts AS last_seen, CASE WHEN event_id % 11 > 0 THEN CASE WHEN event_type = 'error' THEN 'closed' ELSE 'open' END END AS status, ts >= TIMESTAMP '2024-01-16 00:00:00' AS late FROM events"
 
 
 def observed(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     return e.select(
         F.concat(F.lit("gh_u"), "user_id", F.lit("_"), "event_type").alias("job_id"), F.col("event_id").alias("ordinal"), F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("t"), F.col("event_id") % 7)).alias("title"), F.when(F.col("event_id") % 3 > 0, F.col("value")).alias("resume_fit_score"),
-        F.when(F.col("event_id") % 5 > 0, F.col("ts")).alias("posted_at"), F.col("ts").alias("first_seen"), F.col("ts").alias("last_seen"), F.when(F.col("event_type") == "error", "closed").otherwise("open").alias("status"), (F.col("ts") >= F.lit(NOW).cast("timestamp_ntz")).alias("late"),
+        F.when(F.col("event_id") % 5 > 0, F.col("ts")).alias("posted_at"), F.col("ts").alias("first_seen"), F.col("ts").alias("last_seen"), F.when(F.col("event_id") % 11 > 0, F.when(F.col("event_type") == "error", "closed").otherwise("open")).alias("status"), (F.col("ts") >= F.lit(NOW).cast("timestamp_ntz")).alias("late"),
     )
 
 
-_FOLD = "SELECT job_id, arg_max(title, ordinal) FILTER (title IS NOT NULL) AS t0, arg_max(coalesce(title, chr(1)), ordinal) AS title, arg_max(resume_fit_score, ordinal) FILTER (resume_fit_score IS NOT NULL) AS resume_fit_score, arg_min(posted_at, ordinal) FILTER (posted_at IS NOT NULL) AS posted_at, min(first_seen) AS first_seen, max(last_seen) AS last_seen, arg_max(status, ordinal) AS status FROM observed WHERE late = %s GROUP BY job_id"
+_FOLD = "SELECT job_id, arg_max(title, ordinal) FILTER (title IS NOT NULL) AS t0, arg_max(coalesce(title, chr(1)), ordinal) AS title, arg_max(resume_fit_score, ordinal) FILTER (resume_fit_score IS NOT NULL) AS resume_fit_score, arg_min(posted_at, ordinal) FILTER (posted_at IS NOT NULL) AS posted_at, min(first_seen) AS first_seen, max(last_seen) AS last_seen, arg_max(coalesce(status, chr(1)), ordinal) AS status, true AS here FROM observed WHERE late = %s GROUP BY job_id"
 
 
 @query(f"""WITH observed AS ({_OBSERVED}), o AS ({_FOLD % 'false'}), n AS ({_FOLD % 'true'})
-SELECT job_id, nullif(coalesce(n.title, o.title), chr(1)) AS title, coalesce(n.resume_fit_score, o.resume_fit_score) AS resume_fit_score, coalesce(o.posted_at, n.posted_at) AS posted_at, coalesce(o.first_seen, n.first_seen) AS first_seen, coalesce(n.last_seen, o.last_seen) AS last_seen, coalesce(n.status, o.status) AS status, o.status IS NULL AS is_new FROM o FULL JOIN n USING (job_id)""")
+SELECT job_id, nullif(coalesce(n.title, o.title), chr(1)) AS title, coalesce(n.resume_fit_score, o.resume_fit_score) AS resume_fit_score, coalesce(o.posted_at, n.posted_at) AS posted_at, coalesce(o.first_seen, n.first_seen) AS first_seen, coalesce(n.last_seen, o.last_seen) AS last_seen, nullif(coalesce(n.status, o.status), chr(1)) AS status, o.here IS NULL AS is_new FROM o FULL JOIN n USING (job_id)""")
 def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     rows = observed(spark, d)
     first, second = (store.fold(rows.where("late" if late else "not late").drop("late")) for late in (False, True))
@@ -347,18 +347,18 @@ def posted_date_normalise(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", T.posted_date(raw, F.lit("2024-02-01").cast("date")).alias("posted"))
 
 
-@query(f"SELECT page_id, {_NORM_URL % 'url'} AS u, {_NORM_TITLE % 'left(html, 200)'} AS t, left(sha1(concat(url, '||', page_id)), 16) AS id FROM pages")
+@query(f"SELECT page_id, {_NORM_URL % 'url'} AS u, md5({_NORM_TITLE % 'html'}) AS t, left(sha1(concat(url, '||', page_id)), 16) AS id FROM pages")
 def norm_keys(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", T.norm_url("url").alias("u"), T.norm_title(F.left("html", F.lit(200))).alias("t"), T.stable_id("url", "page_id").alias("id"))
+    return table(spark, d, "pages").select("page_id", T.norm_url("url").alias("u"), F.md5(T.norm_title("html")).alias("t"), T.stable_id("url", "page_id").alias("id"))
 
 
-@query(f"""WITH p AS (SELECT concat('pg_', page_id) AS job_id, url FROM pages), r AS (SELECT DISTINCT CASE page_id % 2 WHEN 0 THEN concat('pg_', page_id) ELSE concat('HTTPS://', {_NORM_URL % 'url'}, '/?q') END AS ref FROM pages),
-f AS (SELECT ref, job_id, 1 AS stage FROM r JOIN p ON ref = job_id UNION ALL SELECT ref, job_id, 2 FROM r JOIN p ON {_NORM_URL % 'ref'} = {_NORM_URL % 'url'})
+@query(f"""WITH p AS (SELECT concat('pg_', page_id) AS job_id, url FROM pages), r AS (SELECT DISTINCT CASE page_id % 3 WHEN 0 THEN concat('pg_', page_id) WHEN 1 THEN concat('G_', page_id) ELSE concat('HTTPS://', {_NORM_URL % 'url'}, '/?q') END AS ref FROM pages),
+f AS (SELECT ref, job_id, 1 AS stage FROM r JOIN p ON ref = job_id UNION ALL SELECT ref, job_id, 2 FROM r JOIN p ON contains(lower(job_id), lower(ref)) UNION ALL SELECT ref, job_id, 3 FROM r JOIN p ON {_NORM_URL % 'ref'} = {_NORM_URL % 'url'})
 SELECT ref, job_id, stage FROM (SELECT *, min(stage) OVER (PARTITION BY ref) AS m FROM f) WHERE stage = m""")
 def resolve_ref(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages")
     known = p.select(F.concat(F.lit("pg_"), "page_id").alias("job_id"), "url")
-    refs = p.select(F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("pg_"), "page_id")).otherwise(F.concat(F.lit("HTTPS://"), T.norm_url("url"), F.lit("/?q"))).alias("ref")).distinct()
+    refs = p.select(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("pg_"), "page_id")).when(F.col("page_id") % 3 == 1, F.concat(F.lit("G_"), "page_id")).otherwise(F.concat(F.lit("HTTPS://"), T.norm_url("url"), F.lit("/?q"))).alias("ref")).distinct()
     return store.resolve(known, refs)
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlake.functions.text import html_text, posted_date
+from postlake.functions.text import html_text, norm_title, posted_date
 from postlake.operators.store import union_all
 
 COLUMNS = ("job_id", "title", "company", "url", "location", "description", "posted_raw", "remote_hint")
@@ -172,7 +172,17 @@ def parse_all(bronze: DataFrame, today: Column, local: str | None = None) -> Dat
 
 
 def hydrated(postings: DataFrame, details: DataFrame) -> DataFrame:
-    """Fill missing descriptions from detail pages (job_id, description), then by title within the company's board."""
-    by_id = details.groupBy("job_id").agg(F.max_by("description", F.length("description")).alias("_detail"))
-    out = postings.join(by_id, "job_id", "left")
-    return out.withColumn("description", F.coalesce(F.nullif("description", F.lit("")), "_detail")).drop("_detail")
+    """Fill missing descriptions from detail pages (job_id, description), then by title within the company's board.
+
+    The second step needs company_id and title on both sides.  Of several details
+    the longest counts, and of two equally long ones the last in order.
+    """
+    longest = F.max(F.struct(F.length("description").alias("n"), F.col("description").alias("d")))["d"]
+    out = postings.join(details.groupBy("job_id").agg(longest.alias("_detail")), "job_id", "left")
+    known = [F.nullif("description", F.lit("")), F.col("_detail")]
+    if {"company_id", "title"} <= {*postings.columns} & {*details.columns}:
+        titled = details.withColumn("_title", norm_title("title")).where("_title <> ''")
+        titled = titled.groupBy(F.col("company_id").alias("_company"), "_title").agg(longest.alias("_alike"))
+        out = out.join(titled, (F.col("company_id") == F.col("_company")) & (norm_title("title") == F.col("_title")), "left")
+        known.append(F.col("_alike"))
+    return out.withColumn("description", F.coalesce(*known)).select(*postings.columns)

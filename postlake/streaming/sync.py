@@ -12,9 +12,9 @@ from postlake.operators.lifecycle import sync_statuses
 
 
 class Snapshots:
-    """Versions of the postings under one folder: a batch writes version n + 1, then names it in CURRENT.
+    """Versions of the postings under one folder: the newest complete one counts.
 
-    The pointer holds the stream's batch id as well, so a batch that is run again
+    A version's name begins with its batch's number, so a batch that is run again
     after a failure finds itself applied and changes nothing.
     """
 
@@ -42,12 +42,22 @@ class Snapshots:
         rows.write.parquet(f"{self.root}/versions/{batch + 1:012d}-{uuid.uuid4().hex[:8]}")
 
     def read(self) -> DataFrame:
-        path, _ = self.current()
+        found = self.current()
+        if found is None:
+            raise ValueError(f"no version in {self.root}")
+        path, _ = found
         return self.spark.read.parquet(path)
 
 
 def start(snapshots: DataFrame, store: Snapshots, checkpoint: str, grace_days: int = 3) -> StreamingQuery:
-    """Apply a stream of snapshot rows (with ts, the time of the snapshot) to the store."""
+    """Apply a stream of snapshot rows (with ts, the time of the snapshot) to the store.
+
+    The store must hold a version, which gives the columns.  A board's snapshot
+    closes what it does not list, so a micro-batch must hold whole boards: land
+    each snapshot as one file.
+    """
+    if store.current() is None:
+        raise ValueError(f"no version in {store.root}: publish one, of no rows perhaps, first")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         _, done = store.current()

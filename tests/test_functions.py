@@ -97,6 +97,8 @@ def test_mission_and_clamp(spark):
 
 def test_reason_round_trip(spark):
     axes = {a: F.lit(v) for a, v in zip(AXES, (0.45, 0.72, 0.55, 0.8))}
+    unknown = {a: F.lit(None).cast("double") for a in axes}
+    assert spark.range(1).select(S.reason_text(unknown, F.array(F.lit("geo")), F.lit("fine"))).first()[0] == "fine"
     frame = spark.range(1).select(S.reason_text(axes, F.array(F.lit("geo"), F.lit("phd")), F.lit("fine")).alias("r"))
     row = frame.select("r", *[c.alias(a) for a, c in S.parsed_axes("r").items()], S.clean_reason("r").alias("c")).first()
     assert row["r"] == "[dom0.45 fun0.72 sta0.55 sen0.80 gate:geo+phd] fine"

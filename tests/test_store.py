@@ -2,10 +2,12 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from postlake.operators import entities, lifecycle, store, views
 from postlake.sources import boards, feeds, pages
+from postlake.streaming.sync import Snapshots, start
 
 POSTING = "job_id string, title string, description string, track array<string>, resume_fit_score double, fit_reason string, posted_at date, first_seen string, last_seen string, status string, company_id long"
 
@@ -93,7 +95,39 @@ def test_resolve_stages(spark):
     known = spark.createDataFrame([("gh_a_1", "https://a.io/1"), ("gh_a_12", "https://a.io/2")], "job_id string, url string")
     refs = spark.createDataFrame([("gh_a_1",), ("HTTP://A.io/2/?x",), ("A_1",), ("none",)], "ref string")
     got = {(r["ref"], r["job_id"], r["stage"]) for r in store.resolve(known, refs).collect()}
-    assert got == {("gh_a_1", "gh_a_1", 1), ("HTTP://A.io/2/?x", "gh_a_12", 2), ("A_1", "gh_a_1", 3), ("A_1", "gh_a_12", 3)}
+    assert got == {("gh_a_1", "gh_a_1", 1), ("HTTP://A.io/2/?x", "gh_a_12", 3), ("A_1", "gh_a_1", 2), ("A_1", "gh_a_12", 2)}
+    known = spark.createDataFrame([("lv_x_abc", "u"), ("gh_y_1", "https://abc"), (None, None)], "job_id string, url string")
+    refs = spark.createDataFrame([("abc",), ("y_",), ("",), (None,)], "ref string")
+    assert {(r["ref"], r["job_id"], r["stage"]) for r in store.resolve(known, refs).collect()} == {("abc", "lv_x_abc", 2), ("y_", "gh_y_1", 2)}
+
+
+def test_merge_with_null_statuses(spark):
+    schema = "job_id string, company_id long, first_seen string, title string, status string, closed_at string"
+    stored = spark.createDataFrame([("a", 1, "d1", "old", None, None), ("b", 1, "d1", "old", "closed", "d2")], schema)
+    batch = spark.createDataFrame([("b", 2, "d3", "new", None, None), ("c", 2, "d3", "new", None, None)], schema)
+    got = {r["job_id"]: tuple(r)[1:] for r in store.merge_postings(stored, batch).collect()}
+    assert got == {"a": (1, "d1", "old", None, None, False), "b": (1, "d1", "new", None, None, False), "c": (2, "d3", "new", None, None, True)}
+
+
+def test_confirmed_boards(spark):
+    rows = [("a", 0, 0, "lever", "a", True, 0), ("b", 0, 0, "smartrecruiters", "b", True, 0), ("b", 1, 0, "jazzhr", "b1", True, 3), ("c", 0, 0, "lever", "c", False, 0)]
+    frame = spark.createDataFrame(rows, "company string, slug_pos int, ats_pos int, ats string, slug string, ok boolean, n_jobs int")
+    assert {tuple(r) for r in entities.confirmed(frame).collect()} == {("a", "lever", "a", 0), ("b", "jazzhr", "b1", 3)}
+
+
+def test_hydration_by_id_then_title(spark):
+    rows = [("j1", 1, "Data  Engineer", ""), ("j2", 1, "analyst", None), ("j3", 2, "analyst", None), ("j4", 1, "x", "own")]
+    postings = spark.createDataFrame(rows, "job_id string, company_id long, title string, description string")
+    details = spark.createDataFrame([("j1", 1, "other", "by id"), ("k", 1, "Analyst ", "by title"), ("j4", 1, "x", "longer than own")], "job_id string, company_id long, title string, description string")
+    assert {r["job_id"]: r["description"] for r in boards.hydrated(postings, details).collect()} == {"j1": "by id", "j2": "by title", "j3": None, "j4": "own"}
+
+
+def test_empty_stream_store(spark, tmp_path):
+    empty = Snapshots(spark, f"file://{tmp_path}/none")
+    with pytest.raises(ValueError):
+        empty.read()
+    with pytest.raises(ValueError):
+        start(None, empty, f"file://{tmp_path}/checkpoint")
 
 
 def bronze(spark, platform, body, status=200):
