@@ -133,3 +133,23 @@ CLEARANCE = r"(?i)(?:active|current|hold|holds|possess|must have|requires?)\s+(?
 
 def needs_clearance(text) -> Column:
     return F.coalesce(col(text), F.lit("")).rlike(CLEARANCE)
+
+
+def keep_job(title, description, location, *, technical: str, vocabulary: Vocabulary, excludes: Excludes | None, local: str | None, multi_division: Column | bool = False, watched: Column | bool = False, whole_board: Column | bool = False, boilerplate=()) -> Column:
+    """Whether a posting of a company's board stays: all gates of its track together.
+
+    The title is technical; where the employer has many divisions, the posting is
+    relevant as well; nothing excludes it, defense terms of watched employers apart
+    (``excludes`` None: the track has no such gate).  Boards fetched as a whole
+    keep local postings, watched employers' remote ones too (``local`` None: no
+    such gate); other boards were fetched by place.
+    """
+    flag = lambda x: x if isinstance(x, Column) else F.lit(x)
+    kept = is_technical(title, technical) & (~flag(multi_division) | is_relevant(title, description, vocabulary))
+    if excludes is not None:
+        kept &= exclude_reason(title, description, excludes, boilerplate, allow_defense=flag(watched)).isNull()
+    if local is not None:
+        mode = geo_mode(location, description, local)
+        near = F.when(flag(watched), mode.isNotNull()).otherwise(F.coalesce(mode == "onsite", F.lit(False)))
+        kept &= ~flag(whole_board) | near
+    return kept

@@ -110,3 +110,17 @@ def test_profile():
     assert Vocabulary(core=("EEG",)).focused(core=("eeg", "MEG")).core == ("EEG", "MEG")
     assert Vocabulary(core=("EEG",)).only(core=()).core == ("EEG",)
     assert validate({"keywords": {"core": [1]}, "exclude": {}, "locations": {}, "fit": {"weights": {"domain": 1.5}}}) == ["[keywords] core must hold strings", "[fit] weights.domain must be from 0 to 1"]
+
+
+def test_keep_job(spark):
+    gates = {"technical": "engineer", "vocabulary": Vocabulary(core=("eeg",)), "excludes": Excludes(strong=("missile",)), "local": P.locality_pattern(["nc"], ["durham"])}
+    flags = {name: F.col(c) for name, c in (("multi_division", "m"), ("watched", "w"), ("whole_board", "b"))}
+    rows = [
+        ("Engineer", "any", "Boston", False, False, False, True), ("Nurse", "eeg", "Durham", False, False, False, False), (None, None, None, False, False, False, False),
+        ("Engineer", "any", "Boston", True, False, False, False), ("Engineer", "eeg", "Boston", True, False, False, True),
+        ("Engineer", "missile", "Boston", False, False, False, False), ("Engineer", "missile", "Boston", False, True, False, True),
+        ("Engineer", "any", "Durham", False, False, True, True), ("Engineer", "any", "Remote - US", False, False, True, False), ("Engineer", "any", "Remote - US", False, True, True, True), ("Engineer", "any", "Boston", False, True, True, False), ("Engineer", "any", None, False, False, True, False),
+    ]
+    schema = "t string, d string, l string, m boolean, w boolean, b boolean, wanted boolean"
+    assert values(spark, rows, schema, P.keep_job("t", "d", "l", **gates, **flags)) == [r[-1] for r in rows]
+    assert values(spark, rows[5:6], schema, P.keep_job("t", "d", "l", **gates | {"excludes": None, "local": None}, **flags)) == [True]
