@@ -76,9 +76,9 @@ def funnel(rows: DataFrame, source: str, relevant: Column, kept: Column, new: Co
 
 def diversified(rows: DataFrame, company: str, pos: str, n: int) -> DataFrame:
     """n rows, round after round one of each company, companies in the order of their first row."""
-    by = Window.partitionBy(company)
-    turn = rows.withColumn("turn", F.row_number().over(by.orderBy(pos))).withColumn("first_pos", F.min(pos).over(by))
-    return turn.where(F.col("turn") <= n).orderBy("turn", "first_pos").limit(n)
+    first = rows.groupBy(F.col(company).alias("_company")).agg(F.min(pos).alias("first_pos"))
+    turn = rows.withColumn("turn", F.row_number().over(Window.partitionBy(company).orderBy(pos))).where(F.col("turn") <= n)  # Spark keeps n rows a task before the shuffle
+    return turn.join(first, F.col(company).eqNullSafe(F.col("_company"))).drop("_company").orderBy("turn", "first_pos").limit(n)
 
 
 def digest(ranked_rows: DataFrame, title: str = "Ranked postings") -> DataFrame:
