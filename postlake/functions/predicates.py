@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postlake.functions.text import any_of, col, escaped, first_match, keyword_pattern, scrubbed, token_pattern, whole_word
+from postlake.functions.text import any_of, col, escaped, first_match, keyword_pattern, name_key, scrubbed, token_pattern, whole_word
 from postlake.profile import NON_US_REGIONS, REMOTE_BODY_PHRASES, REMOTE_LOCATION_TOKENS, REMOTE_NEGATIONS, US_MARKERS, Excludes, Vocabulary
 
 #: Characters of a description in which domain and skill terms count together.
@@ -153,3 +153,34 @@ def keep_job(title, description, location, *, technical: str, vocabulary: Vocabu
         near = F.when(flag(watched), mode.isNotNull()).otherwise(F.coalesce(mode == "onsite", F.lit(False)))
         kept &= ~flag(whole_board) | near
     return kept
+
+
+# Words too common in employers' names to tell them apart, and what is no employer's name.
+GENERIC_WORDS = ("medical", "center", "centre", "health", "healthcare", "regional", "group", "services", "systems", "system", "technology", "technologies", "imaging", "solutions", "associates", "partners", "care", "clinic", "hospital", "labs", "laboratories", "company", "corporation", "global", "national", "american", "international", "the", "and", "inc", "llc")
+NO_NAME_START = r"(?i)^(fallback[\s-]?image|compan(y|ies)|directory|home|built in|search|menu|about|contact|careers?|jobs?|privacy|terms|cookie|login|register|company[\s_-]?types?|facility[\s_-]?types?|availability|operator|opt)\b"
+NO_NAME_PART = r"(?i)\b(jobs|startups?|startup week|ecosystem|degrees?)\b"
+
+
+def name_parts(name, generic=GENERIC_WORDS) -> Column:
+    """What tells an employer's name: all of it joined, and its words of four and more characters that are not generic."""
+    words = F.filter(F.split(F.lower(col(name)), "[^a-z0-9]+"), lambda w: (F.length(w) >= 4) & ~w.isin(*generic))
+    return F.array_distinct(F.concat(F.array(name_key(name)), words))
+
+
+def host_matches(url, name) -> Column:
+    """Whether a part of the name with four and more characters is in the URL's host."""
+    host = F.replace(F.regexp_extract(F.lower(col(url)), r"^(?:https?://)?([^/]*)", 1), F.lit("www."), F.lit(""))
+    slug = F.regexp_replace(host, "[^a-z0-9]", "")
+    return F.coalesce(F.exists(name_parts(name), lambda p: (F.length(p) >= 4) & slug.contains(p)), F.lit(False))
+
+
+def slug_matches(slug, name) -> Column:
+    """Whether a board's slug and a part of the name, both of three and more characters, hold one another."""
+    s = name_key(F.coalesce(col(slug), F.lit("")))
+    return F.coalesce((F.length(s) >= 3) & F.exists(name_parts(name), lambda p: (F.length(p) >= 3) & (s.contains(p) | p.contains(s))), F.lit(False))
+
+
+def plausible_company(name) -> Column:
+    """Whether a text may name an employer: 3 to 44 characters, a letter, no slug, no words of navigation or lists."""
+    n = F.trim(F.coalesce(col(name), F.lit("")))
+    return F.length(n).between(3, 44) & n.rlike("[A-Za-z]") & ~n.rlike(NO_NAME_START) & ~n.rlike("^[a-z0-9_]+$") & ~n.rlike(NO_NAME_PART)

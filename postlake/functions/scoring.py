@@ -83,3 +83,50 @@ def rank_agreement(rows: DataFrame, group: list[str], predicted: str, wanted: st
     signs = pairs.select(*[F.col(f"a.{g}").alias(g) for g in group], F.when(F.col("a.w") < F.col("b.w"), 1).otherwise(-1).alias("s"))
     found = signs.groupBy(*group).agg(F.avg("s").alias("agreement"))
     return rows.select(*group).distinct().join(found, group, "left").select(*group, F.coalesce("agreement", F.lit(1.0)).alias("agreement"))
+
+
+#: What counts as no in a judge's object of gates.
+_NO = ("false", "null", "0", "0.0", "", "[]", "{}")
+
+
+def known_gates(answer, gates: tuple[str, ...] = tuple(GATE_PENALTIES)) -> Column:
+    """The known gates that a judge's JSON names: a list of names, or an object of flags of which the true ones count; else none.
+
+    A flag written as the text "false" counts as false.
+    """
+    text = F.trim(F.coalesce(col(answer), F.lit("")))
+    listed = F.from_json(F.when(text.startswith("["), text), "array<string>")
+    flags = F.from_json(F.when(text.startswith("{"), text), "map<string,string>")
+    on = F.map_keys(F.map_filter(flags, lambda _, v: v.isNotNull() & ~F.lower(v).isin(*_NO)))
+    return F.filter(F.coalesce(listed, on, F.array().cast("array<string>")), lambda g: g.isin(*gates))
+
+
+def seat_gates(gates: Column, seat) -> Column:
+    """A seat of management or programmes fails the management gate, whatever the judge listed."""
+    leads = F.lower(F.trim(F.coalesce(col(seat), F.lit("")))).isin("management", "program-product")
+    return F.when(leads, F.array_union(gates, F.array(F.lit("management")))).otherwise(gates)
+
+
+def deep_reason(reason, years, seat, gaps: Column) -> Column:
+    """deep: reason [5+yrs | seat | gaps: a; b; c], with what is known and three gaps at most."""
+    seat, years = F.lower(F.trim(F.coalesce(col(seat), F.lit("")))), col(years)
+    named = F.slice(F.filter(F.transform(F.coalesce(gaps, F.array().cast("array<string>")), lambda g: F.trim(g)), lambda g: g != ""), 1, 3)
+    bits = F.array_compact(F.array(F.when(years > 0, F.concat(years.cast("string"), F.lit("+yrs"))), F.nullif(seat, F.lit("")), F.when(F.size(named) > 0, F.concat(F.lit("gaps: "), F.array_join(named, "; ")))))
+    said = F.concat(F.lit("deep: "), F.trim(F.coalesce(col(reason), F.lit(""))))
+    return F.when(F.size(bits) > 0, F.concat(said, F.lit(" ["), F.array_join(bits, " | "), F.lit("]"))).otherwise(said)
+
+
+def judged_score(score) -> Column:
+    """A judge's number from 0 to 1; null, not 0, for what is no number."""
+    number = col(score).try_cast("double")
+    return F.when(number.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), number)))
+
+
+def mission(name, tier, score, tiers: tuple[str, ...], pinned: str | None = None, pinned_tier: str | None = None) -> Column:
+    """struct(tier, score) of an employer: 1 for names that the pattern ``pinned`` finds, else the judge's known tier and number."""
+    low = F.lower(F.trim(col(tier)))
+    out = F.struct(F.when(low.isin(*tiers), low).alias("tier"), judged_score(score).alias("score"))
+    if pinned is None:
+        return out
+    target = F.coalesce(F.lower(col(name)).rlike(pinned), F.lit(False))
+    return F.when(target, F.struct(F.lit(pinned_tier).cast("string").alias("tier"), F.lit(1.0).alias("score"))).otherwise(out)

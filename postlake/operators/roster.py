@@ -9,7 +9,7 @@ from postlake.functions.text import name_key
 from postlake.operators.store import first_of, merge_companies
 
 #: Boards that a parser reads, and slugs that can be one.
-FETCHABLE = ("greenhouse", "lever", "ashby", "bamboohr", "adp", "paylocity", "rippling", "ultipro", "workday", "smartrecruiters", "wpjson")
+FETCHABLE = ("greenhouse", "lever", "ashby", "bamboohr", "adp", "paylocity", "rippling", "ultipro", "workday", "smartrecruiters", "wpjson", "jazzhr", "kula", "icims", "successfactors", "peopleadmin", "custom")
 SLUG = r"^[A-Za-z0-9][A-Za-z0-9_.|-]*$"
 
 

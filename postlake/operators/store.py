@@ -168,3 +168,53 @@ def first_of(rows: DataFrame, keys: list, order: list) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def touched(stored: DataFrame, seen: DataFrame, now: Column, key: str = "job_id") -> DataFrame:
+    """Stored postings that were seen (job_id) are open and seen now; nothing else changes."""
+    rows = stored.join(seen.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_seen", F.lit(True)), key, "left")
+    swap = {"status": F.lit("open"), "closed_at": F.lit(None), "last_seen": now}
+    return rows.select(*[F.when(F.col("_seen"), swap[c]).otherwise(F.col(c)).alias(c) if c in swap else F.col(c) for c in stored.columns])
+
+
+def with_status(stored: DataFrame, decided: DataFrame, now: Column, key: str = "job_id") -> DataFrame:
+    """Apply (job_id, status), one row for each id; closed_at is now for closed, else null."""
+    both = stored.alias("o").join(decided.select(key, F.col("status").alias("_status"), F.lit(True).alias("_set")), key, "left")
+    swap = {"status": F.col("_status"), "closed_at": F.when(F.col("_status") == "closed", now)}
+    return both.select(*[F.when(F.col("_set"), swap[c]).otherwise(F.col(f"o.{c}")).alias(c) if c in swap else F.col(key if c == key else f"o.{c}") for c in stored.columns])
+
+
+def with_longer_descriptions(stored: DataFrame, live: DataFrame, most: int = 12_000, key: str = "job_id") -> DataFrame:
+    """Take live descriptions (job_id, description) that are longer than the stored ones, up to ``most`` characters of each.
+
+    Of several live ones the longest counts, of equally long ones the last in order.
+    """
+    best = live.groupBy(key).agg(F.max(F.struct(F.length("description").alias("n"), F.left("description", F.lit(most)).alias("d"))).alias("_live"))
+    rows = stored.join(best, key, "left")
+    longer = F.coalesce(F.col("_live.n"), F.lit(0)) > F.length(F.coalesce("description", F.lit("")))
+    return rows.withColumn("description", F.when(longer, F.col("_live.d")).otherwise(F.col("description"))).select(*stored.columns)
+
+
+def short_descriptions(stored: DataFrame, least: int = 200) -> DataFrame:
+    """Open, linked postings whose description is still to be filled."""
+    still_open = F.col("status").isNull() | (F.col("status") != "closed")
+    return stored.where(still_open & F.col("company_id").isNotNull() & (F.length(F.coalesce("description", F.lit(""))) < least))
+
+
+def with_leads(companies: DataFrame, seen: DataFrame, site: str) -> DataFrame:
+    """Companies plus the new names (name, careers_url) that a page showed, inactive until their board is found.
+
+    A name is known whatever its case; of several spellings the first in order stays.
+    """
+    named = seen.select(F.trim("name").alias("name"), "careers_url").where("name <> ''").withColumn("_n", F.lower("name"))
+    new = named.join(companies.select(F.lower("name").alias("_n")), "_n", "left_anti").groupBy("_n").agg(F.min("name").alias("name"), F.max("careers_url").alias("careers_url"))
+    rows = new.select("name", "careers_url", F.lit(False).alias("active"), F.lit("page_capture").alias("source"), F.lit(f"seen on {site}").alias("notes"))
+    return companies.unionByName(rows.select(*[c for c in rows.columns if c in companies.columns]), allowMissingColumns=True)
+
+
+def repointed(postings: DataFrame, companies: DataFrame, board: list[str], rank: list[Column], key: str = "company_id") -> DataFrame:
+    """Postings of companies that share a board belong to the one that best_of_boards keeps; companies without a board stay."""
+    has_board = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in board])
+    kept = best_of_boards(companies.withColumns({"_a": F.lit(True), "_t": F.array(F.lit(""))}).where(has_board), board, rank, key, "_a", "_t")
+    moves = companies.join(kept.select(*board, F.col(key).alias("_kept")), board).select(key, "_kept")
+    return postings.join(moves, key, "left").withColumn(key, F.coalesce("_kept", key)).select(*postings.columns)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlake.functions import predicates
 from postlake.functions.scoring import effective_mission, with_mission
+from postlake.functions.text import age_tag
 
 #: Dispositions that take a posting out of the ranking.
 OUT_OF_RANKING = ("applied", "interviewing", "offer", "rejected", "dismissed")
@@ -113,3 +115,84 @@ def shown(rows: DataFrame, search: str = "", min_fit: float = 0.0, relocation: b
 def write_digest(ranked_rows: DataFrame, path: str, title: str = "Ranked postings") -> None:
     """The digest as one text file in rank order; it is as long as its ranking is cut."""
     digest(ranked_rows, title).repartitionByRange(1, "pos").sortWithinPartitions("pos").select("line").write.mode("overwrite").text(path)
+
+
+def companies_in_order(companies: DataFrame, active_only: bool = True, tiers: tuple[str, ...] = (), tag: str | None = None, n_local: str = "n_local") -> DataFrame:
+    """Companies by mission and local postings, unknown numbers last, ties by name."""
+    rows = companies.where("active") if active_only else companies
+    if tiers:
+        rows = rows.where(F.col("mission_tier").isin(*tiers))
+    if tag is not None:
+        rows = rows.where(F.array_contains("tags", tag))
+    return rows.orderBy(F.desc_nulls_last("mission_score"), F.desc_nulls_last(n_local), "name")
+
+
+def companies_tab(counted: DataFrame, search: str = "", active_only: bool = False) -> DataFrame:
+    """Companies with n_open and tags: watched ones first, then by open postings and mission (unknown as 0), ties by name."""
+    rows = counted.withColumn("watched", F.coalesce(F.array_contains("tags", "watch"), F.lit(False)))
+    rows = rows.where("active") if active_only else rows
+    rows = rows.where(F.lower("name").contains(search.strip().lower())) if search.strip() else rows
+    return rows.orderBy(F.desc("watched"), F.desc("n_open"), F.coalesce("mission_score", F.lit(0.0)).desc(), "name")
+
+
+def company_tiles(companies: DataFrame) -> DataFrame:
+    active = F.coalesce("active", F.lit(False))
+    return companies.agg(F.count_if(active).alias("n_active"), F.count_if(F.coalesce(F.array_contains("tags", "watch"), F.lit(False))).alias("n_watched"))
+
+
+def matches_in_order(rows: DataFrame, score: str, pos: str) -> DataFrame:
+    """Scored rows first, best first; equal ones as they came."""
+    return rows.orderBy(F.col(score).isNotNull().desc(), F.coalesce(score, F.lit(0.0)).desc(), pos)
+
+
+#: The groups of decided postings, in the order in which they are shown.
+GROUPS = ("applied", "interviewing", "saved", "rejected", "dismissed")
+
+
+def disposition_groups(postings: DataFrame) -> DataFrame:
+    """(disposition, group_pos, n) of the groups that hold postings, in their order; other dispositions show nowhere."""
+    place = F.array_position(F.array(*map(F.lit, GROUPS)), F.col("disposition"))
+    return postings.where(F.col("disposition").isin(*GROUPS)).groupBy("disposition").agg(F.count("*").alias("n")).select("disposition", place.alias("group_pos"), "n").orderBy("group_pos")
+
+
+def change_counts(synced: DataFrame) -> DataFrame:
+    """How many postings a sync reopened and closed, and in how many companies."""
+    return synced.agg(F.count_if(F.col("change") == "reopened").alias("n_reopened"), F.count_if(F.col("change") == "closed").alias("n_closed"), F.countDistinct(F.when(F.col("change").isNotNull(), F.col("company_id"))).alias("n_companies"))
+
+
+def board_health(probes: DataFrame, least: int = 1) -> DataFrame:
+    """Probes (ats, name, status, n_jobs) with ``health``; what is not ok comes first, then by platform and name.
+
+    ok: answered with ``least`` postings or more; degraded: answered with fewer, or
+    unreadable (n_jobs null); blocked: refused or challenged (401, 403, 429, 503, or
+    no answer at all: status null); broken: every other status.
+    """
+    http = F.col("status")
+    health = F.when(http.isNull() | http.isin(401, 403, 429, 503), "blocked").when(~http.between(200, 299), "broken").when(F.coalesce("n_jobs", F.lit(0)) >= least, "ok").otherwise("degraded")
+    return probes.withColumn("health", health).orderBy(F.col("health") == "ok", "ats", "name")
+
+
+def health_counts(checked: DataFrame) -> DataFrame:
+    return checked.agg(F.count("*").alias("n"), *[F.count_if(F.col("health") == h).alias(f"n_{h}") for h in ("ok", "degraded", "blocked", "broken")])
+
+
+# The fields of a posting that a view shows.
+JOB_FIELDS = ("job_id", "title", "company_name", "url", "location", "geo_mode", "resume_fit_score", "combined_score", "mission_tier", "mission_score", "fit_reason", "fit_gates", "fit_domain", "fit_function", "fit_stack", "fit_seniority", "posted_at", "first_seen", "last_seen", "status", "disposition", "disposition_note", "disposition_at")
+
+
+def job_rows(rows: DataFrame, today: Column, local: str) -> DataFrame:
+    """What a view shows of each posting: JOB_FIELDS (null where the rows lack one), its rank if it has one, and what follows from them."""
+    has = set(rows.columns)
+    known = lambda c: F.col(c) if c in has else F.lit(None)
+    text = lambda c: known(c).cast("string")
+    bucket = predicates.geo_bucket(text("location"), known("remote_eligible").cast("boolean"), text("geo_mode"), local)
+    return rows.select(
+        *[known(c).alias(c) for c in JOB_FIELDS], known("rank").cast("long").alias("rank"), age_tag(known("first_seen").cast("date"), known("posted_at").cast("date"), today).alias("age"),
+        F.coalesce(text("fit_reason").contains("deep:"), F.lit(False)).alias("verified"), bucket.alias("geo_bucket"), (bucket == "relocation").alias("relocation_required"),
+        predicates.us_eligible(text("location")).alias("us_ok"), F.coalesce(F.array_contains(known("company_tags").cast("array<string>"), "watch"), F.lit(False)).alias("watched"),
+    )
+
+
+def detail(postings: DataFrame, job_id: str, most: int = 4000) -> DataFrame:
+    """One posting with its description's beginning: what a panel has room for."""
+    return postings.where(F.col("job_id") == job_id).withColumn("description", F.left("description", F.lit(most)))
