@@ -16,7 +16,7 @@ from postlake.llm.common import components
 from postlake.llm.decontam import benchmark_hits, drop_contaminated, near_matches
 from postlake.llm.license import scan_licenses
 from postlake.llm.linedup import drop_template_lines
-from postlake.llm.substring import drop_repeated_spans
+from postlake.llm.substring import drop_repeated_spans, paths
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -481,3 +481,18 @@ def test_license_scan_of_whole_texts_and_runs(spark):
     wanted = {1: ("MIT", ["MIT"], 16), 2: (None, ["MIT"], 15), 3: (None, [], 0), 4: (None, ["MIT"], 2), 5: (None, ["CC-BY-4.0"], 1), 6: (None, [], 0), 7: ("MIT", ["MIT"], 1)}
     found = [(r["doc_id"], (r["license"], list(r["licenses"]), r["n_license_lines"])) for r in scan_licenses(frame).collect()]
     assert dict(found) == wanted and len(found) == 8
+
+
+def test_paths_end_where_occurrences_differ(spark):
+    at = lambda order, word: (order << 40) + word
+    rows = [(v, k, at(o, w), n) for k, o in ((1, 0), (2, 0), (2, 1)) for v, w, n in ((10, 5, 3), (11, 8, 2), (12, 10, 4))]
+    rows += [(12, 3, at(0, 0), 4), (13, 3, at(0, 4), 1), (13, 4, at(0, 9), 1), (14, 4, at(0, 11), 1)] + [(10, 1, at(0, 5), 3)] * 50
+    got = Counter(map(tuple, paths(spark.createDataFrame(rows, "v long, k long, at long, n long")).select("k", "ord", "at", "n").collect()))
+    wanted = [(k, o, at(o, w), n) for k, o in ((1, 0), (2, 0), (2, 1)) for w, n in ((5, 5), (10, 4))]
+    assert got == Counter(wanted + [(3, 0, 0, 4), (3, 0, 4, 1), (4, 0, 9, 1), (4, 0, 11, 1)])
+
+
+def test_substring_dedup_of_many_rows_without_id(spark):
+    rows = [(None, f"{i} " + " ".join(WORDS[j % len(WORDS)] + str(j) for j in range(30))) for i in range(300)] + [(7, "a " * 40)] * 300
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(None, 31, 30): 299, (None, 31, 0): 1, (7, 40, 20): 300} or got == {(None, 31, 30): 299, (None, 31, 0): 1, (7, 40, 39): 300}
