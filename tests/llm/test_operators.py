@@ -495,4 +495,4 @@ def test_paths_end_where_occurrences_differ(spark):
 def test_substring_dedup_of_many_rows_without_id(spark):
     rows = [(None, f"{i} " + " ".join(WORDS[j % len(WORDS)] + str(j) for j in range(30))) for i in range(300)] + [(7, "a " * 40)] * 300
     got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == {(None, 31, 30): 299, (None, 31, 0): 1, (7, 40, 20): 300} or got == {(None, 31, 30): 299, (None, 31, 0): 1, (7, 40, 39): 300}
+    assert got == {(None, 31, 30): 299, (None, 31, 0): 1, (7, 40, 39): 300}
