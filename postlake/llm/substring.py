@@ -3,22 +3,22 @@
 The edges of the graph are the runs of ``window`` consecutive words.  Equal edges
 share their minimizer, the smallest hash among their ``k``-word parts, so edges
 are dealt out by minimizer and consecutive edges of a document with the same
-minimizer travel as one path piece, about one row for nine words.
+minimizer travel as one piece, about one row for nine words.
 
 * A minimizer that occurs once holds no repeated edge and goes.
-* Pieces of equal content are one vertex of the compacted graph; an arc leads from
-  a piece to the one that directly follows it in a document.  Where all occurrences
-  of a vertex have the same successor, and all of that one the same predecessor,
-  neither branches: such vertices are joined into one path, and an occurrence of
-  the whole path is one row from then on.
-* A minimizer with several contents is a branch: the first occurrence of each
-  different piece is opened into single edges.
-* Paths and opened edges are read again from the source texts at their
-  coordinates; what is equal there by two independent hashes, and of equal length,
-  repeats.
-
-Every join is on hashes with a pre-aggregated side, and the texts move once, when
-spans are verified and cut out of them.
+* A minimizer with a single distinct piece is a vertex of the compacted graph; an
+  arc leads from a piece to the one that directly follows it in a document.  Where
+  every occurrence of a vertex is followed by another one, and that one occurs
+  nowhere else, neither branches: a join finds these arcs, and the pieces along
+  them become one path, each of whose occurrences is one row from then on.
+* A minimizer with several pieces is a branch.  Equal pieces are compacted in
+  the same way; the first occurrence of each different piece is opened into
+  single edges, read again from the source text at its coordinates and compared
+  there by two independent hashes.
+
+Pieces are equal by the hash of their words and that of their minimizer.  Every
+join is on hashes or places with a pre-aggregated side, and the texts move once,
+when spans are cut out of them.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from postlake.llm.common import batch_texts, id_of, keyed, written
 
 _ORD = 40  # a place is ord << 40 | word position
 _OCC = "m long, u long, k long, at long, n long"
-_EDGE = "w1 long, w2 long, k long, at long, n long"
+_EDGE = "w1 long, w2 long, k long, at long"
 _KEPT = "k long, kept_text string, n_words long, n_removed long, spans array<struct<start:long,length:long>>"
 
 
@@ -81,34 +81,28 @@ def _occurrences(window: int, k: int):
     return run
 
 
-def _places(part: pa.RecordBatch, *fields: str) -> tuple[np.ndarray, ...]:
-    """Row, word position, number and more fields of the places listed with each text of a slice."""
+def _places(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, word position and number of the places listed with each text of a slice."""
     lists = part.column("places")
     row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths().fill_null(0)))
     flat = lists.flatten()
     if not len(flat):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),) * len(fields)
-    at, number, *more = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("at", "n", *fields))
-    return row, at & ((1 << _ORD) - 1), number, *more
+        return (np.zeros(0, np.int64),) * 3
+    return row, np.asarray(flat.field("at")) & ((1 << _ORD) - 1), np.asarray(flat.field("n"))
 
 
 def _edges(window: int):
-    """Hashes of the listed places at their source: of each window of an opened piece, of a path as a whole."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tokens.slices(batch):
-                row, at, number, path = _places(part, "path")
+                row, at, number = _places(part)
                 words = tokens.Words(part.column("text"), tokens.SPACED)
                 starts = words.first[row] + at
-                ends, begins = number[~path], starts[~path]
-                single = np.unique(np.repeat(begins - np.append(0, np.cumsum(ends)[:-1]), ends) + np.arange(ends.sum()))
-                starts = np.concatenate((single, starts[path]))
-                length = np.concatenate((np.full(len(single), window), number[path] + window - 1)).astype(np.int64)
+                starts = np.unique(np.repeat(starts - np.append(0, np.cumsum(number)[:-1]), number) + np.arange(number.sum()))
                 row = np.searchsorted(words.first, starts, side="right") - 1
                 k, order = np.asarray(part.column("k"))[row], np.asarray(part.column("ord"))[row]
-                w1, w2 = tokens.Spans(words.hashes)(starts, length), tokens.Spans(words.hashes, salt=0x5EED)(starts, length)
-                yield pa.RecordBatch.from_arrays([_signed(w1), _signed(w2), pa.array(k), pa.array(starts - words.first[row] + (order << _ORD)), pa.array(length)], names=["w1", "w2", "k", "at", "n"])
+                w1, w2 = tokens.Spans(words.hashes)(starts, window), tokens.Spans(words.hashes, salt=0x5EED)(starts, window)
+                yield pa.RecordBatch.from_arrays([_signed(w1), _signed(w2), pa.array(k), pa.array(starts - words.first[row] + (order << _ORD))], names=["w1", "w2", "k", "at"])
 
     return run
 
@@ -142,25 +136,24 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], names=list(types))
 
 
-def paths(pieces: DataFrame) -> DataFrame:
-    """(k, ord, at, n): occurrences of nonbranching paths, n edges from a place; pieces: (v, k, at, n), v naming a content.
+def inner_arcs(live: DataFrame) -> DataFrame:
+    """(m): heads of arcs that do not branch; live: vertices (m, f, n, c, starts, ends).
 
-    An arc is inside a path if its tail has no other successor and its head no other
-    predecessor, the start and end of a run counting as others.  All vertices of a
-    path occur equally often, each time in the same order, so its occurrences are
-    found in each document on their own once the degrees are known.
+    The arc from a vertex to the one at the end of its first occurrence does not
+    branch if the places where the first ends are those where the second starts:
+    as many, and with the same sum of hashes (null for a sum beyond 64 bits: then
+    the arc counts as branching, which costs rows, not results).
     """
-    here = Window.partitionBy("k", "ord").orderBy("at", "v")
-    rows = pieces.withColumn("ord", F.shiftright("at", _ORD)).repartition("k", "ord").dropDuplicates(["k", "ord", "at", "v", "n"])
-    follows = F.lead("at").over(here) == F.col("at") + F.col("n")
-    led = F.lag("at").over(here) + F.lag("n").over(here) == F.col("at")
-    arcs = rows.withColumns({"next": F.when(follows, F.lead("v").over(here)), "prev": F.when(led, F.lag("v").over(here))})
-    degrees = arcs.groupBy("v").agg(F.count("*").alias("c"), *[f(c).alias(f"{c}_{name}") for c in ("next", "prev") for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))])
-    only = lambda c: degrees.where(f"{c}_n = c and {c}_lo = {c}_hi")
-    one_out = only("next").select(F.col("next_lo").alias("v"), F.col("v").alias("prev"))
-    inner = only("prev").select("v", F.col("prev_lo").alias("prev")).join(one_out, ["v", "prev"]).select("v", F.lit(0).alias("_opens"))
-    runs = rows.join(inner, "v", "left").withColumn("run", F.sum(F.coalesce("_opens", F.lit(1))).over(here))
-    return runs.groupBy("k", "ord", "run").agg(F.min("at").alias("at"), F.sum("n").alias("n")).drop("run")
+    tails = live.select("c", F.col("f.k").alias("k"), (F.col("f.at") + F.col("n")).alias("at"), F.col("ends").alias("sum"))
+    heads = live.select("m", "c", "f.k", "f.at", F.col("starts").alias("sum"))
+    return heads.join(tails, ["k", "at", "c", "sum"]).select("m")
+
+
+def paths(pieces: DataFrame) -> DataFrame:
+    """(k, at, n): n edges from a place; pieces: (k, at, n, opens), those that do not open a path go on with the one before."""
+    here = Window.partitionBy("k", "ord").orderBy("at", F.desc("opens"))
+    runs = pieces.withColumn("ord", F.shiftright("at", _ORD)).withColumn("run", F.sum(F.col("opens").cast("int")).over(here))
+    return runs.groupBy("k", "ord", "run").agg(F.min("at").alias("at"), (F.max(F.col("at") + F.col("n")) - F.min("at")).alias("n")).select("k", "at", "n")
 
 
 def repeated_spans(texts: DataFrame, dealt: DataFrame, window: int, k: int) -> DataFrame:
@@ -171,20 +164,24 @@ def repeated_spans(texts: DataFrame, dealt: DataFrame, window: int, k: int) -> D
     """
     occ = texts.mapInArrow(_occurrences(window, k), _OCC)
     place = F.struct("k", "at")
-    live = occ.groupBy("m").agg(F.count("*").alias("c"), F.min("u").alias("lo"), F.max("u").alias("hi")).where("c > 1")
-    live = written(live)  # a plain side lets Spark split a minimizer that a great many documents share
-    met = written(occ.join(live.select("m", (F.col("lo") != F.col("hi")).alias("branch")), "m"))
+    of = lambda at: F.try_sum(F.shiftright(F.xxhash64("k", at), 16))
+    live = occ.groupBy("m").agg(F.min(place).alias("f"), F.count("*").alias("c"), F.min("u").alias("lo"), F.max("u").alias("hi"), F.min("n").alias("n"), of("at").alias("starts"), of(F.col("at") + F.col("n")).alias("ends"))
+    live = written(live.where("c > 1"))
+    inner = inner_arcs(live.where("lo = hi")).withColumn("inside", F.lit(True))
+    vertices = live.join(inner, "m", "left").select("m", "f", (F.col("lo") != F.col("hi")).alias("branch"), F.col("inside").isNull().alias("opens"))
+    vertices = written(vertices)  # a plain side lets Spark split a minimizer that a great many documents share
+    met = written(occ.join(vertices, "m"))
+    later = (F.col("k") != F.col("f.k")) | (F.col("at") != F.col("f.at"))
+    piece = ("k", "at", (F.col("n") + (window - 1)).alias("n"))
+    whole = paths(met.where(~F.col("branch") & later).select("k", "at", "n", "opens")).select(*piece)
     forks = met.where("branch").select("m", "u", "k", "at", "n")
     firsts = written(forks.groupBy("m", "u").agg(F.min(place).alias("f"), F.min("n").alias("n"), F.count("*").alias("c")))
-    copies = forks.join(firsts.where("c > 1").select("m", "u"), ["m", "u"])
-    vertex = (F.xxhash64("m", "u").alias("v"), "k", "at", "n")
-    whole = paths(met.where("not branch").select(*vertex).unionByName(copies.select(*vertex)))
-    opened = firsts.select(F.col("f.k").alias("k"), F.shiftright("f.at", _ORD).alias("ord"), F.col("f.at").alias("at"), "n", F.lit(False).alias("path"))
-    places = opened.unionByName(whole.withColumn("path", F.lit(True))).groupBy("k", "ord").agg(F.collect_list(F.struct("at", "n", "path")).alias("places"))
-    edges = dealt.join(places.hint("shuffle_hash"), ["k", "ord"]).select("k", "ord", "text", "places").mapInArrow(_edges(window), _EDGE)
+    copies = forks.join(firsts.where("c > 1").select("m", "u", "f"), ["m", "u"]).where(later).select(*piece)
+    opened = firsts.groupBy(F.col("f.k").alias("k"), F.shiftright("f.at", _ORD).alias("ord")).agg(F.collect_list(F.struct(F.col("f.at").alias("at"), "n")).alias("places"))
+    edges = dealt.join(opened.hint("shuffle_hash"), ["k", "ord"]).select("k", "ord", "text", "places").mapInArrow(_edges(window), _EDGE)
     known = edges.groupBy("w1", "w2").agg(F.min(place).alias("f"), F.count("*").alias("c")).where("c > 1")
-    later = (F.col("k") != F.col("f.k")) | (F.col("at") != F.col("f.at"))
-    return edges.join(known.select("w1", "w2", "f"), ["w1", "w2"]).where(later).select("k", "at", "n")
+    single = edges.join(known.select("w1", "w2", "f"), ["w1", "w2"]).where(later).select("k", "at", F.lit(window).cast("long").alias("n"))
+    return whole.unionByName(copies).unionByName(single)
 
 
 def drop_repeated_spans(docs: DataFrame, window: int = 20, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
