@@ -137,22 +137,25 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def inner_arcs(live: DataFrame) -> DataFrame:
-    """(m): heads of arcs that do not branch; live: vertices (m, f, n, c, starts, ends).
+    """(m): heads of arcs that do not branch; live: vertices (m, f, n, c, sums).
 
     The arc from a vertex to the one at the end of its first occurrence does not
     branch if the places where the first ends are those where the second starts:
-    as many, and with the same sum of hashes (null for a sum beyond 64 bits: then
-    the arc counts as branching, which costs rows, not results).
+    as many, and with the same sum of hashes.  sums holds 32 bits for the starts and
+    32 for the ends; sums that agree by chance do no harm, as paths() joins only
+    pieces that touch.
     """
-    tails = live.select("c", F.col("f.k").alias("k"), (F.col("f.at") + F.col("n")).alias("at"), F.col("ends").alias("sum"))
-    heads = live.select("m", "c", "f.k", "f.at", F.col("starts").alias("sum"))
+    tails = live.select("c", F.col("f.k").alias("k"), (F.col("f.at") + F.col("n")).alias("at"), F.col("sums").bitwiseAND((1 << 32) - 1).alias("sum"))
+    heads = live.select("m", "c", "f.k", "f.at", F.shiftrightunsigned("sums", 32).alias("sum"))
     return heads.join(tails, ["k", "at", "c", "sum"]).select("m")
 
 
 def paths(pieces: DataFrame) -> DataFrame:
-    """(k, at, n): n edges from a place; pieces: (k, at, n, opens), those that do not open a path go on with the one before."""
+    """(k, at, n): n edges from a place; pieces: (k, at, n, opens), those that do not open a path go on with the one they touch."""
     here = Window.partitionBy("k", "ord").orderBy("at", F.desc("opens"))
-    runs = pieces.withColumn("ord", F.shiftright("at", _ORD)).withColumn("run", F.sum(F.col("opens").cast("int")).over(here))
+    touches = F.lag(F.col("at") + F.col("n")).over(here) >= F.col("at")
+    rows = pieces.withColumn("ord", F.shiftright("at", _ORD)).withColumn("first", F.when(~F.col("opens") & touches, 0).otherwise(1))
+    runs = rows.withColumn("run", F.sum("first").over(here))
     return runs.groupBy("k", "ord", "run").agg(F.min("at").alias("at"), (F.max(F.col("at") + F.col("n")) - F.min("at")).alias("n")).select("k", "at", "n")
 
 
@@ -164,8 +167,9 @@ def repeated_spans(texts: DataFrame, dealt: DataFrame, window: int, k: int) -> D
     """
     occ = texts.mapInArrow(_occurrences(window, k), _OCC)
     place = F.struct("k", "at")
-    of = lambda at: F.try_sum(F.shiftright(F.xxhash64("k", at), 16))
-    live = occ.groupBy("m").agg(F.min(place).alias("f"), F.count("*").alias("c"), F.min("u").alias("lo"), F.max("u").alias("hi"), F.min("n").alias("n"), of("at").alias("starts"), of(F.col("at") + F.col("n")).alias("ends"))
+    low = lambda at: F.xxhash64("k", at).bitwiseAND((1 << 32) - 1)
+    sums = F.bit_xor(F.shiftleft(low("at"), 32).bitwiseOR(low(F.col("at") + F.col("n"))))
+    live = occ.groupBy("m").agg(F.min(place).alias("f"), F.count("*").alias("c"), F.min("u").alias("lo"), F.max("u").alias("hi"), F.min("n").alias("n"), sums.alias("sums"))
     live = written(live.where("c > 1"))
     inner = inner_arcs(live.where("lo = hi")).withColumn("inside", F.lit(True))
     vertices = live.join(inner, "m", "left").select("m", "f", (F.col("lo") != F.col("hi")).alias("branch"), F.col("inside").isNull().alias("opens"))
