@@ -42,6 +42,20 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """As written(); the shuffle files behind the frame go as soon as it is written, so a job of many steps holds those of one."""
+    conf = df.sparkSession.conf
+    before = conf.get(_TIDY, None)
+    conf.set(_TIDY, "true")
+    try:
+        return written(df)
+    finally:
+        conf.unset(_TIDY) if before is None else conf.set(_TIDY, before)
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows as (k, ord, text): (k, ord) names a text.
 

@@ -45,3 +45,23 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+_TERMS = rf"regexp_extract_all(coalesce({_FOLDED % 'text'}, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = rf"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS} AS ts FROM documents),
+each AS (SELECT d, lang, source, unnest(ts) AS term FROM docs),
+vocabulary AS (SELECT lang, term FROM each GROUP BY lang, term HAVING count(DISTINCT d) >= 3),
+sizes AS (SELECT lang, count(*) AS v FROM vocabulary GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS c FROM each SEMI JOIN vocabulary USING (lang, term) GROUP BY ALL),
+grps AS (SELECT DISTINCT lang, source FROM docs),
+totals AS (SELECT g.lang, g.source, coalesce(n, 0) AS n, coalesce(v, 0) AS v FROM grps g LEFT JOIN (SELECT lang, source, sum(c) AS n FROM counts GROUP BY ALL) USING (lang, source) LEFT JOIN sizes USING (lang)),
+shares AS (SELECT t.lang, t.source, term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)::HUGEINT) // (n + v)::HUGEINT AS p
+  FROM totals t JOIN vocabulary USING (lang) LEFT JOIN counts USING (lang, source, term)),
+whole AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c) + 1)::HUGEINT) // (sum(sum(c)) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang))::HUGEINT AS q FROM counts GROUP BY lang, term),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, 0::HUGEINT AS value FROM totals a JOIN totals b ON a.lang = b.lang AND a.source <> b.source WHERE a.v = 0
+  UNION ALL SELECT a.lang, a.source, 'pair', b.source, sum(((a.p - b.p) * (a.p - b.p)) // b.p) FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value FROM shares JOIN whole USING (lang, term) WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, r::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM (FROM pairs UNION ALL FROM terms)) WHERE part = 'pair' OR r <= 200
+"""

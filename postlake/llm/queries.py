@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from postlake.llm import langid, license, linedup, oracles
 from postlake.llm.ann import nearest
 from postlake.llm.decontam import benchmark_hits
+from postlake.llm.divergence import source_divergence
 from postlake.llm.jaccard import jaccard_components
 from postlake.llm.license import scan_licenses
 from postlake.llm.linedup import drop_template_lines
 from postlake.llm.mixing import mix_sources
 from postlake.llm.sharding import shard_documents
 from postlake.llm.substring import drop_repeated_spans
+from postlake.llm.tokenalign import align_tokenizers
 from postlake.llm.toxicity import fit, toxic_passages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,12 +84,20 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(embeddings, embeddings.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(_table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_substring_dedup, op2_toxicity, op3_jaccard_join, op4_source_mixing, op5_sharding, op6_language_id, op7_line_dedup, op8_decontamination, op9_license_scan, op10_nearest_neighbours)
+    own = (op1_substring_dedup, op2_toxicity, op3_jaccard_join, op4_source_mixing, op5_sharding, op6_language_id, op7_line_dedup, op8_decontamination, op9_license_scan, op10_nearest_neighbours, op12_token_alignment, op13_source_divergence)
     import corpus_pipeline  # which imports operators of this subpackage
 
     return {query.__name__: query for query in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": oracles.OP1, "op3_jaccard_join": oracles.OP3, "op8_decontamination": oracles.OP8, "op7_line_dedup": linedup.ORACLE_SQL, "op9_license_scan": license.oracle_sql()}
+    return {"op1_substring_dedup": oracles.OP1, "op3_jaccard_join": oracles.OP3, "op8_decontamination": oracles.OP8, "op7_line_dedup": linedup.ORACLE_SQL, "op9_license_scan": license.oracle_sql(), "op13_source_divergence": oracles.OP13}
