@@ -17,6 +17,7 @@ from postlake.llm.linedup import drop_template_lines
 from postlake.llm.mixing import mix_sources
 from postlake.llm.sharding import shard_documents
 from postlake.llm.substring import drop_repeated_spans
+from postlake.llm.suffixes import drop_earlier_bytes
 from postlake.llm.tokenalign import align_tokenizers
 from postlake.llm.toxicity import fit, toxic_passages
 
@@ -84,6 +85,11 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(embeddings, embeddings.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_earlier_bytes(_table(spark, sf_dir, "documents"), window=50)
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(_table(spark, sf_dir, "documents"))
 
@@ -93,11 +99,11 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_substring_dedup, op2_toxicity, op3_jaccard_join, op4_source_mixing, op5_sharding, op6_language_id, op7_line_dedup, op8_decontamination, op9_license_scan, op10_nearest_neighbours, op12_token_alignment, op13_source_divergence)
+    own = (op1_substring_dedup, op2_toxicity, op3_jaccard_join, op4_source_mixing, op5_sharding, op6_language_id, op7_line_dedup, op8_decontamination, op9_license_scan, op10_nearest_neighbours, op11_suffix_dedup, op12_token_alignment, op13_source_divergence)
     import corpus_pipeline  # which imports operators of this subpackage
 
     return {query.__name__: query for query in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": oracles.OP1, "op3_jaccard_join": oracles.OP3, "op8_decontamination": oracles.OP8, "op7_line_dedup": linedup.ORACLE_SQL, "op9_license_scan": license.oracle_sql(), "op13_source_divergence": oracles.OP13}
+    return {"op1_substring_dedup": oracles.OP1, "op3_jaccard_join": oracles.OP3, "op8_decontamination": oracles.OP8, "op7_line_dedup": linedup.ORACLE_SQL, "op9_license_scan": license.oracle_sql(), "op11_suffix_dedup": oracles.OP11, "op13_source_divergence": oracles.OP13}

@@ -129,3 +129,84 @@ def test_divergence_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(divergence, "_CELLS", 500)
     monkeypatch.setattr(divergence, "_HELD", 50)
     assert sorted(map(tuple, source_divergence(docs).collect())) == whole
+
+
+def brute_bytes(rows, window):
+    """(id, text) rows to (kept, n_bytes, n_removed, spans) each."""
+    datas = [(text or "").encode() for _, text in rows]
+    key = lambda i: -1 if i is None else i
+    first = {}
+    for (i, _), data in zip(rows, datas, strict=True):
+        for at in range(len(data) - window + 1):
+            s = data[at : at + window]
+            first[s] = min(first.get(s, key(i)), key(i))
+    out = []
+    for (i, _), data in zip(rows, datas, strict=True):
+        gone = [False] * len(data)
+        for at in range(len(data) - window + 1):
+            if first[data[at : at + window]] < key(i):
+                gone[at : at + window] = [True] * window
+        spans = []
+        for at, x in enumerate(gone):
+            if x and at and gone[at - 1]:
+                spans[-1][1] += 1
+            elif x:
+                spans.append([at, 1])
+        out.append((bytes(b for b, x in zip(data, gone, strict=True) if not x), len(data), sum(gone), [tuple(s) for s in spans]))
+    return out
+
+
+def byte_rows(frame, **options):
+    from postlake.llm.suffixes import drop_earlier_bytes
+
+    return [(r["doc_id"], bytes(r["kept"]), r["n_bytes"], r["n_removed"], [tuple(s) for s in r["spans"]]) for r in drop_earlier_bytes(frame, **options).collect()]
+
+
+@pytest.mark.parametrize("many, shard, slice_bytes", [(20_000, 4 << 20, 1 << 20), (1, 200, 97)])
+def test_byte_dedup_equals_brute_force(spark, monkeypatch, many, shard, slice_bytes):
+    """Null, empty, repeated, nested, periodic and long texts, ties of ids, clashing columns; also with tiny shards and slices and second minimizers."""
+    import random
+
+    from postlake.llm import suffixes
+
+    monkeypatch.setattr(suffixes, "MANY_PIECES", many)
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", shard)
+    monkeypatch.setattr(suffixes, "_SLICE", slice_bytes)
+    rng = random.Random(11)
+    passages = ["".join(rng.choice("abé日 ") for _ in range(n)) for n in (20, 30, 45, 60, 90, 150)]
+    rows = []
+    for i in range(150):
+        text = "".join(rng.choice(passages) if rng.random() < 0.5 else "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(40))) for _ in range(rng.randrange(8)))
+        rows.append((rng.choice([None, i, i % 10, i]), text))
+    rows += [(900, None), (901, ""), (902, "a" * 300), (903, "a" * 200), (904, "ab" * 400), (905, "ab" * 400), (905, "ab" * 400), (3, "a" * 60), (906, passages[5] * 3), (907, passages[5][1:120])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS k", "2 AS m", "'x' AS places").repartition(5)
+    wanted = [(i, *w) for (i, _), w in zip(rows, brute_bytes(rows, 30), strict=True)]
+    assert sorted(map(repr, byte_rows(frame, window=30, gram=10))) == sorted(map(repr, wanted))
+    assert sum(w[3] > 0 for w in wanted) > 50
+    assert byte_rows(frame.limit(0)) == []
+
+
+@pytest.mark.parametrize("memory", [4 << 20, 9])
+def test_induced_sorting_equals_plain_sorting(memory, monkeypatch):
+    """Random, repeated, constant and tiny texts, by bytes and by large symbols, with queues in memory and on disk."""
+    import numpy as np
+
+    from postlake.llm import induced
+
+    rng = np.random.default_rng(5)
+    for turn in range(150):
+        n, top = int(rng.integers(1, 200)), int(rng.choice([1, 2, 4, 250, 3000]))
+        text = rng.integers(1, top + 1, n)
+        text = np.tile(text[: n // 4 + 1], 5) if turn % 4 == 0 else text
+        text = np.append(text, 0).astype(np.uint16)
+        monkeypatch.setattr(induced, "_RANGE", 6 if turn % 2 else 1 << 12)
+        order, common = induced.suffix_order(text, 3001 if turn % 3 else int(text.max()) + 1, memory, 50)
+        plain = text.tolist()
+        wanted = sorted(range(len(plain)), key=lambda i: plain[i:])
+        assert order.tolist() == wanted
+        prefixes = [next((d for d in range(51) if d == 50 or plain[a + d] != plain[b + d]), 0) for a, b in zip(wanted, wanted[1:], strict=False)]
+        assert common.tolist() == [0, *prefixes]
+    spool = induced.Spool(3, 2, 4)
+    for step in range(10):
+        spool.put(np.array([step % 3] * 2), np.array([[step, step], [1, 2]]))
+    assert spool.spilled and [spool.take(i)[0].tolist() for i in range(3)] == [[0, 0, 3, 3, 6, 6, 9, 9], [1, 1, 4, 4, 7, 7], [2, 2, 5, 5, 8, 8]]
