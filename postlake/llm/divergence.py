@@ -2,70 +2,94 @@
 
 Texts are factored into chunks, the runs between ASCII white space.  A pass over the
 documents counts chunks and adds them up by language and source before anything is
-shuffled; each globally distinct chunk is tokenized once, and a join brings its
-terms back to the counts.  A term is in every document that holds one of its
+shuffled.  The counts of a chunk meet in one place, where it is tokenized once and its
+terms are joined back to them.  A term is in every document that holds one of its
 chunks, so it is common if one of them is in enough documents.  Otherwise its chunks
-are rare: of at most two documents, whose names the smallest and the largest are,
-and the distinct names of all of a term's chunks are counted.
+are rare: of at most two documents, whose names the smallest and the largest are.
+Most rare terms are settled by the sum of their chunks' documents or by bits of
+the names; of the others the distinct names are counted.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlake.llm.common import batch_texts, settled
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: ASCII letters and all characters beyond ASCII; no white space, so no term goes beyond its chunk.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Distinct chunks that a task adds up before it hands them on.
-_HELD = 200_000
+_HELD = 400_000
 #: Cells (sources x terms) of a block in which all pairs of sources are compared.
 _CELLS = 1_000_000
-_COUNTED = "lang string, source string, chunk string, n_docs long, n long, lo long, hi long"
+_COUNTED = "lang string, source string, {} string, n_docs long, n long, lo long, hi long"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (lang, source, text, doc) to counts of chunks, added up over the documents of a task."""
-    sums: dict[tuple[str, str, bytes], list[int]] = {}
+    sums: dict[tuple[str, str], dict[bytes, list[int]]] = defaultdict(dict)
+    held = 0
     for batch in batches:
         lang, source, doc = (batch.column(c).to_pylist() for c in ("lang", "source", "doc"))
         for i, text in enumerate(batch.column("text")):
-            name = lang[i], source[i]
+            own, name = sums[lang[i], source[i]], doc[i]
+            held -= len(own)
             for chunk, n in Counter(text.as_py().encode().split()).items():
-                got = sums.get((*name, chunk))
+                got = own.get(chunk)
                 if got is None:
-                    sums[(*name, chunk)] = [1, n, doc[i], doc[i]]
+                    own[chunk] = [1, n, name, name]
                 else:
                     got[0] += 1
                     got[1] += n
-                    got[3] = doc[i]  # names of rows grow within a task
-            if len(sums) >= _HELD:
+                    got[3] = name  # names of rows grow within a task
+            held += len(own)
+            if held >= _HELD:
                 yield from _handed(sums)
-                sums = {}
+                sums.clear()
+                held = 0
     yield from _handed(sums)
 
 
 def _handed(sums: dict, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    keys, values = list(sums), list(sums.values())
-    for at in range(0, len(keys), rows):
-        lang, source, chunk = zip(*keys[at : at + rows], strict=True)
-        counts = np.array(values[at : at + rows], np.int64).T
-        columns = [pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(chunk, pa.binary()).cast(pa.string()), *map(pa.array, counts)]
-        yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "chunk", "n_docs", "n", "lo", "hi"])
+    for (lang, source), chunks in sums.items():
+        keys, values = list(chunks), list(chunks.values())
+        for at in range(0, len(keys), rows):
+            chunk = pa.array(keys[at : at + rows], pa.binary()).cast(pa.string())
+            names = [pa.repeat(pa.scalar(x, pa.string()), len(chunk)) for x in (lang, source)]
+            yield pa.RecordBatch.from_arrays([*names, chunk, *map(pa.array, np.array(values[at : at + rows], np.int64).T)], names=["lang", "source", "chunk", "n_docs", "n", "lo", "hi"])
 
 
-def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """(chunk, term, times) of distinct chunks."""
-    terms = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(f"({TERM})"))
-    return chunks.select("chunk", F.explode(terms).alias("term")).groupBy("chunk", "term").agg(F.count("*").alias("times"))
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts in the order of their chunks to counts of terms; each chunk is tokenized where it first comes."""
+    find, last, found = re.compile(TERM).findall, None, {}
+    for batch in batches:
+        codes = pc.dictionary_encode(batch.column("chunk"))
+        chunks = codes.dictionary.to_pylist()
+        found = {last: found[last]} if last in found else {}
+        for chunk in chunks:
+            if chunk not in found:
+                found[chunk] = Counter(find(chunk.translate(_FOLD)))
+        last = chunks[-1] if chunks else last
+        sizes = np.array([len(found[c]) for c in chunks], np.int64)
+        code = np.asarray(codes.indices)
+        row = np.repeat(np.arange(len(code)), sizes[code])
+        first = np.append(0, np.cumsum(sizes)[:-1])
+        at = np.repeat(first[code] - np.append(0, np.cumsum(sizes[code])[:-1]), sizes[code]) + np.arange(len(row)) if len(code) else row
+        term = pa.array([t for c in chunks for t in found[c]], pa.string()).take(pa.array(at))
+        times = np.array([n for c in chunks for n in found[c].values()], np.int64)[at]
+        rest = batch.select(["lang", "source", "n_docs", "n", "lo", "hi"]).take(pa.array(row))
+        n = pa.array(np.asarray(rest.column("n")) * times)
+        yield pa.RecordBatch.from_arrays([rest.column("lang"), rest.column("source"), term, rest.column("n_docs"), n, rest.column("lo"), rest.column("hi")], names=["lang", "source", "term", "n_docs", "n", "lo", "hi"])
 
 
 def term_counts(docs: DataFrame, min_docs: int = 3, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -79,18 +103,24 @@ def term_counts(docs: DataFrame, min_docs: int = 3, lang_col: str = "lang", sour
     batch_texts(docs.sparkSession)
     plain = lambda c, name: F.coalesce(docs[f"`{c}`"].cast("string"), F.lit("")).alias(name)
     rows = docs.select(plain(lang_col, "lang"), plain(source_col, "source"), plain(text_col, "text"), F.monotonically_increasing_id().alias("doc"))
-    chunks = rows.mapInArrow(_chunks, _COUNTED)
-    chunks = settled(chunks.groupBy("lang", "source", "chunk").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
-    found = settled(chunks.join(chunk_terms(chunks.select("chunk").distinct()), "chunk").drop("chunk"))
-    counts = found.groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("count"), F.max("n_docs").alias("most"))
-    counts = settled(counts)
-    common = counts.where(F.col("most") >= min_docs).select("lang", "term")
-    several = found.where(F.col("n_docs") < min_docs).select("lang", "term", F.explode(F.array("lo", "hi")).alias("doc")).distinct()
-    several = several.groupBy("lang", "term").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs).select("lang", "term")
-    kept = common.unionByName(several).distinct()
+    chunks = rows.mapInArrow(_chunks, _COUNTED.format("chunk")).repartition("chunk")  # all rows of a chunk in one place, added up and tokenized there
+    chunks = chunks.groupBy("lang", "source", "chunk").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    found = settled(chunks.sortWithinPartitions("chunk").mapInArrow(_terms, _COUNTED.format("term")))
+    docs_of = F.bit_or(_bit("lo").bitwiseOR(_bit("hi")))
+    counts = settled(found.groupBy("lang", "source", "term").agg(F.sum("n").alias("count"), F.max("n_docs").alias("most"), F.sum("n_docs").alias("docs"), docs_of.alias("bits")))
+    known = counts.groupBy("lang", "term").agg(F.max("most").alias("most"), F.sum("docs").alias("docs"), F.bit_count(F.bit_or("bits")).alias("bits"))
+    known = settled(known.where(F.col("docs") >= min_docs).withColumn("sure", (F.col("most") >= min_docs) | (F.col("bits") >= min_docs)).select("lang", "term", "sure"))
+    unsure = found.join(known.where("NOT sure"), ["lang", "term"], "left_semi").select("lang", "term", F.explode(F.array("lo", "hi")).alias("doc")).distinct()
+    several = unsure.groupBy("lang", "term").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    kept = known.where("sure").select("lang", "term").unionByName(several.select("lang", "term"))
     return counts.join(kept, ["lang", "term"], "left_semi").select("lang", "source", "term", "count")
 
 
+def _bit(doc: str) -> Column:
+    """A bit for the document: different bits are of different documents."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(doc), F.lit(64)).cast("int"))
+
+
 def _share(scale: int, smoothing: int, count: Column) -> Column:
     """1 + floor(scale * (count + smoothing) / (total + smoothing * terms)), exactly."""
     over = F.lit(scale).cast("decimal(12,0)") * (count + smoothing).cast("decimal(19,0)")
