@@ -68,28 +68,49 @@ def piece_bpe(path: str):
     return model, [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces]
 
 
-def common_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+#: Of so many ends of the shorter list the first one gallops; the others then lie between two known places.
+_STRIDE = 16
+
+
+def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices in a and in b of the values that both ascending lists hold; the shorter one gallops through the longer."""
     if len(a) > len(b):
         at_b, at_a = common_ends(b, a)
         return at_a, at_b
-    at_a, at_b, lo, n = [], [], 0, len(b)
-    for i, x in enumerate(a):
-        if lo == n:
-            break
-        if b[lo] < x:
-            step, hi = 1, lo + 1
-            while hi < n and b[hi] < x:
-                lo, step = hi, step * 2
-                hi = lo + step
-            lo = bisect_left(b, x, lo + 1, min(hi, n))
-            if lo == n:
-                break
-        if b[lo] == x:
-            at_a.append(i)
-            at_b.append(lo)
-            lo += 1
-    return at_a, at_b
+    n, view = len(b), memoryview(b)
+    places, lo = [], 0
+    for x in a[::_STRIDE].tolist():
+        step, hi = 1, lo
+        while hi < n and view[hi] < x:
+            lo, hi, step = hi + 1, hi + step, step * 2
+        lo = bisect_left(view, x, lo, min(hi, n))
+        places.append(lo)
+    lower = np.repeat(np.array(places, np.int64), _STRIDE)[: len(a)]
+    upper = np.repeat(np.array([*places[1:], n], np.int64), _STRIDE)[: len(a)]
+    while (lower < upper).any():
+        middle = (lower + upper) >> 1
+        less = (lower < upper) & (b[np.minimum(middle, n - 1)] < a)
+        lower, upper = np.where(less, middle + 1, lower), np.where(less, upper, np.minimum(middle, upper))
+    both = np.flatnonzero((lower < n) & (b[np.minimum(lower, n - 1)] == a)) if n else np.zeros(0, np.int64)
+    return both, lower[both]
+
+
+class Spelling:
+    """The bytes of ids, as one array."""
+
+    def __init__(self, spelt: list[bytes]):
+        self.flat = np.frombuffer(b"".join(spelt), np.uint8)
+        self.length = np.array(list(map(len, spelt)))
+        self.first = np.append(0, np.cumsum(self.length)[:-1])
+
+    def ends(self, ids: np.ndarray, raw: np.ndarray) -> np.ndarray | None:
+        """Where each id ends in the text that they spell; null if that is not ``raw``."""
+        length = self.length[ids]
+        ends = np.cumsum(length)
+        if not len(ids) or ends[-1] != len(raw):
+            return None
+        at = np.repeat(self.first[ids] - ends + length, length) + np.arange(len(raw))
+        return ends if np.array_equal(self.flat[at], raw) else None
 
 
 class Speller:
@@ -144,24 +165,25 @@ def _aligned(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_a, spelt_a = byte_bpe(path_a)
         encode_b, spelt_b = piece_bpe(path_b)
-        length_a, length_b = np.array(list(map(len, spelt_a))), np.array(list(map(len, spelt_b)))
+        spelling_a, spelling_b = Spelling(spelt_a), Spelling(spelt_b)
         spell = Speller(len(spelt_a), len(spelt_b))
-        nothing = np.zeros(0, np.int64)
+        nothing = 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def one(text: str) -> tuple:
             spaced = " " + text
-            raw = spaced.encode()
             if not text:
-                return 0, 0, 0, 0, "", nothing, nothing
-            a, b = encode_a.encode_ordinary(spaced), encode_b.encode(text)
-            if b"".join(map(spelt_a.__getitem__, a)) != raw or b"".join(map(spelt_b.__getitem__, b)) != raw:
-                return 0, 0, 0, 0, "", nothing, nothing
-            ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
-            last_a, last_b = common_ends(np.cumsum(length_a[ids_a]).tolist(), np.cumsum(length_b[ids_b]).tolist())
-            last_a, last_b = np.array(last_a), np.array(last_b)
+                return nothing
+            raw = np.frombuffer(spaced.encode(), np.uint8)
+            ids_a = encode_a.encode_to_numpy(spaced, disallowed_special=()).astype(np.int64)
+            ends_a = spelling_a.ends(ids_a, raw)
+            ids_b = np.array(encode_b.encode(text), np.int64)
+            ends_b = spelling_b.ends(ids_b, raw)
+            if ends_a is None or ends_b is None:
+                return nothing
+            last_a, last_b = common_ends(ends_a, ends_b)
             pairs, times = id_pairs(ids_a, ids_b, last_a, last_b)
             digest = hashlib.sha256(spell(ids_a, ids_b, last_a, last_b).encode()).hexdigest()
-            return len(a), len(b), len(last_a), int(times.sum()), digest, pairs, times
+            return len(ids_a), len(ids_b), len(last_a), int(times.sum()), digest, pairs, times
 
         for batch in batches:
             for part in tokens.slices(batch, limit=_SLICE):

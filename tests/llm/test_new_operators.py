@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from conftest import SMALL
 
@@ -83,8 +84,9 @@ def test_alignment_edges(spark):
 
 @pytest.mark.parametrize("a, b", [([1, 2, 3], [3]), ([5], [1, 2, 3, 4, 5]), (list(range(0, 400, 7)), list(range(0, 400))), ([], [1]), ([2, 4, 400], list(range(3, 401)))])
 def test_galloping(a, b):
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
     at_a, at_b = common_ends(a, b)
-    both = sorted(set(a) & set(b))
+    both = sorted(set(a.tolist()) & set(b.tolist()))
     assert [a[i] for i in at_a] == both and [b[i] for i in at_b] == both
 
 
