@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postlake.plans import flow_queries  # noqa: F401  (registers its queries)
+from postlake.plans import flow_queries, page_queries  # noqa: F401  (register their queries)
 from postlake.plans.queries import QUERIES, SQL, Query
 
 

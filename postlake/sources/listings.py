@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from postlake.functions.predicates import company_tokens, same_company
 from postlake.functions.text import html_text, stable_id
 from postlake.operators.store import first_of
-from postlake.sources import pages
+from postlake.sources import pages, tree
 
 UNKNOWN = "See posting"
 _ANCHOR = r"(?is)(<a\s[^>]*href\s*=\s*[\"'][^\"']*{0}[^\"']*[\"'][^>]*>.*?</a>)"
@@ -75,15 +75,19 @@ def icims(listings: DataFrame, sitemaps: DataFrame, details: DataFrame) -> DataF
 
 
 def kula(listings: DataFrame) -> DataFrame:
-    """Postings of boards whose cards hold department, title and place, in this order, before or inside the link.
+    """Postings of boards whose cards hold department, title and place, in this order.
 
-    A card is what stands between two links to postings; lines of up to three
-    characters are no field.  Of several places the first counts.
+    A card is the nearest of the link's eight ancestors with two lines or more, or
+    else the furthest of them; lines of up to three characters are no field.  Of
+    several places the first counts.
     """
-    number = r"(?is)<a\s[^>]*href\s*=\s*[\"']([^\"']*/\d+/?)[\"'][^>]*>"
-    cards = listings.select("board", "company", F.col("url").alias("page"), F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)(?:^|</a>)(.*?<a\s[^>]*href\s*=\s*[\"'][^\"']*/\d+/?[\"'][^>]*>.*?)(?=</a>)"), 1)).alias("pos", "c"))
-    lines = F.filter(F.transform(F.split(F.regexp_replace("c", r"<[^>]*>", "\n"), "\n"), lambda x: F.trim(html_text(x))), lambda x: F.length(x) > 3)
-    rows = cards.select("*", F.regexp_extract("c", number, 1).alias("href"), lines.alias("l")).where(F.col("href").contains(F.concat(F.lit("/"), "board", F.lit("/"))))
+    cards = tree.tree(listings, "board", "company", "url").withColumnRenamed("url", "page")
+    lines = lambda e: F.filter(F.transform(F.flatten(F.transform(tree.strings_of(e), lambda s: F.split(s, "\n"))), lambda x: F.trim(x)), lambda x: F.length(x) > 3)
+    link = F.concat(F.lit(r"/\Q"), "board", F.lit(r"\E/\d+/?$"))
+    fields = lambda a: F.coalesce(F.get(F.filter(F.transform(tree.ancestors(a, 8), lines), lambda x: F.size(x) >= 2), 0), lines(F.element_at(tree.ancestors(a, 8), -1)))
+    found = tree.all_of(lambda e: tree.is_tag(e, "a") & F.call_function("rlike", tree.attribute(e, "href"), link))
+    rows = cards.select("board", "company", "page", F.posexplode(F.transform(found, lambda a: F.struct(tree.attribute(a, "href").alias("href"), fields(a).alias("l")))).alias("pos", "c"))
+    rows = rows.select("board", "company", "page", "pos", "c.*")
     title = F.coalesce(F.get("l", F.lit(1)), F.get("l", F.lit(0)), F.lit("Unknown"))
     place = F.trim(F.substring_index(F.coalesce(F.get("l", F.lit(2)), F.lit(UNKNOWN)), ";", 1))
     return _once(rows.select(F.concat_ws("_", F.lit("kula"), "board", F.regexp_extract("href", r"/(\d+)/?$", 1)).alias("job_id"), title.alias("title"), "company", pages.absolute(F.col("page"), F.col("href")).alias("url"), place.alias("location"), "page", "pos"))

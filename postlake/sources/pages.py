@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
 
 from postlake.functions.text import col, html_text, norm_url, stable_id
+from postlake.sources import tree
 
 # Addresses of postings on career pages, slugs and texts of links that are none, places, and hosts that are no employer's.
 JOB_HREF = r"(?i)/(careers?|jobs?|positions?|openings?|roles?|job)/([a-z0-9][a-z0-9\-_/]{2,})"
@@ -49,7 +50,7 @@ def job_links(pages: DataFrame, key: str = "page_id", pattern: str = JOB_HREF) -
 
 
 def generic_postings(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    found = job_links(pages, key)
+    found = careers_links(pages, None, key)
     return found.select(F.concat(F.lit("cap_"), stable_id("href")).alias("job_id"), F.left("title", F.lit(120)).alias("title"), F.col("href").alias("url"), key)
 
 
@@ -102,11 +103,65 @@ def place_in(text: Column, local: str | None = None) -> Column:
     return found if local is None else F.coalesce(F.nullif(F.regexp_extract(text, local, 0), F.lit("")), found)
 
 
-def custom_postings(pages: DataFrame, employer: Column, local: str | None = None, key: str = "url") -> DataFrame:
-    """Postings that an employer's own career pages (url, html) link to; the place is in the link's text."""
-    found = job_links(pages, key).withColumnRenamed(key, "_page")
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5")
+
+
+def careers_links(pages: DataFrame, local: str | None = None, key: str = "url") -> DataFrame:
+    """Links to postings by the page's tree, once for each page and address: (key, pos, href, title, location).
+
+    The title is the first heading, or else the first element of a class with
+    ``title``, inside the link, or else the link's text.  The place is looked for in
+    the link, its parent and that one's parent, in each a local one first.
+    """
+    def link(a: Column) -> Column:
+        within = tree.inside(a, lambda e: tree.is_tag(e, *_HEADINGS))
+        named = tree.inside(a, lambda e: tree.attribute(e, "class").contains("title"))
+        near = F.concat(F.array(tree.text_of(a)), F.transform(tree.ancestors(a, 2), tree.text_of))
+        places = F.filter(F.transform(near, lambda t: place_in(t, local)), lambda x: x.isNotNull())
+        title = F.coalesce(F.when(within.isNotNull(), tree.text_of(within)), F.when(named.isNotNull(), tree.text_of(named)), tree.text_of(a))
+        return F.struct(tree.attribute(a, "href").alias("href"), tree.text_of(a).alias("text"), title.alias("title"), F.get(places, 0).alias("location"))
+
+    found = tree.tree(pages, key).select(key, F.posexplode(F.transform(tree.links_to(JOB_HREF), link)).alias("pos", "a")).select(key, "pos", "a.*")
+    slug = F.lower(F.substring_index(F.element_at(F.split(F.regexp_replace(F.regexp_extract("href", JOB_HREF, 2), r"/+$", ""), "/"), -1), "?", 1))
+    good = found.where(~slug.isin(*NAV_SLUGS) & (F.length(slug) >= 4) & (F.length("text") >= 4) & ~F.col("text").rlike(NAV_TEXT))
+    first = good.groupBy(key, "href").agg(F.min(F.struct("pos", "title", "location")).alias("s"))
+    return first.select(key, F.col("s.pos").alias("pos"), "href", F.col("s.title").alias("title"), F.col("s.location").alias("location"))
+
+
+def custom_postings(pages: DataFrame, employer: Column, local: str | None = None, key: str = "url", hops: DataFrame | None = None, least: int = 3) -> DataFrame:
+    """Postings that an employer's own career pages (url, html) link to.
+
+    A page with fewer than ``least`` links is left for the openings page of its own
+    host that it links to, if that one is among ``hops`` (url, html), which are not
+    followed further.  With a local pattern only postings in such a place count.
+    """
+    own = careers_links(pages, local, key)
+    if hops is not None:
+        counts = pages.select(key).join(own.groupBy(key).agg(F.count("*").alias("n")), key, "left")
+        poor = counts.where(F.coalesce("n", F.lit(0)) < least).select(key)
+        there = F.regexp_replace("next", "/+$", "")
+        nexts = openings_links(pages.join(poor, key, "left_semi"), key).where(there != F.regexp_replace(key, "/+$", ""))
+        landed = nexts.join(hops.select(F.col("url").alias("next")), "next")
+        beyond = careers_links(hops.join(landed.select(F.col("next").alias("url")).distinct(), "url", "left_semi"), local, "url").withColumnRenamed("url", "next")
+        own = own.join(landed, key, "left_anti").withColumn("_page", F.col(key)).unionByName(beyond.join(landed, "next").withColumnRenamed("next", "_page"))
+        own = own.drop(key).withColumnRenamed("_page", key)
+    found = own.withColumnRenamed(key, "_page").where(F.lit(True) if local is None else F.coalesce(F.col("location").rlike(local), F.lit(False)))
     url = absolute(F.col("_page"), F.col("href"))
-    return found.select(F.concat(F.lit("custom_"), stable_id(url)).alias("job_id"), F.left("title", F.lit(120)).alias("title"), employer.alias("company"), url.alias("url"), place_in(F.col("title"), local).alias("location"), F.col("_page").alias("page"))
+    return found.select(F.concat(F.lit("custom_"), stable_id(url)).alias("job_id"), F.left("title", F.lit(90)).alias("title"), employer.alias("company"), url.alias("url"), F.left("location", F.lit(70)).alias("location"), F.col("_page").alias("page"))
+
+
+# Containers of descriptions, by attribute and text in it, the surest first.
+DESCRIPTIONS = (("data-careersite-propertyid", "description", True), ("data-careersite-propertyid", "jobdescription", True), ("class", "job-description", False), ("class", "jobDescription", False), ("class", "jobDisplay", False))
+
+
+def descriptions(pages: DataFrame, key: str = "url", least: int = 120, most: int = 12_000) -> DataFrame:
+    """(key, description) of detail pages (key, html): by linked data, or else by the first container that the page has; empty below ``least`` characters."""
+    told = linked_data(pages, key).where(F.length("description") >= least).groupBy(key).agg(F.max_by("description", F.length("description")).alias("told"))
+    test = lambda attr, part, whole: lambda e: tree.attribute(e, attr) == part if whole else tree.attribute(e, attr).contains(part)
+    first = F.coalesce(*[F.get(tree.all_of(test(*d)), 0) for d in DESCRIPTIONS])
+    found = tree.tree(pages, key).select(key, F.when(first.isNotNull(), tree.text_of(first)).alias("found"))
+    text = F.coalesce("told", F.when(F.length("found") >= least, F.col("found")), F.lit(""))
+    return found.join(told, key, "left").select(key, F.left(text, F.lit(most)).alias("description"))
 
 
 def absolute(base: Column, href: Column) -> Column:
@@ -197,14 +252,38 @@ def indeed(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return _captured(_richest(rows, key), key)
 
 
+_META_PLACE = r"([A-Z][A-Za-z.\-]+(?:\s[A-Z][A-Za-z.\-]+)*,\s*[A-Z]{2}\b|Remote(?:,\s*[A-Za-z .]+)?|Multiple Locations)"
+_META_ID = r"/profile/job_details/(\d+)"
+
+
 def metacareers(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """Postings of Meta's career pages: one for each linked number; a place is looked for behind the link's title."""
-    link = r"(?is)<a\s[^>]*href\s*=\s*[\"'][^\"']*/profile/job_details/(\d+)[^\"']*[\"'][^>]*>.*?(?=<a\s[^>]*/profile/job_details/|$)"
-    place = r"([A-Z][A-Za-z.\-]+(?:\s[A-Z][A-Za-z.\-]+)*,\s*[A-Z]{2}\b|Remote(?:,\s*[A-Za-z .]+)?|Multiple Locations)"
-    found = pages.select(key, F.explode(F.regexp_extract_all("html", F.lit(link), 0)).alias("c"))
-    texts = F.filter(_strings(F.col("c")), lambda x: ~x.rlike(_NO_TITLE))
-    rows = found.select(key, F.regexp_extract("c", r"/profile/job_details/(\d+)", 1).alias("n"), F.get(texts, F.lit(0)).alias("title"), F.array_join(F.slice(texts, 2, 10_000), " ").alias("rest"))
-    out = rows.select(key, F.concat(F.lit("meta_"), "n").alias("job_id"), "title", F.lit("Meta").alias("company"), F.concat(F.lit("https://www.metacareers.com/profile/job_details/"), "n", F.lit("/")).alias("url"), F.regexp_extract("rest", place, 1).alias("location"), F.lit("").alias("description"))
+    """Postings of Meta's career pages (key, url, html): a card for each linked number, and the page's own posting by its head.
+
+    A card is the link's nearest div or li; its place is looked for in the card's
+    text without the title.  A page whose address has a number of its own gives its
+    posting from og:title, or else the page's title, and og:description; the longer
+    value of a field wins over the card's.
+    """
+    def rest(text: Column, title: Column) -> Column:
+        at = F.call_function("instr", text, title)
+        return F.when((at > 0) & (title != ""), F.concat(F.substring(text, F.lit(1), at - 1), F.lit(" "), F.substring(text, at + F.length(title), F.length(text)))).otherwise(text)
+
+    def card(a: Column) -> Column:
+        box = F.coalesce(tree.climbed(a, lambda e: tree.is_tag(e, "div", "li")), a)
+        head = tree.inside(box, lambda e: tree.is_tag(e, "h1", "h2", "h3", "h4"))
+        title = F.coalesce(F.get(F.filter(tree.strings_of(a), lambda x: ~x.rlike(_NO_TITLE)), 0), F.when(head.isNotNull(), tree.text_of(head)), F.lit(""))
+        return F.struct(F.regexp_extract(tree.attribute(a, "href"), _META_ID, 1).alias("n"), title.alias("title"), tree.text_of(box).alias("text"))
+
+    trees = tree.tree(pages, key, "url")
+    cards = trees.select(key, F.posexplode(F.transform(tree.links_to(_META_ID), card)).alias("pos", "c")).select(key, "pos", "c.*")
+    cards = cards.groupBy(key, "n").agg(F.min(F.struct("pos", "title", "text")).alias("c")).select(key, "n", "c.title", "c.text", F.lit("").alias("description"))
+    meta = lambda name: F.coalesce(tree.attribute(F.get(tree.all_of(lambda e: tree.is_tag(e, "meta") & (tree.attribute(e, "property") == name)), 0), "content"), F.lit(""))
+    page_title = tree.text_of(F.get(tree.all_of(lambda e: tree.is_tag(e, "title")), 0))
+    raw = F.coalesce(F.nullif(meta("og:title"), F.lit("")), page_title)
+    plain = F.trim(F.regexp_replace(raw, r"\s*[|\-–—]\s*Meta\b.*$", ""))
+    details = trees.where(F.col("url").rlike(_META_ID)).select(key, F.regexp_extract("url", _META_ID, 1).alias("n"), F.coalesce(F.nullif(plain, F.lit("")), raw).alias("title"), tree.text_of(F.get("elements", F.lit(0))).alias("text"), meta("og:description").alias("description"))
+    rows = cards.unionByName(details)
+    out = rows.select(key, F.concat(F.lit("meta_"), "n").alias("job_id"), "title", F.lit("Meta").alias("company"), F.concat(F.lit("https://www.metacareers.com/profile/job_details/"), "n", F.lit("/")).alias("url"), F.regexp_extract(rest(F.col("text"), F.col("title")), _META_PLACE, 1).alias("location"), "description")
     return _captured(_richest(out, key), key)
 
 
