@@ -13,7 +13,7 @@ the names; of the others the distinct names are counted.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlake.llm import tokens
 from postlake.llm.common import batch_texts, settled
 
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: ASCII letters and all characters beyond ASCII; no white space, so no term goes beyond its chunk.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-#: Distinct chunks that a task adds up before it hands them on.
-_HELD = 400_000
+#: Counts of chunks that a task adds up at once, and those that it holds before it hands them on.
+_FRESH, _HELD = 1_000_000, 1_500_000
 #: Cells (sources x terms) of a block in which all pairs of sources are compared.
 _CELLS = 1_000_000
 _COUNTED = "lang string, source string, {} string, n_docs long, n long, lo long, hi long"
@@ -37,36 +38,40 @@ _COUNTED = "lang string, source string, {} string, n_docs long, n long, lo long,
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (lang, source, text, doc) to counts of chunks, added up over the documents of a task."""
-    sums: dict[tuple[str, str], dict[bytes, list[int]]] = defaultdict(dict)
-    held = 0
+    codes: dict[tuple[str, str], int] = {}
+    sums, fresh, size = None, [], 0
+
+    def added() -> pa.Table:
+        rows = pa.concat_tables(fresh).group_by(["group", "chunk"], use_threads=False).aggregate([([], "count_all"), ("n", "sum"), ("doc", "min"), ("doc", "max")])
+        rows = rows.rename_columns(["group", "chunk", "n_docs", "n", "lo", "hi"])
+        if sums is None:
+            return rows
+        both = pa.concat_tables([sums, rows]).group_by(["group", "chunk"], use_threads=False)
+        return both.aggregate([("n_docs", "sum"), ("n", "sum"), ("lo", "min"), ("hi", "max")]).rename_columns(rows.column_names)
+
+    def handed() -> Iterator[pa.RecordBatch]:
+        langs, sources = (pa.array(x, pa.string()) for x in zip(*codes, strict=True))
+        for batch in sums.combine_chunks().to_batches(20_000):
+            group = batch.column("group")
+            yield pa.RecordBatch.from_arrays([langs.take(group), sources.take(group), *batch.columns[1:]], names=["lang", "source", *batch.schema.names[1:]])
+
     for batch in batches:
-        lang, source, doc = (batch.column(c).to_pylist() for c in ("lang", "source", "doc"))
-        for i, text in enumerate(batch.column("text")):
-            own, name = sums[lang[i], source[i]], doc[i]
-            held -= len(own)
-            for chunk, n in Counter(text.as_py().encode().split()).items():
-                got = own.get(chunk)
-                if got is None:
-                    own[chunk] = [1, n, name, name]
-                else:
-                    got[0] += 1
-                    got[1] += n
-                    got[3] = name  # names of rows grow within a task
-            held += len(own)
-            if held >= _HELD:
-                yield from _handed(sums)
-                sums.clear()
-                held = 0
-    yield from _handed(sums)
-
-
-def _handed(sums: dict, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    for (lang, source), chunks in sums.items():
-        keys, values = list(chunks), list(chunks.values())
-        for at in range(0, len(keys), rows):
-            chunk = pa.array(keys[at : at + rows], pa.binary()).cast(pa.string())
-            names = [pa.repeat(pa.scalar(x, pa.string()), len(chunk)) for x in (lang, source)]
-            yield pa.RecordBatch.from_arrays([*names, chunk, *map(pa.array, np.array(values[at : at + rows], np.int64).T)], names=["lang", "source", "chunk", "n_docs", "n", "lo", "hi"])
+        for part in tokens.slices(batch):
+            of = [codes.setdefault(x, len(codes)) for x in zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), strict=True)]
+            words = pc.ascii_split_whitespace(part.column("text"))
+            rows = pa.table({"row": pc.list_parent_indices(words), "chunk": pc.list_flatten(words)})
+            rows = rows.filter(pc.greater(pc.binary_length(rows["chunk"]), 0)).group_by(["row", "chunk"], use_threads=False).aggregate([([], "count_all")])
+            fresh.append(pa.table({"group": pa.array(of, pa.int32()).take(rows["row"]), "chunk": rows["chunk"], "n": rows["count_all"], "doc": pc.take(part.column("doc"), rows["row"])}))
+            size += len(rows)
+        if size >= _FRESH:
+            sums, fresh, size = added(), [], 0
+            if len(sums) >= _HELD:
+                yield from handed()
+                sums = None
+    if fresh:
+        sums = added()
+    if sums is not None:
+        yield from handed()
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,13 +112,15 @@ def term_counts(docs: DataFrame, min_docs: int = 3, lang_col: str = "lang", sour
     chunks = chunks.groupBy("lang", "source", "chunk").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     found = settled(chunks.sortWithinPartitions("chunk").mapInArrow(_terms, _COUNTED.format("term")))
     docs_of = F.bit_or(_bit("lo").bitwiseOR(_bit("hi")))
-    counts = settled(found.groupBy("lang", "source", "term").agg(F.sum("n").alias("count"), F.max("n_docs").alias("most"), F.sum("n_docs").alias("docs"), docs_of.alias("bits")))
-    known = counts.groupBy("lang", "term").agg(F.max("most").alias("most"), F.sum("docs").alias("docs"), F.bit_count(F.bit_or("bits")).alias("bits"))
-    known = settled(known.where(F.col("docs") >= min_docs).withColumn("sure", (F.col("most") >= min_docs) | (F.col("bits") >= min_docs)).select("lang", "term", "sure"))
-    unsure = found.join(known.where("NOT sure"), ["lang", "term"], "left_semi").select("lang", "term", F.explode(F.array("lo", "hi")).alias("doc")).distinct()
-    several = unsure.groupBy("lang", "term").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
-    kept = known.where("sure").select("lang", "term").unionByName(several.select("lang", "term"))
-    return counts.join(kept, ["lang", "term"], "left_semi").select("lang", "source", "term", "count")
+    counts = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("count"), F.max("n_docs").alias("most"), F.sum("n_docs").alias("docs"), docs_of.alias("bits"))
+    whole = Window.partitionBy("lang", "term")  # a row for each source
+    sure = (F.max("most").over(whole) >= min_docs) | (F.bit_count(F.bit_or("bits").over(whole)) >= min_docs)
+    counts = counts.withColumn("sure", sure).withColumn("docs", F.sum("docs").over(whole)).where(F.col("docs") >= min_docs)
+    counts = settled(counts.select("lang", "source", "term", "count", "sure"))
+    known = counts.where("NOT sure").select("lang", "term").distinct()
+    unsure = found.join(known, ["lang", "term"], "left_semi").select("lang", "term", F.explode(F.array("lo", "hi")).alias("doc")).distinct()
+    several = unsure.groupBy("lang", "term").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs).select("lang", "term")
+    return counts.where("sure").unionByName(counts.where("NOT sure").join(several, ["lang", "term"], "left_semi")).select("lang", "source", "term", "count")
 
 
 def _bit(doc: str) -> Column:

@@ -129,6 +129,7 @@ def test_divergence_in_blocks(spark, monkeypatch):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     whole = sorted(map(tuple, source_divergence(docs).collect()))
     monkeypatch.setattr(divergence, "_CELLS", 500)
+    monkeypatch.setattr(divergence, "_FRESH", 30)
     monkeypatch.setattr(divergence, "_HELD", 50)
     assert sorted(map(tuple, source_divergence(docs).collect())) == whole
 
