@@ -30,7 +30,7 @@ _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII letters and all characters beyond ASCII; no white space, so no term goes beyond its chunk.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Counts of chunks that a task adds up at once, and those that it holds before it hands them on.
-_FRESH, _HELD = 1_000_000, 1_500_000
+_FRESH, _HELD = 400_000, 800_000
 #: Cells (sources x terms) of a block in which all pairs of sources are compared.
 _CELLS = 1_000_000
 _COUNTED = "lang string, source string, {} string, n_docs long, n long, lo long, hi long"

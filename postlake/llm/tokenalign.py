@@ -155,6 +155,8 @@ def id_pairs(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarra
         keys.append(np.repeat(ua & mask, n) << _ID_BITS | ub[at] & mask)
         times.append(np.repeat(ta, n) * tb[at])
     key, weight = np.concatenate(keys), np.concatenate(times)
+    if weight.sum() <= 4 * len(key):  # few repeats: sort them all, which is quicker than to sort with weights
+        return np.unique(np.repeat(key, weight) if len(weight) and weight.max() > 1 else key, return_counts=True)
     order = np.argsort(key, kind="stable")
     key, weight = key[order], weight[order]
     heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -174,7 +176,7 @@ def _aligned(path_a: str, path_b: str):
             if not text:
                 return nothing
             raw = np.frombuffer(spaced.encode(), np.uint8)
-            ids_a = encode_a.encode_to_numpy(spaced, disallowed_special=()).astype(np.int64)
+            ids_a = np.array(encode_a.encode_ordinary(spaced), np.int64)
             ends_a = spelling_a.ends(ids_a, raw)
             ids_b = np.array(encode_b.encode(text), np.int64)
             ends_b = spelling_b.ends(ids_b, raw)
