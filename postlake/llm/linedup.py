@@ -21,7 +21,7 @@ _WORD = r"[^\x20\x09-\x0D]"
 
 def masked_lines(text) -> F.Column:
     """The lines of a text with single spaces, and <*> for words with digits."""
-    masked = F.regexp_replace(text, f"{_WORD}*[0-9]{_WORD}*", FIELD)
+    masked = F.regexp_replace(text, rf"(?<!{_WORD})[^\x20\x09-\x0D0-9]*+[0-9]{_WORD}*+", FIELD)  # a word is looked at once, whatever its length
     spaced = F.regexp_replace(masked, r"[\x20\x09\x0B-\x0D]+", " ")
     return F.transform(F.split(spaced, "\n"), lambda x: F.trim(x))
 
