@@ -77,7 +77,8 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v) of the vectors that take part: no null, no null or non-finite component, not all zero."""
     v = F.col(vector_col).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where(F.coalesce(fine, F.lit(False)))
+    own = F.col(vector_col) if dict(rows.dtypes)[vector_col] == "array<float>" else v
+    return rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), own.alias("v")).where(F.coalesce(fine, F.lit(False)))
 
 
 def train(vectors: DataFrame, count: int, sample: int = 20_000, parts: int = 16, codes: int = 256, rounds: int = 8, seed: int = 0) -> Index | None:
@@ -233,16 +234,17 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, probes: int | None
         return vectors.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     sent, dim, groups = spark.sparkContext.broadcast(index), index.centroids.shape[1], min(-(-count // BLOCK), len(index.centroids))
     vectors = vectors.where(F.size("v") == dim)
+    kind = dict(vectors.dtypes)["v"]
     asked = written(once(queries).where(F.size("v") == dim))
     parts = max(1, -(-asked.count() // BLOCK))
-    filed = written(vectors.mapInArrow(_indexed(sent), "cell int, vec_id long, code binary, v array<float>, off double").withColumn("grp", F.col("cell") % groups))
+    filed = written(vectors.mapInArrow(_indexed(sent), f"cell int, vec_id long, code binary, v {kind}, off double").withColumn("grp", F.col("cell") % groups))
     cells = filed.groupBy("cell").agg(F.count("*").alias("n"), F.max("off").alias("off")).toPandas()  # MOST_CELLS rows at most
     size, radius = np.zeros(len(index.centroids), np.int64), np.zeros(len(index.centroids))
     size[cells["cell"]], radius[cells["cell"]] = cells["n"], cells["off"]
     blocks = filed.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # MOST_CELLS rows at most
     dealt = filed.drop("off").join(F.broadcast(blocks), "grp").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
     dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    looks = asked.mapInArrow(_probes(sent, size, radius, k, probes, groups), "grp int, query_id long, q array<float>, cells array<int>").join(F.broadcast(blocks), "grp")
+    looks = asked.mapInArrow(_probes(sent, size, radius, k, probes, groups), f"grp int, query_id long, q {dict(asked.dtypes)['v']}, cells array<int>").join(F.broadcast(blocks), "grp")
     looks = looks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     looks = looks.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
     found = dealt.groupBy("grp", "block", "part").cogroup(looks.groupBy("grp", "block", "part")).applyInPandas(_scores(sent, k, max(k, rerank)), "query_id long, vec_id long, score double")
