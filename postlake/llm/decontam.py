@@ -11,6 +11,7 @@ from a count over all documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -106,29 +107,30 @@ def _rarest(found: DataFrame, counts: DataFrame, number: int, key: str) -> DataF
     return placed.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("n", "term", "offset"))).where(F.col("r") <= number).select(key, "term", "offset")
 
 
-def _terms(frame: DataFrame) -> np.ndarray:
-    """Distinct terms of a block of test phrases; blocks keep them near TERMS_A_PASS."""
-    return frame.select("term").distinct().toPandas()["term"].to_numpy(np.int64)
+def _term_blocks(frame: DataFrame) -> list[np.ndarray]:
+    """The distinct terms of a frame, dealt by their hashes into blocks of about TERMS_A_PASS."""
+    distinct = written(frame.select("term").distinct())
+    blocks = -(-distinct.count() // TERMS_A_PASS)
+    of = F.pmod(F.xxhash64("term"), F.lit(max(blocks, 1)))
+    return [distinct.where(of == b).toPandas()["term"].to_numpy(np.int64) for b in range(blocks)]
 
 
-def _blocks(found: DataFrame) -> list[DataFrame]:
-    number = found.select(F.explode("terms").alias("term")).distinct().count()
-    blocks = max(1, -(-number // TERMS_A_PASS))
-    return [found.where(F.pmod("w", F.lit(blocks)) == b) for b in range(blocks)] if number else []
+def _over_blocks(texts: DataFrame, frame: DataFrame, one_pass) -> DataFrame | None:
+    """What a pass over the texts gives for each block of a frame's terms; a pass is sent one block only."""
+    frames = [one_pass(texts, terms) for terms in _term_blocks(frame)]
+    return reduce(DataFrame.unionByName, frames) if frames else None
 
 
 def phrase_candidates(texts: DataFrame, found: DataFrame, anchors: int = 2) -> DataFrame | None:
     """(k, ord, start, w) where the rarest terms of a phrase stand at its offsets."""
-    out = None
-    for block in _blocks(found):
-        counts = term_counts(texts, _terms(block.select(F.explode("terms").alias("term"))))
-        rare = written(_rarest(block, counts, anchors, "w"))
-        met = postings(texts, _terms(rare)).join(rare, "term").select("k", "ord", (F.col("pos") - F.col("offset")).alias("start"), "w")
-        needed = rare.groupBy("w").agg(F.count("*").alias("needed"))
-        agree = met.where("start >= 0").groupBy("k", "ord", "start", "w").agg(F.count("*").alias("lists")).join(needed, "w")
-        agree = agree.where("lists >= needed").select("k", "ord", "start", "w")
-        out = agree if out is None else out.unionByName(agree)
-    return out
+    counts = _over_blocks(texts, found.select(F.explode("terms").alias("term")), term_counts)
+    if counts is None:
+        return None
+    rare = written(_rarest(found, counts, anchors, "w"))
+    met = _over_blocks(texts, rare, postings).join(rare, "term").select("k", "ord", (F.col("pos") - F.col("offset")).alias("start"), "w")
+    needed = rare.groupBy("w").agg(F.count("*").alias("needed"))
+    agree = met.where("start >= 0").groupBy("k", "ord", "start", "w").agg(F.count("*").alias("lists")).join(needed, "w")
+    return agree.where("lists >= needed").select("k", "ord", "start", "w")
 
 
 def near_matches(docs: DataFrame, items: DataFrame, within: int = 50, terms: int = 4, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -139,18 +141,16 @@ def near_matches(docs: DataFrame, items: DataFrame, within: int = 50, terms: int
     """
     texts = keyed(docs, doc_id, text_col)
     whole = phrases(items, 1 << 30, item_id, text_col).select("w", F.array_distinct("terms").alias("terms"), "items")
-    out = None
-    for block in _blocks(whole):
-        counts = term_counts(texts, _terms(block.select(F.explode("terms").alias("term"))))
-        rare = written(_rarest(block, counts, terms, "w"))
-        met = postings(texts, _terms(rare)).join(rare, "term").select("w", "term", "k", "ord", "pos")
-        ahead = Window.partitionBy("w", "k", "ord").orderBy("pos").rangeBetween(0, within - 1)
-        needed = rare.groupBy("w").agg(F.count("*").alias("needed"))
-        near = met.withColumn("got", F.size(F.collect_set("term").over(ahead))).join(needed, "w").where("got >= needed")
-        first = near.groupBy("w", "k", "ord").agg(F.min("pos").alias("start")).join(block.select("w", "items"), "w")
-        part = first.select(id_of(F.col("k")).alias(doc_id), F.explode("items").alias(item_id), "start")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else texts.select(id_of(F.col("k")).alias(doc_id), F.lit("").alias(item_id), F.lit(0).cast("long").alias("start")).limit(0)
+    counts = _over_blocks(texts, whole.select(F.explode("terms").alias("term")), term_counts)
+    if counts is None:
+        return texts.select(id_of(F.col("k")).alias(doc_id), F.lit("").alias(item_id), F.lit(0).cast("long").alias("start")).limit(0)
+    rare = written(_rarest(whole, counts, terms, "w"))
+    met = _over_blocks(texts, rare, postings).join(rare, "term").select("w", "term", "k", "ord", "pos")
+    ahead = Window.partitionBy("w", "k", "ord").orderBy("pos").rangeBetween(0, within - 1)
+    needed = rare.groupBy("w").agg(F.count("*").alias("needed"))
+    near = met.withColumn("got", F.size(F.collect_set("term").over(ahead))).join(needed, "w").where("got >= needed")
+    first = near.groupBy("w", "k", "ord").agg(F.min("pos").alias("start")).join(whole.select("w", "items"), "w")
+    return first.select(id_of(F.col("k")).alias(doc_id), F.explode("items").alias(item_id), "start")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,8 +203,8 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int, per_cent: int, id_
     if candidates is None:
         met = texts.withColumn("places", F.lit(None).cast(place))
     else:
-        listed = candidates.join(found, "w").groupBy("k").agg(F.collect_list(F.struct("ord", "start", "terms", "items")).alias("places"))
-        met = texts.join(listed.hint("shuffle_hash"), "k", "left")
+        listed = candidates.join(found, "w").groupBy("k", "ord").agg(F.collect_list(F.struct("ord", "start", "terms", "items")).alias("places"))
+        met = texts.join(listed, ["k", "ord"], "left")
     out = met.select("k", F.xxhash64("text").alias("h"), "ord", "text", "places").mapInArrow(_verify, _FOUND)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * per_cent))
 
