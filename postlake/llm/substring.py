@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlake.llm import tokens
-from postlake.llm.common import batch_texts, id_of, keyed, written
+from postlake.llm.common import batch_texts, id_of, keyed, settled
 
 _ORD = 40  # a place is ord << 40 | word position
 _OCC = "m long, u long, k long, at long, n long"
@@ -170,16 +170,16 @@ def repeated_spans(texts: DataFrame, dealt: DataFrame, window: int, k: int) -> D
     low = lambda at: F.xxhash64("k", at).bitwiseAND((1 << 32) - 1)
     sums = F.bit_xor(F.shiftleft(low("at"), 32).bitwiseOR(low(F.col("at") + F.col("n"))))
     live = occ.groupBy("m").agg(F.min(place).alias("f"), F.count("*").alias("c"), F.min("u").alias("lo"), F.max("u").alias("hi"), F.min("n").alias("n"), sums.alias("sums"))
-    live = written(live.where("c > 1"))
+    live = settled(live.where("c > 1"))
     inner = inner_arcs(live.where("lo = hi")).withColumn("inside", F.lit(True))
     vertices = live.join(inner, "m", "left").select("m", "f", (F.col("lo") != F.col("hi")).alias("branch"), F.col("inside").isNull().alias("opens"))
-    vertices = written(vertices)  # a plain side lets Spark split a minimizer that a great many documents share
-    met = written(occ.join(vertices, "m"))
+    vertices = settled(vertices)  # a plain side lets Spark split a minimizer that a great many documents share
+    met = settled(occ.join(vertices, "m"))
     later = (F.col("k") != F.col("f.k")) | (F.col("at") != F.col("f.at"))
     piece = ("k", "at", (F.col("n") + (window - 1)).alias("n"))
     whole = paths(met.where(~F.col("branch") & later).select("k", "at", "n", "opens")).select(*piece)
     forks = met.where("branch").select("m", "u", "k", "at", "n")
-    firsts = written(forks.groupBy("m", "u").agg(F.min(place).alias("f"), F.min("n").alias("n"), F.count("*").alias("c")))
+    firsts = settled(forks.groupBy("m", "u").agg(F.min(place).alias("f"), F.min("n").alias("n"), F.count("*").alias("c")))
     copies = forks.join(firsts.where("c > 1").select("m", "u", "f"), ["m", "u"]).where(later).select(*piece)
     opened = firsts.groupBy(F.col("f.k").alias("k"), F.shiftright("f.at", _ORD).alias("ord")).agg(F.collect_list(F.struct(F.col("f.at").alias("at"), "n")).alias("places"))
     edges = dealt.join(opened.hint("shuffle_hash"), ["k", "ord"]).select("k", "ord", "text", "places").mapInArrow(_edges(window), _EDGE)
