@@ -178,25 +178,28 @@ class Pass:
         """All suffixes whose first symbol is in a range: batches that nothing induced in them could come into."""
         width, many = self.width, self.symbols > 1024  # else one symbol a range, whose seeds come last
         while rank.shape[1] or seeds.shape[1]:
-            a, b = rank[:, :width], seeds[:, : width if many or not rank.shape[1] else 0]
-            both = np.concatenate([a, b], axis=1)
-            place = np.concatenate([2 * a[0], 2 * b[0] + 1])
-            by = np.argsort(place, kind="stable")
-            both, place = both[:, by], place[by]
-            for part, whole, seed in ((a, rank, 0), (b, seeds, 1)):
-                if 0 < part.shape[1] < whole.shape[1]:
-                    to = int(np.searchsorted(place, 2 * part[0, -1] + seed, side="right"))
-                    both, place = both[:, :to], place[:to]
-            before = both[1] - 1
+            if many:
+                both, is_seed = self._merged(rank[:, :width], seeds[:, :width], rank.shape[1] > width, seeds.shape[1] > width)
+            else:
+                both = rank[:, : 1 << 18] if rank.shape[1] else seeds[:, : 1 << 18]
+                is_seed = np.full(both.shape[1], not rank.shape[1])
+            n, before = both.shape[1], both[1] - 1
             makes = (before >= 0) & self.wanted[before]
-            made = np.where(makes, 2 * self._key(before), np.iinfo(np.int64).max)
-            late = np.minimum.accumulate(made)[:-1] < place[1:]
-            n = int(np.argmax(late)) + 1 if late.any() else len(place)
-            is_seed = (place[:n] & 1).astype(bool)
-            self._emit(both[:, :n], is_seed)
+            key = self._key(before[makes])
+            if many:
+                place = 2 * both[0] + is_seed
+                made = np.full(n, np.iinfo(np.int64).max)
+                made[makes] = 2 * key
+                late = np.minimum.accumulate(made)[:-1] < place[1:]
+                if late.any():
+                    n = int(np.argmax(late)) + 1
+                    both, is_seed, makes = both[:, :n], is_seed[:n], makes[:n]
+                    key = key[: int(makes.sum())]
+            self._emit(both, is_seed)
             old = int(n - is_seed.sum())
             rank, seeds = rank[:, old:], seeds[:, n - old :]
-            fresh = self._induce(before[:n][makes[:n]], np.flatnonzero(makes[:n]) + self.done - n)
+            at = np.flatnonzero(makes)
+            fresh = self._induce(before[at], key, at + self.done - n)
             here = int(np.searchsorted(self.range_of[fresh[0]], r, side="right"))
             if here:
                 new = fresh[:, :here]
@@ -205,6 +208,18 @@ class Pass:
                 self.spool.put(self.range_of[fresh[0, here:]], fresh[:, here:])
             width = self.width = min(max(3 * n, 512), 1 << 18)
 
+    def _merged(self, a: np.ndarray, b: np.ndarray, more_a: bool, more_b: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Induced suffixes and seeds in order, up to the end of either if there is more of it; and which are seeds."""
+        both = np.concatenate([a, b], axis=1)
+        place = np.concatenate([2 * a[0], 2 * b[0] + 1])
+        by = np.argsort(place, kind="stable")
+        both, place = both[:, by], place[by]
+        for part, more, seed in ((a, more_a, 0), (b, more_b, 1)):
+            if more:
+                to = int(np.searchsorted(place, 2 * part[0, -1] + seed, side="right"))
+                both, place = both[:, :to], place[:to]
+        return both, (place & 1).astype(bool)
+
     def _emit(self, batch: np.ndarray, is_seed: np.ndarray) -> None:
         lo, hi = self.done, self.done + batch.shape[1]
         self.order[lo:hi], self.induced[lo:hi] = batch[1], ~is_seed
@@ -220,10 +235,9 @@ class Pass:
             self.end = (int(batch[0, -1]), int(batch[1, -1]), bool(is_seed[-1]))
         self.done = hi
 
-    def _induce(self, at: np.ndarray, source: np.ndarray) -> np.ndarray:
+    def _induce(self, at: np.ndarray, key: np.ndarray, source: np.ndarray) -> np.ndarray:
         """Tuples of new suffixes, by symbol; source: the places in the order of those that they precede."""
-        key = self._key(at)
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key.astype(np.uint16) if self.symbols <= 1024 else key, kind="stable")  # two bytes are sorted by radix
         key, at, source = key[by], at[by], source[by]
         common = np.zeros(len(at), np.int64)
         if self.minima is not None and len(at):

@@ -18,7 +18,6 @@ pieces are dealt out once more, by a second minimizer, so no shard has to hold t
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,11 +48,12 @@ def gram_hashes(data: np.ndarray, gram: int, salt: int = 0) -> np.ndarray:
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
     eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
-    out = np.full(n, salt, np.uint64)
     mask = np.uint64((1 << 8 * min(gram, 8)) - 1)
+    out, factor = np.full(n, salt, np.uint64), 0x9E3779B97F4A7C15
     for at in [*range(0, gram - 7, 8), *([max(gram - 8, 0)] if gram % 8 else [])]:
-        out = tokens.mix(out * np.uint64(0xD1342543DE82EF95) + (eights[at : at + n] & mask) + np.uint64(0x9E3779B97F4A7C15))
-    return out
+        out += (eights[at : at + n] & mask) * np.uint64(factor)
+        factor = factor * 0xD1342543DE82EF95 & (2**64 - 1) | 1
+    return tokens.mix(out)
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, window: int, gram: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,43 +100,43 @@ def _occurrences(window: int, gram: int):
     return run
 
 
+def _slices(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Stretches of bytes as a binary column."""
+    ends = np.cumsum(lengths)
+    at = np.repeat(starts - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+    offsets = np.append(0, ends).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])])
+
+
 def _contents(window: int):
     """Texts with the places of pieces first found there to the bytes of these pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            out: list[tuple] = []
-            for k, order, text, places in zip(*(batch.column(c) for c in ("k", "ord", "text", "places")), strict=True):
-                if last == (last := (k.as_py(), order.as_py())):
-                    continue  # a repeated row
-                whole = np.frombuffer(text.as_buffer() or b"", np.uint8)
-                for place in places.as_py():
-                    content = whole[place["at"] : place["at"] + place["n"] + window - 1]
-                    m, u, hi = place["m"], place["u"], place["hi"]
-                    if not place["many"]:
-                        out.append((m, m, u, k.as_py(), hi, 0, content.tobytes()))
-                    else:
-                        low, starts, number = pieces(content, np.array([0, len(content)]), window, max(window // 4, 1), salt=0xB0A7)
-                        for g, at, n in zip((tokens.mix(low ^ np.uint64(m & (2**64 - 1)))).view(np.int64).tolist(), starts.tolist(), number.tolist(), strict=True):
-                            out.append((g, m, u, k.as_py(), hi, at, content[at : at + n + window - 1].tobytes()))
-                    if len(out) >= 10_000:
-                        yield _rows(out, _PIECE)
-                        out = []
-            yield _rows(out, _PIECE)
+            for part in tokens.slices(batch, limit=_SLICE):
+                data, offsets = tokens.text_bytes(part.column("text"))
+                lists = part.column("places")
+                k, order = np.asarray(part.column("k")), np.asarray(part.column("ord"))
+                again = (k == np.append(last[0] if last else 0, k[:-1])) & (order == np.append(last[1] if last else -1, order[:-1]))  # a repeated row
+                last = int(k[-1]), int(order[-1])
+                row = np.repeat(np.arange(len(lists)), np.where(again, 0, np.asarray(lists.value_lengths())))
+                flat = lists.filter(pa.array(~again)).flatten()
+                m, u, hi, at, n = (np.asarray(flat.field(c)) for c in ("m", "u", "hi", "at", "n"))
+                many = np.asarray(flat.field("many"))
+                starts, one = offsets[row] + at, np.flatnonzero(~many)
+                columns = [m[one], m[one], u[one], k[row[one]], hi[one], np.zeros(len(one), np.int64), _slices(data, starts[one], n[one] + window - 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["g", "m", "u", "lo", "hi", "off", "bytes"])
+                for i in np.flatnonzero(many).tolist():
+                    content = data[starts[i] : starts[i] + n[i] + window - 1]
+                    low, first, number = pieces(content, np.array([0, len(content)]), window, max(window // 4, 1), salt=0xB0A7)
+                    g = tokens.mix(low ^ m[i : i + 1].view(np.uint64)).view(np.int64)
+                    same = [pa.array(np.full(len(g), x[i])) for x in (m, u, k[row], hi)]
+                    yield pa.RecordBatch.from_arrays([pa.array(g), *same, pa.array(first), _slices(content, first, number + window - 1)], names=["g", "m", "u", "lo", "hi", "off", "bytes"])
 
     return run
 
 
-_TYPES = {"long": pa.int64(), "binary": pa.binary(), "array<struct<start:long,length:long>>": pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))}
-
-
-def _rows(rows: list[tuple], ddl: str) -> pa.RecordBatch:
-    names, types = zip(*(x.split(" ") for x in ddl.split(", ")), strict=True)
-    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
-
-
 def shard_runs(m: np.ndarray, u: np.ndarray, lo: np.ndarray, hi: np.ndarray, off: np.ndarray, contents: list[bytes], window: int, memory: int = MEMORY) -> list[np.ndarray]:
     """Columns (m, u, off, n, lo): stretches of the pieces' strings by the smallest document that has them, where it is below ``hi``.
 
@@ -205,28 +205,34 @@ def _sorted_shards(window: int, shard_bytes: int):
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for k, text, places in zip(*(batch.column(c) for c in ("k", "text", "places")), strict=True):
-            data = (text.as_py() or "").encode()
-            spans = merged(places.as_py() or [])
-            kept, at = [], 0
-            for start, length in spans:
-                kept.append(data[at:start])
-                at = start + length
-            kept.append(data[at:])
-            out.append((k.as_py(), b"".join(kept), len(data), sum(n for _, n in spans), [{"start": s, "length": n} for s, n in spans]))
-        yield _rows(out, _KEPT)
-
-
-def merged(places: list[dict]) -> list[tuple[int, int]]:
-    """Maximal runs (start, length) of stretches that overlap or touch."""
-    out: list[tuple[int, int]] = []
-    for start, n in sorted((p["at"], p["n"]) for p in places):
-        if out and start <= sum(out[-1]):
-            out[-1] = (out[-1][0], max(sum(out[-1]), start + n) - out[-1][0])
-        else:
-            out.append((start, n))
-    return out
+        for part in tokens.slices(batch, limit=_SLICE):
+            data, offsets = tokens.text_bytes(part.column("text"))
+            lists = part.column("places")
+            row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths().fill_null(0)))
+            flat = lists.flatten()
+            at = np.asarray(flat.field("at")) if len(flat) else np.zeros(0, np.int64)
+            starts, ends = merged(offsets[row] + at, np.asarray(flat.field("n")) if len(flat) else at, row)
+            of = np.searchsorted(offsets, starts, side="right") - 1
+            gone = np.zeros(len(data) + 1, np.int8)
+            gone[starts] += 1
+            gone[ends[ends < len(data)]] -= 1
+            kept = np.cumsum(gone[:-1], dtype=np.int8) == 0
+            left = np.append(0, np.cumsum(kept))[offsets]
+            removed = np.diff(offsets) - np.diff(left)
+            spans = pa.StructArray.from_arrays([pa.array(starts - offsets[of]), pa.array(ends - starts)], names=["start", "length"])
+            cuts = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(part.num_rows + 1)), pa.int32()), spans)
+            texts = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(left.astype(np.int32)), pa.py_buffer(data[kept])])
+            yield pa.RecordBatch.from_arrays([part.column("k"), texts, pa.array(np.diff(offsets)), pa.array(removed), cuts], names=["k", "kept", "n_bytes", "n_removed", "spans"])
+
+
+def merged(at: np.ndarray, n: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of stretches of a row that overlap or touch; rows do not."""
+    by = np.argsort(at, kind="stable")
+    at, end, row = at[by], (at + n)[by], row[by]
+    reach = np.maximum.accumulate(end) if len(end) else end
+    new = np.append(True, (at[1:] > reach[:-1]) | (row[1:] != row[:-1])) if len(at) else np.zeros(0, bool)
+    heads = np.flatnonzero(new)
+    return at[heads], reach[np.append(heads[1:], len(at)) - 1] if len(at) else at
 
 
 def earlier_spans(texts: DataFrame, window: int, gram: int) -> DataFrame:
