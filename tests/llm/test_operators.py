@@ -498,3 +498,51 @@ def test_substring_dedup_of_many_rows_without_id(spark):
     rows = [(None, f"{i} " + " ".join(WORDS[j % len(WORDS)] + str(j) for j in range(30))) for i in range(300)] + [(7, "a " * 40)] * 300
     got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == {(None, 31, 30): 299, (None, 31, 0): 1, (7, 40, 39): 300}
+
+
+def test_line_dedup_of_long_words(spark):
+    """A word of 200,000 letters, one with a digit at its end, and one with digits all over take no time to speak of."""
+    import time
+
+    from postlake.llm.linedup import drop_template_lines
+
+    rows = [(1, "a" * 200_000), (2, "b" * 200_000 + "7"), (3, "1x" * 100_000 + "\nplain line"), (4, "x7y <*> a1"), (5, "漢" * 100_000)]
+    began = time.time()
+    got = {r["doc_id"]: r["n_lines"] for r in drop_template_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 2, 4: 1, 5: 1} and time.time() - began < 60
+
+
+def test_masks_are_those_of_whole_words(spark):
+    from postlake.llm.linedup import masked_lines
+
+    text = "abc 4 x7y  7 a-1-b\tno\n9\n 漢字2 end"
+    assert spark.createDataFrame([(text,)], "t string").select(masked_lines(F.col("t"))).first()[0] == ["abc <*> <*> <*> <*> no", "<*>", "<*> end"]
+
+
+def test_double_and_whole_vectors(spark):
+    """Vectors of doubles and of integers are searched and scored as they are."""
+    import numpy as np
+
+    from postlake.llm.ann import nearest
+
+    x = np.random.default_rng(3).normal(size=(120, 8))
+    frame = spark.createDataFrame([(i, [float(v) for v in row], "c", 1.0) for i, row in enumerate(x)], "vec_id long, embedding array<double>, cell string, v double")
+    got = nearest(frame, frame.where("vec_id % 20 = 0"), k=5).collect()
+    scores = {(r["query_id"], r["vec_id"]): r["score"] for r in got}
+    assert len(got) == 30 and all(abs(s - float((x[q] * x[i]).sum())) < 1e-12 for (q, i), s in scores.items())
+    whole = frame.selectExpr("vec_id", "transform(embedding, e -> CAST(round(e * 9) AS INT)) AS embedding")
+    assert len(nearest(whole, whole.where("vec_id = 0"), k=3).collect()) == 3
+
+
+def test_decontamination_of_many_rows_without_an_id(spark, monkeypatch):
+    """600 different texts without an id, each with a hit of its own, and terms in several passes."""
+    from postlake.llm import decontam
+
+    monkeypatch.setattr(decontam, "TERMS_A_PASS", 40)
+    words = [" ".join(f"w{i}x{j}" for j in range(14)) for i in range(30)]
+    items = spark.createDataFrame([(str(i), w) for i, w in enumerate(words)], "item_id string, text string")
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"t{i} {words[i % 30]} end") for i in range(600)], "doc_id long, text string")
+    got = decontam.benchmark_hits(docs, items).collect()
+    assert len(got) == 600 and all(r["n_hit"] == 14 and len(r["items"]) == 1 and r["contaminated"] for r in got)
+    near = decontam.near_matches(docs.where("doc_id = 7").limit(60), items, within=20, terms=3).collect()
+    assert {r["item_id"] for r in near} <= {str(i) for i in range(30)} and near
