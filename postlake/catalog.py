@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postlake.plans import flow_queries, page_queries, source_queries  # noqa: F401  (register their queries)
+from postlake.plans import flow_queries, page_queries, source_queries, store_queries  # noqa: F401  (register their queries)
 from postlake.plans.queries import QUERIES, SQL, Query
 
 

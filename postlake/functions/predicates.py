@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,11 +130,20 @@ def same_company(a: Column, b: Column) -> Column:
     return (F.size(a) > 0) & (F.size(b) > 0) & ((F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0))
 
 
-CLEARANCE = r"(?i)(?:active|current|hold|holds|possess|must have|requires?)\s+(?:an?\s+|the\s+)?(?:(?:active|current|secret|top|ts/sci|dod|us|u\.s\.)\s+)*(?:security\s+)?clearance"
+# Words before a clearance that must be held today, and what may stand between, as patterns.
+CLEARANCE_VERBS = ("active", "current")
+CLEARANCE_QUALIFIERS = ("us", r"u\.s\.", "government", "dod", r"top[-\s]?secret", r"ts/?\s?sci", "secret")
+
 
+def needs_clearance(text, verbs: tuple[str, ...] = (), qualifiers: tuple[str, ...] = ()) -> Column:
+    """Whether a text demands a clearance held today; to be eligible for one, or able to obtain it, is no such demand.
 
-def needs_clearance(text) -> Column:
-    return F.coalesce(col(text), F.lit("")).rlike(CLEARANCE)
+    Own verbs and qualifiers are plain words; a space in a qualifier may be a hyphen.
+    """
+    plain = lambda w: re.sub(r"([.\\+*?\[^\]$(){}=!<>|:#/&~-])", r"\\\1", w)
+    first = "|".join(map(plain, verbs) if verbs else CLEARANCE_VERBS)
+    between = "|".join((plain(q).replace(" ", r"[-\s]") for q in qualifiers) if qualifiers else CLEARANCE_QUALIFIERS)
+    return F.coalesce(col(text), F.lit("")).rlike(rf"(?i)\b(?:{first})\s+(?:(?:{between})\s+)*(?:security\s+)?clearance")
 
 
 def keep_job(title, description, location, *, technical: str, vocabulary: Vocabulary, excludes: Excludes | None, local: str | None, multi_division: Column | bool = False, watched: Column | bool = False, whole_board: Column | bool = False, boilerplate=()) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from postlake.functions import predicates
 from postlake.functions.text import ingest_id
-from postlake.operators.store import first_of, touched, union_all
+from postlake.operators.judging import Scorer, judged, within_budget
+from postlake.operators.store import first_of, fold, merge_postings, touched, union_all
 from postlake.profile import Profile
 
 
@@ -96,6 +97,30 @@ def crawled(fetched: DataFrame, companies: DataFrame, stored: DataFrame, profile
     return rows.withColumns({"fresh": F.col("kept") & new, "watch_hit": F.coalesce(hit, F.lit(False)) & new}).drop("_known")
 
 
+def crawl(stored: DataFrame, fetched: DataFrame, companies: DataFrame, profile: Profile, now: Column, scorer: Scorer | None = None, guard: int = 300, confirmed: bool = False, track: str | None = None, excludes: bool = True) -> tuple[DataFrame, DataFrame, dict]:
+    """From fetched boards to the next store: (store, funnel by company, what the guard said).
+
+    Postings that pass their company's gates and are new are judged and merged in; the
+    store keeps them without a score where there is no scorer or the guard stops
+    (more than ``guard`` of them, not confirmed), so that a later run heals them and
+    none counts as new again.  New hits at watched companies that do not pass are
+    stored without a score too.  Known ones are only seen again.  A single company's
+    crawl is the same over its rows.
+    """
+    rows = crawled(fetched, companies, stored, profile, excludes=excludes)
+    fresh = rows.where("fresh OR watch_hit")
+    allowed, cost = within_budget(fresh.where("fresh"), guard, confirmed) if scorer else (False, 0.0)
+    mode = F.coalesce(predicates.geo_mode("location", "description", _local(profile)) if _local(profile) else F.lit(None), F.lit("onsite"))
+    known = {"company_id", "company_name", "job_id", "title", "url", "location", "description", "posted_at"} & set(rows.columns)
+    new = fresh.select(*sorted(known), mode.alias("geo_mode"), F.lit("open").alias("status"), now.alias("first_seen"), now.alias("last_seen"), *([F.array(F.lit(track)).alias("track")] if track else []), F.lit(0).alias("ordinal"))
+    if scorer and allowed:
+        scores = judged(fresh.where("fresh").select("job_id", "title", "description").dropDuplicates(["job_id"]), scorer, profile)
+        new = new.join(scores, "job_id", "left")
+    new = new.select(*[c for c in new.columns if c in (*stored.columns, "ordinal")])
+    seen = touched(stored, rows.where("kept AND NOT fresh"), now)
+    return merge_postings(seen, fold(new)), crawl_funnel(rows), {"scored": bool(scorer and allowed), "stopped": bool(scorer and not allowed), "cost": cost}
+
+
 def crawl_funnel(rows: DataFrame, by: str = "company_name") -> DataFrame:
     """(by, fetched, kept, fresh, watch_hits) of crawled rows."""
     counts = [F.count_if(F.col(c)).alias(n) for c, n in (("kept", "kept"), ("fresh", "fresh"), ("watch_hit", "watch_hits"))]

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from postlake.functions import predicates, scoring
 from postlake.functions.text import any_of, clipped, keyword_pattern
-from postlake.operators.store import update_scores
+from postlake.operators.store import update_scores, with_longer_descriptions
 from postlake.operators.views import OUT_OF_RANKING, not_closed
 from postlake.profile import AXES, Profile
 
@@ -85,14 +85,83 @@ def rescored(stored: DataFrame, scorer: Scorer, profile: Profile) -> DataFrame:
     return update_scores(stored, fresh.unionByName(short, allowMissingColumns=True).select(*fresh.columns))
 
 
-def verified_top(stored: DataFrame, scorer: Scorer, profile: Profile, top: int = 10, drop: float = 0.25, share: float = 0.8, least: int = 5) -> tuple[DataFrame, bool]:
-    """Judge the best ``top`` postings that have no deep reason yet, and say whether the judge looks broken.
+def verified(postings: DataFrame, scorer: Scorer, profile: Profile) -> DataFrame:
+    """Score columns of a second, deep look; the reason starts with ``deep:``.
 
-    It does if at least ``least`` were judged and ``share`` of them fell by more
-    than ``drop``; then the store stays as it is.  At most ``top`` rows are counted.
+    What the scorer extracts in columns years, seat and gaps, if it has them, goes into
+    the reason, and a management seat fails its gate.
+    """
+    def deep(rows: DataFrame) -> DataFrame:
+        answers = scorer(rows)
+        part = lambda c, kind: F.col(c) if c in answers.columns else F.lit(None).cast(kind)
+        reason = scoring.deep_reason("reason", part("years", "int"), part("seat", "string"), part("gaps", "array<string>"))
+        return answers.withColumn("gates", scoring.seat_gates(F.col("gates"), part("seat", "string"))).withColumn("reason", reason)
+
+    return judged(postings, deep, profile)
+
+
+def verified_rounds(stored: DataFrame, scorer: Scorer, profile: Profile, top: int = 15, rounds: int = 2, drop: float = 0.25, share: float = 0.8, least: int = 5, order: list[Column] | None = None, live: DataFrame | None = None) -> tuple[DataFrame, list[dict]]:
+    """The store with its best postings verified, and what each round did.
+
+    A round ranks the postings anew, takes those of the best ``top`` without a deep
+    reason, judges them by their longest known text (``live``: job_id, description) and
+    writes the answers back, so that what a demotion lifts is verified next.  It is
+    over when all of the best are verified, after ``rounds``, or when a round looks
+    broken: ``least`` or more were scored and ``share`` of them fell by more than
+    ``drop``.  That round's answers stay, but none follows.  Postings that the judge
+    cannot score keep what they have.  A round's answers are at most ``top`` rows;
+    they are kept as such, so that the judge is asked once.
     """
+    ranking = order or [F.desc_nulls_last("resume_fit_score"), F.col("job_id")]
+    log: list[dict] = []
+    for number in range(1, rounds + 1):
+        best = stored.where(not_closed()).orderBy(*ranking).limit(top)
+        todo = best.where(~F.coalesce(F.col("fit_reason"), F.lit("")).contains("deep:"))
+        if live is not None:
+            todo = with_longer_descriptions(todo, live)
+        answers = verified(todo, scorer, profile).where("resume_fit_score IS NOT NULL")
+        rows = answers.join(todo.select("job_id", F.col("resume_fit_score").alias("_old"), F.col("description").alias("_text")), "job_id")
+        known = rows.collect()  # at most ``top``
+        if not known:
+            break
+        fell = sum(r["_old"] is not None and r["_old"] - r["resume_fit_score"] > drop for r in known)
+        log.append({"round": number, "scored": len(known), "fell": fell, "broken": len(known) >= least and fell >= share * len(known)})
+        kept = stored.sparkSession.createDataFrame(known, rows.schema)
+        stored = update_scores(stored, kept.drop("_old", "_text"))
+        if live is not None:
+            stored = with_longer_descriptions(stored, kept.select("job_id", F.col("_text").alias("description")))
+        if log[-1]["broken"]:
+            break
+    return stored, log
+
+
+def verified_top(stored: DataFrame, scorer: Scorer, profile: Profile, top: int = 10, drop: float = 0.25, share: float = 0.8, least: int = 5) -> tuple[DataFrame, bool]:
+    """One round over the best postings that have no deep reason yet; a round that looks broken leaves the store as it is."""
     best = stored.where(not_closed() & ~F.coalesce(F.col("fit_reason"), F.lit("")).contains("deep:")).orderBy(F.desc_nulls_last("resume_fit_score"), "job_id").limit(top)
-    deep = judged(best, scorer, profile).withColumn("fit_reason", F.regexp_replace("fit_reason", r"^(\[[^\]]*\] )?", "$1deep: "))
+    deep = verified(best, scorer, profile)
     fell = deep.join(best.select("job_id", F.col("resume_fit_score").alias("_old")), "job_id").agg(F.count("*").alias("n"), F.count_if(F.col("_old") - F.col("resume_fit_score") > drop).alias("fell")).first()
     broken = fell["n"] >= least and fell["fell"] >= share * fell["n"]
     return (stored if broken else update_scores(stored, deep)), broken
+
+
+# Counters of a judge's calls.
+USAGE = ("calls", "uncached_input", "cache_write", "cache_read", "output")
+
+
+def counted(answers: DataFrame, name: str = "usage") -> tuple[DataFrame, Observation]:
+    """Answers (with the counters of their call, null for none) and what sums them up as the job runs, without another pass.
+
+    The sums are there when an action on the frame is over; a task that is run again
+    counts once.
+    """
+    seen = Observation(name)
+    sums = [F.count_if(F.coalesce(*[F.col(c) for c in USAGE[1:]]).isNotNull()).alias("calls")]
+    sums += [F.coalesce(F.sum(F.coalesce(F.col(c), F.lit(0))), F.lit(0)).alias(c) for c in USAGE[1:]]
+    return answers.observe(seen, *sums), seen
+
+
+def usage_line(sums: dict) -> str:
+    """One line on a run's counters; hit is the share of the cacheable part that was read from the cache."""
+    cached = sums["cache_read"] + sums["cache_write"]
+    hit = 100.0 * sums["cache_read"] / cached if cached else 0.0
+    return f"{sums['calls']} call(s) | input {cached + sums['uncached_input']:,} tok (cache read {sums['cache_read']:,}, wrote {sums['cache_write']:,}, uncached {sums['uncached_input']:,}; {hit:.0f}% of cacheable prefix hit) | output {sums['output']:,} tok"

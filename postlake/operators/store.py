@@ -147,6 +147,48 @@ def with_disposition(postings: DataFrame, decided: DataFrame, key: str = "job_id
     return both.select(*[F.when(F.col("_set"), swap[c]).otherwise(F.col(f"o.{c}")).alias(c) if c in swap else F.col(key if c == key else f"o.{c}") for c in postings.columns])
 
 
+def disposed(postings: DataFrame, asked: DataFrame, key: str = "job_id", shown: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Decide on postings by reference: (postings after it, outcomes).
+
+    asked: (ref, disposition, note, at), one row for each ref; none or clear takes a
+    decision back.  outcomes: (ref, job_id, error); nothing changes where an error
+    says that the disposition is unknown, that nothing matches, or that several do,
+    of which it names the first ``shown``.
+    """
+    said = F.lower(F.trim(F.coalesce("disposition", F.lit(""))))
+    rows = asked.select("ref", said.alias("_said"), "disposition", "note", "at")
+    matches = resolve(postings, rows).join(postings.select(key, "title"), key)
+    first = matches.withColumn("_n", F.row_number().over(Window.partitionBy("ref").orderBy(key))).where(F.col("_n") <= shown)
+    line = F.concat(F.col(key), F.lit("  "), F.left(F.coalesce("title", F.lit("")), F.lit(50)))
+    named = first.groupBy("ref").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", line.alias("line")))), lambda x: x["line"]), "\n").alias("_named"), F.min(key).alias(key))
+    found = rows.join(matches.groupBy("ref").agg(F.count("*").alias("_matches")), "ref", "left").join(named, "ref", "left")
+    clearing = F.col("_said").isin("none", "clear")
+    error = (
+        F.when(~clearing & ~F.col("_said").isin(*DISPOSITIONS), F.concat(F.lit("unknown disposition "), F.coalesce("disposition", F.lit("null")), F.lit(": use one of " + ", ".join(DISPOSITIONS) + " or clear")))
+        .when(F.col("_matches").isNull(), F.concat(F.lit("no posting matches "), "ref"))
+        .when(F.col("_matches") > 1, F.concat("ref", F.lit(" is ambiguous ("), F.col("_matches").cast("string"), F.lit(" matches):\n"), "_named"))
+    )
+    outcomes = found.select("ref", F.when(error.isNull(), F.col(key)).alias(key), error.alias("error"), F.when(~clearing, F.col("_said")).alias("disposition"), F.when(~clearing, F.col("note")).alias("note"), F.when(~clearing, F.col("at")).alias("at"))
+    last = outcomes.where("error IS NULL").groupBy(key).agg(F.max_by(F.struct("disposition", "note", "at"), F.struct(F.coalesce(F.col("at").cast("string"), F.lit("")), "ref")).alias("s")).select(key, "s.*")
+    return with_disposition(postings, last, key), outcomes.select("ref", key, "error")
+
+
+def marked_seen(stored: DataFrame, found: DataFrame, track: str | None = None, most: int = 12_000) -> DataFrame:
+    """The store with fetched postings (id, company, title, url, ..) merged in for callers that know no company's key.
+
+    Company and geographic mode stay as stored; of rows with one id the last by
+    ``ordinal``, if they have it, counts; score columns are taken where the
+    rows have them, and never replace a score by null.
+    """
+    names = {"job_id": "id", "company_name": "company"}
+    own = [c for c in stored.columns if names.get(c, c) in found.columns and c not in ("company_id", "geo_mode")]
+    take = lambda c: F.left(F.coalesce(F.col(c), F.lit("")), F.lit(most)) if c == "description" else F.col(names.get(c, c))
+    tracks = [F.array(F.lit(track)).alias("track")] if track else [F.col("track")] if "track" in own else []
+    at = F.col("ordinal") if "ordinal" in found.columns else F.lit(0).alias("ordinal")
+    rows = found.select(*[take(c).alias(c) for c in own if c != "track"], *tracks, at)
+    return merge_postings(stored, fold(rows))
+
+
 def best_of_boards(companies: DataFrame, board: list[str], rank: list[Column], key: str = "name", active: str = "active", tags: str = "tags") -> DataFrame:
     """Companies that share a board merge into the best one by ``rank``: it gets all tags, and is active if any is.
 

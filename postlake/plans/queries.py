@@ -8,6 +8,7 @@ documents as descriptions, lineitem columns as axes.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -447,14 +448,24 @@ def hidden_reasons(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("segment").agg(F.count("*").alias("n"), F.count_if(low).alias("low_fit"), F.count_if(undated).alias("undated"), F.count_if(~low & ~undated).alias("shown"))
 
 
-@query()
+@query("SELECT job_id, status, closed_at, last_seen, posted_at FROM (" + SQL["sync_statuses"] + ")")
 def stream_sync(spark: SparkSession, d: str) -> DataFrame:
     """sync_statuses fed by a stream: the snapshot's rows are written to a folder, which a stream then reads."""
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).rstrip('/')}/stream-{sync.uuid.uuid4().hex}"
+    root = _shared(spark)
     old, new = _snapshots(spark, d)
     stored = sync.Snapshots(spark, f"{root}/store")
-    stored.publish(old, -1)
-    new.withColumn("ts", F.lit("2024-01-23 00:00:00").cast("timestamp_ntz")).write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(new.withColumn("ts", F.lit(None).cast("timestamp_ntz")).schema).parquet(f"{root}/in")
+    stored.publish(old)
+    sizes = new.groupBy("company_id").agg(F.count("*").alias("snapshot_rows"))
+    rows = new.join(sizes, "company_id").withColumn("ts", F.lit("2024-01-23 00:00:00").cast("timestamp_ntz"))
+    rows.repartition(3, "job_id").write.parquet(f"{root}/in")  # a board's rows are in several files
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
     sync.start(stream, stored, f"{root}/checkpoint", grace_days=12).awaitTermination()
     return stored.read().select("job_id", "status", "closed_at", "last_seen", "posted_at")
+
+
+def _shared(spark: SparkSession) -> str:
+    """A new folder that all executors share; on one machine a temporary one if none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(root or tempfile.gettempdir()).rstrip('/')}/stream-{uuid.uuid4().hex}"

@@ -156,7 +156,8 @@ DESCRIPTIONS = (("data-careersite-propertyid", "description", True), ("data-care
 
 def descriptions(pages: DataFrame, key: str = "url", least: int = 120, most: int = 12_000) -> DataFrame:
     """(key, description) of detail pages (key, html): by linked data, or else by the first container that the page has; empty below ``least`` characters."""
-    told = linked_data(pages, key).where(F.length("description") >= least).groupBy(key).agg(F.max_by("description", F.length("description")).alias("told"))
+    keyed = pages.select(F.col(key).alias("_page"), "html")
+    told = linked_data(keyed, "_page").where(F.length("description") >= least).groupBy(F.col("_page").alias(key)).agg(F.max_by("description", F.length("description")).alias("told"))
     test = lambda attr, part, whole: lambda e: tree.attribute(e, attr) == part if whole else tree.attribute(e, attr).contains(part)
     first = F.coalesce(*[F.get(tree.all_of(test(*d)), 0) for d in DESCRIPTIONS])
     found = tree.tree(pages, key).select(key, F.when(first.isNotNull(), tree.text_of(first)).alias("found"))

@@ -1,70 +1,129 @@
-"""Board snapshots as a stream: each micro-batch is reconciled by the batch operator."""
+"""Board snapshots as a stream: rows wait in state until their snapshot is whole, then the batch operator reconciles them."""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
 from postlake.operators.lifecycle import sync_statuses
-
-
-class Snapshots:
-    """Versions of the postings under one folder: the newest complete one counts.
-
-    A version's name begins with its batch's number, so a batch that is run again
-    after a failure finds itself applied and changes nothing.
+from postlake.operators.versions import Version, Versions
+
+#: Settings of queries with whole_snapshots: state in RocksDB, and no batches without data, which timers would make without end.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+class Snapshots(Versions):
+    """Versions of the postings; the log says which batches of the stream are in them."""
+
+    def publish(self, rows: DataFrame) -> Version:
+        """The first version, or the next one whatever it was made from."""
+        return self.commit(rows, self.newest())
+
+
+class _Whole(StatefulProcessor):
+    """Holds the rows of a board's snapshots, by the snapshot's time, until there are as many different ones as it announces."""
+
+    def __init__(self, columns: list[str], schema: StructType, time: str, size: str, row: str, patience_ms: int):
+        self.columns, self.schema, self.time, self.size, self.row, self.patience = columns, schema, time, size, row, patience_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getMapState("rows", "at string, row string", self.schema)
+        self.seen = handle.getMapState("seen", "at string", "n long, due long")
+        self.done = handle.getValueState("done", "at string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        due = timerValues.getCurrentProcessingTimeInMs() + self.patience
+        done = self.done.get()[0] if self.done.exists() else ""
+        touched: dict[str, int] = {}
+        for part in rows:
+            for values in part[self.columns].itertuples(index=False):
+                at = str(values[self.columns.index(self.time)])
+                if at <= done:
+                    continue
+                name = (at, str(values[self.columns.index(self.row)]))
+                touched[at] = int(values[self.columns.index(self.size)])
+                if not self.rows.containsKey(name):
+                    self.rows.updateValue(name, tuple(None if pd.isna(v) else v for v in values))
+                    n, until = self.seen.getValue((at,)) if self.seen.containsKey((at,)) else (0, due)
+                    self.seen.updateValue((at,), (n + 1, until))
+                    if n == 0:
+                        self.handle.registerTimer(due)
+        whole = [at for at, size in touched.items() if self.seen.containsKey((at,)) and self.seen.getValue((at,))[0] >= size]
+        if whole:
+            newest = max(whole)
+            yield self._out(newest)
+            self.done.update((newest,))
+            self._drop(lambda at, _: at <= newest)
+
+    def _out(self, at: str) -> pd.DataFrame:
+        return pd.DataFrame([list(value) for name, value in self.rows.iterator() if name[0] == at], columns=self.columns)
+
+    def _drop(self, old) -> None:
+        gone = {at[0] for at, value in list(self.seen.iterator()) if old(at[0], value[1])}
+        for at in gone:
+            self.seen.removeKey((at,))
+        for name in [name for name, _ in self.rows.iterator() if name[0] in gone]:
+            self.rows.removeKey(tuple(name))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        self._drop(lambda _, due: due <= now)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def whole_snapshots(rows: DataFrame, board: str = "company_id", time: str = "ts", size: str = "snapshot_rows", row: str = "pos", patience_s: int = 3600) -> DataFrame:
+    """A stream's snapshot rows, those of a board's snapshot together, once all have come.
+
+    A snapshot is a board's rows of one time; ``size`` says how many there are and
+    ``row`` tells them apart.  Rows may come in any order over many micro-batches and more than once.  A newer whole
+    snapshot replaces older ones, whose later rows are dropped, and what is not whole
+    after ``patience_s`` goes.  The columns stay; times are compared as text.  The
+    query needs the settings STATE.
     """
+    columns = rows.columns
+    processor = _Whole(columns, rows.schema, time, size, row, patience_s * 1000)
+    return rows.groupBy(board).transformWithStateInPandas(processor, outputStructType=rows.schema, outputMode="Append", timeMode="ProcessingTime")
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def current(self) -> tuple[str, int] | None:
-        """Path and batch id of the newest complete version."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/versions")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return None
-        found = []
-        for status in fs.listStatus(path):
-            name = status.getPath().getName()
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.root}/versions/{name}/_SUCCESS")):
-                found.append((int(name.split("-")[0]), name))
-        if not found:
-            return None
-        batch, name = max(found)
-        return f"{self.root}/versions/{name}", batch
-
-    def publish(self, rows: DataFrame, batch: int) -> None:
-        rows.write.parquet(f"{self.root}/versions/{batch + 1:012d}-{uuid.uuid4().hex[:8]}")
-
-    def read(self) -> DataFrame:
-        found = self.current()
-        if found is None:
-            raise ValueError(f"no version in {self.root}")
-        path, _ = found
-        return self.spark.read.parquet(path)
-
-
-def start(snapshots: DataFrame, store: Snapshots, checkpoint: str, grace_days: int = 3) -> StreamingQuery:
+
+def start(snapshots: DataFrame, store: Snapshots, checkpoint: str, grace_days: int = 3, whole: bool = True) -> StreamingQuery:
     """Apply a stream of snapshot rows (with ts, the time of the snapshot) to the store.
 
     The store must hold a version, which gives the columns.  A board's snapshot
-    closes what it does not list, so a micro-batch must hold whole boards: land
-    each snapshot as one file.
+    closes what it does not list.  Where the rows carry ``snapshot_rows``, they wait
+    until theirs are whole; else (or with ``whole`` false) a micro-batch must hold
+    whole boards.  Other writers may update the store meanwhile: a batch is folded
+    again if one was faster, and applied once.
     """
-    if store.current() is None:
+    if store.newest() is None:
         raise ValueError(f"no version in {store.root}: publish one, of no rows perhaps, first")
+    if whole and "snapshot_rows" in snapshots.columns:
+        snapshots = whole_snapshots(snapshots)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        _, done = store.current()
-        if done > batch_id or batch.isEmpty():
+        if batch.isEmpty():
             return
-        now = batch.agg(F.max("ts")).first()[0]
-        synced = sync_statuses(store.read(), batch.drop("ts"), F.lit(now), grace_days).drop("change")
-        store.publish(synced, batch_id)
-
-    return snapshots.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        now = F.lit(batch.agg(F.max("ts")).first()[0])
+        rows = batch.drop("ts", "snapshot_rows")
+        store.update(lambda stored: sync_statuses(stored, rows, now, grace_days).drop("change"), app=checkpoint, batch=batch_id)
+
+    conf = store.spark.conf
+    before = {name: conf.get(name, None) for name in STATE}
+    for name, value in STATE.items():
+        conf.set(name, value)
+    try:  # a query takes its settings as it starts
+        return snapshots.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)

@@ -1,14 +1,15 @@
 """Flows, discovery, views and page parsers on small frames."""
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
 from postlake.functions import predicates as P
 from postlake.functions import scoring as S
 from postlake.functions.text import norm_title
-from postlake.operators import entities, flows, store, views
-from postlake.profile import Excludes, Profile
+from postlake.operators import entities, flows, judging, reports, store, views
+from postlake.profile import Excludes, Profile, Vocabulary
 from postlake.sources import feeds, listings, pages
 
 AT = dt.datetime(2024, 5, 1)
@@ -167,3 +168,46 @@ def test_listings_of_nothing(spark):
         bodies = empty.withColumnRenamed("html", "body")
         frames = [listings.jazzhr(empty, empty), listings.successfactors(empty), listings.icims(empty, bodies, empty), listings.kula(empty), listings.peopleadmin(bodies, "x"), listings.nlx(bodies.withColumn("status", F.lit(200)))]
         assert [f.count() for f in frames] == [0] * 6
+
+
+def test_a_whole_crawl_is_scored_guarded_and_stored(spark):
+    """New postings are judged, or stored unscored where the guard stops; they are not new again; known ones are seen."""
+    profile = Profile(vocabulary=Vocabulary(core=("eeg",), skill=("python",)), technical_title="engineer|scientist", local_words=("nc",), local_names=("durham",))
+    schema = "job_id string, company_id long, company_name string, title string, url string, location string, description string, posted_at string, status string, closed_at string, first_seen string, last_seen string, geo_mode string, track array<string>, resume_fit_score double, fit_reason string, fit_gates array<string>, fit_domain double, fit_function double, fit_stack double, fit_seniority double"
+    stored = spark.createDataFrame([("k", 1, "Acme", "Data Engineer", "u", "Durham, NC", "EEG", None, "closed", "t0", "t0", "t0", "onsite", ["x"], 0.4, "old", None, None, None, None, None)], schema)
+    body = "EEG with Python. " * 20
+    fetched = spark.createDataFrame([(1, "k", "Data Engineer", "u", "Durham, NC", body, None), (1, "n", "Engineer", "u2", "Durham, NC", body, "2024-01-01"), (1, "x", "Chef", "u3", "Durham, NC", body, None), (2, "w", "Scientist", "u4", "Boston, MA", body, None)], "company_id long, job_id string, title string, url string, location string, description string, posted_at string")
+    companies = spark.createDataFrame([(1, "Acme", ["local"]), (2, "Brain", ["watch"])], "company_id long, name string, tags array<string>")
+    now = F.lit("t1")
+    first, funnel, said = flows.crawl(stored, fetched, companies, profile, now, judging.keyword_scorer(profile), track="t", excludes=False)
+    got = {r["job_id"]: r for r in first.collect()}
+    assert set(got) == {"k", "n", "w"} and said["scored"] and not said["stopped"]
+    assert got["n"]["resume_fit_score"] > 0 and got["n"]["track"] == ["t"] and got["n"]["is_new"] and got["n"]["first_seen"] == "t1"
+    assert got["w"]["resume_fit_score"] is None and (got["k"]["status"], got["k"]["last_seen"], got["k"]["resume_fit_score"], got["k"]["is_new"]) == ("open", "t1", 0.4, False)
+    assert {r["company_name"]: r["fresh"] for r in funnel.collect()} == {"Acme": 1, "Brain": 0}
+    unscored, _, said = flows.crawl(stored, fetched, companies, profile, now, judging.keyword_scorer(profile), guard=-1, track="t", excludes=False)
+    assert said["stopped"] and {r["job_id"]: r["resume_fit_score"] for r in unscored.collect()} == {"k": 0.4, "n": None, "w": None}
+    again, funnel, _ = flows.crawl(unscored.drop("is_new"), fetched, companies, profile, now, excludes=False)
+    assert again.where("is_new").count() == 0 and sum(r["fresh"] for r in funnel.collect()) == 0
+
+
+def lines(frame):
+    return [r["line"] for r in frame.orderBy("pos").collect()]
+
+
+def test_reports(spark):
+    matches = spark.createDataFrame([("Acme", "A | B", "u", "Durham", "eeg", None, 0.5, True), (None, "C", "v", None, None, "remote", None, False)], "company string, title string, url string, location string, neural_signal string, remote_signal string, resume_fit_score double, remote_eligible boolean")
+    got = lines(reports.matches_digest(matches, "neural", "2024-01-01", [F.desc_nulls_last("resume_fit_score")]))
+    assert got[1] == "2 posting(s), 1 of them remote-eligible" and got[2].startswith("| Fit |") and got[4].startswith("| 0.50 | [neural] | Acme | [A \\| B](u)") and "n/a" in got[5]
+    assert lines(reports.matches_digest(matches.limit(0), "n", "d", [F.col("title")]))[1:] == ["No posting this time"]
+    rows = [("keyword", "eeg", "a"), ("keyword", " eeg", "b"), ("keyword", "BCI", "a"), ("title", "Analyst", "a"), ("keyword", "", "a")]
+    found = reports.suggestions(spark.createDataFrame(rows, "kind string, term string, seed string"), ("Bci",))
+    assert [(r["term"], r["surfaced"], r["listed"]) for r in found.where("kind = 'keyword'").orderBy("rank").collect()] == [("eeg", 2, False), ("BCI", 1, True)]
+    report = lines(reports.suggestion_report(found, (("keyword", "Keywords"), ("title", "Titles"), ("sector", "Sectors")), "today"))
+    assert report[0] == "# Suggestions of today" and report.index("## Keywords") < report.index("| `eeg` | 2 | new |") < report.index("## Titles") < report.index("## Sectors")
+    health = spark.createDataFrame([("lever", "V", "ok", 5, None), ("ashby", "W", "broken", 0, "404"), ("kula", "P", "ok", 1, "")], "ats string, name string, status string, jobs int, detail string")
+    table = lines(reports.health_report(health, "noon"))
+    assert table[1] == "2/3 platforms healthy, checked noon" and [x.split("`")[1] for x in table[4:]] == ["kula", "lever", "ashby"]
+    assert json.loads(reports.health_badge(health).first()[0]) == {"schemaVersion": 1, "label": "boards", "message": "2/3 healthy", "color": "red"}
+    whole = json.loads(reports.health_json(health, "noon").first()[0])
+    assert (whole["healthy"], whole["total"], whole["boards"][0]["ats"]) == (2, 3, "ashby")

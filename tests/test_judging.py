@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from postlake import calibration, profile
+from postlake.functions import predicates
 from postlake.operators import judging, roster, views
 from postlake.profile import Profile, Vocabulary
 
@@ -51,3 +53,66 @@ def test_filters_and_digest(spark, tmp_path):
     views.write_digest(rows, f"{tmp_path}/d")
     lines = [r["value"] for r in spark.read.text(f"{tmp_path}/d").collect()]
     assert lines[0] == "# Ranked postings" and lines[1].startswith("1. [0.90] Dev")
+
+
+def test_clearances_that_must_be_held(spark):
+    texts = {"Active TS/SCI clearance": True, "a current DoD Top Secret security clearance is needed": True, "active u.s. government secret clearance": True, "eligible for a clearance": False, "ability to obtain a security clearance": False, "must hold clearance": False, "inactive clearance": False, "Active  clearance": True, None: False, "": False}
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r[0]: r[1] for r in frame.select("t", predicates.needs_clearance("t")).collect()}
+    assert got == texts
+    own = frame.select(predicates.needs_clearance(F.lit("must hold a+b top-level clearance"), ("must hold",), ("a+b", "top level"))).first()[0]
+    assert own is True
+
+
+def test_anchors_by_the_default_weights(spark):
+    row = calibration.calibrated(calibration.anchors(spark)).first()
+    assert row["n"] == 17 and round(row["mae"], 4) == 0.0365 and round(row["agreement"], 4) == 0.9118
+    harsh = calibration.calibrated(calibration.anchors(spark), penalties={**profile.GATE_PENALTIES, "clearance": 0.01}).first()
+    assert harsh["mae"] > row["mae"]
+
+
+def deep_scorer(scores, seen):
+    def score(rows):
+        got = [r["job_id"] for r in rows.collect()]
+        seen.append(sorted(got))
+        data = [(j, *([float(scores[j])] * 4), [], "why", 5, "management" if j == "a" else "", ["x", "y", "z", "w"]) for j in got if j in scores]
+        return rows.sparkSession.createDataFrame(data, "job_id string, domain double, function double, stack double, seniority double, gates array<string>, reason string, years int, seat string, gaps array<string>")
+
+    return score
+
+
+def stored_for_rounds(spark, n=8):
+    rows = [(chr(97 + i), "Role", "text " * 60, 0.9 - i / 20, "first", "open", None) for i in range(n)]
+    schema = "job_id string, title string, description string, resume_fit_score double, fit_reason string, status string, disposition string"
+    extra = {"fit_gates": F.array().cast("array<string>"), **{f"fit_{a}": F.lit(None).cast("double") for a in profile.AXES}}
+    return spark.createDataFrame(rows, schema).withColumns(extra)
+
+
+def test_rounds_reach_what_a_demotion_lifts(spark):
+    """The best two fall in the first round; the second judges those that took their place, once each."""
+    seen = []
+    live = spark.createDataFrame([("b", "longer text " * 60)], "job_id string, description string")
+    stored, log = judging.verified_rounds(stored_for_rounds(spark), deep_scorer({j: 0.3 for j in "abcd"}, seen), PROFILE, top=2, rounds=2, live=live)
+    got = {r["job_id"]: r for r in stored.collect()}
+    assert {j for j, r in got.items() if "deep:" in r["fit_reason"]} == {"a", "b", "c", "d"}
+    assert set(map(tuple, seen)) == {("a", "b"), ("c", "d")} and [x["scored"] for x in log] == [2, 2] and not any(x["broken"] for x in log)
+    assert "management" in got["a"]["fit_gates"] and "[5+yrs | management | gaps: x; y; z]" in got["a"]["fit_reason"]
+    assert len(got["b"]["description"]) > 600 and got["e"]["fit_reason"] == "first"
+
+
+def test_a_broken_judge_stops_after_its_round(spark):
+    seen = []
+    stored, log = judging.verified_rounds(stored_for_rounds(spark), deep_scorer({j: 0.01 for j in "abcdef"}, seen), PROFILE, top=6, rounds=3)
+    assert [x["broken"] for x in log] == [True] and log[0]["fell"] >= 5
+    kept, log = judging.verified_rounds(stored_for_rounds(spark), deep_scorer({}, seen), PROFILE, top=6)
+    assert log == [] and all(r["fit_reason"] == "first" for r in kept.collect())
+
+
+def test_usage_is_counted_as_the_job_runs(spark):
+    rows = [(i, None if i % 5 == 0 else i, 2, 1 if i % 2 else None, 3) for i in range(100)] + [(100, None, None, None, None)]
+    answers = spark.createDataFrame(rows, "job_id int, uncached_input int, cache_write int, cache_read int, output int").repartition(7)
+    frame, usage = judging.counted(answers)
+    assert frame.count() == 101 and usage.get == {"calls": 100, "uncached_input": sum(i for i in range(100) if i % 5), "cache_write": 200, "cache_read": 50, "output": 300}
+    assert judging.usage_line(usage.get) == "100 call(s) | input 4,250 tok (cache read 50, wrote 200, uncached 4,000; 20% of cacheable prefix hit) | output 300 tok"
+    empty, none = judging.counted(answers.limit(0), "none")
+    assert empty.count() == 0 and none.get["calls"] == 0

@@ -172,3 +172,25 @@ def test_entities(spark):
     assert [r["b"] and tuple(r["b"]) for r in rows] == [("greenhouse", "acme"), None, ("workday", "co"), None]
     (row,) = spark.createDataFrame([("Acme Bio Labs (US)",)], "n string").select(entities.slug_variants("n").alias("s")).collect()
     assert row["s"][:4] == ["acme-bio-labs", "acmebiolabs", "acme", "acmebio"] and "acme-bio" in row["s"]
+
+
+def test_decisions_by_reference(spark):
+    rows = [(f"gh_acme_{i}", f"Role {i}", f"https://x.org/{i}", None, None, None) for i in range(12)] + [("lv_b_77", None, "https://y.org/j", "saved", "n", "2024-01-01")]
+    postings = spark.createDataFrame(rows, "job_id string, title string, url string, disposition string, disposition_note string, disposition_at string")
+    asked = spark.createDataFrame([("gh_acme_3", "Applied", "yes", "2024-02-01"), ("acme", "saved", None, "2024-02-01"), ("nothing", "saved", None, "t"), ("lv_b_77", "clear", "x", "t"), ("https://x.org/5", "saved", "by url", "2024-02-02"), ("gh_acme_7", "loved", None, "t"), ("gh_acme_8", None, None, "t")], "ref string, disposition string, note string, at string")
+    after, outcomes = store.disposed(postings, asked)
+    got = {r["job_id"]: (r["disposition"], r["disposition_note"], r["disposition_at"]) for r in after.collect()}
+    assert got["gh_acme_3"] == ("applied", "yes", "2024-02-01") and got["gh_acme_5"] == ("saved", "by url", "2024-02-02") and got["lv_b_77"] == (None, None, None)
+    assert sum(v != (None, None, None) for v in got.values()) == 2
+    errors = {r["ref"]: r["error"] for r in outcomes.collect()}
+    assert errors["gh_acme_3"] is errors["lv_b_77"] is None and "no posting matches" in errors["nothing"] and "unknown disposition loved" in errors["gh_acme_7"] and "unknown disposition null" in errors["gh_acme_8"]
+    assert errors["acme"].startswith("acme is ambiguous (12 matches):") and len(errors["acme"].splitlines()) == 9
+
+
+def test_postings_marked_as_seen(spark):
+    schema = "job_id string, company_id long, company_name string, title string, description string, status string, closed_at string, geo_mode string, track array<string>, resume_fit_score double"
+    stored = spark.createDataFrame([("a", 1, "A", "old", "d", "closed", "t", "onsite", ["x"], 0.5)], schema)
+    found = spark.createDataFrame([("a", "Other", "new", None, None), ("b", "B", "role", "e" * 20_000, 0.7)], "id string, company string, title string, description string, resume_fit_score double")
+    got = {r["job_id"]: r for r in store.marked_seen(stored, found, "y").collect()}
+    assert (got["a"]["company_id"], got["a"]["title"], got["a"]["geo_mode"], got["a"]["track"], got["a"]["resume_fit_score"]) == (1, "new", "onsite", ["x", "y"], 0.5)
+    assert (got["b"]["company_name"], len(got["b"]["description"]), got["b"]["track"], got["b"]["is_new"]) == ("B", 12_000, ["y"], True)
