@@ -30,7 +30,7 @@ _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII letters and all characters beyond ASCII; no white space, so no term goes beyond its chunk.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Counts of chunks that a task adds up at once, and those that it holds before it hands them on.
-_FRESH, _HELD = 400_000, 800_000
+_FRESH, _HELD = 250_000, 600_000
 #: Cells (sources x terms) of a block in which all pairs of sources are compared.
 _CELLS = 1_000_000
 _COUNTED = "lang string, source string, {} string, n_docs long, n long, lo long, hi long"
@@ -64,14 +64,19 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh.append(pa.table({"group": pa.array(of, pa.int32()).take(rows["row"]), "chunk": rows["chunk"], "n": rows["count_all"], "doc": pc.take(part.column("doc"), rows["row"])}))
             size += len(rows)
         if size >= _FRESH:
-            sums, fresh, size = added(), [], 0
+            sums, size = added(), 0
+            fresh.clear()
             if len(sums) >= _HELD:
                 yield from handed()
                 sums = None
+            pa.default_memory_pool().release_unused()
     if fresh:
         sums = added()
     if sums is not None:
         yield from handed()
+    sums = None
+    fresh.clear()
+    pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
