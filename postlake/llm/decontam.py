@@ -137,7 +137,9 @@ def near_matches(docs: DataFrame, items: DataFrame, within: int = 50, terms: int
     """Proximity matches: (doc, item, start) where the item's rarest terms all lie within so many words, in any order.
 
     Items without words match nothing; ties between equally rare terms go to the
-    smaller hash, so reruns agree.
+    smaller hash, so reruns agree.  Null texts have no words.  A null id is given back
+    as null; repeated rows and texts that share an id give a row for each of the
+    different texts.  Empty tables give none; other columns are not read.
     """
     texts = keyed(docs, doc_id, text_col)
     whole = phrases(items, 1 << 30, item_id, text_col).select("w", F.array_distinct("terms").alias("terms"), "items")
@@ -210,6 +212,11 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int, per_cent: int, id_
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, per_cent: int = 5, id_col: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
-    """The documents with all their columns, without those that benchmark_hits finds contaminated."""
+    """The documents with all their columns, without those that benchmark_hits finds contaminated.
+
+    A text goes wherever it stands under its id, repeated rows all of them; a null id
+    is an id like others here, so another text without an id stays.  Null and empty
+    texts stay, and all rows do if the benchmark is empty.
+    """
     gone = written(_hits(docs, benchmark, window, per_cent, id_col, item_id, text_col).where("contaminated").select("k", "h").distinct())
     return without(with_names(docs, id_col, text_col), gone).select("_row.*")

@@ -564,7 +564,8 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     """The documents with all their columns, but only one of each component of jaccard_components.
 
     The one with the smallest id stays, of several texts under that id the one with
-    the smallest hash, of repeated rows any.  Documents without words all stay.
+    the smallest hash, of repeated rows any.  Documents without words all stay.  A null
+    id counts as the smallest.  An empty table stays empty.
     """
     rows = written(_components_of(docs, n, percent, id_col, text_col)).where("n > 0")
     stay = written(rows.groupBy("comp").agg(F.min(F.struct("k", "h")).alias("s")).select("s.k", "s.h"))

@@ -173,7 +173,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     """The mix itself: every row as often as mix_sources takes it, with all its columns.
 
     Rows that repeat id, text and source are told apart only by their number, so
-    the copies that they are due together are spread over them.
+    the copies that they are due together are spread over them.  Null texts have size
+    0, null ids and sources are values like others.  An empty table stays empty.
     """
     due = taken_copies(_units(docs, id_col, text_col, source_col), weights, share, most, seed).select("k", "h", F.col("source").alias("_s"), F.col("n").alias("_rows"), F.col("copies").alias("_sum"))
     keys = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))

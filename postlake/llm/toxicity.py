@@ -239,7 +239,8 @@ def toxic_passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     beyond ASCII, A-Z lower-cased.
 
     Null and empty texts have no words, no passages and the score of no evidence.
-    Null and repeated ids are rows like others; other columns are not read.
+    Null and repeated ids are rows like others; other columns are not read.  Of
+    segments that score alike the earlier one comes first.  An empty table gives none.
     """
     batch_texts(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
