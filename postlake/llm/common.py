@@ -42,18 +42,22 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Shuffle files go with the query that made them; and joins whose smaller side has partitions up to this size, as measured, hash it instead of sorting both.
+_TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+_HASH = {"spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m"}
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, hash_joins: bool = False) -> DataFrame:
     """As written(); the shuffle files behind the frame go as soon as it is written, so a job of many steps holds those of one."""
-    conf = df.sparkSession.conf
-    before = conf.get(_TIDY, None)
-    conf.set(_TIDY, "true")
+    conf, own = df.sparkSession.conf, _TIDY | (_HASH if hash_joins else {})
+    before = {name: conf.get(name, None) for name in own}
+    for name, value in own.items():
+        conf.set(name, value)
     try:
         return written(df)
     finally:
-        conf.unset(_TIDY) if before is None else conf.set(_TIDY, before)
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -103,16 +103,17 @@ def agreement(text: np.ndarray, i: np.ndarray, j: np.ndarray, most) -> np.ndarra
     out = np.zeros(len(i), np.int64)
     most = np.broadcast_to(np.asarray(most, np.int64), len(i))
     live, d, n = np.flatnonzero(most > 0), 0, len(text)
-    if text.dtype == np.uint16 and n >= 4:  # four symbols at once
-        fours = np.ndarray(n - 3, np.uint64, text, strides=(2,))
+    k = 8 // text.dtype.itemsize
+    if k > 1 and n >= k:  # several symbols at once
+        words = np.ndarray(n - k + 1, np.uint64, text, strides=(text.dtype.itemsize,))
         going = live
         while len(going):
-            going = going[(most[going] >= out[going] + 4) & (np.maximum(i[going], j[going]) + out[going] < n - 3)]
-            going = going[fours[i[going] + out[going]] == fours[j[going] + out[going]]]
-            out[going] += 4
-        live = live[(most[live] > out[live])]
+            going = going[(most[going] >= out[going] + k) & (np.maximum(i[going], j[going]) + out[going] <= n - k)]
+            going = going[words[i[going] + out[going]] == words[j[going] + out[going]]]
+            out[going] += k
+        live = live[most[live] > out[live]]
         a, b = i[live] + out[live], j[live] + out[live]
-        for _ in range(4):
+        for _ in range(k):
             live, a, b = (x[(most[live] > out[live]) & (a < n) & (b < n)] for x in (live, a, b))
             equal = text[a] == text[b]
             live, a, b = live[equal], a[equal] + 1, b[equal] + 1
@@ -250,21 +251,16 @@ class Pass:
         return np.stack([key, at, common])
 
 
-def name_stretches(text: np.ndarray, seeds: np.ndarray, symbols: int) -> np.ndarray:
-    """Ranks of the stretches from each seed to the next one; equal stretches have equal ranks.
-
-    Of two stretches where one begins with the other the longer is smaller: at its
-    end the shorter one rises, and the longer one still falls there.
-    """
-    bits = symbols.bit_length()
+def ranked(text: np.ndarray, starts: np.ndarray, length: np.ndarray, symbols: int, after: int) -> np.ndarray:
+    """Ranks, equal ones for equal stretches, of the stretches from starts; behind its end a stretch goes on with the symbol ``after``."""
+    bits = max(symbols, after).bit_length()
     at_once = 63 // bits
-    length = np.append(np.diff(seeds) + 1, 1)
-    rank, live, d = np.zeros(len(seeds), np.int64), np.arange(len(seeds)), 0
+    rank, live, d = np.zeros(len(starts), np.int64), np.arange(len(starts)), 0
     while len(live):
         word = np.zeros(len(live), np.int64)
         for s in range(d, d + at_once):
-            symbol = text[np.minimum(seeds[live] + s, len(text) - 1)].astype(np.int64)
-            word = word << bits | np.where(s < length[live], symbol, symbols)
+            symbol = text[np.minimum(starts[live] + s, len(text) - 1)].astype(np.int64)
+            word = word << bits | np.where(s < length[live], symbol, after)
         by = np.lexsort((word, rank[live])) if d else np.argsort(word, kind="stable")
         live, word = live[by], word[by]
         group = np.append(True, rank[live[1:]] != rank[live[:-1]])
@@ -273,14 +269,32 @@ def name_stretches(text: np.ndarray, seeds: np.ndarray, symbols: int) -> np.ndar
         rank[live] += index[part][np.cumsum(part) - 1] - index[group][np.cumsum(group) - 1]
         d += at_once
         alone = part & np.append(part[1:], True)
+        # of a group all go on or none do, as its stretches are as long or end where they differ
         live = live[~alone & (length[live] > d)]
+    return rank
+
+
+def name_stretches(text: np.ndarray, seeds: np.ndarray, symbols: int) -> np.ndarray:
+    """Names, in order, of the stretches from each seed to the next one; equal stretches have equal names.
+
+    Of two stretches where one begins with the other the longer is smaller: at its
+    end the shorter one rises, and the longer one still falls there.
+    """
+    rank = ranked(text, seeds, np.append(np.diff(seeds) + 1, 1), symbols, symbols)
     return np.unique(rank, return_inverse=True)[1].astype(np.int64)
 
 
-def suffix_order(text: np.ndarray, symbols: int, memory: int = MEMORY, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+#: A string of names of which so many first ones decide the order is sorted by them.
+_DIRECT = 13
+
+
+def suffix_order(text: np.ndarray, symbols: int, memory: int = MEMORY, most: int = 0, enough: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes in ascending order and, if most > 0, their common prefixes with the one before, up to ``most``.
 
-    text ends with its only 0; its values are below ``symbols``.
+    text ends with its only 0; its values are below ``symbols``.  With ``enough`` (or
+    ``most``) suffixes that have as many first symbols in common come in any order.  A
+    name stands for two symbols or more, so each level needs half as many; the
+    recursion ends where these are few.
     """
     n = len(text)
     rises = rising(text)
@@ -301,14 +315,19 @@ def suffix_order(text: np.ndarray, symbols: int, memory: int = MEMORY, most: int
         return Pass(text, rises, symbols, True, memory, most).run(order[falling][::-1], between)
 
     names = name_stretches(text, seeds, symbols)
-    if len(seeds) > 1 and int(names.max()) + 1 < len(seeds):
-        ranked = seeds[suffix_order(names, int(names.max()) + 1, memory)[0]]
+    different, enough = int(names.max()) + 1, -(-(enough or most) // 2)
+    if different == len(seeds):
+        first = names
+    elif 0 < enough <= _DIRECT:
+        at = np.arange(len(names))
+        first = ranked(names, at, np.minimum(enough, len(names) - at), different, 0)
     else:
-        ranked = seeds[np.argsort(names, kind="stable")]
+        first = None
+    sorted_seeds = seeds[suffix_order(names, different, memory, enough=enough)[0] if first is None else np.argsort(first, kind="stable")]
     common = None
     if most:
-        common = np.append(0, agreement(text, ranked[:-1], ranked[1:], most))
-    order, _, prefix = sweep(ranked, common)
+        common = np.append(0, agreement(text, sorted_seeds[:-1], sorted_seeds[1:], most))
+    order, _, prefix = sweep(sorted_seeds, common)
     order = np.append(n - 1, order[::-1][order[::-1] != n - 1])
     if not most:
         return order, np.zeros(0, np.uint8)

@@ -143,12 +143,12 @@ def shard_runs(m: np.ndarray, u: np.ndarray, lo: np.ndarray, hi: np.ndarray, off
     lo and hi are the smallest and the largest document of each piece.
     """
     length = np.array([len(c) for c in contents])
-    text = np.frombuffer(b"\x00".join([*contents, b"\x00"]), np.uint8).astype(np.uint16)
+    text = np.frombuffer(b"\x00".join([*contents, b"\x00"]), np.uint8).copy()
     first = np.append(0, np.cumsum(length + 1)[:-1])
-    text += 2
+    text += 2  # no byte of UTF-8 is above 0xF4
     text[first + length] = 1  # a piece ends
     text[-1] = 0
-    order, prefix = suffix_order(text, 258, memory, window)
+    order, prefix = suffix_order(text, 256, memory, window)
     piece = np.repeat(np.arange(len(length)), length + 1)
     piece = np.append(piece, np.full(len(text) - len(piece), len(length) - 1))[: len(text)]
     place = np.arange(len(text)) - first[piece]
@@ -239,7 +239,7 @@ def earlier_spans(texts: DataFrame, window: int, gram: int) -> DataFrame:
     """(k, ord, at, n): n bytes of a text whose strings of ``window`` bytes all start in a text with a smaller k."""
     occ = texts.mapInArrow(_occurrences(window, gram), _OCC)
     live = settled(occ.groupBy("m").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("m"))
-    met = settled(occ.join(live, "m"))  # a plain side lets Spark split a minimizer that a great many documents share
+    met = settled(occ.join(live, "m"), hash_joins=True)  # a plain side lets Spark split a minimizer that a great many documents share
     place = F.struct("k", "ord", "at")
     contents = settled(met.groupBy("m", "u").agg(F.min(place).alias("f"), F.max("k").alias("hi"), F.min("n").alias("n")))
     several = contents.groupBy("m").agg(F.count("*").alias("v"))
