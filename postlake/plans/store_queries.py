@@ -32,7 +32,7 @@ def usage_counters(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([tuple(usage.get[c] for c in judging.USAGE)], ", ".join(f"{c} long" for c in judging.USAGE))
 
 
-@query("""SELECT c_mktsegment AS kind, concat('Term ', c_nationkey) AS term, count(*) AS surfaced, c_nationkey IN (3, 4) AS listed, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY count(*) DESC, concat('term ', c_nationkey)) AS INTEGER) AS rank FROM customer GROUP BY ALL""")
+@query("""SELECT kind, term, surfaced, listed, CAST(row_number() OVER (PARTITION BY kind ORDER BY surfaced DESC, lower(term)) AS INTEGER) AS rank FROM (SELECT c_mktsegment AS kind, concat('Term ', c_nationkey) AS term, count(*) AS surfaced, c_nationkey IN (3, 4) AS listed FROM customer GROUP BY c_mktsegment, c_nationkey)""")
 def suggested_terms(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select(F.col("c_mktsegment").alias("kind"), F.concat(F.lit(" Term "), "c_nationkey").alias("term"), F.col("c_custkey").cast("string").alias("seed"))
     return reports.suggestions(rows, ("TERM 3", "term 4"))
