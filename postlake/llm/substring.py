@@ -207,5 +207,5 @@ def drop_repeated_spans(docs: DataFrame, window: int = 20, k: int = 5, id_col: s
     texts = keyed(docs, id_col, text_col).select("k", "ord", "text")
     dealt = texts.repartition("k", "ord")
     cuts = repeated_spans(texts, dealt, window, k).groupBy("k", F.shiftright("at", _ORD).alias("ord")).agg(F.collect_set(F.struct("at", "n")).alias("places"))
-    kept = dealt.join(cuts.hint("shuffle_hash"), ["k", "ord"], "left").select("k", "ord", "text", "places").mapInArrow(_keep, _KEPT)
+    kept = texts.repartition("k", "ord").join(settled(cuts).hint("shuffle_hash"), ["k", "ord"], "left").select("k", "ord", "text", "places").mapInArrow(_keep, _KEPT)
     return kept.select(id_of(F.col("k")).alias(id_col), "kept_text", "n_words", "n_removed", "spans")
