@@ -28,7 +28,7 @@ def matches_digest(matches: DataFrame, tag: str, day: str, order: list[Column])
     counted = matches.agg(F.count("*").alias("n"), F.count_if("remote_eligible").alias("remote"), F.count("resume_fit_score").alias("fits"))
     rows = matches.withColumn("n", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(counted.select("fits")))  # one row
     cells = [F.lit(f"[{tag}]"), F.coalesce("company", F.lit("")), F.concat(F.lit("["), _cell(F.col("title")), F.lit("]("), F.coalesce("url", F.lit("")), F.lit(")")), F.col("location"), F.col("neural_signal"), F.col("remote_signal")]
-    fit = F.coalesce(F.format_string("%.2f", "resume_fit_score"), F.lit("n/a"))
+    fit = F.when(F.col("resume_fit_score").isNotNull(), F.format_string("%.2f", "resume_fit_score")).otherwise("n/a")
     line = F.when(F.col("fits") > 0, _row(fit, *cells[:2])).otherwise(_row(*cells[:2]))
     line = F.concat(F.regexp_replace(line, r" \|$", ""), F.lit(" | "), cells[2], F.lit(" "), _row(*cells[3:]))
     some = F.col("n") > 0
