@@ -269,8 +269,8 @@ def ranked(text: np.ndarray, starts: np.ndarray, length: np.ndarray, symbols: in
         rank[live] += index[part][np.cumsum(part) - 1] - index[group][np.cumsum(group) - 1]
         d += at_once
         alone = part & np.append(part[1:], True)
-        # of a group all go on or none do, as its stretches are as long or end where they differ
-        live = live[~alone & (length[live] > d)]
+        # one that ends right here goes on as well: a longer one may begin with it
+        live = live[~alone & (length[live] >= d)]
     return rank
 
 

@@ -215,3 +215,19 @@ def test_induced_sorting_equals_plain_sorting(memory, monkeypatch):
     for step in range(10):
         spool.put(np.array([step % 3] * 2), np.array([[step, step], [1, 2]]))
     assert spool.spilled and [spool.take(i)[0].tolist() for i in range(3)] == [[0, 0, 3, 3, 6, 6, 9, 9], [1, 1, 4, 4, 7, 7], [2, 2, 5, 5, 8, 8]]
+
+
+def test_stretch_that_longer_ones_begin_with(spark):
+    """A stretch of just the symbols compared at once is larger than all that begin with it; then equal bytes stand together."""
+    import numpy as np
+
+    from postlake.llm import induced
+
+    head = [2, 4, 4, 4, 4, 4, 3]
+    text = [5, *head, 5, *head, 1, 5, *head, 2, 5, 0]
+    order, _ = induced.suffix_order(np.array(text, np.uint8), 256, most=50)
+    assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+    words = ["bddddcebddddcaebddddcb", "bdddddce", "bdddddca", "bdddddcb"]
+    rows = [(i, "".join(words[(i * k * k + k) % 4] for k in range(40))) for i in range(60)]
+    got = byte_rows(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(got) == [(i, *w) for (i, _), w in zip(rows, brute_bytes(rows, 50), strict=True)]
