@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.plans.queries import query, table
+from postlake.plans.queries import dealt, query, table
 from postlake.sources import listings, pages
 
 _DECOY = '<nav><ul><li><a href="/about">About us<li><a href="/c0x/9/">Elsewhere and more</ul></nav>'
@@ -15,7 +15,7 @@ def _pages(spark: SparkSession, d: str, forms: tuple[str, ...], urls: tuple[str,
     """A page for each order, in the form of its number's remainder; %1$d is the order and %2$d the customer."""
     fill = lambda x: F.format_string(x, "o_orderkey", "o_custkey")
     of = lambda xs: F.get(F.array(*map(fill, xs)), (F.col("o_orderkey") % len(xs)).cast("int"))
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey", of(urls).alias("url"), of(forms).alias("html"))
+    return dealt(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select("o_orderkey", "o_custkey", of(urls).alias("url"), of(forms).alias("html"))
 
 
 _KULA = (

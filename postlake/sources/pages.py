@@ -114,13 +114,13 @@ def careers_links(pages: DataFrame, local: str | None = None, key: str = "url")
     the link, its parent and that one's parent, in each a local one first.
     """
     def link(a: Column) -> Column:
-        within = tree.inside(a, lambda e: tree.is_tag(e, *_HEADINGS))
-        named = tree.inside(a, lambda e: tree.attribute(e, "class").contains("title"))
+        within = lambda test: tree.bound(tree.inside(a, test), lambda e: F.when(e.isNotNull(), tree.text_of(e)))
         near = F.concat(F.array(tree.text_of(a)), F.transform(tree.ancestors(a, 2), tree.text_of))
         places = F.filter(F.transform(near, lambda t: place_in(t, local)), lambda x: x.isNotNull())
-        title = F.coalesce(F.when(within.isNotNull(), tree.text_of(within)), F.when(named.isNotNull(), tree.text_of(named)), tree.text_of(a))
+        title = F.coalesce(within(lambda e: tree.is_tag(e, *_HEADINGS)), within(lambda e: tree.attribute(e, "class").contains("title")), tree.text_of(a))
         return F.struct(tree.attribute(a, "href").alias("href"), tree.text_of(a).alias("text"), title.alias("title"), F.get(places, 0).alias("location"))
 
+    pages = pages.where(F.col("html").rlike(JOB_HREF) | F.col("html").contains("&"))  # no other page has such an address, even with letters written as entities
     found = tree.tree(pages, key).select(key, F.posexplode(F.transform(tree.links_to(JOB_HREF), link)).alias("pos", "a")).select(key, "pos", "a.*")
     slug = F.lower(F.substring_index(F.element_at(F.split(F.regexp_replace(F.regexp_extract("href", JOB_HREF, 2), r"/+$", ""), "/"), -1), "?", 1))
     good = found.where(~slug.isin(*NAV_SLUGS) & (F.length(slug) >= 4) & (F.length("text") >= 4) & ~F.col("text").rlike(NAV_TEXT))
@@ -160,7 +160,7 @@ def descriptions(pages: DataFrame, key: str = "url", least: int = 120, most: int
     told = linked_data(keyed, "_page").where(F.length("description") >= least).groupBy(F.col("_page").alias(key)).agg(F.max_by("description", F.length("description")).alias("told"))
     test = lambda attr, part, whole: lambda e: tree.attribute(e, attr) == part if whole else tree.attribute(e, attr).contains(part)
     first = F.coalesce(*[F.get(tree.all_of(test(*d)), 0) for d in DESCRIPTIONS])
-    found = tree.tree(pages, key).select(key, F.when(first.isNotNull(), tree.text_of(first)).alias("found"))
+    found = tree.tree(pages, key).select(key, tree.bound(first, lambda e: F.when(e.isNotNull(), tree.text_of(e))).alias("found"))
     text = F.coalesce("told", F.when(F.length("found") >= least, F.col("found")), F.lit(""))
     return found.join(told, key, "left").select(key, F.left(text, F.lit(most)).alias("description"))
 
@@ -255,6 +255,7 @@ def indeed(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 _META_PLACE = r"([A-Z][A-Za-z.\-]+(?:\s[A-Z][A-Za-z.\-]+)*,\s*[A-Z]{2}\b|Remote(?:,\s*[A-Za-z .]+)?|Multiple Locations)"
 _META_ID = r"/profile/job_details/(\d+)"
+_CARD, _OWN = "struct<pos:int,title:string,text:string>", "struct<title:string,text:string,description:string>"
 
 
 def metacareers(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -269,21 +270,27 @@ def metacareers(pages: DataFrame, key: str = "page_id") -> DataFrame:
         at = F.call_function("instr", text, title)
         return F.when((at > 0) & (title != ""), F.concat(F.substring(text, F.lit(1), at - 1), F.lit(" "), F.substring(text, at + F.length(title), F.length(text)))).otherwise(text)
 
-    def card(a: Column) -> Column:
+    def card(a: Column, pos: Column) -> Column:
+        def of(box: Column) -> Column:
+            head = tree.bound(tree.inside(box, lambda e: tree.is_tag(e, "h1", "h2", "h3", "h4")), lambda e: F.when(e.isNotNull(), tree.text_of(e)))
+            title = F.coalesce(F.get(F.filter(tree.strings_of(a), lambda x: ~x.rlike(_NO_TITLE)), 0), head, F.lit(""))
+            return F.struct(pos.alias("pos"), title.alias("title"), tree.text_of(box).alias("text"))
+
         box = F.coalesce(tree.climbed(a, lambda e: tree.is_tag(e, "div", "li")), a)
-        head = tree.inside(box, lambda e: tree.is_tag(e, "h1", "h2", "h3", "h4"))
-        title = F.coalesce(F.get(F.filter(tree.strings_of(a), lambda x: ~x.rlike(_NO_TITLE)), 0), F.when(head.isNotNull(), tree.text_of(head)), F.lit(""))
-        return F.struct(F.regexp_extract(tree.attribute(a, "href"), _META_ID, 1).alias("n"), title.alias("title"), tree.text_of(box).alias("text"))
+        return F.struct(F.regexp_extract(tree.attribute(a, "href"), _META_ID, 1).alias("n"), tree.bound(box, of).alias("card"), F.lit(None).cast(_OWN).alias("own"))
+
+    def own(raw: Column) -> Column:
+        plain = F.trim(F.regexp_replace(raw, r"\s*[|\-–—]\s*Meta\b.*$", ""))
+        return F.struct(F.coalesce(F.nullif(plain, F.lit("")), raw).alias("title"), tree.text_of(F.get("elements", F.lit(0))).alias("text"), meta("og:description").alias("description"))
 
-    trees = tree.tree(pages, key, "url")
-    cards = trees.select(key, F.posexplode(F.transform(tree.links_to(_META_ID), card)).alias("pos", "c")).select(key, "pos", "c.*")
-    cards = cards.groupBy(key, "n").agg(F.min(F.struct("pos", "title", "text")).alias("c")).select(key, "n", "c.title", "c.text", F.lit("").alias("description"))
     meta = lambda name: F.coalesce(tree.attribute(F.get(tree.all_of(lambda e: tree.is_tag(e, "meta") & (tree.attribute(e, "property") == name)), 0), "content"), F.lit(""))
-    page_title = tree.text_of(F.get(tree.all_of(lambda e: tree.is_tag(e, "title")), 0))
-    raw = F.coalesce(F.nullif(meta("og:title"), F.lit("")), page_title)
-    plain = F.trim(F.regexp_replace(raw, r"\s*[|\-–—]\s*Meta\b.*$", ""))
-    details = trees.where(F.col("url").rlike(_META_ID)).select(key, F.regexp_extract("url", _META_ID, 1).alias("n"), F.coalesce(F.nullif(plain, F.lit("")), raw).alias("title"), tree.text_of(F.get("elements", F.lit(0))).alias("text"), meta("og:description").alias("description"))
-    rows = cards.unionByName(details)
+    page_title = tree.bound(F.get(tree.all_of(lambda e: tree.is_tag(e, "title")), 0), tree.text_of)
+    detail = F.struct(F.regexp_extract("url", _META_ID, 1).alias("n"), F.lit(None).cast(_CARD).alias("card"), tree.bound(F.coalesce(F.nullif(meta("og:title"), F.lit("")), page_title), own).alias("own"))
+    # a page is parsed once for both
+    details = F.when(F.col("url").rlike(_META_ID), F.array(detail)).otherwise(F.array().cast(f"array<struct<n:string,card:{_CARD},own:{_OWN}>>"))
+    found = tree.tree(pages, key, "url").select(key, F.explode(F.concat(F.transform(tree.links_to(_META_ID), card), details)).alias("c")).select(key, "c.*")
+    first = found.groupBy(key, "n", "own").agg(F.min("card").alias("card"))
+    rows = first.select(key, "n", *[F.coalesce(f"own.{c}", f"card.{c}").alias(c) for c in ("title", "text")], F.coalesce("own.description", F.lit("")).alias("description"))
     out = rows.select(key, F.concat(F.lit("meta_"), "n").alias("job_id"), "title", F.lit("Meta").alias("company"), F.concat(F.lit("https://www.metacareers.com/profile/job_details/"), "n", F.lit("/")).alias("url"), F.regexp_extract(rest(F.col("text"), F.col("title")), _META_PLACE, 1).alias("location"), "description")
     return _captured(_richest(out, key), key)
 

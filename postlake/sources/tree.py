@@ -67,24 +67,65 @@ class _Builder(HTMLParser):
         if data.strip() and self.elements[self.open[-1]][0] not in SILENT:
             self.strings.append(data.strip())
 
-    def done(self) -> tuple[list[dict], list[str]]:
+    def done(self) -> None:
         self.close()
         self._close(1)
         self.elements[0][4:] = [len(self.elements) - 1, len(self.strings)]
-        names = ("tag", "attrs", "above", "first", "last", "until")
-        return [{"node": i, **dict(zip(names, e, strict=True))} for i, e in enumerate(self.elements)], self.strings
+
+
+class _Trees:
+    """Parsed pages as Arrow columns, an element's fields as flat lists."""
+
+    def __init__(self) -> None:
+        self.pages, self.node, self.last, self.tag, self.first, self.until = [0], [], [], [], [], []
+        self.attrs, self.keys, self.values = [0], [], []
+        self.aboves, self.above = [0], []
+        self.texts, self.strings = [0], []
+
+    def add(self, page: _Builder) -> None:
+        for node, (tag, attrs, above, first, last, until) in enumerate(page.elements):
+            self.node.append(node)
+            self.last.append(last)
+            self.tag.append(tag)
+            self.first.append(first)
+            self.until.append(until)
+            if attrs:
+                self.keys.extend(attrs)
+                self.values.extend(attrs.values())
+            self.attrs.append(len(self.keys))
+            self.above.extend(above)
+            self.aboves.append(len(self.above))
+        self.strings.extend(page.strings)
+        self.pages.append(len(self.node))
+        self.texts.append(len(self.strings))
+
+    def columns(self) -> list[pa.Array]:
+        number = lambda x: pa.array(x, pa.int32())
+        attrs = pa.MapArray.from_arrays(number(self.attrs), pa.array(self.keys, pa.string()), pa.array(self.values, pa.string()))
+        above = pa.ListArray.from_arrays(number(self.aboves), number(self.above))
+        fields = [number(self.node), number(self.last), pa.array(self.tag, pa.string()), attrs, above, number(self.first), number(self.until)]
+        elements = pa.StructArray.from_arrays(fields, ["node", "last", "tag", "attrs", "above", "first", "until"])
+        return [pa.ListArray.from_arrays(number(self.pages), elements), pa.ListArray.from_arrays(number(self.texts), pa.array(self.strings, pa.string()))]
+
+
+#: Pages are handed over together up to about so many characters, elements and ancestors.
+_TOGETHER = 1 << 18
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    element = pa.struct([("node", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("above", pa.list_(pa.int32())), ("first", pa.int32()), ("until", pa.int32())])
     for batch in batches:
         carried = [n for n in batch.schema.names if n != "html"]
+        html, begun, trees, size = batch.column("html"), 0, _Trees(), 0
         for at in range(batch.num_rows):
+            text = html[at].as_py() or ""
             builder = _Builder()
-            builder.feed(batch.column("html")[at].as_py() or "")
-            elements, strings = builder.done()
-            elements = [{**e, "attrs": list(e["attrs"].items())} for e in elements]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n).slice(at, 1) for n in carried], pa.array([elements], pa.list_(element)), pa.array([strings], pa.list_(pa.string()))], names=[*carried, "elements", "strings"])
+            builder.feed(text)
+            builder.done()
+            trees.add(builder)
+            size += len(text)
+            if at == batch.num_rows - 1 or size + len(trees.node) + len(trees.above) >= _TOGETHER:
+                yield pa.RecordBatch.from_arrays([*[batch.column(n).slice(begun, at + 1 - begun) for n in carried], *trees.columns()], names=[*carried, "elements", "strings"])
+                begun, trees, size = at + 1, _Trees(), 0
 
 
 def tree(pages: DataFrame, *carried: str, html: str = "html") -> DataFrame:
@@ -102,6 +143,11 @@ def tree(pages: DataFrame, *carried: str, html: str = "html") -> DataFrame:
 Test = Callable[[Column], Column]
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value looked up once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def strings_of(e: Column) -> Column:
     return F.slice(F.col("strings"), e["first"] + 1, e["until"] - e["first"])
 

@@ -65,3 +65,18 @@ def test_hop_is_taken_once_and_only_to_the_own_host(spark):
     hops = spark.createDataFrame([("https://a.com/open-positions", '<a href="/openings">More</a><a href="/jobs/role-1">Role one</a>'), ("https://a.com/openings", '<a href="/jobs/role-2">Role two</a>'), ("https://b.com/openings", '<a href="/jobs/role-3">Role three</a>')], "url string, html string")
     assert [r["title"] for r in pages.custom_postings(first, F.lit("A"), hops=hops).collect()] == ["Role one"]
     assert pages.custom_postings(far, F.lit("A"), hops=hops).collect() == []
+
+
+def test_pages_share_batches(monkeypatch):
+    """Trees of many pages come in few batches, each page with its own elements, attributes and strings."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([None if i == 7 else f'<p id="{i}" hidden>a{i}<b>c</b>' for i in range(300)])], names=["k", "html"])
+    for together, number in ((1 << 18, 1), (1, 300)):
+        monkeypatch.setattr(tree, "_TOGETHER", together)
+        out = list(tree._parsed(iter([batch])))
+        assert len(out) == number
+        rows = pa.Table.from_batches(out).to_pylist()
+        assert [r["k"] for r in rows] == list(range(300)) and rows[7]["strings"] == [] and len(rows[7]["elements"]) == 1
+        assert rows[8]["strings"] == ["a8", "c"] and rows[8]["elements"][1]["attrs"] == [("id", "8"), ("hidden", "")]
+        assert [e["above"] for e in rows[299]["elements"]] == [[], [0], [1, 0]]
