@@ -108,14 +108,15 @@ def resolve(postings: DataFrame, refs: DataFrame, key: str = "job_id", url: str
     Several rows for one ref mean that it is ambiguous.  Parts are found by
     equi-joins too: a ref meets the ids that hold its rarest run of three
     characters (of one, if it is shorter) and is compared with these.  Letters of
-    either case are equal in parts.
+    either case are equal in parts.  The joins sort: runs of all ids are many times
+    what Spark takes from a file's size, so it would broadcast them.
     """
     refs = refs.select("ref").distinct()
-    exact = refs.join(postings.select(F.col(key).alias("ref"), F.col(key)), "ref").select("ref", key, F.lit(1).alias("stage"))
-    open_ = refs.join(exact.select("ref"), "ref", "left_anti")
+    exact = refs.join(postings.select(F.col(key).alias("ref"), F.col(key)).hint("merge"), "ref").select("ref", key, F.lit(1).alias("stage"))
+    open_ = refs.join(exact.select("ref").hint("merge"), "ref", "left_anti")
     part = _holding(open_.where("ref <> ''"), postings.select(key).where(F.col(key).isNotNull()), key)
-    left = open_.join(part.select("ref"), "ref", "left_anti")
-    by_url = left.withColumn("u", norm_url("ref")).where("u <> ''").join(postings.select(norm_url(url).alias("u"), key), "u").select("ref", key, F.lit(3).alias("stage"))
+    left = open_.join(part.select("ref").hint("merge"), "ref", "left_anti")
+    by_url = left.withColumn("u", norm_url("ref")).where("u <> ''").join(postings.select(norm_url(url).alias("u"), key).hint("merge"), "u").select("ref", key, F.lit(3).alias("stage"))
     every = exact.unionByName(part).unionByName(by_url)
     return every.withColumn("first", F.min("stage").over(Window.partitionBy("ref"))).where("stage = first").drop("first")
 
@@ -131,9 +132,9 @@ def _holding(refs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     for size, mine in ((3, refs.where("length(ref) >= 3")), (1, refs.where("length(ref) < 3"))):
         runs = ids.select(key, F.explode(_runs(F.lower(key), size)).alias("run"))
         number = runs.groupBy("run").agg(F.count("*").alias("n"))
-        asked = mine.select("ref", F.explode(_runs(F.lower("ref"), size)).alias("run")).join(number, "run", "left")
+        asked = mine.select("ref", F.explode(_runs(F.lower("ref"), size)).alias("run")).join(number.hint("merge"), "run", "left")
         rarest = asked.groupBy("ref").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("s")).where("s.n > 0").select("ref", "s.run")
-        part = rarest.join(runs, "run").where(F.lower(key).contains(F.lower("ref"))).select("ref", key, F.lit(2).alias("stage"))
+        part = rarest.join(runs.hint("merge"), "run").where(F.lower(key).contains(F.lower("ref"))).select("ref", key, F.lit(2).alias("stage"))
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -142,7 +143,7 @@ def with_disposition(postings: DataFrame, decided: DataFrame, key: str = "job_id
     """Apply decisions (job_id, disposition, note, at); unknown dispositions are refused when the plan runs."""
     known = F.col("n.disposition").isin(*DISPOSITIONS)
     checked = F.when(F.col("n.disposition").isNull() | known, F.col("n.disposition")).otherwise(F.raise_error(F.concat(F.lit("unknown disposition "), F.col("n.disposition"))))
-    both = postings.alias("o").join(decided.withColumn("_set", F.lit(True)).alias("n"), key, "left")
+    both = postings.alias("o").join(decided.withColumn("_set", F.lit(True)).alias("n").hint("merge"), key, "left")
     swap = {"disposition": checked, "disposition_note": F.col("n.note"), "disposition_at": F.col("n.at")}
     return both.select(*[F.when(F.col("_set"), swap[c]).otherwise(F.col(f"o.{c}")).alias(c) if c in swap else F.col(key if c == key else f"o.{c}") for c in postings.columns])
 
@@ -157,11 +158,11 @@ def disposed(postings: DataFrame, asked: DataFrame, key: str = "job_id", shown:
     """
     said = F.lower(F.trim(F.coalesce("disposition", F.lit(""))))
     rows = asked.select("ref", said.alias("_said"), "disposition", "note", "at")
-    matches = resolve(postings, rows).join(postings.select(key, "title"), key)
+    matches = resolve(postings, rows).join(postings.select(key, "title").hint("merge"), key)
     first = matches.withColumn("_n", F.row_number().over(Window.partitionBy("ref").orderBy(key))).where(F.col("_n") <= shown)
     line = F.concat(F.col(key), F.lit("  "), F.left(F.coalesce("title", F.lit("")), F.lit(50)))
     named = first.groupBy("ref").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", line.alias("line")))), lambda x: x["line"]), "\n").alias("_named"), F.min(key).alias(key))
-    found = rows.join(matches.groupBy("ref").agg(F.count("*").alias("_matches")), "ref", "left").join(named, "ref", "left")
+    found = rows.join(matches.groupBy("ref").agg(F.count("*").alias("_matches")).hint("merge"), "ref", "left").join(named.hint("merge"), "ref", "left")
     clearing = F.col("_said").isin("none", "clear")
     error = (
         F.when(~clearing & ~F.col("_said").isin(*DISPOSITIONS), F.concat(F.lit("unknown disposition "), F.coalesce("disposition", F.lit("null")), F.lit(": use one of " + ", ".join(DISPOSITIONS) + " or clear")))

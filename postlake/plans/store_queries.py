@@ -61,7 +61,7 @@ def decisions(spark: SparkSession, d: str) -> DataFrame:
     asked = rows.where("company_id % 3 = 0").select(F.col("job_id").alias("ref"), said.alias("disposition"), F.lit("by hand").alias("note"), F.lit("1998-09-01").cast("timestamp_ntz").alias("at"))
     after, outcomes = store.disposed(rows, asked)
     refused = outcomes.where("error LIKE 'unknown disposition loved%'").select(F.col("ref").alias("job_id"), F.lit(True).alias("refused"))
-    return after.join(refused, "job_id", "left").select("job_id", "disposition", "disposition_note", F.coalesce("refused", F.lit(False)).alias("refused"))
+    return after.join(refused.hint("merge"), "job_id", "left").select("job_id", "disposition", "disposition_note", F.coalesce("refused", F.lit(False)).alias("refused"))
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_id % 3 < 3")

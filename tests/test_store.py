@@ -194,3 +194,13 @@ def test_postings_marked_as_seen(spark):
     got = {r["job_id"]: r for r in store.marked_seen(stored, found, "y").collect()}
     assert (got["a"]["company_id"], got["a"]["title"], got["a"]["geo_mode"], got["a"]["track"], got["a"]["resume_fit_score"]) == (1, "new", "onsite", ["x", "y"], 0.5)
     assert (got["b"]["company_name"], len(got["b"]["description"]), got["b"]["track"], got["b"]["is_new"]) == ("B", 12_000, ["y"], True)
+
+
+def test_resolving_broadcasts_nothing(spark):
+    """Ids and their runs grow with the store, so no side of a join is sent through the driver."""
+    rows = spark.createDataFrame([("gh_1", "u", "t", None, None, None)], "job_id string, url string, title string, disposition string, disposition_note string, disposition_at timestamp_ntz")
+    asked = spark.createDataFrame([("gh_1", "saved", None, None)], "ref string, disposition string, note string, at timestamp_ntz")
+    after, outcomes = store.disposed(rows, asked)
+    for frame in (after, outcomes):
+        assert "Broadcast" not in frame._jdf.queryExecution().toString()
+    assert [(r["job_id"], r["disposition"]) for r in after.collect()] == [("gh_1", "saved")]
