@@ -9,7 +9,7 @@ from postlake.functions import predicates as P
 from postlake.functions import scoring as S
 from postlake.functions import text as T
 from postlake.operators import entities, flows, store, views
-from postlake.plans.queries import POSTINGS_SQL, TODAY, companies, described, postings, query, table
+from postlake.plans.queries import POSTINGS_SQL, TODAY, companies, dealt, described, postings, query, table
 from postlake.profile import Profile
 from postlake.sources import listings, pages
 
@@ -212,7 +212,7 @@ def _markup(template: str, *columns: str):
 SELECT o_orderkey AS page_id, CASE r WHEN 0 THEN 'linkedin' WHEN 1 THEN 'indeed' WHEN 2 THEN 'metacareers' ELSE 'page' END AS source,
  CASE r WHEN 0 THEN concat('linkedin_', o_orderkey) WHEN 1 THEN concat('indeed_', o_orderkey) WHEN 2 THEN concat('meta_', o_orderkey) ELSE concat('jsonld_', substr(sha1(concat('https://x.org/p/', o_orderkey, '||', t)), 1, 16)) END AS job_id, t AS title, CASE WHEN r = 2 THEN 'Meta' ELSE c END AS company, 'Austin, TX' AS location FROM o""")
 def captured_pages(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
+    o = dealt(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     forms = {
         0: '<html><title>Jobs</title><ul><li><a class="k" href="https://www.linkedin.com/jobs/view/%1$d/?x=1"><b>Role %1$d</b> <span>Customer %2$d · Austin, TX</span></a></li></ul></html>',
         1: '<div class="job_seen_beacon"><h2><a href="/rc/clk?jk=%1$d&amp;x=1">Role %1$d</a></h2><span data-testid="company-name">Customer %2$d</span><div data-testid="text-location">Austin, TX</div></div>',

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlake.operators import resolving
-from postlake.plans.queries import query, table
+from postlake.plans.queries import dealt, query, table
 from postlake.sources import paging, workday
 
 LOCAL = r"\bNC\b|North Carolina"
@@ -94,7 +94,7 @@ def probe_class(spark: SparkSession, d: str) -> DataFrame:
  ['probe', 'probe', 'probe', 'sniff', 'sniff', 'lead', 'workday'][r + 1] AS via FROM (SELECT c_custkey AS k, concat('Acme ', c_custkey) AS name, c_custkey % 8 AS r FROM customer) WHERE r < 7""")
 def validated_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Candidates by what confirms them, through all four stages."""
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("Acme "), "c_custkey").alias("company"))
+    c = dealt(table(spark, d, "customer").select("c_custkey"), "c_custkey").select(F.col("c_custkey").alias("k"), F.concat(F.lit("Acme "), "c_custkey").alias("company"))
     candidates = c.select("company", _of(("greenhouse", "ashby", "greenhouse", "lever", None, "unknown", "workday", "lever"), "k").alias("ats"), _of((None, None, "guess-%1$d", None, None, None, None, None), "k", "k").alias("slug_guess"))
     answer = lambda rest, ats, slug, body: c.where(f"k % 8 = {rest}").select(F.lit(ats).alias("ats"), F.format_string(slug, "k").alias("slug"), F.lit(200).alias("status"), F.lit(body).alias("body"))
     answers = answer(0, "lever", "acme%d", "[1]").unionByName(answer(1, "greenhouse", "acme%d", '{"jobs": [1]}')).unionByName(answer(1, "ashby", "acme%d", '{"jobPostings": [1, 2]}'))
@@ -110,7 +110,7 @@ def validated_candidates(spark: SparkSession, d: str) -> DataFrame:
  ['sniff', 'sniff', 'probe', 'search', 'search', 'search'][r + 1] AS via FROM (SELECT c_custkey AS k, concat('Acme', c_custkey, ' Robotics') AS name, CAST(c_custkey % 8 AS INTEGER) AS r FROM customer) WHERE r < 6""")
 def resolve_boards(spark: SparkSession, d: str) -> DataFrame:
     """Leads by the stage that finds their board; a dead board on the employer's page leaves the row to the next stage."""
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.format_string("Acme%d Robotics", "c_custkey").alias("company"), (F.col("c_custkey") % 8).cast("int").alias("r"))
+    c = dealt(table(spark, d, "customer").select("c_custkey"), "c_custkey").select(F.col("c_custkey").alias("k"), F.format_string("Acme%d Robotics", "c_custkey").alias("company"), (F.col("c_custkey") % 8).cast("int").alias("r"))
     three = "".join(f'<a href="/careers/role-{i}x">Role number {i}</a>' for i in range(3))
     html = _of(('<a href="https://boards.greenhouse.io/board%1$d">', three, '<a href="https://boards.greenhouse.io/dead%1$d">', "", "", "", three, ""), "r", "k")
     own = c.where("r <> 6").select("company", F.format_string("https://acme%d.com/careers", "k").alias("url"), html.alias("html"))
