@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import StructType
 
 from postlake.operators.lifecycle import sync_statuses
 from postlake.operators.versions import Version, Versions
@@ -29,15 +30,20 @@ class Snapshots(Versions):
 
 
 class _Whole(StatefulProcessor):
-    """Holds the rows of a board's snapshots, by the snapshot's time, until there are as many different ones as it announces."""
+    """Holds the rows of a board's snapshots, by the snapshot's time, until there are as many different ones as it announces.
 
-    def __init__(self, columns: list[str], schema: StructType, time: str, size: str, row: str, patience_ms: int):
-        self.columns, self.schema, self.time, self.size, self.row, self.patience = columns, schema, time, size, row, patience_ms
+    Rows are held in parts as they came, a state call for each part and none for a
+    row.  Arrivals are counted, and only once they are enough are the parts read again,
+    one at a time, and rows that came before taken out of them.
+    """
+
+    def __init__(self, columns: list[str], time: str, size: str, row: str, patience_ms: int):
+        self.columns, self.time, self.size, self.row, self.patience = columns, time, size, row, patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getMapState("rows", "at string, row string", self.schema)
-        self.seen = handle.getMapState("seen", "at string", "n long, due long")
+        self.rows = handle.getMapState("rows", "at string, part int", "rows binary")
+        self.seen = handle.getMapState("seen", "at string", "n long, parts int, due long")
         self.done = handle.getValueState("done", "at string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
@@ -45,34 +51,51 @@ class _Whole(StatefulProcessor):
         done = self.done.get()[0] if self.done.exists() else ""
         touched: dict[str, int] = {}
         for part in rows:
-            for values in part[self.columns].itertuples(index=False):
-                at = str(values[self.columns.index(self.time)])
+            for time, mine in part[self.columns].groupby(self.time, sort=False, dropna=False):
+                at = str(time)
                 if at <= done:
                     continue
-                name = (at, str(values[self.columns.index(self.row)]))
-                touched[at] = int(values[self.columns.index(self.size)])
-                if not self.rows.containsKey(name):
-                    self.rows.updateValue(name, tuple(None if pd.isna(v) else v for v in values))
-                    n, until = self.seen.getValue((at,)) if self.seen.containsKey((at,)) else (0, due)
-                    self.seen.updateValue((at,), (n + 1, until))
-                    if n == 0:
-                        self.handle.registerTimer(due)
-        whole = [at for at, size in touched.items() if self.seen.containsKey((at,)) and self.seen.getValue((at,))[0] >= size]
+                touched[at] = int(mine[self.size].iloc[-1])
+                n, parts, until = self.seen.getValue((at,)) if self.seen.containsKey((at,)) else (0, 0, due)
+                self._hold(at, parts, mine)
+                self.seen.updateValue((at,), (n + len(mine), parts + 1, until))
+                if parts == 0:
+                    self.handle.registerTimer(due)
+        whole = [at for at, size in touched.items() if self._is_whole(at, size)]
         if whole:
             newest = max(whole)
-            yield self._out(newest)
+            for number in range(self.seen.getValue((newest,))[1]):
+                yield self._held(newest, number)
             self.done.update((newest,))
             self._drop(lambda at, _: at <= newest)
 
-    def _out(self, at: str) -> pd.DataFrame:
-        return pd.DataFrame([list(value) for name, value in self.rows.iterator() if name[0] == at], columns=self.columns)
+    def _hold(self, at: str, number: int, rows: pd.DataFrame) -> None:
+        self.rows.updateValue((at, number), (pickle.dumps(rows, protocol=5),))
+
+    def _held(self, at: str, number: int) -> pd.DataFrame:
+        return pickle.loads(self.rows.getValue((at, number))[0])
+
+    def _is_whole(self, at: str, size: int) -> bool:
+        n, parts, due = self.seen.getValue((at,))
+        if n < size:
+            return False
+        names: set[str] = set()
+        for number in range(parts):
+            held = self._held(at, number)
+            name = held[self.row].map(str)
+            new = ~(name.duplicated() | name.isin(names))
+            if not new.all():
+                self._hold(at, number, held[new])
+            names.update(name)
+        self.seen.updateValue((at,), (len(names), parts, due))
+        return len(names) >= size
 
     def _drop(self, old) -> None:
-        gone = {at[0] for at, value in list(self.seen.iterator()) if old(at[0], value[1])}
-        for at in gone:
-            self.seen.removeKey((at,))
-        for name in [name for name, _ in self.rows.iterator() if name[0] in gone]:
-            self.rows.removeKey(tuple(name))
+        for (at,), (_, parts, due) in list(self.seen.iterator()):
+            if old(at, due):
+                self.seen.removeKey((at,))
+                for number in range(parts):
+                    self.rows.removeKey((at, number))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         now = expiredTimerInfo.getExpiryTimeInMs()
@@ -93,7 +116,7 @@ def whole_snapshots(rows: DataFrame, board: str = "company_id", time: str = "ts"
     query needs the settings STATE.
     """
     columns = rows.columns
-    processor = _Whole(columns, rows.schema, time, size, row, patience_s * 1000)
+    processor = _Whole(columns, time, size, row, patience_s * 1000)
     return rows.groupBy(board).transformWithStateInPandas(processor, outputStructType=rows.schema, outputMode="Append", timeMode="ProcessingTime")
 
 
@@ -112,11 +135,15 @@ def start(snapshots: DataFrame, store: Snapshots, checkpoint: str, grace_days: i
         snapshots = whole_snapshots(snapshots)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        now = F.lit(batch.agg(F.max("ts")).first()[0])
-        rows = batch.drop("ts", "snapshot_rows")
-        store.update(lambda stored: sync_statuses(stored, rows, now, grace_days).drop("change"), app=checkpoint, batch=batch_id)
+        batch = batch.persist(StorageLevel.DISK_ONLY)  # the fold reads it for each kind of match, and every reading would go through the state again
+        try:
+            newest = batch.agg(F.max("ts"), F.count("*")).first()
+            if newest[1] == 0:
+                return
+            rows, now = batch.drop("ts", "snapshot_rows"), F.lit(newest[0])
+            store.update(lambda stored: sync_statuses(stored, rows, now, grace_days).drop("change"), app=checkpoint, batch=batch_id)
+        finally:
+            batch.unpersist()
 
     conf = store.spark.conf
     before = {name: conf.get(name, None) for name in STATE}

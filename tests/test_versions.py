@@ -2,7 +2,9 @@
 
 import os
 import time
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +112,33 @@ def test_changed_pages_are_read_again(spark, tmp_path):
     run()
     run()
     assert sorted(out) == [("a.html", "one"), ("a.html", "two"), ("b.html", "same")]
+
+
+class Held:
+    """A map state that counts its calls."""
+
+    def __init__(self):
+        self.of, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {"containsKey": self.of.__contains__, "getValue": self.of.__getitem__, "updateValue": self.of.__setitem__, "removeKey": self.of.pop, "iterator": lambda: iter(list(self.of.items()))}[name]
+
+
+def test_state_is_called_by_parts_not_by_rows():
+    """20,000 rows in 4 micro-batches of two parts, the last one repeated: some calls for each part, each row out once."""
+    columns = ["company_id", "ts", "snapshot_rows", "pos"]
+    part = lambda first, n: pd.DataFrame({"company_id": 1, "ts": pd.Timestamp("2024-01-02"), "snapshot_rows": 20_000, "pos": range(first, first + n)})
+    processor = object.__new__(sync._Whole)
+    processor.columns, processor.time, processor.size, processor.row, processor.patience = columns, "ts", "snapshot_rows", "pos", 1000
+    processor.schema, processor.rows, processor.seen = None, Held(), Held()
+    processor.done = SimpleNamespace(exists=lambda: False, update=lambda value: None)
+    processor.handle = SimpleNamespace(registerTimer=lambda due: None)
+    out = []
+    for batch in (0, 1, 2, 2, 3):
+        parts = [part(5000 * batch + 2500 * half, 2500) for half in (0, 1)]
+        out.append([d for d in processor.handleInputRows((1,), iter(parts), SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 0))])
+    assert [len(o) > 0 for o in out] == [False] * 4 + [True]
+    assert sorted(pd.concat(out[-1])["pos"]) == list(range(20_000))
+    assert not processor.rows.of and not processor.seen.of
+    assert processor.rows.calls + processor.seen.calls < 200
