@@ -228,7 +228,7 @@ def captured_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def _listing(spark: SparkSession, d: str, template: str, url: str) -> DataFrame:
     """A page for each customer with one piece of markup for each order."""
-    o = table(spark, d, "orders").withColumn("_m", _markup(template, "o_orderkey", "o_custkey"))
+    o = dealt(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey").withColumn("_m", _markup(template, "o_orderkey", "o_custkey"))
     page = o.groupBy("o_custkey").agg(F.array_join(F.collect_list("_m"), "\n").alias("html"))
     return page.select(F.concat(F.lit("c"), "o_custkey").alias("board"), F.concat(F.lit("Customer "), "o_custkey").alias("company"), _markup(url, "o_custkey").alias("url"), "html")
 

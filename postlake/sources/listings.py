@@ -81,10 +81,10 @@ def kula(listings: DataFrame) -> DataFrame:
     else the furthest of them; lines of up to three characters are no field.  Of
     several places the first counts.
     """
-    cards = tree.tree(listings, "board", "company", "url").withColumnRenamed("url", "page")
-    lines = lambda e: F.filter(F.transform(F.flatten(F.transform(tree.strings_of(e), lambda s: F.split(s, "\n"))), lambda x: F.trim(x)), lambda x: F.length(x) > 3)
+    cards = tree.tree(listings, "board", "company", "url", over=3).withColumnRenamed("url", "page")
     link = F.concat(F.lit(r"/\Q"), "board", F.lit(r"\E/\d+/?$"))
-    fields = lambda a: F.coalesce(F.get(F.filter(F.transform(tree.ancestors(a, 8), lines), lambda x: F.size(x) >= 2), 0), lines(F.element_at(tree.ancestors(a, 8), -1)))
+    card = lambda a: F.coalesce(tree.climbed(a, lambda e: e["until"] - e["first"] >= 2, 8), F.element_at(tree.ancestors(a, 8), -1))
+    fields = lambda a: tree.bound(card(a), lambda e: F.slice(F.col("strings"), e["first"] + 1, F.least(e["until"] - e["first"], F.lit(3))))
     found = tree.all_of(lambda e: tree.is_tag(e, "a") & F.call_function("rlike", tree.attribute(e, "href"), link))
     rows = cards.select("board", "company", "page", F.posexplode(F.transform(found, lambda a: F.struct(tree.attribute(a, "href").alias("href"), fields(a).alias("l")))).alias("pos", "c"))
     rows = rows.select("board", "company", "page", "pos", "c.*")

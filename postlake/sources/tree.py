@@ -8,6 +8,7 @@ expressions on the page's own row; nothing is shuffled.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -27,10 +28,11 @@ _ELEMENT = "struct<node:int,last:int,tag:string,attrs:map<string,string>,above:a
 
 
 class _Builder(HTMLParser):
-    """Collects elements [tag, attrs, above, first, last, until] and trimmed strings."""
+    """Collects elements [tag, attrs, above, first, last, until] and trimmed strings, or their trimmed lines of more than ``over`` characters."""
 
-    def __init__(self) -> None:
+    def __init__(self, over: int | None = None) -> None:
         super().__init__(convert_charrefs=True)
+        self.over = over
         self.elements: list[list] = [["[document]", {}, [], 0, 0, 0]]
         self.strings: list[str] = []
         self.open = [0]
@@ -64,8 +66,13 @@ class _Builder(HTMLParser):
             one[4:] = [len(self.elements) - 1, len(self.strings)]
 
     def handle_data(self, data: str) -> None:
-        if data.strip() and self.elements[self.open[-1]][0] not in SILENT:
-            self.strings.append(data.strip())
+        text = data.strip()
+        if not text or self.elements[self.open[-1]][0] in SILENT:
+            return
+        if self.over is None:
+            self.strings.append(text)
+        else:
+            self.strings.extend(line for x in text.split("\n") if len(line := x.strip(" ")) > self.over)
 
     def done(self) -> None:
         self.close()
@@ -112,13 +119,13 @@ class _Trees:
 _TOGETHER = 1 << 18
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(batches: Iterator[pa.RecordBatch], over: int | None = None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         carried = [n for n in batch.schema.names if n != "html"]
         html, begun, trees, size = batch.column("html"), 0, _Trees(), 0
         for at in range(batch.num_rows):
             text = html[at].as_py() or ""
-            builder = _Builder()
+            builder = _Builder(over)
             builder.feed(text)
             builder.done()
             trees.add(builder)
@@ -128,16 +135,18 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 begun, trees, size = at + 1, _Trees(), 0
 
 
-def tree(pages: DataFrame, *carried: str, html: str = "html") -> DataFrame:
+def tree(pages: DataFrame, *carried: str, html: str = "html", over: int | None = None) -> DataFrame:
     """(carried columns, elements, strings) of pages; element 0 is the document.
 
     Unclosed elements end with their parent, list items, table cells, rows and
     paragraphs also where the next one opens; closing tags without an opening one are
     ignored.  Scripts and styles have no strings.  A null page is an empty document.
+    With ``over``, the strings are lines of more than so many characters, so an
+    element's stretch says how many it holds without looking at them.
     """
     rows = pages.select(*carried, F.col(html).alias("html"))
     kept = StructType([f for f in rows.schema.fields if f.name != "html"])
-    return rows.mapInArrow(_parsed, StructType(kept.fields + StructType.fromDDL(f"elements array<{_ELEMENT}>, strings array<string>").fields))
+    return rows.mapInArrow(partial(_parsed, over=over), StructType(kept.fields + StructType.fromDDL(f"elements array<{_ELEMENT}>, strings array<string>").fields))
 
 
 Test = Callable[[Column], Column]

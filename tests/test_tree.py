@@ -1,5 +1,7 @@
 """Page trees and the parsers on them: nested, unclosed, reordered and broken markup."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +82,13 @@ def test_pages_share_batches(monkeypatch):
         assert [r["k"] for r in rows] == list(range(300)) and rows[7]["strings"] == [] and len(rows[7]["elements"]) == 1
         assert rows[8]["strings"] == ["a8", "c"] and rows[8]["elements"][1]["attrs"] == [("id", "8"), ("hidden", "")]
         assert [e["above"] for e in rows[299]["elements"]] == [[], [0], [1, 0]]
+
+
+def test_kula_reads_a_long_page_once(spark):
+    """Of 5,000 links on one page none looks at the whole page's lines, which the document, an ancestor of each, holds."""
+    html = "".join(f"<div><p>Labs\n  of  \n x</p><h3>Role {i}</h3><p>\n Cary, NC;b </p><a href='/acme/{i}'>Go</a></div>" for i in range(5000))
+    frame = spark.createDataFrame([("acme", "Acme", "https://careers.kula.ai/acme", html)], "board string, company string, url string, html string")
+    begun = time.monotonic()
+    got = {(r["job_id"], r["title"], r["location"]) for r in listings.kula(frame).collect()}
+    assert got == {(f"kula_acme_{i}", f"Role {i}", "Cary, NC") for i in range(5000)}
+    assert time.monotonic() - begun < 15
