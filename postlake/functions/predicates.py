@@ -3,23 +3,29 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postlake.functions.text import any_of, col, escaped, first_match, keyword_pattern, name_key, scrubbed, token_pattern, whole_word
+from postlake.functions.text import any_of, bound, col, escaped, first_match, holds, keyword_pattern, name_key, scrubbed, token_pattern, whole_word
 from postlake.profile import NON_US_REGIONS, REMOTE_BODY_PHRASES, REMOTE_LOCATION_TOKENS, REMOTE_NEGATIONS, US_MARKERS, Excludes, Vocabulary
 
 #: Characters of a description in which domain and skill terms count together.
 HEAD = 1200
 
 
+def _any(text: Column, terms, pattern) -> Column:
+    return reduce(or_, [holds(text, x, pattern) for x in terms], F.lit(False))
+
+
 def _has(text: Column, terms) -> Column:
-    return text.rlike(any_of(keyword_pattern(x) for x in terms)) if terms else F.lit(False)
+    return _any(text, terms, keyword_pattern)
 
 
 def _contains(text: Column, terms) -> Column:
-    return text.rlike(any_of(escaped(x.lower()) for x in terms)) if terms else F.lit(False)
+    return _any(text, [x.lower() for x in terms], escaped)
 
 
 def _joined(title: Column, description: Column) -> Column:
@@ -38,8 +44,10 @@ def relevance_tier(title, description, vocabulary: Vocabulary) -> Column:
     head = scrubbed(_joined(title, F.left(description, F.lit(HEAD))), vocabulary.boilerplate)
     tiered = {x.lower() for x in (*vocabulary.core, *vocabulary.domain, *vocabulary.skill)}
     extra = [x for x in vocabulary.extra if x.lower() not in tiered]
-    out = _contains(text, vocabulary.exclude) | _contains(F.lower(F.coalesce(title, F.lit(""))), vocabulary.exclude_title)
-    return F.when(out, None).when(_has(text, vocabulary.core), "CORE").when(_has(text, extra), "EXTRA").when(_has(head, vocabulary.domain) & _has(head, vocabulary.skill), "DOMAIN+SKILL")
+    plain = F.lower(F.coalesce(title, F.lit("")))
+    both = lambda h: _has(h, vocabulary.domain) & _has(h, vocabulary.skill)
+    tier = lambda t: F.when(_contains(t, vocabulary.exclude) | _contains(plain, vocabulary.exclude_title), None).when(_has(t, vocabulary.core), "CORE").when(_has(t, extra), "EXTRA").when(bound(head, both), "DOMAIN+SKILL")
+    return bound(text, tier)
 
 
 def is_relevant(title, description, vocabulary: Vocabulary) -> Column:
@@ -61,21 +69,25 @@ def exclude_reason(title, description, excludes: Excludes, boilerplate=(), allow
     One strong defense term suffices, of weak ones it takes two; watched employers
     are allowed them.  Without any defense term configured, radar is no reason.
     """
-    title, low = F.lower(F.coalesce(col(title), F.lit(""))), _joined(col(title), col(description))
+    title, both = F.lower(F.coalesce(col(title), F.lit(""))), _joined(col(title), col(description))
     lowered = lambda terms: [x.lower() for x in terms]
-    phrase = first_match(low, lowered(excludes.role_phrases), whole_word)
-    token = first_match(title, lowered(excludes.title_tokens), whole_word)
-    out = F.when(phrase.isNotNull(), F.concat(F.lit("role: "), phrase)).when(token.isNotNull(), F.concat(F.lit("role-title: "), F.upper(token)))
-    if excludes.strong or excludes.weak:
-        text, open_ = scrubbed(low, boilerplate), ~F.lit(allow_defense) if isinstance(allow_defense, bool) else ~F.coalesce(allow_defense, F.lit(False))
+    open_ = ~F.lit(allow_defense) if isinstance(allow_defense, bool) else ~F.coalesce(allow_defense, F.lit(False))
+
+    def defense(text: Column) -> Column:
         strong = first_match(text, lowered(excludes.strong), token_pattern)
-        weak = F.array_compact(F.array(*[F.when(text.rlike(token_pattern(x)), x) for x in lowered(excludes.weak)])) if excludes.weak else F.array().cast("array<string>")
+        weak = F.array_compact(F.array(*[F.when(holds(text, x, token_pattern), x) for x in lowered(excludes.weak)])) if excludes.weak else F.array().cast("array<string>")
         radar = text.contains("radar") & text.rlike(any_of(token_pattern(x) for x in excludes.radar_context))
-        out = out.when(open_ & strong.isNotNull(), F.concat(F.lit("defense: "), strong))
-        out = out.when(open_ & (F.size(weak) >= 2), F.concat(F.lit("defense: "), F.array_join(F.slice(weak, 1, 3), "+")))
-        out = out.when(open_ & radar, "defense: military radar")
-    other = first_match(low, lowered(excludes.nonclinical), whole_word)
-    return out.when(other.isNotNull(), F.concat(F.lit("non-clinical: "), other))
+        several = bound(weak, lambda w: F.when(F.size(w) >= 2, F.array_join(F.slice(w, 1, 3), "+")))
+        return F.concat(F.lit("defense: "), F.coalesce(strong, several, F.when(radar, "military radar")))
+
+    def reason(low: Column) -> Column:
+        phrase, token, other = (first_match(c, lowered(terms), whole_word) for c, terms in ((low, excludes.role_phrases), (title, excludes.title_tokens), (low, excludes.nonclinical)))
+        found = [F.concat(F.lit("role: "), phrase), F.concat(F.lit("role-title: "), F.upper(token))]
+        if excludes.strong or excludes.weak:
+            found.append(F.when(open_, bound(scrubbed(low, boilerplate), defense)))
+        return F.coalesce(*found, F.concat(F.lit("non-clinical: "), other))
+
+    return bound(both, reason)
 
 
 def _remote_pattern(term: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +16,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def escaped(term: str) -> str:
     return _SPECIAL.sub(r"\\\1", term)
 
@@ -41,11 +47,22 @@ def any_of(patterns) -> str:
     return "|".join(f"({p})" for p in patterns) if patterns else "[^\\s\\S]"
 
 
+def holds(text: Column, term: str, pattern: Callable[[str], str]) -> Column:
+    """Whether a term's pattern matches; a term to be found anywhere, or as a word, is looked for as plain characters first."""
+    regex = pattern(term)
+    for plain in (term, term.lower()):
+        if regex == escaped(plain):
+            return text.contains(plain)
+        if regex == whole_word(plain):
+            return text.contains(plain) & text.rlike(regex)
+    return text.rlike(regex)
+
+
 def first_match(text: Column, terms, pattern) -> Column:
     """The first term, in the order given, that occurs in the text; null if none does."""
     out = F.lit(None).cast("string")
     for term in reversed(list(terms)):
-        out = F.when(text.rlike(pattern(term)), F.lit(term)).otherwise(out)
+        out = F.when(holds(text, term, pattern), F.lit(term)).otherwise(out)
     return out
 
 

@@ -73,6 +73,8 @@ def stats(postings: DataFrame, today: Column) -> DataFrame:
 
 
 def funnel(rows: DataFrame, source: str, relevant: Column, kept: Column, new: Column) -> DataFrame:
+    rows = rows.select(source, relevant.alias("_relevant"), kept.alias("_kept"), new.alias("_new"))  # a gate is a reading of the text
+    relevant, kept, new = F.col("_relevant"), F.col("_kept"), F.col("_new")
     return rows.groupBy(source).agg(F.count("*").alias("fetched"), F.count_if(relevant).alias("gate1"), F.count_if(relevant & kept).alias("kept"), F.count_if(relevant & kept & new).alias("n_new"))
 
 

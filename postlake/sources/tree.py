@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from postlake.functions.text import bound  # noqa: F401
+
 # Elements without content, what an opening tag closes, where that ends, and elements whose content is no text.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), **dict.fromkeys(("p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article"), ("p",))}
@@ -152,11 +154,6 @@ def tree(pages: DataFrame, *carried: str, html: str = "html", over: int | None =
 Test = Callable[[Column], Column]
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value looked up once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def strings_of(e: Column) -> Column:
     return F.slice(F.col("strings"), e["first"] + 1, e["until"] - e["first"])
 

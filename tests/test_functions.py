@@ -124,3 +124,15 @@ def test_keep_job(spark):
     schema = "t string, d string, l string, m boolean, w boolean, b boolean, wanted boolean"
     assert values(spark, rows, schema, P.keep_job("t", "d", "l", **gates, **flags)) == [r[-1] for r in rows]
     assert values(spark, rows[5:6], schema, P.keep_job("t", "d", "l", **gates | {"excludes": None, "local": None}, **flags)) == [True]
+
+
+def test_terms_are_looked_for_as_characters_first(spark):
+    """A term found anywhere needs no pattern, and texts are lowered and scrubbed once, however many tiers and terms there are."""
+    rows = [("an eeg", "a.b"), ("eegs", "aXb"), ("EEG", "x"), (None, "a.b")]
+    show = lambda term, pattern: values(spark, rows, "t string, d string", T.holds(F.col("t"), term, pattern))
+    assert show("eeg", T.keyword_pattern) == [True, False, False, None] and show("eeg", T.escaped) == [True, True, False, None]
+    assert values(spark, rows, "t string, d string", T.holds(F.col("d"), "a.b", T.escaped)) == [True, False, False, True]
+    words = Vocabulary(core=("eeg",), domain=("medical",), skill=("python",), extra=("x y",), exclude=("unpaid",), boilerplate=(r"medical\s+insurance",))
+    for column in (P.relevance_tier("t", "d", words), P.exclude_reason("t", "d", Excludes(role_phrases=("a", "b"), strong=("missile", "tank"), weak=("c", "d"), nonclinical=("nurse",)), (r"medical\s+insurance",))):
+        plan = spark.createDataFrame(rows, "t string, d string").select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("insurance") <= 2  # the text, and for a tier its head
