@@ -163,7 +163,8 @@ def repeated_spans(texts: DataFrame, dealt: DataFrame, window: int, k: int) -> D
     """(k, at, n): n words from place at repeat words that start earlier.
 
     dealt: the texts dealt out by (k, ord), which the caller joins by them as well.
-    The occurrences of repeated minimizers are written once, as four paths read them.
+    The occurrences of repeated minimizers are written once, as four paths read them,
+    and single edges before the rest, so that their shuffles do not stand side by side.
     """
     occ = texts.mapInArrow(_occurrences(window, k), _OCC)
     place = F.struct("k", "at")
@@ -183,9 +184,10 @@ def repeated_spans(texts: DataFrame, dealt: DataFrame, window: int, k: int) -> D
     copies = forks.join(firsts.where("c > 1").select("m", "u", "f"), ["m", "u"]).where(later).select(*piece)
     opened = firsts.groupBy(F.col("f.k").alias("k"), F.shiftright("f.at", _ORD).alias("ord")).agg(F.collect_list(F.struct(F.col("f.at").alias("at"), "n")).alias("places"))
     edges = dealt.join(opened.hint("shuffle_hash"), ["k", "ord"]).select("k", "ord", "text", "places").mapInArrow(_edges(window), _EDGE)
+    edges = settled(edges)  # the dealt texts go before edges are shuffled, and edges before paths are
     known = edges.groupBy("w1", "w2").agg(F.min(place).alias("f"), F.count("*").alias("c")).where("c > 1")
     single = edges.join(known.select("w1", "w2", "f"), ["w1", "w2"]).where(later).select("k", "at", F.lit(window).cast("long").alias("n"))
-    return whole.unionByName(copies).unionByName(single)
+    return whole.unionByName(copies).unionByName(settled(single))
 
 
 def drop_repeated_spans(docs: DataFrame, window: int = 20, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ from postlake.llm.common import components
 from postlake.llm.decontam import benchmark_hits, drop_contaminated, near_matches
 from postlake.llm.license import scan_licenses
 from postlake.llm.linedup import drop_template_lines
-from postlake.llm.substring import drop_repeated_spans, inner_arcs, paths
+from postlake.llm.substring import drop_repeated_spans, inner_arcs, paths, repeated_spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -546,3 +546,12 @@ def test_decontamination_of_many_rows_without_an_id(spark, monkeypatch):
     assert len(got) == 600 and all(r["n_hit"] == 14 and len(r["items"]) == 1 and r["contaminated"] for r in got)
     near = decontam.near_matches(docs.where("doc_id = 7").limit(60), items, within=20, terms=3).collect()
     assert {r["item_id"] for r in near} <= {str(i) for i in range(30)} and near
+
+
+def test_texts_are_not_shuffled_beside_spans(spark):
+    """What the spans are read from holds neither texts nor edges on their way: those are written before."""
+    docs = spark.createDataFrame([(i, f"{i} " + " ".join(f"w{j}" for j in range(60)) + f" end{i}") for i in range(5)], "k long, text string").withColumn("ord", F.lit(0).cast("long"))
+    spans = repeated_spans(docs, docs.repartition("k", "ord"), 20, 5)
+    plan = spans._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "w1" not in plan
+    assert {r["k"] for r in spans.collect()} == {1, 2, 3, 4}
