@@ -231,3 +231,41 @@ def test_stretch_that_longer_ones_begin_with(spark):
     rows = [(i, "".join(words[(i * k * k + k) % 4] for k in range(40))) for i in range(60)]
     got = byte_rows(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(got) == [(i, *w) for (i, _), w in zip(rows, brute_bytes(rows, 50), strict=True)]
+
+
+@pytest.mark.parametrize("second", [False, True])
+def test_strings_of_one_piece_alone_are_not_sorted(monkeypatch, second):
+    """Pieces that share a minimizer but no string stay out of the suffix order; all strings get their smallest document."""
+    import random
+
+    import pyarrow as pa
+
+    from postlake.llm import suffixes
+
+    rng = random.Random(3)
+    noise = lambda n: bytes(rng.choice(b"abcdefghij ") for _ in range(n))
+    phrase, tail = noise(24), noise(45)
+    texts = [noise(60) + phrase + (tail if i % 20 == 0 else noise(60)) for i in range(80)]
+    found = []
+    for i, data in enumerate(texts):
+        low, starts, n = suffixes.pieces(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 50, 12 if second else 20, salt=suffixes._SECOND if second else 0)
+        for g, at, k in zip(low.view(np.int64).tolist(), starts.tolist(), n.tolist(), strict=True):
+            m = 99 if second else g  # a second minimizer deals out the pieces of a first one, here 99
+            found.append((g ^ 99 if second else g, m, len(found), i, i + 5 * (i % 3 == 0), 7, data[at : at + k + 49]))
+    found.sort(key=lambda row: row[0])
+    sizes = []
+    plain = suffixes.suffix_order
+    monkeypatch.setattr(suffixes, "suffix_order", lambda text, *rest: sizes.append(len(text)) or plain(text, *rest))
+    columns = [np.array(c, np.int64) for c in zip(*(row[:6] for row in found), strict=True)]
+    runs = suffixes.first_strings(*columns, pa.array([row[6] for row in found], pa.binary()), 50, 20)
+    got = {}
+    for _, u, off, n, lo in zip(*(c.tolist() for c in runs), strict=True):
+        for at in range(off - 7, off - 7 + n):
+            assert got.setdefault((u, at), lo) == lo
+    least = {}
+    strings = [(g, u, lo, hi, at, b[at : at + 50]) for g, _, u, lo, hi, _, b in found for at in range(len(b) - 49)]
+    for g, _, lo, _, _, s in strings:
+        least[g, s] = min(least.get((g, s), lo), lo)
+    assert got == {(u, at): least[g, s] for g, u, _, hi, at, s in strings if least[g, s] < hi}
+    assert any(least[g, s] < lo for g, _, lo, _, _, s in strings)
+    assert 0 < sum(sizes) < sum(len(row[6]) for row in found) / 8
