@@ -1,19 +1,14 @@
 """Source divergence audit: how far each source's use of terms is from the other sources of its language.
 
-Texts are factored into chunks, the runs between ASCII white space.  A pass over the
-documents counts chunks and adds them up by language and source before anything is
-shuffled.  The counts of a chunk meet in one place, where it is tokenized once and its
-terms are joined back to them.  A term is in every document that holds one of its
-chunks, so it is common if one of them is in enough documents.  Otherwise its chunks
-are rare: of at most two documents, whose names the smallest and the largest are.
-Most rare terms are settled by the sum of their chunks' documents or by bits of
-the names; of the others the distinct names are counted.
+Texts are factored into chunks, the runs between ASCII white space.  A task holds some
+megabytes of documents at a time, tokenizes each of their chunks once and joins the
+terms back to the documents that hold the chunk, so counts of documents are exact.  It
+adds them up by language, source and term before anything is shuffled; a term's counts
+then meet in one place.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,117 +21,104 @@ from pyspark.sql import functions as F
 from postlake.llm import tokens
 from postlake.llm.common import batch_texts, settled
 
-_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: ASCII letters and all characters beyond ASCII; no white space, so no term goes beyond its chunk.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-#: Counts of chunks that a task adds up at once, and those that it holds before it hands them on.
-_FRESH, _HELD = 250_000, 600_000
+#: Bytes of terms, a-z for A-Z: ASCII letters and all bytes beyond ASCII; blanks for others, so no term goes beyond its chunk.
+_LETTERS = np.full(256, 32, np.uint8)
+_LETTERS[65:91] = _LETTERS[97:123] = np.arange(97, 123)
+_LETTERS[128:] = np.arange(128, 256)
+#: Fresh counts handed on at once, and bytes of texts that a task holds to add their counts up.
+_FRESH, _HELD = 20_000, 16 << 20
 #: Cells (sources x terms) of a block in which all pairs of sources are compared.
 _CELLS = 1_000_000
-_COUNTED = "lang string, source string, {} string, n_docs long, n long, lo long, hi long"
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, source, text, doc) to counts of chunks, added up over the documents of a task."""
-    codes: dict[tuple[str, str], int] = {}
-    sums, fresh, size = None, [], 0
-
-    def added() -> pa.Table:
-        rows = pa.concat_tables(fresh).group_by(["group", "chunk"], use_threads=False).aggregate([([], "count_all"), ("n", "sum"), ("doc", "min"), ("doc", "max")])
-        rows = rows.rename_columns(["group", "chunk", "n_docs", "n", "lo", "hi"])
-        if sums is None:
-            return rows
-        both = pa.concat_tables([sums, rows]).group_by(["group", "chunk"], use_threads=False)
-        return both.aggregate([("n_docs", "sum"), ("n", "sum"), ("lo", "min"), ("hi", "max")]).rename_columns(rows.column_names)
-
-    def handed() -> Iterator[pa.RecordBatch]:
-        langs, sources = (pa.array(x, pa.string()) for x in zip(*codes, strict=True))
-        for batch in sums.combine_chunks().to_batches(20_000):
-            group = batch.column("group")
-            yield pa.RecordBatch.from_arrays([langs.take(group), sources.take(group), *batch.columns[1:]], names=["lang", "source", *batch.schema.names[1:]])
-
+_COUNTED = "lang string, source string, term string, n_docs long, n long"
+
+
+def _terms(chunks: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The terms of chunks, and whose each is."""
+    data, offsets = tokens.text_bytes(chunks)
+    words = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(chunks), [None, pa.py_buffer(offsets), pa.py_buffer(_LETTERS[data])]))
+    of, terms = pc.list_parent_indices(words), pc.list_flatten(words)
+    held = pc.greater(pc.binary_length(terms), 0)
+    return np.asarray(of.filter(held)), terms.filter(held)
+
+
+def _counted(text: pa.Array, group: np.ndarray) -> pa.RecordBatch:
+    """Documents and their groups to (group, term, n_docs, n)."""
+    words = pc.ascii_split_whitespace(text)
+    chunks = pc.list_flatten(words).dictionary_encode()
+    chunk, terms = _terms(chunks.dictionary)
+    terms = terms.dictionary_encode()
+    code, width = np.asarray(chunks.indices), max(len(terms.dictionary), 1)
+    first = np.searchsorted(chunk, np.arange(len(chunks.dictionary) + 1))
+    size = np.diff(first)[code]
+    at = np.repeat(first[code] - np.cumsum(size) + size, size) + np.arange(size.sum())
+    row = np.repeat(np.asarray(pc.list_parent_indices(words)).astype(np.int64), size)
+    held, times = np.unique(row * width + np.asarray(terms.indices)[at], return_counts=True)  # a term in a document
+    keys = group[held // width] * width + held % width
+    by = np.argsort(keys)
+    keys, times = keys[by], times[by]
+    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    n = np.add.reduceat(times, heads) if len(heads) else times
+    keys = keys[heads]
+    term = terms.dictionary.take(pa.array(keys % width)).cast(pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(keys // width), term, pa.array(np.diff(np.append(heads, len(by)))), pa.array(n)], names=["group", "term", "n_docs", "n"])
+
+
+def _held(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``limit`` bytes together, or a single longer one."""
+    held, size = [], 0
     for batch in batches:
-        for part in tokens.slices(batch):
+        for part in tokens.slices(batch, limit=limit):
+            if held and size + part.nbytes > limit:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += part.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _counts(limit: int, rows: int):
+    """Rows (lang, source, text) to counts of terms, added up over the documents held at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _held(batches, limit):
+            codes: dict[tuple[str, str], int] = {}
             of = [codes.setdefault(x, len(codes)) for x in zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), strict=True)]
-            words = pc.ascii_split_whitespace(part.column("text"))
-            rows = pa.table({"row": pc.list_parent_indices(words), "chunk": pc.list_flatten(words)})
-            rows = rows.filter(pc.greater(pc.binary_length(rows["chunk"]), 0)).group_by(["row", "chunk"], use_threads=False).aggregate([([], "count_all")])
-            fresh.append(pa.table({"group": pa.array(of, pa.int32()).take(rows["row"]), "chunk": rows["chunk"], "n": rows["count_all"], "doc": pc.take(part.column("doc"), rows["row"])}))
-            size += len(rows)
-        if size >= _FRESH:
-            sums, size = added(), 0
-            fresh.clear()
-            if len(sums) >= _HELD:
-                yield from handed()
-                sums = None
-            pa.default_memory_pool().release_unused()
-    if fresh:
-        sums = added()
-    if sums is not None:
-        yield from handed()
-    sums = None
-    fresh.clear()
-    pa.default_memory_pool().release_unused()  # the worker stays for other tasks
-
-
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts in the order of their chunks to counts of terms; each chunk is tokenized where it first comes."""
-    find, last, found = re.compile(TERM).findall, None, {}
-    for batch in batches:
-        codes = pc.dictionary_encode(batch.column("chunk"))
-        chunks = codes.dictionary.to_pylist()
-        found = {last: found[last]} if last in found else {}
-        for chunk in chunks:
-            if chunk not in found:
-                found[chunk] = Counter(find(chunk.translate(_FOLD)))
-        last = chunks[-1] if chunks else last
-        sizes = np.array([len(found[c]) for c in chunks], np.int64)
-        code = np.asarray(codes.indices)
-        row = np.repeat(np.arange(len(code)), sizes[code])
-        first = np.append(0, np.cumsum(sizes)[:-1])
-        at = np.repeat(first[code] - np.append(0, np.cumsum(sizes[code])[:-1]), sizes[code]) + np.arange(len(row)) if len(code) else row
-        term = pa.array([t for c in chunks for t in found[c]], pa.string()).take(pa.array(at))
-        times = np.array([n for c in chunks for n in found[c].values()], np.int64)[at]
-        rest = batch.select(["lang", "source", "n_docs", "n", "lo", "hi"]).take(pa.array(row))
-        n = pa.array(np.asarray(rest.column("n")) * times)
-        yield pa.RecordBatch.from_arrays([rest.column("lang"), rest.column("source"), term, rest.column("n_docs"), n, rest.column("lo"), rest.column("hi")], names=["lang", "source", "term", "n_docs", "n", "lo", "hi"])
+            langs, sources = (pa.array(x, pa.string()) for x in zip(*codes, strict=True))
+            counted = _counted(part.column("text"), np.array(of, np.int64))
+            for at in range(0, len(counted), rows):
+                batch = counted.slice(at, rows)
+                group = batch.column("group")
+                yield pa.RecordBatch.from_arrays([langs.take(group), sources.take(group), *batch.columns[1:]], names=["lang", "source", *batch.schema.names[1:]])
+            del counted
+            pa.default_memory_pool().release_unused()  # the worker stays for other tasks
+
+    return run
 
 
 def term_counts(docs: DataFrame, min_docs: int = 3, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(lang, source, term, count) of the terms that at least ``min_docs`` documents of the language hold.
+    """(lang, source, term, count, whole, leads) of the terms that at least ``min_docs`` documents of the language hold.
 
-    Each row is a document, whatever its id.  Null texts, languages and sources are
-    empty ones.  min_docs is 1, 2 or 3, as rare chunks keep two names of documents.
+    whole is the count in the language, leads marks one of a term's rows there.  Each
+    row is a document, whatever its id.  Null texts, languages and sources are empty
+    ones.  min_docs is 1, 2 or 3.
     """
     if min_docs not in (1, 2, 3):
         raise ValueError("min_docs is 1, 2 or 3")
     batch_texts(docs.sparkSession)
     plain = lambda c, name: F.coalesce(docs[f"`{c}`"].cast("string"), F.lit("")).alias(name)
-    rows = docs.select(plain(lang_col, "lang"), plain(source_col, "source"), plain(text_col, "text"), F.monotonically_increasing_id().alias("doc"))
-    chunks = rows.mapInArrow(_chunks, _COUNTED.format("chunk")).repartition("chunk")  # all rows of a chunk in one place, added up and tokenized there
-    chunks = chunks.groupBy("lang", "source", "chunk").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    found = settled(chunks.sortWithinPartitions("chunk").mapInArrow(_terms, _COUNTED.format("term")))
-    docs_of = F.bit_or(_bit("lo").bitwiseOR(_bit("hi")))
-    counts = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("count"), F.max("n_docs").alias("most"), F.sum("n_docs").alias("docs"), docs_of.alias("bits"))
-    whole = Window.partitionBy("lang", "term")  # a row for each source
-    sure = (F.max("most").over(whole) >= min_docs) | (F.bit_count(F.bit_or("bits").over(whole)) >= min_docs)
-    counts = counts.withColumn("sure", sure).withColumn("docs", F.sum("docs").over(whole)).where(F.col("docs") >= min_docs)
-    counts = settled(counts.select("lang", "source", "term", "count", "sure"))
-    known = counts.where("NOT sure").select("lang", "term").distinct()
-    unsure = found.join(known, ["lang", "term"], "left_semi").select("lang", "term", F.explode(F.array("lo", "hi")).alias("doc")).distinct()
-    several = unsure.groupBy("lang", "term").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs).select("lang", "term")
-    return counts.where("sure").unionByName(counts.where("NOT sure").join(several, ["lang", "term"], "left_semi")).select("lang", "source", "term", "count")
-
-
-def _bit(doc: str) -> Column:
-    """A bit for the document: different bits are of different documents."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(doc), F.lit(64)).cast("int"))
-
-
-def _share(scale: int, smoothing: int, count: Column) -> Column:
+    rows = docs.select(plain(lang_col, "lang"), plain(source_col, "source"), plain(text_col, "text"))
+    counts = rows.mapInArrow(_counts(_HELD, _FRESH), _COUNTED).repartition("term", "lang")  # all rows of a term in one place: one for each source and each time of holding texts at most
+    counts = counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("count"), F.sum("n_docs").alias("docs"))
+    whole = Window.partitionBy("term", "lang")  # a row for each source
+    counts = counts.select("lang", "source", "term", "count", F.sum("docs").over(whole).alias("docs"), F.sum("count").over(whole).alias("whole"), (F.col("source") == F.min("source").over(whole)).alias("leads"))
+    return counts.where(F.col("docs") >= min_docs).drop("docs")
+
+
+def _share(scale: int, smoothing: int, count: Column, total: str = "total") -> Column:
     """1 + floor(scale * (count + smoothing) / (total + smoothing * terms)), exactly."""
     over = F.lit(scale).cast("decimal(12,0)") * (count + smoothing).cast("decimal(19,0)")
-    under = (F.col("total") + F.col("terms") * smoothing).cast("decimal(19,0)")
+    under = (F.col(total) + F.col("terms") * smoothing).cast("decimal(19,0)")
     return F.when(under > 0, 1 + F.call_function("div", over, under))
 
 
@@ -180,20 +162,19 @@ def source_divergence(docs: DataFrame, min_docs: int = 3, most_terms: int = 200,
     counts = settled(term_counts(docs, min_docs, lang_col, source_col, text_col))
     plain = lambda c, name: F.coalesce(docs[f"`{c}`"].cast("string"), F.lit("")).alias(name)
     groups = docs.select(plain(lang_col, "lang"), plain(source_col, "source")).distinct()
-    by_lang = counts.groupBy("lang", "term").agg(F.sum("count").alias("count"))
-    langs = by_lang.groupBy("lang").agg(F.sum("count").alias("total"), F.count("*").alias("terms"))
+    langs = counts.groupBy("lang").agg(F.sum("count").alias("whole_total"), F.count_if("leads").alias("terms"))
     totals = counts.groupBy("lang", "source").agg(F.sum("count").alias("total"))
-    groups = groups.join(totals, ["lang", "source"], "left").join(langs.select("lang", "terms"), "lang", "left")
-    groups = settled(groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("terms", F.lit(0)).alias("terms")))
+    groups = groups.join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
+    groups = settled(groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "whole_total", "terms")]))
     widths = groups.groupBy("lang").agg(F.ceil(F.count("*") * F.max("terms") / _CELLS).cast("int").alias("blocks"))
     groups = groups.join(widths, "lang").withColumn("blocks", F.greatest("blocks", F.lit(1)))
-    shares = settled(counts.join(groups, ["lang", "source"]).select("lang", "source", "term", _share(scale, smoothing, F.col("count")).alias("p"), F.pmod(F.xxhash64("term"), "blocks").cast("int").alias("block")))
+    p, q = _share(scale, smoothing, F.col("count")), _share(scale, smoothing, F.col("whole"), "whole_total")
+    shares = settled(counts.join(groups, ["lang", "source"]).select("lang", "source", "term", p.alias("p"), q.alias("q"), F.pmod(F.xxhash64("term"), "blocks").cast("int").alias("block")))
     absent = groups.select("lang", "source", F.lit(None).cast("string").alias("term"), _share(scale, smoothing, F.lit(0)).alias("p"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    pairs = shares.unionByName(absent).groupBy("lang", "block").applyInPandas(_compared, "lang string, source string, item string, value long")
+    pairs = shares.drop("q").unionByName(absent).groupBy("lang", "block").applyInPandas(_compared, "lang string, source string, item string, value long")
     pairs = pairs.groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).withColumn("part", F.lit("pair"))
-    whole = by_lang.join(langs, "lang").select("lang", "term", _share(scale, smoothing, F.col("count")).alias("q"))
     excess = (F.col("p") - F.col("q")) * (F.col("p") - F.col("q"))
-    terms = shares.join(whole, ["lang", "term"]).where("p > q").select("lang", "source", F.col("term").alias("item"), F.call_function("div", excess, F.col("q")).alias("value"), F.lit("term").alias("part"))
+    terms = shares.where("p > q").select("lang", "source", F.col("term").alias("item"), F.call_function("div", excess, F.col("q")).alias("value"), F.lit("term").alias("part"))
     first = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(first))
     out = ranked(pairs).unionByName(ranked(terms).where(F.col("rank") <= most_terms))

@@ -269,3 +269,31 @@ def test_strings_of_one_piece_alone_are_not_sorted(monkeypatch, second):
     assert got == {(u, at): least[g, s] for g, u, _, hi, at, s in strings if least[g, s] < hi}
     assert any(least[g, s] < lo for g, _, lo, _, _, s in strings)
     assert 0 < sum(sizes) < sum(len(row[6]) for row in found) / 8
+
+
+@pytest.mark.parametrize("limit, rows", [(16 << 20, 20_000), (3000, 7)])
+def test_tasks_hand_on_terms_with_exact_documents(limit, rows):
+    """What a task hands on are terms, one row each for a language and source it holds at once, with their documents and occurrences."""
+    import re
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from postlake.llm import divergence
+
+    table = pq.read_table(f"{SMALL}/documents.parquet", columns=["lang", "source", "text"]).to_pylist()
+    table = [{c: x or "" for c, x in row.items()} for row in table]
+    table += [{"lang": "en", "source": "s", "text": t} for t in ("", " \t\n", "12 34!", "(Alpha alpha,beta ALPHA", "Été　x\x00Y[z`Kİ ", "alpha " * 2000)]
+    n, n_docs = Counter(), Counter()
+    for row in table:
+        terms = Counter(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), row["text"])))
+        for term, count in terms.items():
+            n[row["lang"], row["source"], term] += count
+            n_docs[row["lang"], row["source"], term] += 1
+    handed = [r for batch in divergence._counts(limit, rows)(iter(pa.Table.from_pylist(table).to_batches(40))) for r in batch.to_pylist()]
+    got, got_docs = Counter(), Counter()
+    for r in handed:
+        got[r["lang"], r["source"], r["term"]] += r["n"]
+        got_docs[r["lang"], r["source"], r["term"]] += r["n_docs"]
+    assert got == n and got_docs == n_docs
+    assert (len(handed) == len(n)) == (limit > 3000)
